@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, token_files
+from . import byte_bpe, class_lm, packing, quality_model, simhash, token_files
 from .common import attach
 
 
@@ -11,8 +11,12 @@ def _attached(query):
 
 
 QUERIES = {
+    "op1_class_lm": _attached(class_lm.query),
     "op5_token_files": _attached(token_files.query),
     "op6_byte_bpe": _attached(byte_bpe.query),
+    "op7_quality_classifier": _attached(quality_model.query),
+    "op8_simhash": _attached(simhash.query),
+    "op10_packing": _attached(packing.query),
 }
 
 ORACLES: dict[str, str] = {}
