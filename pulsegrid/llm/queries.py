@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, class_lm, packing, quality_model, simhash, token_files
+from . import byte_bpe, class_lm, line_dedup, packing, quality_model, quality_rules, simhash, token_files, url_reputation
 from .common import attach
 
 
@@ -12,11 +12,18 @@ def _attached(query):
 
 QUERIES = {
     "op1_class_lm": _attached(class_lm.query),
+    "op3_quality_rules": _attached(quality_rules.query),
+    "op4_line_dedup": _attached(line_dedup.query),
     "op5_token_files": _attached(token_files.query),
     "op6_byte_bpe": _attached(byte_bpe.query),
     "op7_quality_classifier": _attached(quality_model.query),
     "op8_simhash": _attached(simhash.query),
+    "op9_url_reputation": _attached(url_reputation.query),
     "op10_packing": _attached(packing.query),
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_quality_rules": quality_rules.ORACLE,
+    "op4_line_dedup": line_dedup.ORACLE,
+    "op9_url_reputation": url_reputation.ORACLE,
+}
