@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import zipfile
+from itertools import chain, pairwise
 from pathlib import Path
 
 import numpy as np
@@ -79,7 +80,8 @@ def ascii_lower(text: Column) -> Column:
 
 # --- tokenizers -----------------------------------------------------------------------------------
 
-_UNITS = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
+#: Letters U+0041 to U+024F; behind them, before ASCII punctuation other than the apostrophe, a unit ends too.
+_UNITS = re.compile("[ \\t-\\r]*[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]++(?=[!-&(-/:-@\\[-`{-~])|[ \\t-\\r]*[^ \\t-\\r]+|[ \\t-\\r]+")
 #: White space besides space and U+0009 to U+000D, and what Python alone calls so: such texts are encoded whole.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠　﻿]")
 
@@ -87,16 +89,23 @@ _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠　﻿]")
 class UnitEncoder:
     """Encodes texts with a tokenizers.Tokenizer, keeping the ids of recent units.
 
-    A unit is a run of white space with the word behind it. Tokens never reach over the end of a word, as every
-    pre-tokenizing pattern here starts a new match at white space, so a text's ids are its units' ids in turn.
-    The cache is emptied when it holds `most` units; ids don't depend on it.
+    A unit is a run of white space with the word behind it, or punctuation behind a word. Every pre-tokenizing
+    pattern here starts a new match at white space, and at punctuation behind a letter, so no token reaches over the
+    end of a unit, and a text's ids are its units' ids in turn.
+    The cache has two generations of at most `most` units: when the new one is full it becomes the old one, and
+    units that are met again move over. Ids don't depend on it.
     """
 
-    def __init__(self, tokenizer, most: int = 600_000):
-        self.tokenizer, self.most, self.ids = tokenizer, most, {}
+    def __init__(self, tokenizer, most: int = 300_000):
+        self.tokenizer, self.most, self.ids, self.old = tokenizer, most, {}, {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if not texts:
+            return []
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ends = np.cumsum([len(x) for x in each]) * 4
+        flat = np.fromiter(chain.from_iterable(each), "<u4", int(ends[-1]) // 4).tobytes()
+        return [flat[a:b] for a, b in pairwise([0, *ends.tolist()])]
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers; none for null."""
@@ -107,9 +116,12 @@ class UnitEncoder:
         units, known = _UNITS.findall(text), self.ids
         if missing := [u for u in set(units) if u not in known]:
             if len(known) + len(missing) > self.most:
-                known.clear()
-                missing = list(set(units))
-            known.update(zip(missing, self._encode(missing)))
+                self.old, self.ids = known, {}
+                known, missing = self.ids, list(set(units))
+            old = self.old
+            new = [u for u in missing if u not in old]
+            known.update((u, old[u]) for u in missing if u in old)
+            known.update(zip(new, self._encode(new)))
         return b"".join(map(known.__getitem__, units))
 
 
