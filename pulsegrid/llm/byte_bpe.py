@@ -145,24 +145,30 @@ def load_ranks_once(path: str) -> list[bytes]:
     return _TABLES[path]
 
 
-def digests(df: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """n_tokens, ids_sha256 and decoded_sha256 in place of the ids and the bytes."""
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """df without its text, with digests of both directions in one pass: n_tokens, ids_sha256 (of the decimal ids
+    with a space between) and decoded_sha256 (of the bytes that the ids stand for). Columns of df that are named
+    like these are replaced; null text counts as empty."""
+    new = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    rest = [c for c in df.columns if c != text and c not in new]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, encoder = loaded(path, pattern)
         for batch in batches:
-            got = [np.frombuffer(x, "<u4").tolist() for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
-            sha = [hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in got]
-            rest = [(f.name, c) for f, c in zip(batch.schema, batch.columns) if f.name not in (ids, decoded)]
-            back = [hashlib.sha256(x).hexdigest() for x in batch.column(batch.schema.get_field_index(decoded)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([c for _, c in rest] + [pa.array(list(map(len, got)), pa.int64()), pa.array(sha), pa.array(back)], [n for n, _ in rest] + ["n_tokens", "ids_sha256", "decoded_sha256"])
+            out: list[list] = [[], [], []]
+            for s in batch.column(len(rest)).to_pylist():
+                ids = np.frombuffer(encoder.encode(s), "<u4").tolist()
+                out[0].append(len(ids))
+                out[1].append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+                out[2].append(hashlib.sha256(b"".join(map(table.__getitem__, ids))).hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], [*rest, *new])
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in (ids, decoded)]
-    return df.mapInArrow(run, ", ".join([*kinds, "n_tokens long", "ids_sha256 string", "decoded_sha256 string"]))
+    kept = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").cast("string").alias(free_name(df, "text_in")))
+    return kept.mapInArrow(run, ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest), "n_tokens long", "ids_sha256 string", "decoded_sha256 string"]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    path = P.path("byte_bpe_50k.tiktoken")
-    return digests(decode(encode(docs, path, P.PATTERN).drop("text"), path))
+    return round_trip(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
