@@ -18,7 +18,7 @@ from .common import WORD_RE, checkpointed, free_name, lookup_join
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Measure, the slack above the upper quartile, the slack below the lower quartile (None: no lower fence).
-MEASURES = (("symbols", 80, None), ("repeats", 200, None), ("lines", 400, None), ("length", 400, 250))
+MEASURES = (("symbols", 80, None), ("repeats", 300, None), ("lines", 400, None), ("length", 400, 250))
 #: Texts that a source's, or a language's, own sketch needs.
 ENOUGH = 100
 
