@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, class_lm, line_dedup, packing, quality_model, quality_rules, simhash, token_files, url_reputation
+from . import byte_bpe, cap_filters, class_lm, line_dedup, packing, quality_model, quality_rules, simhash, token_files, url_reputation
 from .common import attach
 
 
@@ -12,6 +12,7 @@ def _attached(query):
 
 QUERIES = {
     "op1_class_lm": _attached(class_lm.query),
+    "op2_cap_filters": _attached(cap_filters.query),
     "op3_quality_rules": _attached(quality_rules.query),
     "op4_line_dedup": _attached(line_dedup.query),
     "op5_token_files": _attached(token_files.query),
