@@ -1,0 +1,77 @@
+"""Synthetic data as Spark plans: rows from ranges, randomness from hashes of (seed, row)."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .resample import uniform
+
+
+def normal(seed, *parts) -> Column:
+    """A standard normal number by Box and Muller's transform."""
+    u, v = uniform(f"{seed}a", *parts), uniform(f"{seed}b", *parts)
+    return F.sqrt(-2.0 * F.log(1.0 - u)) * F.cos(2.0 * math.pi * v)
+
+
+def _trials(spark: SparkSession, n: int, conds: int) -> DataFrame:
+    return spark.range(n).select(F.col("id").cast("int").alias("trial"), (F.col("id") % conds).cast("int").alias("cond"))
+
+
+def spike_trains(spark: SparkSession, gain: float = 5.0, offset: float = 5.0, n_conds: int = 2, n_trials: int = 1000, seconds: float = 1.0, refractory: float = 0.0, seed=0) -> DataFrame:
+    """(trial, cond, t): Poisson trains with rate offset + gain * cond, and no interval under refractory.
+
+    More intervals are drawn than a train is likely to have, by ten deviations; sums of them are the times."""
+    top = (offset + gain * (n_conds - 1)) * seconds
+    most = int(top + 10 * math.sqrt(top + 1) + 10)
+    lam = F.lit(float(offset)) + float(gain) * F.col("cond")
+    d = _trials(spark, n_trials, n_conds).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(most))))
+    gap = F.when(lam > 0, -F.log(1.0 - uniform(seed, "trial", "i")) / lam + refractory).otherwise(F.lit(float("inf")))
+    t = F.sum(gap).over(Window.partitionBy("trial").orderBy("i"))
+    return d.select("trial", "cond", t.alias("t")).where(F.col("t") < seconds)
+
+
+def spike_rates(spark: SparkSession, gain: float = 5.0, offset: float = 5.0, n_conds: int = 2, n_trials: int = 1000, window: float = 1.0, count: bool = False, seed=0) -> DataFrame:
+    """(trial, cond, rate): Poisson counts in a window, divided by it unless count."""
+    n = spike_trains(spark, gain, offset, n_conds, n_trials, window, 0.0, seed).groupBy("trial").agg(F.count("*").alias("n"))
+    c = F.coalesce("n", F.lit(0)).cast("double")
+    return _trials(spark, n_trials, n_conds).join(n, "trial", "left").select("trial", "cond", (c if count else c / window).alias("rate"))
+
+
+def spike_waveforms(spark: SparkSession, n_spikes: int = 100, fs: float = 30_000.0, time_range=(-0.0002, 0.0014), trough=(0.0003, 0.4, 0.0002), peak=(0.00075, 0.25, 0.0004), noise: float = 0.01, seed=0) -> DataFrame:
+    """(spike, samples): a bell up less a bell down, each (time, height, width), and noise."""
+    n = int(round((time_range[1] - time_range[0]) * fs)) + 1
+    t = F.lit(float(time_range[0])) + F.col("i") / float(fs)
+    bell = lambda at, height, width: height * F.exp(-0.5 * F.pow((t - at) / (width / 2.355), F.lit(2.0)))
+    each = spark.range(n_spikes).select(F.col("id").alias("spike"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
+    v = each.withColumn("v", bell(*peak) - bell(*trough) + noise * normal(seed, "spike", "i"))
+    return _arrays(v, ["spike"])
+
+
+def _arrays(long: DataFrame, keys: list[str]) -> DataFrame:
+    return long.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("s")).select(*keys, F.transform("s", lambda x: x["v"]).alias("samples"))
+
+
+def oscillation(spark: SparkSession, frequency: float, amplitude: float = 5.0, phase: float = 0.0, noise: float = 1.0, n_trials: int = 1000, freq_sd: float = 0.0, amp_sd: float = 0.0, phase_sd: float = 0.0, fs: float = 1000.0, seconds: float = 1.0, burst_rate: float = 0.0, burst_width: float = 4.0, seed=0) -> DataFrame:
+    """(trial, samples): cosines with jitter by trial and noise by sample; with burst_rate, that share of trials
+    carries one bell-shaped burst of burst_width cycles at a random time and the others noise alone."""
+    j = lambda name, sd: sd * normal(f"{seed}{name}", "trial")
+    trials = spark.range(n_trials).select(F.col("id").cast("int").alias("trial")).select("trial", (frequency + j("f", freq_sd)).alias("f"), (amplitude + j("a", amp_sd)).alias("a"), (phase + j("p", phase_sd)).alias("p"))
+    each = trials.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(int(round(seconds * fs)) - 1))))
+    t = F.col("i") / float(fs)
+    wave = F.col("a") * F.cos(2.0 * math.pi * F.col("f") * t + F.col("p"))
+    if burst_rate > 0:
+        at, sd = uniform(f"{seed}t", "trial") * seconds, burst_width / frequency / 6.0
+        wave = F.when(uniform(f"{seed}b", "trial") < burst_rate, wave * F.exp(-0.5 * F.pow((t - at) / sd, F.lit(2.0)))).otherwise(0.0)
+    return _arrays(each.withColumn("v", wave + noise * normal(seed, "trial", "i")), ["trial"])
+
+
+def multichannel_oscillation(spark: SparkSession, channels: list[dict], seed=0, **common) -> DataFrame:
+    """(channel, trial, samples): a set of oscillation() arguments for each channel."""
+    out = None
+    for k, own in enumerate(channels):
+        d = oscillation(spark, **{**common, **own}, seed=f"{seed}c{k}").withColumn("channel", F.lit(k))
+        out = d if out is None else out.unionByName(d)
+    return out.select("channel", "trial", "samples")

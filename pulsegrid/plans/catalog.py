@@ -1,6 +1,9 @@
-"""The registry of named queries; each module of this package that has QUERIES and ORACLES adds its own."""
+"""The registry of named queries."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import event_queries, table_queries
+
+MODULES = (event_queries, table_queries)
+QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLES.items()}
