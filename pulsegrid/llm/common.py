@@ -82,6 +82,9 @@ def ascii_lower(text: Column) -> Column:
 
 #: Letters U+0041 to U+024F; behind them, before ASCII punctuation other than the apostrophe, a unit ends too.
 _UNITS = re.compile("[ \\t-\\r]*[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]++(?=[!-&(-/:-@\\[-`{-~])|[ \\t-\\r]*[^ \\t-\\r]+|[ \\t-\\r]+")
+_WORDS = re.compile(_UNITS.pattern.replace("[ \\t-\\r]*", "").removesuffix("|[ \\t-\\r]+"))
+#: Marks that may combine with a letter before them.
+_MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff]")
 #: White space besides space and U+0009 to U+000D, and what Python alone calls so: such texts are encoded whole.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠　﻿]")
 
@@ -96,8 +99,9 @@ class UnitEncoder:
     units that are met again move over. Ids don't depend on it.
     """
 
-    def __init__(self, tokenizer, most: int = 300_000):
-        self.tokenizer, self.most, self.ids, self.old = tokenizer, most, {}, {}
+    def __init__(self, tokenizer, folds: bool = False, most: int = 300_000):
+        """folds: the tokenizer lower-cases and drops white space, so units may be kept without it, A-Z in lower case."""
+        self.tokenizer, self.folds, self.most, self.ids, self.old = tokenizer, folds, most, {}, {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         if not texts:
@@ -107,13 +111,18 @@ class UnitEncoder:
         flat = np.fromiter(chain.from_iterable(each), "<u4", int(ends[-1]) // 4).tobytes()
         return [flat[a:b] for a, b in pairwise([0, *ends.tolist()])]
 
+    def _split(self, text: str) -> list[str]:
+        if not self.folds or _MARKS.search(text):
+            return _UNITS.findall(text)
+        return _WORDS.findall(text.encode().lower().decode())  # bytes have A-Z lower-cased alone
+
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers; none for null."""
         if not text:
             return b""
         if _ODD_SPACE.search(text):
             return self._encode([text])[0]
-        units, known = _UNITS.findall(text), self.ids
+        units, known = self._split(text), self.ids
         if missing := [u for u in set(units) if u not in known]:
             if len(known) + len(missing) > self.most:
                 self.old, self.ids = known, {}
@@ -128,7 +137,7 @@ class UnitEncoder:
 _ENCODERS: dict[str, UnitEncoder] = {}
 
 
-def json_encoder(path: str) -> UnitEncoder:
+def json_encoder(path: str, folds: bool = False) -> UnitEncoder:
     """The encoder of a tokenizers file, one for each Python worker; special tokens in a text are ordinary text."""
     if path not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -136,7 +145,7 @@ def json_encoder(path: str) -> UnitEncoder:
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        _ENCODERS[path] = UnitEncoder(t)
+        _ENCODERS[path] = UnitEncoder(t, folds)
     return _ENCODERS[path]
 
 
