@@ -83,7 +83,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     n = usable.count()
     rank = F.pmod(F.xxhash64("key", F.lit(17)), F.lit(1 << 30))
     sample = usable.where(rank < int((1 << 30) * min(1.0, most / max(1, n)))).withColumn("rank", rank)
-    rows = docs.join(F.broadcast(sample), docs[doc_id] == sample.key).select("key", "label", "rank", F.col(text).alias("text"), F.pmod("rank", F.lit(shards)).cast("int").alias("shard"))
+    own = docs.select(F.col(doc_id).alias("key"), F.col(text).cast("string").alias("text"))
+    rows = own.join(F.broadcast(sample), "key").select("key", "label", "rank", "text", F.pmod("rank", F.lit(shards)).cast("int").alias("shard"))
 
     def sparse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
