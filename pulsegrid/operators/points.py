@@ -77,7 +77,7 @@ def pool_grids(df: DataFrame, electrodes: DataFrame, by: list[str], flag: str, u
 
 def train_arrays(df: DataFrame, by: list[str], t: str = "t") -> DataFrame:
     """(by..., times): each train's times in one sorted array; a train has to fit in a row."""
-    return df.groupBy(*by).agg(F.array_sort(F.collect_list(t)).alias("times"))
+    return df.groupBy(*by).agg(F.sort_array(F.collect_list(t)).alias("times"))
 
 
 def isi(df: DataFrame, by: list[str], t: str = "t", out: str = "isi") -> DataFrame:
@@ -160,7 +160,7 @@ def density(df: DataFrame, by: list[str], lims: tuple[float, float], width: floa
     cells = df.groupBy(*by, at.alias("__at")).agg(F.count("*").alias("__n")).where(F.col("__at").between(-pad, n - 1 + pad))
     if trains is not None:
         cells = trains.select(*by).distinct().join(cells, by, "left")
-    held = cells.groupBy(*by).agg(F.collect_list(F.struct("__at", "__n")).alias("__cells"))  # at most a cell for each grid point
+    held = cells.groupBy(*by).agg(F.collect_list(F.when(F.col("__at").isNotNull(), F.struct("__at", "__n"))).alias("__cells"))  # at most a cell for each grid point
 
     def smooth(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         times = lims[0] + np.arange(0, n, every) * dt
@@ -168,8 +168,7 @@ def density(df: DataFrame, by: list[str], lims: tuple[float, float], width: floa
             for row in frame.itertuples(index=False):
                 grid = np.zeros(n + 2 * pad)
                 for c in row[-1]:
-                    if c["__at"] is not None:
-                        grid[c["__at"] + pad] += c["__n"]
+                    grid[int(c["__at"]) + pad] += c["__n"]
                 rate = np.maximum(np.convolve(grid, k, "valid")[::every], 0.0)
                 yield pd.DataFrame({**dict(zip(by, row[: len(by)])), "time": times, "rate": rate})
 

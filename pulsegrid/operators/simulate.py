@@ -51,7 +51,7 @@ def spike_waveforms(spark: SparkSession, n_spikes: int = 100, fs: float = 30_000
 
 
 def _arrays(long: DataFrame, keys: list[str]) -> DataFrame:
-    return long.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("s")).select(*keys, F.transform("s", lambda x: x["v"]).alias("samples"))
+    return long.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("s")).select(*keys, F.transform("s", lambda x: x["v"]).alias("samples"))
 
 
 def oscillation(spark: SparkSession, frequency: float, amplitude: float = 5.0, phase: float = 0.0, noise: float = 1.0, n_trials: int = 1000, freq_sd: float = 0.0, amp_sd: float = 0.0, phase_sd: float = 0.0, fs: float = 1000.0, seconds: float = 1.0, burst_rate: float = 0.0, burst_width: float = 4.0, seed=0) -> DataFrame:

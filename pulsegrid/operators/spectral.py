@@ -49,7 +49,7 @@ def fft(df: DataFrame, keys: list[str], samples: str = "samples", n_fft: int | N
 
 def ifft(df: DataFrame, keys: list[str], re: str = "re", im: str = "im", k: str = "k") -> DataFrame:
     """(keys..., samples): the inverse, real part, of a long spectrum."""
-    s = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(k).alias("k"), F.col(re).alias("re"), F.col(im).alias("im")))).alias("s"))
+    s = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(k).alias("k"), F.col(re).alias("re"), F.col(im).alias("im")))).alias("s"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

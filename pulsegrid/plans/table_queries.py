@@ -155,7 +155,7 @@ def draws_subsets(spark, d):
 
 
 def nation_subsets(spark, d):
-    n = table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_nationkey")).alias("v"))
+    n = table(spark, d, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_nationkey")).alias("v"))
     s = n.select("n_regionkey", F.explode(exprs.all_subsets("v")).alias("s"))
     return s.select("n_regionkey", F.array_join(F.transform("s", lambda x: x.cast("string")), ",").alias("subset"))
 

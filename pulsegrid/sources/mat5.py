@@ -1,0 +1,139 @@
+"""A Spark data source for MATLAB level-5 files (versions 5 to 7): spark.read.format("mat5").load(path).
+
+One row per variable: name, class, dims, and its values in column order as doubles, or text for character arrays.
+Each file is a partition of its own, so a folder of files is read side by side. Cells and structures come as rows of
+their own, named like "parent{1}" and "parent.field", counted from 1. Sparse matrices and objects are left out.
+"""
+
+from __future__ import annotations
+
+import glob
+import os
+import struct
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+from pyspark.sql import SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+SCHEMA = "file string, name string, class string, dims array<long>, values array<double>, text string"
+#: Fixed values of the format: storage types, then array classes.
+TYPES = {1: "i1", 2: "u1", 3: "i2", 4: "u2", 5: "i4", 6: "u4", 7: "f4", 9: "f8", 12: "i8", 13: "u8", 16: "u1", 17: "u2", 18: "u4"}
+CLASSES = {1: "cell", 2: "struct", 3: "object", 4: "char", 5: "sparse", 6: "double", 7: "single", 8: "int8", 9: "uint8", 10: "int16", 11: "uint16", 12: "int32", 13: "uint32", 14: "int64", 15: "uint64"}
+MATRIX, COMPRESSED, UTF8, UTF16 = 14, 15, 16, 17
+
+
+def elements(data: bytes, order: str) -> Iterator[tuple[int, bytes]]:
+    """(type, content) of each element; short ones hold their content in the tag."""
+    at = 0
+    while at + 8 <= len(data):
+        kind, size = struct.unpack_from(order + "II", data, at)
+        if kind >> 16:
+            yield kind & 0xFFFF, data[at + 4 : at + 4 + (kind >> 16)]
+            at += 8
+            continue
+        yield kind, data[at + 8 : at + 8 + size]
+        at += 8 + (size if kind == COMPRESSED else (size + 7) // 8 * 8)
+
+
+def _numbers(kind: int, content: bytes, order: str) -> np.ndarray:
+    return np.frombuffer(content, np.dtype(TYPES[kind]).newbyteorder(order))
+
+
+def rows(content: bytes, order: str, name: str = "") -> Iterator[tuple]:
+    """(name, class, dims, values, text) of a matrix element and those within it."""
+    parts = list(elements(content, order))
+    flags = struct.unpack_from(order + "I", parts[0][1])[0]
+    kind = CLASSES.get(flags & 0xFF, "unknown")
+    dims = _numbers(5, parts[1][1], order).tolist()
+    name = name or parts[2][1].decode("ascii", "replace")
+    rest = parts[3:]
+    if kind == "cell":
+        for k, (_, x) in enumerate(rest, 1):
+            yield from rows(x, order, f"{name}{{{k}}}") if x else ()
+    elif kind == "struct":
+        size = int(_numbers(5, rest[0][1], order)[0])
+        fields = [rest[1][1][k : k + size].split(b"\0")[0].decode() for k in range(0, len(rest[1][1]), size)]
+        n = int(np.prod(dims))
+        for k, (_, x) in enumerate(rest[2:]):
+            row = f"({k // len(fields) + 1})" if n > 1 else ""
+            yield from rows(x, order, f"{name}{row}.{fields[k % len(fields)]}") if x else ()
+    elif kind == "char":
+        t, x = rest[0] if rest else (UTF8, b"")
+        yield name, kind, dims, None, x.decode("utf-8", "replace") if t in (UTF8, 2, 1) else x.decode("utf-16-le" if order == "<" else "utf-16-be", "replace")
+    elif kind not in ("sparse", "object", "unknown"):
+        logical = bool(flags & 0x0200)
+        yield name, "logical" if logical else kind, dims, _numbers(*rest[0], order).astype(float).tolist() if rest else [], None
+
+
+def read_file(path: str) -> Iterator[tuple]:
+    with open(path, "rb") as f:
+        header, data = f.read(128), f.read()
+    if header[:10] != b"MATLAB 5.0":
+        raise ValueError(f"{path} is no level-5 MATLAB file")
+    order = "<" if header[126:128] == b"IM" else ">"
+    for kind, content in elements(data, order):
+        if kind == COMPRESSED:
+            kind, content = next(elements(zlib.decompress(content), order))
+        if kind == MATRIX:
+            yield from rows(content, order)
+
+
+def version(path: str) -> str | None:
+    """7 for level-5 files, 7.3 for the later format, else None; reads ten bytes."""
+    with open(path, "rb") as f:
+        return {b"MATLAB 5.0": "7", b"MATLAB 7.3": "7.3"}.get(f.read(10))
+
+
+class MatSource(DataSource):
+    """Options: path of a file, a folder or a pattern; variables, names to read, with commas between."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "mat5"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema) -> DataSourceReader:
+        return MatReader(self.options)
+
+
+class MatReader(DataSourceReader):
+    def __init__(self, options):
+        self.path, names = options["path"], options.get("variables")
+        self.names = {x.strip() for x in names.split(",")} if names else None
+
+    def partitions(self) -> list[InputPartition]:
+        path = self.path.removeprefix("file:")
+        found = sorted(glob.glob(os.path.join(path, "*.mat") if os.path.isdir(path) else path))
+        return [InputPartition(p) for p in found]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        for name, *rest in read_file(partition.value):
+            root = name.replace("{", ".").replace("(", ".").split(".")[0]
+            if self.names is None or root in self.names:
+                yield (partition.value, name, *rest)
+
+
+def register(spark: SparkSession) -> None:
+    spark.dataSource.register(MatSource)
+
+
+def _element(kind: int, content: bytes) -> bytes:
+    return struct.pack("<II", kind, len(content)) + content + b"\0" * (-len(content) % 8)
+
+
+def write_file(path: str, variables: dict[str, np.ndarray | str]) -> None:
+    """A level-5 file of numeric arrays and texts, for results small enough for the driver."""
+    with open(path, "wb") as f:
+        f.write(b"MATLAB 5.0 MAT-file".ljust(124) + struct.pack("<HH", 0x0100, 0x4D49))
+        for name, x in variables.items():
+            if isinstance(x, str):
+                kind, dims, data = 4, (1, len(x)), _element(UTF16, x.encode("utf-16-le"))
+            else:
+                x = np.atleast_2d(np.asarray(x, float))
+                kind, dims, data = 6, x.shape, _element(9, x.tobytes("F"))
+            body = _element(6, struct.pack("<II", kind, 0)) + _element(5, np.array(dims, "<i4").tobytes()) + _element(1, name.encode()) + data
+            f.write(_element(MATRIX, body))
