@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import kernels
+
 
 def col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -199,17 +201,19 @@ def trough_to_peak_width(wave, fs: float) -> Column:
 
 
 def trough_width(wave, fs: float) -> Column:
-    """Seconds between the samples before and behind the trough where half its depth is passed; null if it isn't."""
+    """Seconds between the first and last samples around the trough that are at least half as deep; null if an end is missing."""
     w = col(wave)
     t, half = _trough(w), F.array_min(w) / 2.0
     above = F.transform(w, lambda x, i: F.when(x > half, i + 1))
     left = F.array_max(F.filter(above, lambda i: i < t))
     right = F.array_min(F.filter(above, lambda i: i > t))
-    return (right - left).cast("double") / float(fs)
+    return (right - left - 2).cast("double") / float(fs)
 
 
-def repolarization_time(wave, fs: float, criterion: float = 0.75) -> Column:
-    """Seconds from the peak behind the trough until criterion times the peak is reached; null if it isn't."""
+def repolarization_time(wave, fs: float, criterion: float | str = 0.75) -> Column:
+    """Seconds from the peak behind the trough until criterion times the peak is reached, or "inflection"; null if it isn't."""
+    if criterion == "inflection":
+        return kernels.inflection(col(wave), fs)
     tail = _after_trough(col(wave))
     peak = F.array_max(tail)
     at = F.array_position(tail, peak).cast("int")

@@ -224,50 +224,94 @@ def wavelet(x: np.ndarray, fs: float, freqs: np.ndarray = WAVELET_FREQS, wavenum
     return s[..., b : n - b : every]
 
 
-def butterworth(order: int, low: float, high: float, fs: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Second-order sections (b, a) of a band-pass, low-pass (low <= 0) or high-pass (high >= fs / 2) filter.
+def _landen(k: float) -> list[float]:
+    out = []
+    while k > 1e-15:
+        k = (k / (1 + np.sqrt(1 - k * k))) ** 2
+        out.append(k)
+    return out
+
 
-    Sections, as the polynomial form loses the low bands to rounding."""
+def _elliptic(w, k: float):
+    """cd and sn of Jacobi share this ascending recursion, from cos or sin of the argument."""
+    for v in reversed(_landen(k)):
+        w = (1 + v) * w / (1 + v * w * w)
+    return w
+
+
+def _inverse_sn(w: complex, k: float) -> complex:
+    before = k
+    for v in _landen(k):
+        w = w / (1 + np.sqrt(1 - w * w * before * before)) * 2 / (1 + v)
+        before = v
+    return 1 - 2 / np.pi * np.arccos(w + 0j)
+
+
+def _prototype(kind: str, order: int, ripple: float, stop: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """(zeros, poles, gain at 0) of the analogue low-pass filter with edge 1."""
+    m = np.arange(1, order + 1)
+    angle = np.pi * (2 * m - 1) / (2 * order)
+    if kind == "butter":
+        return np.array([]), np.exp(1j * (angle + np.pi / 2)), 1.0
+    if kind == "cheby1":
+        eps = np.sqrt(10 ** (ripple / 10) - 1)
+        a = np.arcsinh(1 / eps) / order
+        return np.array([]), -np.sinh(a) * np.sin(angle) + 1j * np.cosh(a) * np.cos(angle), 1.0 if order % 2 else 1 / np.sqrt(1 + eps * eps)
+    if kind == "cheby2":
+        a = np.arcsinh(np.sqrt(10 ** (stop / 10) - 1)) / order
+        zeros = 1j / np.cos(angle[np.abs(np.cos(angle)) > 1e-12])
+        return zeros, 1 / (-np.sinh(a) * np.sin(angle) + 1j * np.cosh(a) * np.cos(angle)), 1.0
+    if kind == "ellip":
+        ep, es = (np.sqrt(10 ** (x / 10) - 1) for x in (ripple, stop))
+        k1, u = ep / es, (2 * np.arange(1, order // 2 + 1) - 1) / order
+        k1c = np.sqrt(1 - k1 * k1)
+        kc = k1c**order * np.prod(_elliptic(np.sin(u * np.pi / 2), k1c)) ** 4
+        k = np.sqrt(1 - kc * kc)
+        v0 = -1j * _inverse_sn(1j / ep, k1) / order
+        zeros = 1j / (k * _elliptic(np.cos(u * np.pi / 2), k))
+        poles = 1j * _elliptic(np.cos((u - 1j * v0) * np.pi / 2), k)
+        lone = [1j * _elliptic(np.sin(1j * v0 * np.pi / 2), k)] if order % 2 else []
+        return np.concatenate([zeros, zeros.conj()]), np.concatenate([poles, poles.conj(), lone]), 1.0 if order % 2 else 1 / np.sqrt(1 + ep * ep)
+    raise ValueError(f"unknown filter {kind!r}: butter, cheby1, cheby2 or ellip")
+
+
+def filter_design(low: float, high: float, fs: float, kind: str = "butter", order: int = 4, ripple: float = 5.0, stop: float = 40.0) -> tuple[np.ndarray, np.ndarray, float]:
+    """(zeros, poles, gain) of a digital filter: band-pass, low-pass (low <= 0) or high-pass (high >= fs / 2).
+
+    As zeros and poles, since the polynomials of narrow low bands are lost to rounding."""
     warp = lambda f: 2 * fs * np.tan(np.pi * f / fs)
-    p = np.exp(1j * np.pi * (2 * np.arange(order) + order + 1) / (2 * order))
+    zeros, poles, level = _prototype(kind, order, ripple, stop)
+    more = len(poles) - len(zeros)
     if low <= 0 and high >= fs / 2:
-        return []
+        return np.array([]), np.array([]), 1.0
     if low <= 0:
-        poles, zeros, at = warp(high) * p, -np.ones(order), 0.0
+        zeros, poles, at, extra = zeros * warp(high), poles * warp(high), 0.0, [-1.0] * more
     elif high >= fs / 2:
-        poles, zeros, at = warp(low) / p, np.ones(order), fs / 2
+        zeros, poles, at, extra = warp(low) / zeros, warp(low) / poles, fs / 2, [1.0] * more
     else:
         lo, hi = warp(low), warp(high)
-        c, bw = lo * hi, hi - lo
-        half = p * bw / 2
-        root = np.sqrt(half * half - c)
-        poles, zeros, at = np.concatenate([half + root, half - root]), np.concatenate([np.ones(order), -np.ones(order)]), fs * np.arctan(np.sqrt(c) / (2 * fs)) / np.pi
-    z = (2 * fs + poles) / (2 * fs - poles)
-    upper = sorted(z[z.imag > 1e-12], key=abs)
-    lone = sorted(z[np.abs(z.imag) <= 1e-12].real)
-    pairs = [np.array([1.0, -2 * q.real, abs(q) ** 2]) for q in upper] + [np.poly(lone[i : i + 2]) for i in range(0, len(lone), 2)]
-    zs, out = sorted(zeros), []
-    for a in pairs:
-        take = [zs.pop(0)] + ([zs.pop(-1)] if len(a) == 3 else [])
-        b = np.poly(take)
-        e = np.exp(-2j * np.pi * at / fs * np.arange(3))
-        out.append((b / abs((b @ e[: len(b)]) / (a @ e[: len(a)])), a))
-    return out
+        split = lambda r: np.concatenate([r * (hi - lo) / 2 + sign * np.sqrt((r * (hi - lo) / 2 + 0j) ** 2 - lo * hi) for sign in (1, -1)])
+        zeros, poles, at, extra = split(zeros), split(poles), fs / np.pi * np.arctan(np.sqrt(lo * hi) / (2 * fs)), [1.0, -1.0] * more
+    zeros, poles = (np.concatenate([(2 * fs + r) / (2 * fs - r), e]) for r, e in ((zeros, extra), (poles, [])))
+    gain = level / abs(frequency_response((zeros, poles, 1.0), np.array([at]), fs)[0])
+    return zeros, poles, float(gain)
+
+
+def frequency_response(design: tuple[np.ndarray, np.ndarray, float], freqs: np.ndarray, fs: float) -> np.ndarray:
+    e = np.exp(2j * np.pi * freqs / fs)[:, None]
+    return design[2] * np.prod(e - design[0], axis=1) / np.prod(e - design[1], axis=1)
 
 
-def zero_phase(x: np.ndarray, sections: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Both ways through the sections over the last axis, by the squared response of a transform padded by odd
-    reflection, which a recursion gives too where it has died away within the padding."""
+def zero_phase(x: np.ndarray, design: tuple[np.ndarray, np.ndarray, float]) -> np.ndarray:
+    """x filtered both ways over the last axis, by the squared response of a transform padded by odd reflection,
+    which a recursion gives too where it has died away within the padding."""
     n = x.shape[-1]
     k = min(n - 1, 3 * n // 4 + 64) if n > 1 else 0
     left, right = 2 * x[..., :1] - x[..., k:0:-1], 2 * x[..., -1:] - x[..., -2 : -k - 2 : -1]
     y = np.concatenate([left, x, right], axis=-1) if k else x
     size = next_power_of_2(2 * y.shape[-1])
-    e = np.exp(-2j * np.pi * np.fft.rfftfreq(size))
-    h = np.ones(len(e), complex)
-    for b, a in sections:
-        h *= np.polyval(b[::-1], e) / np.polyval(a[::-1], e)
-    return np.fft.irfft(np.fft.rfft(y, size) * np.abs(h) ** 2, size)[..., k : k + n]
+    h = np.abs(frequency_response(design, np.fft.rfftfreq(size), 1.0)) ** 2
+    return np.fft.irfft(np.fft.rfft(y, size) * h, size)[..., k : k + n]
 
 
 def analytic(x: np.ndarray) -> np.ndarray:
@@ -281,11 +325,11 @@ def analytic(x: np.ndarray) -> np.ndarray:
     return np.fft.ifft(np.fft.fft(x) * keep)
 
 
-def bandfilter(x: np.ndarray, fs: float, bands: Sequence[tuple[float, float]], order: int = 4, buffer: float = 0.0, every: int = 1, remove_dc: bool = True) -> np.ndarray:
+def bandfilter(x: np.ndarray, fs: float, bands: Sequence[tuple[float, float]], order: int = 4, buffer: float = 0.0, every: int = 1, remove_dc: bool = True, kind: str = "butter", **shape: float) -> np.ndarray:
     """(..., band, time) analytic signals of zero-phase band-passed x."""
     if remove_dc:
         x = x - x.mean(-1, keepdims=True)
-    s = np.stack([analytic(zero_phase(x, butterworth(order, low, min(high, fs / 2), fs))) for low, high in bands], axis=-2)
+    s = np.stack([analytic(zero_phase(x, filter_design(low, min(high, fs / 2), fs, kind, order, **shape))) for low, high in bands], axis=-2)
     b = int(round(buffer * fs))
     return s[..., b : s.shape[-1] - b : every]
 
@@ -293,3 +337,26 @@ def bandfilter(x: np.ndarray, fs: float, bands: Sequence[tuple[float, float]], o
 def one_to_two_sided(half: np.ndarray, n: int) -> np.ndarray:
     """A full spectrum of a real series of n samples from frequencies 0 to n // 2 on the last axis."""
     return np.concatenate([half, np.conj(half[..., 1 : (n + 1) // 2])[..., ::-1]], axis=-1)
+
+
+def inflection(wave: Column, fs: float) -> Column:
+    """Seconds from the peak behind a waveform's trough to the first change of sign of its curvature; null if none."""
+
+    @pandas_udf("double")
+    def run(waves: pd.Series) -> pd.Series:
+        out = []
+        for w in waves:
+            tail = np.asarray([] if w is None else w, float)
+            tail = tail[tail.argmin() :] if len(tail) else tail
+            tail = tail[tail.argmax() :] if len(tail) else tail
+            bend = np.sign(np.gradient(np.gradient(tail))) if len(tail) > 1 else np.zeros(1)
+            at = np.flatnonzero(np.diff(bend))
+            out.append(at[0] / fs if len(at) else None)
+        return pd.Series(out, dtype="float64")
+
+    return run(wave)
+
+
+def coefficients(m: np.ndarray) -> np.ndarray:
+    """Least-squares coefficients of the last variable on the others, from sums of products."""
+    return np.linalg.lstsq(m[:-1, :-1], m[:-1, -1], rcond=None)[0]

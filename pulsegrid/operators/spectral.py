@@ -110,12 +110,14 @@ def wavelet_spectrogram(df: DataFrame, keys: list[str], fs: float, samples: str
     return _long(df, keys, samples, make, "freq double, time double")
 
 
-def bandfilter_spectrogram(df: DataFrame, keys: list[str], fs: float, samples: str = "samples", bands: Sequence[tuple[float, float]] = ((2, 8), (10, 32), (40, 100)), order: int = 4, buffer: float = 0.0, every: int = 1, remove_dc: bool = True) -> DataFrame:
-    """(keys..., freq, time, re, im): zero-phase Butterworth bands, freq their middle, as analytic signals."""
+def bandfilter_spectrogram(df: DataFrame, keys: list[str], fs: float, samples: str = "samples", bands: Sequence[tuple[float, float]] = ((2, 8), (10, 32), (40, 100)), order: int = 4, buffer: float = 0.0, every: int = 1, remove_dc: bool = True, kind: str = "butter", **shape: float) -> DataFrame:
+    """(keys..., freq, time, re, im): zero-phase bands, freq their middle, as analytic signals.
+
+    kind: butter, cheby1, cheby2 or ellip; ripple and stop in decibels."""
     f = np.array([(low + high) / 2 for low, high in bands])
 
     def make(x: np.ndarray):
-        s = kernels.bandfilter(x, fs, bands, order, buffer, every, remove_dc)
+        s = kernels.bandfilter(x, fs, bands, order, buffer, every, remove_dc, kind, **shape)
         return {"freq": f[:, None], "time": ((int(round(buffer * fs)) + every * np.arange(s.shape[-1])) / fs)[None, :]}, s
 
     return _long(df, keys, samples, make, "freq double, time double")
@@ -200,6 +202,30 @@ def remove_evoked(long: DataFrame, value: str, by: list[str], time: str, label:
     return long.join(long.groupBy(*keys).agg(F.avg(value).alias("__evoked")), keys).withColumn(value, F.col(value) - F.col("__evoked")).drop("__evoked")
 
 
+def remove_predicted(long: DataFrame, value: str, by: list[str], design: list[str]) -> DataFrame:
+    """value less its least-squares prediction from the design's columns and a constant, fitted for each series.
+
+    One aggregate sums the products of the columns; the few coefficients of a series are joined back."""
+    x = [F.lit(1.0), *(F.col(c).cast("double") for c in design), F.col(value).cast("double")]
+    k = len(x)
+    sums = long.groupBy(*by).agg(*(F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i in range(k) for j in range(i, k)))
+
+    def fit(frames):
+        for frame in frames:
+            out = []
+            for row in frame.to_dict("records"):
+                m = np.array([[row[f"s{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+                out.append(kernels.coefficients(m).tolist())
+            yield frame[list(by)].assign(__b=out)
+
+    b = sums.mapInPandas(fit, ", ".join([*(f"`{c}` {long.schema[c].dataType.simpleString()}" for c in by), "__b array<double>"]))
+    joined = long.join(b, by) if by else long.crossJoin(F.broadcast(b))  # without keys, one row
+    predicted = F.get("__b", F.lit(0))
+    for i, c in enumerate(design, 1):
+        predicted = predicted + F.get("__b", F.lit(i)) * F.col(c)
+    return joined.withColumn(value, F.col(value) - predicted).drop("__b")
+
+
 def cut_windows(df: DataFrame, keys: list[str], events: DataFrame, fs: float, window: tuple[float, float], samples: str = "samples") -> DataFrame:
     """(keys..., onset, samples): windows of one length at each event that lie within the series; onsets are rounded
     down, lengths half to even."""

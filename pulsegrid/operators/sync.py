@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import div, plv_to_ppc, ztransform_coherence
+from . import spectral
 from .windows import interval_join
 
 
@@ -107,3 +108,20 @@ spike_field_phase_locking_value, spike_field_pairwise_phase_consistency = spike_
 def spike_field_coherence(event_spectra: DataFrame, field_spectra: DataFrame, on: list[str], by: list[str], **options) -> DataFrame:
     """Coherence of the spectra of an event grid and of a field."""
     return coherence(pair(event_spectra, field_spectra, on), by, **options)
+
+
+def synchrony_of_signals(df1: DataFrame, df2: DataFrame, trial: str, fs: float, method: str = "ppc", spec_method: str = "wavelet", samples: str = "samples", return_phase: bool = True, **options) -> DataFrame:
+    """(freq, time, value..., n) over the trials of two channels of samples; tapers, if any, count as trials do."""
+    extra = ["taper"] if spec_method == "multitaper" else []
+    f = {"wavelet": spectral.wavelet_spectrogram, "multitaper": spectral.multitaper_spectrogram, "bandfilter": spectral.bandfilter_spectrogram}[spec_method]
+    s1, s2 = (f(d, [trial], fs, samples, **options) for d in (df1, df2))
+    return synchrony(s1, s2, [trial, "freq", "time", *extra], ["freq", "time"], method, return_phase=return_phase)
+
+
+def spike_field_coupling(events: DataFrame, signals: DataFrame, trial: str, fs: float, windows: DataFrame, method: str = "ppc", spec_method: str = "wavelet", samples: str = "samples", **options) -> DataFrame:
+    """(freq, win, value..., n): phase of the field's spectrogram at events, by "ppc" or "plv"."""
+    if method not in ("ppc", "plv"):
+        raise ValueError("method must be ppc or plv; for coherence see spike_field_coherence")
+    f = {"wavelet": spectral.wavelet_spectrogram, "bandfilter": spectral.bandfilter_spectrogram}[spec_method]
+    s = f(signals, [trial], fs, samples, **options)
+    return (spike_field_ppc if method == "ppc" else spike_field_plv)(events, s, [trial], windows)

@@ -163,7 +163,7 @@ ORACLES = {
     "itpc_z": f"{_ITPC} SELECT label, k, round(n * (c * c + s * s), 6) AS itpc FROM c",
     "waveform_width": f"WITH {_W} SELECT vec_id, round((p - 1) / {FS}::DOUBLE, 6) AS value FROM z",
     "waveform_amp_ratio": f"WITH {_W} SELECT vec_id, round(abs(list_min(e)) / peak, 6) AS value FROM z",
-    "waveform_trough_width": f"WITH {_W} SELECT vec_id, round((list_min([i FOR x, i IN e IF x > list_min(e) / 2 AND i > t]) - list_max([i FOR x, i IN e IF x > list_min(e) / 2 AND i < t])) / {FS}::DOUBLE, 6) AS value FROM z",
+    "waveform_trough_width": f"WITH {_W} SELECT vec_id, round((list_min([i FOR x, i IN e IF x > list_min(e) / 2 AND i > t]) - list_max([i FOR x, i IN e IF x > list_min(e) / 2 AND i < t]) - 2) / {FS}::DOUBLE, 6) AS value FROM z",
     "waveform_repolarization": f"WITH {_W} SELECT vec_id, round((list_min([i FOR x, i IN tail[p:] IF x <= 0.75::DOUBLE * peak]) - 1) / {FS}::DOUBLE, 6) AS value FROM z",
     "mean_waveform": f"WITH {_L} SELECT label, i::INTEGER AS i, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS sd FROM l GROUP BY ALL",
     "waveform_histogram": f"WITH {_L} SELECT i::INTEGER AS i, floor(x / 0.05::DOUBLE)::INTEGER AS bin, count(*) AS n FROM l GROUP BY ALL",

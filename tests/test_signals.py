@@ -39,15 +39,21 @@ def test_kernels():
     assert kernels.f_sf(4.9646, 1, 10) == pytest.approx(0.05, abs=1e-4)
     v = kernels.tapers(128, 4.0, 7)
     assert np.allclose(v @ v.T, np.eye(7), atol=1e-8)
-    for low, high in ((10.0, 32.0), (2.0, 8.0), (0.0, 20.0), (100.0, 600.0)):
-        f = np.array([0.5, 5.0, 15.0, 18.0, 60.0, 150.0, 400.0])
-        e = np.exp(-2j * np.pi * f / 1000.0)
-        h = np.ones(len(f), complex)
-        for b, a in kernels.butterworth(4, low, high, 1000.0):
-            h *= np.polyval(b[::-1], e) / np.polyval(a[::-1], e)
-        inside = (f > low * 1.3) & (f < high * 0.75) | (low <= 0) & (f < 15)
-        outside = (f < low * 0.5) | (f > high * 2)
-        assert (np.abs(h[inside]) > 0.9).all() and (np.abs(h[outside]) < 0.1).all()
+    f = np.array([0.5, 5.0, 15.0, 18.0, 60.0, 150.0, 400.0])
+    for kind, least in (("butter", 0.9), ("cheby1", 0.56), ("cheby2", 0.5), ("ellip", 0.56)):
+        for order in (4, 5):
+            for low, high in ((10.0, 32.0), (2.0, 8.0), (0.0, 20.0), (100.0, 600.0)):
+                d = kernels.filter_design(low, high, 1000.0, kind, order)
+                h = np.abs(kernels.frequency_response(d, f, 1000.0))
+                wide = 3.0 if kind == "cheby2" else 1.45  # its edges are those of the stopped bands
+                inside = (f > low * wide) & (f < high / wide)
+                outside = (f < low * 0.5) | (f > high * 2)
+                assert (h[inside] > least).all() and (h[inside] < 1.001).all() and (h[outside] < 0.1).all() and (np.abs(d[1]) < 1).all(), (kind, order, low, high, h)
+    edge = kernels.frequency_response(kernels.filter_design(0.0, 100.0, 1000.0, "butter", 4), np.array([100.0]), 1000.0)
+    assert abs(edge[0]) == pytest.approx(0.5**0.5)
+    for kind in ("cheby1", "ellip"):
+        edge = kernels.frequency_response(kernels.filter_design(0.0, 100.0, 1000.0, kind, 4, 3.0, 50.0), np.array([100.0]), 1000.0)
+        assert abs(edge[0]) == pytest.approx(10 ** (-3.0 / 20))
     x = np.random.default_rng(0).standard_normal(64)
     assert np.allclose(kernels.analytic(x).real, x)
     assert np.allclose(kernels.one_to_two_sided(np.fft.fft(x)[:33], 64), np.fft.fft(x))
@@ -89,7 +95,8 @@ def test_waveforms(spark):
     w = [0.0, -0.1, -0.6, -1.0, -0.7, -0.2, 0.3, 0.5, 0.4, 0.3, 0.1]
     r = spark.createDataFrame([(w,)], "w array<double>").select(*(exprs.waveform_stats("w", 10.0, s).alias(s) for s in exprs.WAVEFORM_STATS)).first()
     assert r.width == pytest.approx(0.4) and r.amp_ratio == pytest.approx(2.0)
-    assert r.trough_width == pytest.approx(0.4) and r.repolarization == pytest.approx(0.2)
+    assert r.trough_width == pytest.approx(0.2) and r.repolarization == pytest.approx(0.2)
+    assert spark.createDataFrame([(w + [0.05, 0.04, 0.04],)], "w array<double>").select(exprs.repolarization_time("w", 10.0, "inflection").alias("x")).first().x > 0
     with pytest.raises(ValueError):
         exprs.waveform_stats("w", 10.0, "nonsense")
 
@@ -101,3 +108,29 @@ def test_mat_files(spark, tmp_path):
     assert list(r["x"].dims) == [2, 3] and list(r["x"]["values"]) == [0, 3, 1, 4, 2, 5] and r["s"].text == "abc"
     assert spark.read.format("mat5").option("variables", "s").load(str(tmp_path)).count() == 1
     assert mat5.version(str(tmp_path / "a.mat")) == "7"
+
+
+def test_predicted_part_is_removed(spark):
+    rows = [(k, float(k), float(k % 3), 2.0 + 3.0 * k - 1.5 * (k % 3)) for k in range(30)]
+    df = spark.createDataFrame(rows, "obs int, a double, b double, y double")
+    assert max(abs(r.y) for r in spectral.remove_predicted(df, "y", [], ["a", "b"]).collect()) < 1e-9
+
+
+def test_composed_synchrony(spark, wave):
+    r = sync.synchrony_of_signals(wave, wave, "trial", 256.0, "plv", freqs=[16.0, 32.0])
+    assert all(x.plv == pytest.approx(1) and x.n == 4 for x in r.collect())
+    events = spark.createDataFrame([(k, 0.5 + 0.001 * j) for k in range(4) for j in (0, 125, 250)], "trial int, t double")
+    w = spark.createDataFrame([(0, 0.0, 2.0)], "win int, start double, end double")
+    assert sync.spike_field_coupling(events, wave, "trial", 256.0, w, "plv", freqs=[32.0]).count() == 1
+
+
+def test_plot_data(spark, wave):
+    from pulsegrid.operators import plotdata
+
+    long = wave.select("trial", F.posexplode("samples").alias("i", "x"))
+    assert plotdata.lines(long, "i", "x", []).count() == 512
+    assert plotdata.stacked(long, "trial", "i", "x").agg(F.max("y")).first()[0] <= 3 + 1.5 + 1e-9
+    assert plotdata.raster(long.withColumnRenamed("i", "t"), ["trial"]).select("train").distinct().count() == 4
+    assert plotdata.mean_waveforms(wave, []).count() == 512
+    assert plotdata.waveform_histogram(wave, -2.0, 2.0).agg(F.sum("n")).first()[0] == 4 * 512
+    assert plotdata.heatmap(long, "i", "trial", "x").count() == 4 * 512
