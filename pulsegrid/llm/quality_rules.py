@@ -4,7 +4,7 @@ Per text, native columns count words, symbols, repeated lines and words in repea
 these whole-number measures are formed. A mergeable quantile sketch holds, per language, source and measure, how many
 texts fall in each bucket; buckets are exact below 64 and within 1/32 above (the upper six bits are kept), so a
 sketch has some hundred buckets whatever its number of texts, and merging is addition: it doesn't depend on order, and
-a language's sketch is the sum of its sources'. A text fails if a measure lies outside the fence of its sketch:
+a language's sketch is the sum of its sources'. Texts that fail the base rules are in no sketch. A text fails if a measure lies outside the fence of its sketch:
 quartile plus or minus the larger of three times the distance of the quartiles and a fixed slack. A source with few
 texts of the language uses the language's sketch, a language with few texts that of all.
 """
@@ -26,11 +26,10 @@ ENOUGH = 100
 def counts(df: DataFrame, text: str = "text") -> DataFrame:
     """df with the COUNTS of its whole texts as longs; null texts count as empty. Columns of these names are replaced."""
     df = df.drop(*(c for c in COUNTS if c != text))
-    words, windows, again, at = (free_name(df, c) for c in ("q_words", "q_windows", "q_again", "q_at"))
+    words, lines, windows, again, at, all_ = (free_name(df, c) for c in ("q_words", "q_lines", "q_windows", "q_again", "q_at", "q_counts"))
     s = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    lines = F.filter(F.split(s, "\n"), lambda x: x.rlike(WORD_RE))
     kept = [F.col(f"`{c}`") for c in df.columns]
-    with_words = df.select(*kept, F.regexp_extract_all(s, F.lit(WORD_RE), F.lit(0)).alias(words))
+    with_words = df.select(*kept, F.regexp_extract_all(s, F.lit(WORD_RE), F.lit(0)).alias(words), F.filter(F.split(s, "\n"), lambda x: x.rlike(WORD_RE)).alias(lines))
     n = F.size(words)
     new = {
         "n_words": n, "word_chars": F.length(F.array_join(words, "")), "n_symbols": F.length(s) - F.length(F.regexp_replace(s, "[#*$%&|<>]", "")),
@@ -42,12 +41,15 @@ def counts(df: DataFrame, text: str = "text") -> DataFrame:
     names = [k for k in new if k != text]
     some = F.size(F.array_distinct(windows)) < F.size(windows)
     # Only texts that repeat a window sort theirs; equal hashes are then neighbours.
-    pairs = F.when(some, F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    pairs = F.when(some, F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
     paired = counted.select(*kept, *names, pairs.alias(again))
     twice = F.filter(again, lambda x, k: (F.get(F.col(again), k - 1)["h"] == x["h"]) | (F.get(F.col(again), k + 1)["h"] == x["h"]))
-    placed = paired.select(*kept, *names, F.array_sort(F.transform(twice, lambda x: x["i"])).alias(at))
+    placed = paired.select(*kept, *names, F.sort_array(F.transform(twice, lambda x: x["i"])).alias(at))
     covered = F.aggregate(F.transform(at, lambda p, k: F.least(F.lit(8), F.coalesce(F.get(F.col(at), k + 1) - p, F.lit(8)))), F.lit(0), lambda a, x: a + x)
-    return placed.select(*kept, *names, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    # The optimizer would move a filter on the counts below these projections, and so repeat their expressions in
+    # one another many times over; it moves none below the output of a generator.
+    counts_ = F.struct(*names, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    return placed.select(*kept, F.explode(F.array(counts_)).alias(all_)).select(*kept, *(F.col(f"{all_}.{c}").alias(c) for c in (*names, "n_repeat_words")))
 
 
 def base_failed() -> Column:
@@ -95,8 +97,9 @@ def fences(sketches: DataFrame, by: list[str]) -> DataFrame:
 
 
 def thresholds(df: DataFrame) -> DataFrame:
-    """(q_lang, q_source, fences...): a row for each language and source of df (q_lang, q_source, COUNTS)."""
-    by_source = checkpointed(sketch(df, ["q_lang", "q_source"]))
+    """(q_lang, q_source, fences...): a row for each language and source of df (q_lang, q_source, COUNTS) that has
+    texts that pass the base rules."""
+    by_source = checkpointed(sketch(df.where(~base_failed()), ["q_lang", "q_source"]))
     by_lang = merge(by_source, ["q_lang"])
     own, lang, all_ = fences(by_source, ["q_lang", "q_source"]), fences(by_lang, ["q_lang"]), fences(merge(by_lang, []), [])
     names = [c for c in all_.columns if c != "total"]
@@ -124,9 +127,10 @@ def _keyed(df: DataFrame, lang: str, source: str) -> DataFrame:
 
 def judge(df: DataFrame, fence: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """df, which has the COUNTS, with base_failed and kept. Null languages and sources count as empty ones."""
-    joined = lookup_join(_keyed(df, lang, source), fence, ["q_lang", "q_source"])
+    own = {c: free_name(df, "in_" + c) for c in df.columns if c in fence.columns}
+    joined = lookup_join(_keyed(df.withColumnsRenamed(own), own.get(lang, lang), own.get(source, source)), fence, ["q_lang", "q_source"])
     judged = joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.coalesce(within(), F.lit(True)))
-    return judged.drop(*fence.columns)
+    return judged.drop(*fence.columns).withColumnsRenamed({v: k for k, v in own.items()})
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -140,7 +144,9 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents within all fences; texts are counted once for the fences and once to be judged, which costs
     less than a shuffle of the texts."""
     fence = thresholds(_keyed(counts(docs.select("lang", "source", "text")), "lang", "source").drop("lang", "source", "text"))
-    return judge(counts(docs), fence).where("kept").select(*docs.columns)
+    own = {c: free_name(docs, "in_" + c) for c in docs.columns if c in (*COUNTS, "base_failed", "kept")}
+    kept = judge(counts(docs.withColumnsRenamed(own)), fence).where("kept")
+    return kept.select(*(F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns))
 
 
 _FENCES = ", ".join(
@@ -165,9 +171,9 @@ r AS (SELECT doc_id, sum(least(8, coalesce(next - pos, 8)))::BIGINT AS n_repeat_
 c AS (SELECT d.doc_id, lang, source, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
   (SELECT count(*) - count(DISTINCT l) FROM (SELECT unnest(string_split(text, chr(10))) AS l) WHERE regexp_matches(l, '[^\x20\x09-\x0D]'))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN r USING (doc_id)),
 v AS (SELECT *, 1000 * n_symbols // greatest(word_chars, 1) AS symbols, 1000 * n_repeat_words // greatest(n_words, 1) AS repeats, 1000 * n_dup_lines // greatest(n_words, 1) AS lines, 100 * word_chars // greatest(n_words, 1) AS length FROM c),
-m AS (SELECT lang, source, unnest(['symbols', 'repeats', 'lines', 'length']) AS measure, unnest([symbols, repeats, lines, length]) AS value FROM v),
+m AS (SELECT lang, source, unnest(['symbols', 'repeats', 'lines', 'length']) AS measure, unnest([symbols, repeats, lines, length]) AS value FROM v WHERE NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)),
 b AS (SELECT lang, source, measure, CASE WHEN value < 64 THEN value ELSE (value >> (length(bin(value)) - 6)) << (length(bin(value)) - 6) END AS bucket, count(*) AS n FROM m GROUP BY ALL),
 {_fence_sql("own", "b", "lang, source")}, {_fence_sql("by_lang", "b", "lang")}, {_fence_sql("of_all", "b", "")},
 f AS (SELECT own.lang, own.source, {', '.join(f'CASE WHEN own.total >= {ENOUGH} THEN own.{c} WHEN by_lang.total >= {ENOUGH} THEN by_lang.{c} ELSE of_all.{c} END AS {c}' for c in _NAMES)} FROM own JOIN by_lang ON own.lang = by_lang.lang, of_all)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_OK} AS kept
-FROM (SELECT v.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM v) AS v JOIN f USING (lang, source)"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({_OK}, true) AS kept
+FROM (SELECT v.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM v) AS v LEFT JOIN f USING (lang, source)"""
