@@ -76,7 +76,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     At most about `most` labelled ids take part, those with the least hashes; the sample is bounded whatever the
     input, so its ids can be broadcast to the documents and a shard's documents fit in a task. Each shard is
     trained by itself over its documents in order of hash, and the shards' weights are averaged. Labels that are
-    null or neither 0 nor 1 don't take part. Without labelled documents all weights are 0, and all scores 0.5.
+    null or neither 0 nor 1 don't take part; of rows of one doc_id the least text does. Without labelled documents all weights are 0, and all scores 0.5.
     """
     usable = labels.select(F.col(doc_id).alias("key"), F.col(label).cast("int").alias("label")).where("key IS NOT NULL AND label IN (0, 1)")
     usable = usable.groupBy("key").agg(F.max("label").alias("label"))
@@ -84,7 +84,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     rank = F.pmod(F.xxhash64("key", F.lit(17)), F.lit(1 << 30))
     sample = usable.where(rank < int((1 << 30) * min(1.0, most / max(1, n)))).withColumn("rank", rank)
     own = docs.select(F.col(doc_id).alias("key"), F.col(text).cast("string").alias("text"))
-    rows = own.join(F.broadcast(sample), "key").select("key", "label", "rank", "text", F.pmod("rank", F.lit(shards)).cast("int").alias("shard"))
+    rows = own.join(F.broadcast(sample), "key").groupBy("key", "label", "rank").agg(F.min("text").alias("text"))
+    rows = rows.select("key", "label", "rank", "text", F.pmod("rank", F.lit(shards)).cast("int").alias("shard"))
 
     def sparse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
