@@ -34,15 +34,17 @@ def _pair(x: Column) -> tuple[Column, Column]:
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, copy, at, words binary, n): a row for each line that has a word; words holds eight bytes for each word.
+    """(id, copy, at, words): a row for each line that has a word.
 
     copy is a hash of the text: rows of one doc_id with different texts are told apart by it.
     """
     s = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     each = docs.select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(s).alias("copy"), F.posexplode(F.split(s, "\n")).alias("at", "line"))
-    found = each.select("id", "copy", "at", F.regexp_extract_all("line", F.lit(WORD_RE), F.lit(0)).alias("words")).where(F.size("words") > 0)
-    as_hex = F.transform("words", lambda w: F.lpad(F.hex(F.xxhash64(w)), 16, "0"))
-    return found.select("id", "copy", "at", F.unhex(F.array_join(as_hex, "")).alias("words"), F.size("words").alias("n"))
+    return each.select("id", "copy", "at", _words("line").alias("words")).where(F.size("words") > 0)
+
+
+def _words(line: str) -> Column:
+    return F.regexp_extract_all(line, F.lit(WORD_RE), F.lit(0))
 
 
 def _order() -> Column:
@@ -50,55 +52,65 @@ def _order() -> Column:
     return F.struct(F.col("id").isNull().alias("no_id"), "id", "copy", "at")
 
 
-def _take(words: Column, start: Column, n: Column) -> Column:
-    return F.substring(words, (8 * start + 1).cast("int"), (8 * n).cast("int"))
-
-
 def _halves() -> Column:
     """Hashes of both halves of a line of n words, cut as a line of n and as one of n - 1 is."""
-    n, words, out = F.col("n"), F.col("words"), []
+    words, n, out = F.col("words"), F.size("words"), []
     for m in (n, n - 1):
-        h = F.floor(m / 2)
-        out += [F.xxhash64(m, F.lit(0), _take(words, F.lit(0), h)), F.xxhash64(m, F.lit(1), _take(words, n - (m - h), m - h))]
+        h = F.floor(m / 2).cast("int")
+        out += [F.xxhash64(m, F.lit(0), F.slice(words, F.lit(1), h)), F.xxhash64(m, F.lit(1), F.slice(words, n - (m - h) + 1, m - h))]
     return F.when(n >= LEAST_WORDS - 1, F.array(*out)).otherwise(F.array().cast("array<bigint>"))
 
 
+def _variants(docs: DataFrame, doc_id: str, text: str, partners: DataFrame) -> DataFrame:
+    """(first, i, v1, v2) for the lines whose places are partners.first: the whole line as i = 0, and without word i.
+
+    Only documents that hold such a line are taken apart. A line's words become eight bytes of hash each, and a
+    variant is hashed from the bytes on both sides of the missing word."""
+    places = partners.groupBy(F.col("first.id").alias("id"), F.col("first.copy").alias("copy")).agg(F.collect_list("first.at").alias("places"))
+    s = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    own = docs.select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(s).alias("copy"), s.alias("text")).withColumn("key", F.struct("id", "copy")).drop("id", "copy")
+    held = lookup_join(own, places.select(F.struct("id", "copy").alias("key"), "places"), ["key"], "inner")
+    numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("at"), x.alias("line")))
+    lines = held.select("key", F.explode(F.filter(numbered, lambda x: F.array_contains("places", x["at"]))).alias("x"))
+    lines = lines.select("key.id", "key.copy", "x.at", _words("x.line").alias("words")).dropDuplicates(["id", "copy", "at"])
+    as_hex = F.transform("words", lambda w: F.lpad(F.hex(F.xxhash64(w)), 16, "0"))
+    lines = lines.select(_order().alias("first"), F.unhex(F.array_join(as_hex, "")).alias("words"), F.size("words").alias("n"))
+    take = lambda start, n: F.substring(F.col("words"), (8 * start + 1).cast("int"), (8 * n).cast("int"))
+    without = lambda i: F.when(i == 0, F.col("words")).otherwise(F.concat(take(F.lit(0), i - 1), take(i, F.col("n") - i)))
+    each = F.transform(F.sequence(F.lit(0), F.col("n")), lambda i: F.struct(i.alias("i"), *(h.alias(c) for h, c in zip(_pair(without(i)), ("v1", "v2")))))
+    out = lines.select("first", "n", F.explode(each).alias("v")).where((F.col("n") >= LEAST_WORDS) | (F.col("v.i") == 0) & (F.col("n") >= LEAST_WORDS - 1))
+    return out.select("first", F.col("v.i").alias("i"), F.col("v.v1").alias("v1"), F.col("v.v2").alias("v2"))
+
+
 def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, copy, at): the lines to drop, where at counts the text's lines from 0 and copy is the text's xxhash64."""
-    lines = _lines(docs, doc_id, text)
     k1, k2 = _pair(F.col("words"))
-    seen = checkpointed(lines.select("id", "copy", "at", "n", k1.alias("k1"), k2.alias("k2"), _halves().alias("halves")))
-    firsts = seen.groupBy("k1", "k2").agg(F.min(_order()).alias("first"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("halves").alias("halves"))
+    seen = checkpointed(_lines(docs, doc_id, text).select("id", "copy", "at", k1.alias("k1"), k2.alias("k2"), _halves().alias("halves")))
+    repeated = seen.groupBy("k1", "k2").agg(F.count("*").alias("times")).where("times > 1").select("k1", "k2")
 
     # Lines that share a half with another line.
-    halves = firsts.select("k1", "k2", F.explode(F.array_distinct("halves")).alias("half"))
-    key = F.struct("k1", "k2")
-    shared = halves.groupBy("half").agg(F.min(key).alias("low"), F.max(key).alias("high")).where("low <> high").select("half")
-    near = lookup_join(halves, shared, ["half"], "left_semi").select("k1", "k2").distinct()
-
-    # Their variants, each with the line's place.
-    partners = checkpointed(firsts.join(near, ["k1", "k2"], "left_semi").select("k1", "k2", "first"))
-    places = partners.select(F.col("first.id").alias("id"), F.col("first.copy").alias("copy"), F.col("first.at").alias("at"), "first")
-    here = lookup_join(lines.select("id", "copy", "at", "words", "n").withColumn("key", F.struct("id", "copy", "at")), places.select(F.struct("id", "copy", "at").alias("key"), "first"), ["key"], "inner").dropDuplicates(["key"])
-    without = lambda i: F.when(i == 0, F.col("words")).otherwise(F.concat(_take(F.col("words"), F.lit(0), i - 1), _take(F.col("words"), i, F.col("n") - i)))
-    each = F.transform(F.sequence(F.lit(0), F.col("n")), lambda i: F.struct(i.alias("i"), *(h.alias(c) for h, c in zip(_pair(without(i)), ("v1", "v2")))))
-    variants = here.select("first", "n", F.explode(each).alias("v")).where((F.col("v.i") > 0) & (F.col("n") >= LEAST_WORDS) | (F.col("v.i") == 0) & (F.col("n") >= LEAST_WORDS - 1))
-    variants = checkpointed(variants.select("first", F.col("v.i").alias("i"), F.col("v.v1").alias("v1"), F.col("v.v2").alias("v2")))
+    halves = seen.select("k1", "k2", F.explode(F.array_distinct("halves")).alias("half"))
+    shared = halves.groupBy("half").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high").select("half")
+    near = checkpointed(lookup_join(halves, shared, ["half"], "left_semi").select("k1", "k2").distinct())
+
+    # All lines that may be dropped, and the first of each.
+    some = checkpointed(lookup_join(seen.select("id", "copy", "at", "k1", "k2"), repeated.unionAll(near).distinct(), ["k1", "k2"], "left_semi"))
+    firsts = checkpointed(some.groupBy("k1", "k2").agg(F.min(_order()).alias("first")))
+    partners = firsts.join(near, ["k1", "k2"], "left_semi")
+    variants = checkpointed(_variants(docs, doc_id, text, partners))
 
     # The earliest of each group of equal variants, and the lines behind it.
     groups = checkpointed(variants.groupBy("v1", "v2", "i").agg(F.min("first").alias("least"), F.count("*").alias("lines")).where((F.col("lines") > 1) | (F.col("i") == 0)))
     replaced = lookup_join(variants.where("i > 0"), groups.where("i > 0").select("v1", "v2", "i", "least"), ["v1", "v2", "i"], "inner")
     whole = groups.where("i = 0").select("v1", "v2", "least")
-    longer = variants.where("i > 0").join(whole, ["v1", "v2"]).select("first", "least", "v1", "v2")
-    longer = checkpointed(longer)
+    longer = checkpointed(variants.where("i > 0").join(whole, ["v1", "v2"]).select("first", "least", "v1", "v2"))
     shorter = whole.join(longer.groupBy("v1", "v2").agg(F.min("first").alias("other")), ["v1", "v2"]).select(F.col("least").alias("first"), F.col("other").alias("least"))
     late = replaced.select("first", "least").unionAll(longer.select("first", "least")).unionAll(shorter).where("first > least").select("first").distinct()
     late = partners.join(late, "first", "left_semi").select("k1", "k2", F.lit(True).alias("late"))
 
     # All places of late lines, and those of repeated lines behind the first.
-    marked = firsts.select("k1", "k2", "first", "times").join(late, ["k1", "k2"], "left").where((F.col("times") > 1) | F.col("late"))
-    places = seen.select("id", "copy", "at", "k1", "k2").join(marked, ["k1", "k2"])
-    return places.where(F.coalesce(F.col("late"), F.lit(False)) | (_order() > F.col("first"))).select("id", "copy", "at")
+    marked = some.join(firsts.join(late, ["k1", "k2"], "left"), ["k1", "k2"])
+    return marked.where(F.coalesce(F.col("late"), F.lit(False)) | (_order() > F.col("first"))).select("id", "copy", "at")
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counts: bool = False) -> DataFrame:
@@ -113,7 +125,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cou
     drops = drops.select(F.col("id").alias("drop_id"), F.col("copy").alias("drop_copy"), F.col("drop_at").alias(places))
     names = docs.columns if not counts else [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     keyed = docs.select(*(F.col(f"`{c}`") for c in names), F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias(key))
-    joined = keyed.join(drops, F.col(f"`{doc_id}`").eqNullSafe(F.col("drop_id")) & (F.col(key) == F.col("drop_copy")), "left")
+    joined = keyed.join(drops.hint("shuffle_hash"), F.col(f"`{doc_id}`").eqNullSafe(F.col("drop_id")) & (F.col(key) == F.col("drop_copy")), "left")
     lines = F.split(F.col(f"`{text}`"), "\n")
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(places), i)), "\n")
     new = F.when(F.col(places).isNull(), F.col(f"`{text}`")).otherwise(left)
