@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import stats
-from .windows import interval_join, sliding_windows
+from .windows import interval_join, sliding_windows, value_before
 
 
 def select_time_range(df: DataFrame, low: float, high: float, t: str = "t", closed: bool = False) -> DataFrame:
@@ -80,8 +80,14 @@ def train_arrays(df: DataFrame, by: list[str], t: str = "t") -> DataFrame:
     return df.groupBy(*by).agg(F.sort_array(F.collect_list(t)).alias("times"))
 
 
-def isi(df: DataFrame, by: list[str], t: str = "t", out: str = "isi") -> DataFrame:
-    """Intervals between successive events of a train; its first event has none."""
+def isi(df: DataFrame, by: list[str], t: str = "t", out: str = "isi", bucket: float | None = None) -> DataFrame:
+    """Intervals between successive events of a train; its first event has none.
+
+    A train is sorted in one task. With bucket, in seconds, tasks sort a train's buckets instead: for trains that hold
+    much of all events."""
+    if bucket:
+        before = value_before(df, t, by, t, bucket, "__before")
+        return before.where("__before IS NOT NULL").withColumn(out, F.col(t) - F.col("__before")).drop("__before")
     gap = F.col(t) - F.lag(t).over(Window.partitionBy(*by).orderBy(t))
     return df.withColumn(out, gap).where(F.col(out).isNotNull())
 

@@ -283,6 +283,40 @@ def two_sample_confints(df: DataFrame, value: str, label: str, groups: tuple, ob
     return _interval(s, _two_sample(d, value, label, groups, by, stat).withColumnRenamed("s", "stat"), by, confint, n_resamples)
 
 
+def poisson_weight(seed, *parts, most: int = 8) -> Column:
+    """How often a draw takes an observation, if each is taken on its own: Poisson with mean 1, at most `most`."""
+    u, p, total, out = uniform(seed, *parts), 1.0, 0.0, F.lit(0)
+    term = 2.718281828459045**-1
+    for k in range(most):
+        total += term * p
+        p /= k + 1
+        out = out + (u >= total).cast("int")
+    return out
+
+
+def mean_confints_large(df: DataFrame, value: str, obs: str, by: list[str], confint: float = 0.95, n_resamples: int = 1000, seed=0) -> DataFrame:
+    """(by..., stat, low, high) of the mean by the Poisson bootstrap, for series of any size.
+
+    Each observation is weighed by itself, so nothing is numbered, sorted or joined: rows times draws go into one
+    aggregate with partial sums. The number of observations in a draw varies about n, which for large n is no matter."""
+    d = df.where(F.col(value).isNotNull())
+    w = poisson_weight(seed, "draw", obs)
+    s = with_draws(d.select(*by, obs, value), n_resamples).withColumn("__w", w).groupBy(*by, "draw").agg(div(F.sum(F.col("__w") * F.col(value)), F.sum("__w")).alias("s"))
+    return _interval(s, d.groupBy(*by).agg(F.avg(value).alias("stat")), by, confint, n_resamples)
+
+
+def two_sample_test_large(df: DataFrame, value: str, label: str, groups: tuple, obs: str, by: list[str], stat="meandiff", tail="both", n_resamples: int = 1000, seed=0) -> DataFrame:
+    """(by..., stat, p) of a permutation test for series of any size: each draw labels every observation by itself,
+    with the first group's share as the chance, so group sizes vary about the given ones and nothing is sorted."""
+    d = df.where(F.col(value).isNotNull() & F.col(label).isin(*groups)).select(*by, obs, value, label)
+    share = d.groupBy(*by).agg(F.avg((F.col(label) == F.lit(groups[0])).cast("double")).alias("__share"))
+    dealt = d.join(share, by) if by else d.crossJoin(F.broadcast(share))  # one row
+    first = uniform(seed, "draw", obs) < F.col("__share")
+    dealt = with_draws(dealt, n_resamples - 1).withColumn(label, F.when(first, F.lit(groups[0])).otherwise(F.lit(groups[1])))
+    s = _two_sample(dealt, value, label, groups, [*by, "draw"], stat)
+    return p_values(s, _two_sample(d, value, label, groups, by, stat).withColumnRenamed("s", "stat"), by, tail, n_resamples - 1)
+
+
 def jackknife_mean(df: DataFrame, value: str, by: list[str], out: str = "left_out") -> DataFrame:
     """df with each row's mean of the others, from the totals; pseudovalue() turns it into a pseudo-value."""
     t = df.groupBy(*by).agg(F.sum(value).alias("__s"), F.count(value).alias("__n"))

@@ -76,3 +76,15 @@ def runs(df: DataFrame, flag: Column, by: list[str], order: str) -> DataFrame:
     on = df.where(flag).select(*by, order).withColumn("__run", F.col(order) - F.row_number().over(w))
     r = on.groupBy(*by, "__run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).drop("__run")
     return r.join(last, by).withColumn("touches_end", F.col("last") == F.col("__last")).drop("__last")
+
+
+def value_before(df: DataFrame, value: str, by: list[str], order: str, bucket: float, out: str) -> DataFrame:
+    """df with the value of the row before in its series, as lag() gives it, where one series may hold much of all rows.
+
+    Rows are sorted within buckets of the order column only; the first row of a bucket gets the last value of the
+    bucket before, from a table with one row for each bucket in use."""
+    b = df.withColumn("__b", F.floor(F.col(order) / bucket))
+    last = b.groupBy(*by, "__b").agg(F.max_by(value, order).alias("__last"))
+    last = last.withColumn("__carried", F.lag("__last").over(Window.partitionBy(*by).orderBy("__b"))).drop("__last")
+    inside = b.withColumn("__own", F.lag(value).over(Window.partitionBy(*by, "__b").orderBy(order))).withColumn("__first", F.row_number().over(Window.partitionBy(*by, "__b").orderBy(order)) == 1)
+    return inside.join(last, [*by, "__b"]).withColumn(out, F.when(F.col("__first"), F.col("__carried")).otherwise(F.col("__own"))).drop("__b", "__own", "__first", "__carried")

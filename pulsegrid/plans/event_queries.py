@@ -61,6 +61,10 @@ def isi(spark, d):
     return points.isi(_events(spark, d), ["user_id"]).select("user_id", _r("t", 3).alias("at"), _r("isi", 3).alias("isi"))
 
 
+def isi_bucketed(spark, d):
+    return points.isi(_events(spark, d), ["event_type"], bucket=DAY).select("event_id", _r("isi", 3).alias("isi"))
+
+
 def _isi_stat(stat, pool=()):
     def query(spark, d):
         i = points.isi(_events(spark, d), ["user_id"]).select("user_id", "t", "isi")
@@ -136,7 +140,7 @@ def density(spark, d):
 
 
 QUERIES = {
-    "rate_fano": rate_fano, "rate_cv": rate_cv, "binned_rate": binned_rate, "sliding_rate": sliding_rate, "custom_bins": custom_bins, "isi": isi,
+    "rate_fano": rate_fano, "rate_cv": rate_cv, "binned_rate": binned_rate, "sliding_rate": sliding_rate, "custom_bins": custom_bins, "isi": isi, "isi_bucketed": isi_bucketed,
     "isi_fano": _isi_stat("fano"), "isi_fano_pooled": _isi_stat("fano", ["user_id"]), "isi_cv": _isi_stat("cv"), "isi_cv2": _isi_stat("cv2"), "isi_lv": _isi_stat("lv"), "isi_burst_fract": _isi_stat("burst_fract"),
     "select_time_range": select_range, "realign": realign, "cut_trials": cut_trials, "pool_units": pool_units, "bool_grid": bool_grid, "zscore": zscore, "zscore_baseline": zscore_baseline,
     "interpolate": interpolate, "bursts": bursts, "time_epochs": epochs, "gaussians": bells, "density": density,
@@ -150,6 +154,7 @@ ORACLES = {
     "sliding_rate": f"WITH {E}, w AS (SELECT unnest(range(29))::INTEGER AS win) SELECT event_type, win, (win * {DAY}::DOUBLE) AS from_s, count(t) AS n FROM (SELECT DISTINCT event_type FROM e) CROSS JOIN w LEFT JOIN (SELECT event_type, t FROM e) USING (event_type) WHERE t >= win * {DAY}::DOUBLE AND t < (win + 2) * {DAY}::DOUBLE GROUP BY ALL",
     "custom_bins": f"WITH {E}, w AS (SELECT * FROM (VALUES (0, 0.0, 1.5), (1, 1.0, 9.25), (2, 20.0, 21.0)) AS v(win, a, b)), c AS (SELECT user_id, win, count(*) AS n FROM e JOIN w ON t >= a * {DAY}::DOUBLE AND t < b * {DAY}::DOUBLE GROUP BY ALL) SELECT user_id, win, coalesce(n, 0) AS n FROM (SELECT DISTINCT user_id FROM e) CROSS JOIN w LEFT JOIN c USING (user_id, win)",
     "isi": f"WITH {GAPS} SELECT user_id, round(t, 3) AS at, round(isi, 3) AS isi FROM i",
+    "isi_bucketed": f"WITH {E}, g AS (SELECT event_id, t - lag(t) OVER (PARTITION BY event_type ORDER BY t) AS isi FROM e) SELECT event_id, round(isi, 3) AS isi FROM g WHERE isi IS NOT NULL",
     "isi_fano": f"WITH {GAPS} SELECT user_id, round(var_pop(isi) / avg(isi), 6) AS fano FROM i GROUP BY user_id",
     "isi_fano_pooled": f"WITH {GAPS} SELECT round(var_pop(isi) / avg(isi), 6) AS fano FROM i",
     "isi_cv": f"WITH {GAPS} SELECT user_id, round(stddev_pop(isi) / avg(isi), 6) AS cv FROM i GROUP BY user_id",

@@ -145,6 +145,14 @@ def boot_two_sample(spark, d):
     return resample.two_sample_test(_customers(spark, d), "c_acctbal", "c_mktsegment", ("BUILDING", "MACHINERY"), "c_custkey", [], method="bootstrap", stat="meandiff", n_resamples=DRAWS, seed=SEED).select(_r("stat", 4).alias("stat"), _r("p").alias("p"))
 
 
+def boot_ci_large(spark, d):
+    return resample.mean_confints_large(_items(spark, d).withColumn("obs", F.xxhash64("*")), "l_quantity", "obs", ["l_returnflag"], n_resamples=40, seed=SEED).select("l_returnflag", *(_r(c, 4).alias(c) for c in ("stat", "low", "high")))
+
+
+def perm_two_sample_large(spark, d):
+    return resample.two_sample_test_large(_customers(spark, d), "c_acctbal", "c_mktsegment", ("BUILDING", "MACHINERY"), "c_custkey", [], n_resamples=DRAWS, seed=SEED).select(_r("stat", 4).alias("stat"), _r("p").alias("p"))
+
+
 def jackknife(spark, d):
     return resample.jackknife_mean(_customers(spark, d), "c_acctbal", ["c_mktsegment"]).select("c_custkey", _r("left_out", 4).alias("left_out"))
 
@@ -165,7 +173,7 @@ QUERIES = {
     "pearson": pearson, "spearman": spearman, "condition_mean": condition_mean, "condition_median": condition_median, "dprime": dprime, "auroc": auroc, "mutual_info": mutual_info, "mutual_info_binned": mutual_info_binned,
     "pev_anova1": _anova1(True), "pev_anova1_eta": _anova1(False), "pev_anova1_p": anova1_p, "pev_anova2": _anova2(), "pev_anova2_additive": _anova2(interact=False), "pev_anova2_partial": _anova2(partial=True), "pev_regress": regress, "pev_regress_terms": regress_terms,
     "rand_sign": rand_sign, "boot_one_sample": boot_one_sample, "perm_two_sample": perm_two_sample, "perm_one_way": perm_one_way, "perm_two_way": perm_two_way, "perm_assoc": perm_assoc, "boot_ci": boot_ci, "boot_two_sample": boot_two_sample,
-    "jackknife_mean": jackknife, "draw_subsets": draws_subsets, "nation_subsets": nation_subsets,
+    "boot_ci_large": boot_ci_large, "perm_two_sample_large": perm_two_sample_large, "jackknife_mean": jackknife, "draw_subsets": draws_subsets, "nation_subsets": nation_subsets,
 }
 
 _TWO = "s AS (SELECT l_returnflag, count(*) FILTER (WHERE l_linestatus = 'F')::DOUBLE AS n1, count(*) FILTER (WHERE l_linestatus = 'O')::DOUBLE AS n2, avg(l_quantity) FILTER (WHERE l_linestatus = 'F') AS m1, avg(l_quantity) FILTER (WHERE l_linestatus = 'O') AS m2, var_samp(l_quantity) FILTER (WHERE l_linestatus = 'F') AS v1, var_samp(l_quantity) FILTER (WHERE l_linestatus = 'O') AS v2 FROM lineitem GROUP BY l_returnflag)"
@@ -230,6 +238,8 @@ ORACLES |= {
 s AS (SELECT k.seg, draw, avg(v) AS s FROM k JOIN n USING (seg, i) GROUP BY ALL), o AS (SELECT seg, avg(v) AS o FROM c GROUP BY seg) SELECT seg AS c_mktsegment, round(any_value(o), 4) AS stat, round((1 + count(*) FILTER (WHERE abs(s - o) >= abs(o - 4500))) / {DRAWS}::DOUBLE, 6) AS p FROM s JOIN o USING (seg) GROUP BY seg""",
     "perm_two_sample": f"""WITH {_C}, {_B}, {_PAIR}, o AS (SELECT {_DIFF.replace('g =', 'seg =')} AS o, count(*) FILTER (WHERE seg = 'BUILDING') AS n1 FROM c2),
 p AS (SELECT draw, v, CASE WHEN row_number() OVER (PARTITION BY draw ORDER BY {_md5('draw', 'obs')}, obs) <= n1 THEN 'BUILDING' ELSE 'MACHINERY' END AS g FROM c2, d, o), s AS (SELECT draw, {_DIFF} AS s FROM p GROUP BY draw) SELECT round(any_value(o), 4) AS stat, round((1 + count(*) FILTER (WHERE abs(s) >= abs(o))) / {DRAWS}::DOUBLE, 6) AS p FROM s, o""",
+    "perm_two_sample_large": f"""WITH {_C}, {_B}, {_PAIR}, o AS (SELECT {_DIFF.replace('g =', 'seg =')} AS o, avg((seg = 'BUILDING')::INTEGER) AS share FROM c2),
+p AS (SELECT draw, v, CASE WHEN {_u('draw', 'obs')} < share THEN 'BUILDING' ELSE 'MACHINERY' END AS g FROM c2, d, o), s AS (SELECT draw, {_DIFF} AS s FROM p GROUP BY draw) SELECT round(any_value(o), 4) AS stat, round((1 + count(*) FILTER (WHERE abs(s) >= abs(o))) / {DRAWS}::DOUBLE, 6) AS p FROM s, o""",
     "perm_one_way": f"""WITH {_C}, {_B}, n AS (SELECT *, row_number() OVER (ORDER BY obs) - 1 AS i FROM c), m AS (SELECT draw, v, row_number() OVER (PARTITION BY draw ORDER BY {_md5('draw', 'obs')}, obs) - 1 AS i FROM n, d), p AS (SELECT draw, m.v, seg FROM m JOIN n USING (i)),
 s AS {_F('draw', 'seg', 'p')}, o AS {_F('', 'seg', 'c')} SELECT round(any_value(o.s), 6) AS stat, round((1 + count(*) FILTER (WHERE s.s >= o.s)) / {DRAWS}::DOUBLE, 6) AS p FROM s, o""",
     "perm_assoc": f"""WITH {_C}, {_B}, n AS (SELECT *, row_number() OVER (PARTITION BY seg ORDER BY obs) - 1 AS i FROM c), m AS (SELECT seg, draw, v, row_number() OVER (PARTITION BY seg, draw ORDER BY {_md5('draw', 'obs')}, obs) - 1 AS i FROM n, d),

@@ -131,3 +131,15 @@ def test_draws(spark):
     assert resample.confint_indexes(0.95, 40) == (0, 38)
     with pytest.raises(ValueError):
         resample.confint_indexes(0.99, 40)
+
+
+def test_large_forms_agree_with_the_exact_ones(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, i % 2, float(x)) for i, x in enumerate(rng.normal(10, 2, 400))], "obs int, label int, v double")
+    a = resample.one_sample_confints(df, "v", "obs", [], n_resamples=400).first()
+    b = resample.mean_confints_large(df, "v", "obs", [], n_resamples=400).first()
+    assert a.stat == pytest.approx(b.stat) and a.low == pytest.approx(b.low, abs=0.06) and a.high == pytest.approx(b.high, abs=0.06)
+    p = [resample.two_sample_permutation_test(df, "v", "label", (0, 1), "obs", [], stat="meandiff", n_resamples=400).first().p, resample.two_sample_test_large(df, "v", "label", (0, 1), "obs", [], n_resamples=400).first().p]
+    assert p[0] == pytest.approx(p[1], abs=0.1)
+    w = df.select(resample.poisson_weight(1, F.col("obs")).alias("w")).agg(F.avg("w"), F.var_samp("w")).first()
+    assert w[0] == pytest.approx(1, abs=0.15) and w[1] == pytest.approx(1, abs=0.3)
