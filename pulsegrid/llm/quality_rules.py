@@ -101,12 +101,10 @@ def thresholds(df: DataFrame) -> DataFrame:
     texts that pass the base rules."""
     by_source = checkpointed(sketch(df.where(~base_failed()), ["q_lang", "q_source"]))
     by_lang = merge(by_source, ["q_lang"])
-    own, lang, all_ = fences(by_source, ["q_lang", "q_source"]), fences(by_lang, ["q_lang"]), fences(merge(by_lang, []), [])
-    names = [c for c in all_.columns if c != "total"]
-    rename = lambda d, p: d.withColumnsRenamed({c: p + c for c in ["total", *names]})
-    # One row of all texts, and one for each language: both are sums over the table that they are joined to.
-    joined = own.join(rename(lang, "lang_"), "q_lang").join(F.broadcast(rename(all_, "all_")))
-    pick = lambda c: F.when(F.col("total") >= ENOUGH, F.col(c)).when(F.col("lang_total") >= ENOUGH, F.col("lang_" + c)).otherwise(F.col("all_" + c))
+    own, lang, all_ = fences(by_source, ["q_lang", "q_source"]), fences(by_lang, ["q_lang"]), fences(merge(by_lang, []), []).first()
+    names = [c for c in own.columns if c.startswith(("high_", "low_"))]
+    joined = own.join(lang.withColumnsRenamed({c: "lang_" + c for c in ["total", *names]}), "q_lang")
+    pick = lambda c: F.when(F.col("total") >= ENOUGH, F.col(c)).when(F.col("lang_total") >= ENOUGH, F.col("lang_" + c)).otherwise(F.lit(all_[c]))
     return joined.select("q_lang", "q_source", *(pick(c).alias(c) for c in names))
 
 
