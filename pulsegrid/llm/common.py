@@ -83,6 +83,7 @@ def ascii_lower(text: Column) -> Column:
 #: Letters U+0041 to U+024F; behind them, before ASCII punctuation other than the apostrophe, a unit ends too.
 _UNITS = re.compile("[ \\t-\\r]*[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]++(?=[!-&(-/:-@\\[-`{-~])|[ \\t-\\r]*[^ \\t-\\r]+|[ \\t-\\r]+")
 _WORDS = re.compile(_UNITS.pattern.replace("[ \\t-\\r]*", "").removesuffix("|[ \\t-\\r]+"))
+_LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
 #: Marks that may combine with a letter before them.
 _MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff]")
 #: White space besides space and U+0009 to U+000D, and what Python alone calls so: such texts are encoded whole.
@@ -99,20 +100,31 @@ class UnitEncoder:
     units that are met again move over. Ids don't depend on it.
     """
 
-    def __init__(self, tokenizer, folds: bool = False, most: int = 300_000):
-        """folds: the tokenizer lower-cases and drops white space, so units may be kept without it, A-Z in lower case."""
-        self.tokenizer, self.folds, self.most, self.ids, self.old = tokenizer, folds, most, {}, {}
+    def __init__(self, tokenizer, bare=None, most: int = 300_000):
+        """bare: given if the tokenizer lower-cases, drops white space and takes a run of letters as one word. Units
+        are then kept without white space, A-Z in lower case; bare, the same tokenizer without what finds and
+        normalises words, encodes those that are nothing but letters in lower case."""
+        self.tokenizer, self.bare, self.most, self.ids, self.old = tokenizer, bare, most, {}, {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
+        if self.bare is None:
+            return self._library(self.tokenizer, texts)
+        plain = [bool(_LETTERS.fullmatch(s)) for s in texts]
+        fast = iter(self._library(self.bare, [s for s, p in zip(texts, plain) if p]))
+        full = iter(self._library(self.tokenizer, [s for s, p in zip(texts, plain) if not p]))
+        return [next(fast if p else full) for p in plain]
+
+    @staticmethod
+    def _library(tokenizer, texts: list[str]) -> list[bytes]:
         if not texts:
             return []
-        each = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        each = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         ends = np.cumsum([len(x) for x in each]) * 4
         flat = np.fromiter(chain.from_iterable(each), "<u4", int(ends[-1]) // 4).tobytes()
         return [flat[a:b] for a, b in pairwise([0, *ends.tolist()])]
 
     def _split(self, text: str) -> list[str]:
-        if not self.folds or _MARKS.search(text):
+        if self.bare is None or _MARKS.search(text):
             return _UNITS.findall(text)
         return _WORDS.findall(text.encode().lower().decode())  # bytes have A-Z lower-cased alone
 
@@ -138,14 +150,19 @@ _ENCODERS: dict[str, UnitEncoder] = {}
 
 
 def json_encoder(path: str, folds: bool = False) -> UnitEncoder:
-    """The encoder of a tokenizers file, one for each Python worker; special tokens in a text are ordinary text."""
+    """The encoder of a tokenizers file, one for each Python worker; special tokens in a text are ordinary text.
+    folds: see UnitEncoder.__init__; the file's tokenizer works on bytes."""
     if path not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        _ENCODERS[path] = UnitEncoder(t, folds)
+        bare = None
+        if folds:
+            bare = Tokenizer.from_file(path)
+            bare.normalizer, bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        _ENCODERS[path] = UnitEncoder(t, bare)
     return _ENCODERS[path]
 
 

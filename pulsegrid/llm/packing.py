@@ -98,7 +98,7 @@ class Packer:
 def pack(df: DataFrame, tokenizer: str, end_id: int, folds: bool = False, doc_id: str = "doc_id", text: str = "text", tiers: tuple[int, ...] = TIERS, step_tokens: int = 1 << 19, at_once: int = 1 << 21) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian u32), doc_tokens, sequence_id, offset, tier, step_group.
 
-    Tiers are powers of two, each twice the last. folds: the tokenizer lower-cases and drops white space. Every partition of df is packed on its own, as it is read, about
+    Tiers are powers of two, each twice the last. folds: see json_encoder. Every partition of df is packed on its own, as it is read, about
     at_once ids at a time, so there is no shuffle, memory is bounded, and a repeated task gives the same rows. Null
     texts count as empty: end_id alone. Rows of one doc_id are documents of their own. Other columns are ignored.
     """
