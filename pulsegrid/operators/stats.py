@@ -145,12 +145,12 @@ def one_way_sums(df: DataFrame, value: str, label: str, by: list[str], grand: st
     """(by..., n_obs, k, ss_groups, ss_total, n_last): the sums behind one-way F and explained variance.
 
     Deviations are taken from the mean over observations, or over group means if grand is "mean_of_means"."""
-    c = _cells(df, value, by, [label])
-    gm = div(F.sum(F.col("n") * F.col("m")), F.sum("n")) if grand == "mean_of_obs" else F.avg("m")
-    g = c.groupBy(*by).agg(gm.alias("gm"), F.sum("n").alias("n_obs"), F.count("*").cast("double").alias("k"), F.max_by("n", label).alias("n_last"))
-    d = _join(c, g, by)
+    c = _cells(df, value, by, [label])  # windows below run over cells, not observations
+    w = Window.partitionBy(*by)
+    gm = div(F.sum(F.col("n") * F.col("m")).over(w), F.sum("n").over(w)) if grand == "mean_of_obs" else F.avg("m").over(w)
+    d = c.withColumn("gm", gm)
     between = F.sum(F.col("n") * (F.col("m") - F.col("gm")) * (F.col("m") - F.col("gm")))
-    return d.groupBy(*by, "n_obs", "k", "n_last").agg(between.alias("ss_groups"), (between + F.sum("ss")).alias("ss_total"))
+    return d.groupBy(*by).agg(F.sum("n").alias("n_obs"), F.count("*").cast("double").alias("k"), F.max_by("n", label).alias("n_last"), between.alias("ss_groups"), (between + F.sum("ss")).alias("ss_total"))
 
 
 def one_way_fstat(df: DataFrame, value: str, label: str, by: list[str], compat: bool = False, out: str = "f") -> DataFrame:
@@ -161,21 +161,18 @@ def one_way_fstat(df: DataFrame, value: str, label: str, by: list[str], compat:
 
 
 def two_way_sums(df: DataFrame, value: str, a: str, b: str, by: list[str], grand: str = "mean_of_obs") -> DataFrame:
-    """(by..., n_obs, ka, kb, kc, ss_a, ss_b, ss_cells, ss_total, n_last): one pass over the observations, and
-    grouping sets over the cells, which are few."""
+    """(by..., n_obs, ka, kb, kc, ss_a, ss_b, ss_cells, ss_total, n_last_cell, n_last_b): one pass over the
+    observations; level means are windows over the cells, which are few."""
     c = _cells(df, value, by, [a, b])
-    gm = div(F.sum(F.col("n") * F.col("m")), F.sum("n")) if grand == "mean_of_obs" else F.avg("m")
-    g = c.groupBy(*by).agg(gm.alias("gm"), F.sum("n").alias("n_obs"), F.max_by("n", F.struct(a, b)).alias("n_last_cell"), F.max(b).alias("last_b"))
-    d = _join(c, g, by)
-    level = lambda name, key: d.groupBy(*by, *key).agg(F.sum("n").alias("n"), div(F.sum(F.col("n") * F.col("m")), F.sum("n")).alias("m"), F.first("gm").alias("gm"), F.sum("ss").alias("ss"), F.max((F.col(b) == F.col("last_b")).cast("int")).alias("last")).select(*by, F.lit(name).alias("level"), "n", "m", "gm", "ss", "last")
-    rows = level("a", [a]).unionAll(level("b", [b])).unionAll(level("c", [a, b]))
-    dev = F.col("n") * (F.col("m") - F.col("gm")) * (F.col("m") - F.col("gm"))
-    of = lambda name, x: F.sum(F.when(F.col("level") == name, x))
-    s = rows.groupBy(*by).agg(
-        *(of(k, F.lit(1.0)).alias("k" + k) for k in "abc"), of("a", dev).alias("ss_a"), of("b", dev).alias("ss_b"), of("c", dev).alias("ss_cells"), of("c", dev + F.col("ss")).alias("ss_total"),
-        F.max(F.when((F.col("level") == "b") & (F.col("last") == 1), F.col("n"))).alias("n_last_b"),
+    w, wa, wb = (Window.partitionBy(*by, *k) for k in ([], [a], [b]))
+    mean = lambda over: div(F.sum(F.col("n") * F.col("m")).over(over), F.sum("n").over(over))
+    d = c.withColumn("gm", mean(w) if grand == "mean_of_obs" else F.avg("m").over(w)).withColumn("ma", mean(wa)).withColumn("mb", mean(wb)).withColumn("nb", F.sum("n").over(wb))
+    dev = lambda m: F.sum(F.col("n") * (F.col(m) - F.col("gm")) * (F.col(m) - F.col("gm")))
+    levels = lambda k: F.size(F.collect_set(k)).cast("double")
+    return d.groupBy(*by).agg(
+        F.sum("n").alias("n_obs"), levels(a).alias("ka"), levels(b).alias("kb"), F.count("*").cast("double").alias("kc"), dev("ma").alias("ss_a"), dev("mb").alias("ss_b"), dev("m").alias("ss_cells"),
+        (dev("m") + F.sum("ss")).alias("ss_total"), F.max_by("n", F.struct(a, b)).alias("n_last_cell"), F.max_by("nb", b).alias("n_last_b"),
     )
-    return _join(s, g.select(*by, "n_obs", "n_last_cell"), by)
 
 
 def two_way_terms(sums: DataFrame, by: list[str], interact: bool, compat: bool = False) -> DataFrame:

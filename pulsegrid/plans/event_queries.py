@@ -176,6 +176,9 @@ r AS (SELECT user_id, win, top, win - row_number() OVER (PARTITION BY user_id OR
     "time_epochs": f"WITH {E}, w AS (SELECT * FROM (VALUES ('early', 0, 7), ('late', 20, 30)) AS v(name, a, b)) SELECT event_type, name, round(avg(value), 4) AS mean FROM e JOIN w ON t BETWEEN a * {DAY}::DOUBLE AND b * {DAY}::DOUBLE GROUP BY ALL",
     "gaussians": f"""WITH {E}, p AS (SELECT event_id, value, value / 100 - 1 AS dx, t / {DAY}::DOUBLE / 10 - 1.5::DOUBLE AS dy FROM e) SELECT event_id, round(2 * exp(-0.5::DOUBLE * power((value - 100) / 50, 2)) + 0.5::DOUBLE, 6) AS one,
 round(exp(-0.5::DOUBLE * (power((dx * cos(0.3::DOUBLE) + dy * sin(0.3::DOUBLE)) / 0.5::DOUBLE, 2) + power(dy * cos(0.3::DOUBLE) - dx * sin(0.3::DOUBLE), 2))), 6) AS two FROM p""",
+    "density": f"""WITH {E}, c AS (SELECT user_id, round_even(t / 3600, 0) AS cell, count(*) AS n FROM e GROUP BY ALL), w AS (SELECT sum(exp(-0.5::DOUBLE * power(i / 24, 2))) AS w FROM (SELECT unnest(range(-72, 73)) AS i)), g AS (SELECT unnest(range(0, 721, 6)) AS g),
+u AS (SELECT DISTINCT user_id FROM c WHERE cell BETWEEN -72 AND 792), k AS (SELECT user_id, g, sum(n * exp(-0.5::DOUBLE * power((g - cell) / 24, 2))) AS s FROM c JOIN g ON abs(g - cell) <= 72 GROUP BY ALL)
+SELECT user_id, g * 3600::DOUBLE AS "at", round(coalesce(s, 0) / w * 24, 6) AS per_day FROM u CROSS JOIN g CROSS JOIN w LEFT JOIN k USING (user_id, g)""",
 }
 for _k, _sql in list(ORACLES.items()):
     ORACLES[_k] = _sql.replace(" AS at ", ' AS "at" ').replace(" AS at,", ' AS "at",').replace("q.at", 'q."at"').replace("(at - ", '("at" - ').replace(", at,", ', "at",').replace("(user_id, at)", '(user_id, "at")').replace("user_id, at ", 'user_id, "at" ')

@@ -242,6 +242,13 @@ p AS (SELECT draw, v, CASE WHEN row_number() OVER (PARTITION BY draw ORDER BY {_
 p AS (SELECT draw, v, CASE WHEN {_u('draw', 'obs')} < share THEN 'BUILDING' ELSE 'MACHINERY' END AS g FROM c2, d, o), s AS (SELECT draw, {_DIFF} AS s FROM p GROUP BY draw) SELECT round(any_value(o), 4) AS stat, round((1 + count(*) FILTER (WHERE abs(s) >= abs(o))) / {DRAWS}::DOUBLE, 6) AS p FROM s, o""",
     "perm_one_way": f"""WITH {_C}, {_B}, n AS (SELECT *, row_number() OVER (ORDER BY obs) - 1 AS i FROM c), m AS (SELECT draw, v, row_number() OVER (PARTITION BY draw ORDER BY {_md5('draw', 'obs')}, obs) - 1 AS i FROM n, d), p AS (SELECT draw, m.v, seg FROM m JOIN n USING (i)),
 s AS {_F('draw', 'seg', 'p')}, o AS {_F('', 'seg', 'c')} SELECT round(any_value(o.s), 6) AS stat, round((1 + count(*) FILTER (WHERE s.s >= o.s)) / {DRAWS}::DOUBLE, 6) AS p FROM s, o""",
+    "perm_two_way": f"""WITH {_C}, {_B}, n AS (SELECT *, row_number() OVER (ORDER BY obs) - 1 AS i FROM c), m AS (SELECT draw, v, row_number() OVER (PARTITION BY draw ORDER BY {_md5('draw', 'obs')}, obs) - 1 AS i FROM n, d),
+p AS (SELECT draw, m.v, seg, side FROM m JOIN n USING (i) UNION ALL SELECT 0, v, seg, side FROM c), cells AS (SELECT draw, seg, side, count(*)::DOUBLE AS n, avg(v) AS m, var_pop(v) * count(*) AS ss FROM p GROUP BY ALL),
+t AS (SELECT draw, sum(n * m) / sum(n) AS gm, sum(n) AS nn, sum(ss) AS sse, count(*) AS kc FROM cells GROUP BY draw), x AS (SELECT draw, sum(n * (m - gm) * (m - gm)) AS ss FROM cells JOIN t USING (draw) GROUP BY draw),
+a AS (SELECT draw, sum(n * (m - gm) * (m - gm)) AS ss, count(*) AS k FROM (SELECT draw, seg, sum(n) AS n, sum(n * m) / sum(n) AS m FROM cells GROUP BY draw, seg) JOIN t USING (draw) GROUP BY draw),
+b AS (SELECT draw, sum(n * (m - gm) * (m - gm)) AS ss, count(*) AS k FROM (SELECT draw, side, sum(n) AS n, sum(n * m) / sum(n) AS m FROM cells GROUP BY draw, side) JOIN t USING (draw) GROUP BY draw),
+f AS (SELECT draw, unnest(['a', 'b', 'ab']) AS term, unnest([a.ss / (a.k - 1), b.ss / (b.k - 1), (x.ss - a.ss - b.ss) / (kc - a.k - b.k + 1)]) / (sse / (nn - kc)) AS f FROM t JOIN x USING (draw) JOIN a USING (draw) JOIN b USING (draw))
+SELECT s.term, round(any_value(o.f), 6) AS stat, round((1 + count(*) FILTER (WHERE s.f >= o.f)) / {DRAWS}::DOUBLE, 6) AS p FROM f AS s JOIN f AS o ON s.term = o.term WHERE s.draw > 0 AND o.draw = 0 GROUP BY s.term""",
     "perm_assoc": f"""WITH {_C}, {_B}, n AS (SELECT *, row_number() OVER (PARTITION BY seg ORDER BY obs) - 1 AS i FROM c), m AS (SELECT seg, draw, v, row_number() OVER (PARTITION BY seg, draw ORDER BY {_md5('draw', 'obs')}, obs) - 1 AS i FROM n, d),
 s AS (SELECT seg, draw, corr(m.v, n.o) AS s FROM m JOIN n USING (seg, i) GROUP BY ALL), o AS (SELECT seg, corr(v, o) AS o FROM c GROUP BY seg) SELECT seg AS c_mktsegment, round(any_value(o), 6) AS stat, round((1 + count(*) FILTER (WHERE abs(s) >= abs(o))) / {DRAWS}::DOUBLE, 6) AS p FROM s JOIN o USING (seg) GROUP BY seg""",
     "boot_ci": f"""WITH {_C}, {_BALL}, n AS (SELECT seg, v, row_number() OVER (PARTITION BY seg ORDER BY obs) - 1 AS i, count(*) OVER (PARTITION BY seg) AS n FROM c), k AS (SELECT seg, draw, floor({_u('draw', 'i')} * n)::BIGINT AS i FROM n, d),
