@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -14,3 +19,17 @@ def session(app: str = "pulsegrid", master: str | None = None, **conf: str) -> S
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
     return b.getOrCreate()
+
+
+def attach(spark: SparkSession) -> SparkSession:
+    """Sends this package's source to the executors, once per application, so that they needn't have it installed."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_pulsegrid_sent", False):
+        package = Path(__file__).resolve().parent
+        out = os.path.join(tempfile.mkdtemp(), "pulsegrid_src.zip")
+        with zipfile.ZipFile(out, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        sc.addPyFile(out)
+        sc._pulsegrid_sent = True
+    return spark
