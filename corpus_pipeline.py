@@ -13,7 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from pulsegrid.llm import line_dedup, packing, quality_model, quality_rules, simhash
-from pulsegrid.llm.common import attach, shared_dir
+from pulsegrid.llm.common import shared_dir
+from pulsegrid.session import attach
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,9 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
-import zipfile
 from itertools import chain, pairwise
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,20 +17,6 @@ SPACE_RE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def attach(spark: SparkSession) -> SparkSession:
-    """Sends this package's source to the executors, once per application."""
-    sc = spark.sparkContext
-    if not getattr(sc, "_pulsegrid_sent", False):
-        package = Path(__file__).resolve().parents[1]
-        out = os.path.join(tempfile.mkdtemp(), "pulsegrid_src.zip")
-        with zipfile.ZipFile(out, "w") as z:
-            for f in sorted(package.rglob("*.py")):
-                z.write(f, f.relative_to(package.parent))
-        sc.addPyFile(out)
-        sc._pulsegrid_sent = True
-    return spark
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir that driver and executors share; a temporary one only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)

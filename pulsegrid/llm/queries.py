@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+from ..session import attach
 from . import byte_bpe, cap_filters, class_lm, line_dedup, packing, quality_model, quality_rules, simhash, token_files, url_reputation
-from .common import attach
 
 
 def _attached(query):
