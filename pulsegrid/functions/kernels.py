@@ -360,3 +360,29 @@ def inflection(wave: Column, fs: float) -> Column:
 def coefficients(m: np.ndarray) -> np.ndarray:
     """Least-squares coefficients of the last variable on the others, from sums of products."""
     return np.linalg.lstsq(m[:-1, :-1], m[:-1, -1], rcond=None)[0]
+
+
+def cubic_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The cubic spline through four or more points, its third derivative smooth at the second and last but one;
+    not-a-number outside them. Second derivatives come from one tridiagonal elimination."""
+    n, h = len(x), np.diff(x)
+    slope = np.diff(y) / h
+    lower, diag, upper, right = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy(), 6 * np.diff(slope)
+    # The outer second derivatives are linear in the next two, which folds them into the first and last equation.
+    diag[0] += h[0] * (1 + h[0] / h[1])
+    upper[0] -= h[0] * h[0] / h[1]
+    diag[-1] += h[-1] * (1 + h[-1] / h[-2])
+    lower[-1] -= h[-1] * h[-1] / h[-2]
+    for i in range(1, n - 2):
+        w = lower[i] / diag[i - 1]
+        diag[i] -= w * upper[i - 1]
+        right[i] -= w * right[i - 1]
+    m = np.zeros(n)
+    for i in range(n - 3, -1, -1):
+        m[i + 1] = (right[i] - (upper[i] * m[i + 2] if i < n - 3 else 0.0)) / diag[i]
+    m[0] = m[1] * (1 + h[0] / h[1]) - m[2] * h[0] / h[1]
+    m[-1] = m[-2] * (1 + h[-1] / h[-2]) - m[-3] * h[-1] / h[-2]
+    k = np.clip(np.searchsorted(x, at, "right") - 1, 0, n - 2)
+    a, b = (x[k + 1] - at) / h[k], (at - x[k]) / h[k]
+    out = a * y[k] + b * y[k + 1] + ((a**3 - a) * m[k] + (b**3 - b) * m[k + 1]) * h[k] ** 2 / 6
+    return np.where((at >= x[0]) & (at <= x[-1]), out, np.nan)

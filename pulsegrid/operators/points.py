@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -143,22 +143,28 @@ def bin_rate(df: DataFrame, by: list[str], trains: DataFrame | None = None, lims
 psth = bin_rate
 
 
-def _bell(kind: str, width: float, dt: float) -> np.ndarray:
-    if kind == "gaussian":
+def _bell(kind: str | Sequence[float] | Callable[[np.ndarray], np.ndarray], width: float, dt: float) -> np.ndarray:
+    """A kernel's values at steps of dt, an odd number of them, whose sum times dt is 1."""
+    if callable(kind) or kind == "gaussian":
         x = np.arange(-math.floor(3 * width / dt + 1e-9), math.floor(3 * width / dt + 1e-9) + 1) * dt
-        k = np.exp(-0.5 * (x / width) ** 2)
-    elif kind == "hanning":
+        k = np.asarray(kind(x), float) if callable(kind) else np.exp(-0.5 * (x / width) ** 2)
+    elif isinstance(kind, str):
+        if kind != "hanning":
+            raise ValueError(f"unknown kernel {kind!r}: gaussian, hanning, values or a function of time")
         k = np.hanning(int(round(width / dt)) | 1)
     else:
-        raise ValueError(f"unknown kernel {kind!r}")
+        k = np.asarray(kind, float)
+    if k.ndim != 1 or len(k) % 2 == 0:
+        raise ValueError("a kernel needs an odd number of values")
     return k / (k.sum() * dt)
 
 
-def density(df: DataFrame, by: list[str], lims: tuple[float, float], width: float = 0.05, step: float = 0.001, kernel: str = "gaussian", trains: DataFrame | None = None, t: str = "t", dt: float = 0.001) -> DataFrame:
+def density(df: DataFrame, by: list[str], lims: tuple[float, float], width: float = 0.05, step: float = 0.001, kernel: str | Sequence[float] | Callable[[np.ndarray], np.ndarray] = "gaussian", trains: DataFrame | None = None, t: str = "t", dt: float = 0.001) -> DataFrame:
     """(by..., time, rate): event density on a grid, zero for trains without events.
 
     Events go to a grid of dt, with counts summed before the shuffle, and each train's grid is convolved with the
-    kernel in a task of its own; the grid's length is set by lims, not by the number of events."""
+    kernel (gaussian, hanning, an odd number of values at steps of dt, or a function of time over three widths to
+    either side) in a task of its own; the grid's length is set by lims, not by the number of events."""
     k = _bell(kernel, width, dt)
     pad, n = len(k) // 2, int(round((lims[1] - lims[0]) / dt)) + 1
     every, keys = round(step / dt), [df.schema[c] for c in by]

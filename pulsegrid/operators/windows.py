@@ -6,9 +6,12 @@ interval is entered under each grid cell that it touches, and the join is an equ
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import kernels
 from ..functions.exprs import col
 
 MOST_BROADCAST = 10_000
@@ -56,10 +59,16 @@ def pool_intervals(df: DataFrame, value: str, at: str, intervals: DataFrame, by:
 pool_freq_bands = pool_time_epochs = pool_intervals
 
 
-def interp1(df: DataFrame, x: str, y: str, queries: DataFrame, by: list[str], at: str) -> DataFrame:
-    """queries (by..., at) with y interpolated linearly between the nearest points of df; null outside them.
+def interp1(df: DataFrame, x: str, y: str, queries: DataFrame, by: list[str], at: str, kind: str = "linear") -> DataFrame:
+    """queries (by..., at) with y interpolated between the points of df; null outside them.
 
-    Points and queries are one sorted sequence for a series; each query looks back and ahead in it."""
+    linear: points and queries are one sorted sequence for a series; each query looks back and ahead in it. cubic: a
+    spline needs a series' points together, so a series, with its queries, has to fit in a task; with fewer than
+    four points all are null."""
+    if kind == "cubic":
+        return _interp_cubic(df, x, y, queries, by, at)
+    if kind != "linear":
+        raise ValueError("kind must be linear or cubic")
     both = df.select(*by, F.col(x).alias(at), F.col(x).alias("__x"), F.col(y).alias("__y"), F.lit(0).alias("__q")).unionByName(queries.select(*by, at, F.lit(None).cast("double").alias("__x"), F.lit(None).cast("double").alias("__y"), F.lit(1).alias("__q")))
     w = Window.partitionBy(*by).orderBy(at, "__q")
     back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by).orderBy(F.desc(at), "__q").rowsBetween(Window.unboundedPreceding, 0)
@@ -69,6 +78,16 @@ def interp1(df: DataFrame, x: str, y: str, queries: DataFrame, by: list[str], at
     return s.select(*by, at, line.alias(y))
 
 
+def _interp_cubic(df: DataFrame, x: str, y: str, queries: DataFrame, by: list[str], at: str) -> DataFrame:
+    def spline(points: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        p = points.dropna(subset=[x, y]).drop_duplicates(x).sort_values(x)
+        got = kernels.cubic_spline(p[x].to_numpy(float), p[y].to_numpy(float), wanted[at].to_numpy(float)) if len(p) > 3 else np.full(len(wanted), np.nan)
+        return wanted.assign(**{y: pd.Series(got, index=wanted.index).astype(object).where(~np.isnan(got), None)})
+
+    schema = ", ".join([*(f"`{c}` {queries.schema[c].dataType.simpleString()}" for c in [*by, at]), f"`{y}` double"])
+    return df.select(*by, x, y).groupBy(*by).cogroup(queries.select(*by, at).groupBy(*by)).applyInPandas(spline, schema)
+
+
 def runs(df: DataFrame, flag: Column, by: list[str], order: str) -> DataFrame:
     """(by..., first, last, n, touches_end): unbroken runs of rows where flag holds; order counts up by one."""
     w = Window.partitionBy(*by).orderBy(order)

@@ -75,3 +75,23 @@ def test_simulated_rates(spark):
     assert len(w.first().samples) == 49
     o = simulate.multichannel_oscillation(spark, [{"phase": 0.0}, {"phase": 1.0}], frequency=10.0, n_trials=3, fs=200.0)
     assert o.count() == 6 and np.abs(o.first().samples).max() > 1
+
+
+def test_cubic_interpolation(spark):
+    """Cubics are their own splines."""
+    f = lambda x: 2.0 - x + 0.5 * x**2 - 0.25 * x**3
+    xs = [0.0, 0.4, 1.0, 1.7, 2.0, 3.0]
+    d = spark.createDataFrame([(0, x, f(x)) for x in xs] + [(1, 0.0, 1.0)], "k int, x double, y double")
+    q = spark.createDataFrame([(0, x) for x in (0.0, 0.2, 1.3, 2.9, 3.0, 4.0)] + [(1, 0.0)], "k int, at double")
+    got = {(r.k, r["at"]): r.y for r in windows.interp1(d, "x", "y", q, ["k"], "at", "cubic").collect()}
+    assert got[0, 4.0] is None and got[1, 0.0] is None
+    assert all(got[0, x] == pytest.approx(f(x)) for x in (0.0, 0.2, 1.3, 2.9, 3.0))
+
+
+def test_other_kernels(spark, events):
+    inner = events.withColumn("t", F.col("t") + 1.0)
+    for kernel in ("hanning", [1.0, 2.0, 1.0], lambda x: np.exp(-np.abs(x) / 0.02)):
+        d = points.density(inner, ["unit"], (0.0, 3.0), 0.05, kernel=kernel)
+        assert d.where("unit = 0").agg(F.sum("rate")).first()[0] * 0.001 == pytest.approx(4, abs=0.01)
+    with pytest.raises(ValueError):
+        points.density(inner, ["unit"], (0.0, 3.0), 0.05, kernel="nonsense")
