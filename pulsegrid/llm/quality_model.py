@@ -98,13 +98,13 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         for _ in range(epochs):
             for row in rows:
                 model.step(*row)
-        return pa.table({"n": pa.array([len(rows)], pa.int64()), "weights": pa.array([model.weights().astype("<f4").tobytes()], pa.binary())})
+        return pa.table({"shard": group.column("shard").slice(0, 1), "n": pa.array([len(rows)], pa.int64()), "weights": pa.array([model.weights().astype("<f4").tobytes()], pa.binary())})
 
     kind = labels.schema[doc_id].dataType.simpleString()
-    fitted = rows.mapInArrow(sparse, f"shard int, rank long, key {kind}, label int, index binary, value binary").groupBy("shard").applyInArrow(fit, "n long, weights binary").collect()
+    fitted = rows.mapInArrow(sparse, f"shard int, rank long, key {kind}, label int, index binary, value binary").groupBy("shard").applyInArrow(fit, "shard int, n long, weights binary").collect()
     total = sum(r.n for r in fitted)
     out = np.zeros((1 << BITS) + 1)
-    for r in fitted:
+    for r in sorted(fitted, key=lambda r: r.shard):
         out += np.frombuffer(r.weights, "<f4") * (r.n / total)
     return out
 
