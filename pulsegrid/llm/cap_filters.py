@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components
+from .common import checkpointed, components, lookup_join
 
 CODES, CODEWORDS, CAP, LEAST, THRESHOLD = 2, 180, 3.0, 12, 0.9
 
@@ -90,13 +90,14 @@ def compare(ids: np.ndarray, unit: np.ndarray, copies: np.ndarray, lists: list[n
     if not same:
         link &= part[:, None] != part[None, :]
     i, j = np.nonzero(link)
-    if len(i):
-        some, at = np.unique(np.concatenate([i, j]), return_inverse=True)
-        own = ~_share_less([lists[k] for k in some], this)[at[: len(i)], at[len(i) :]]
-        np.add.at(n_links, i[own], copies[j[own]])
-        np.add.at(n_links, j[own], copies[i[own]])
+    if not len(i):
+        return n_links, ids
+    some, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    own = ~_share_less([lists[k] for k in some], this)[at[: len(i)], at[len(i) :]]
+    np.add.at(n_links, i[own], copies[j[own]])
+    np.add.at(n_links, j[own], copies[i[own]])
     link |= link.T
-    while len(i):
+    while True:
         new = np.minimum(label, np.where(link, label[None, :], n).min(axis=1))
         new = new[new]
         if (new == label).all():
@@ -144,21 +145,49 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     half = block // 2
     sizes = passed.groupBy("dims", "filter").agg(F.count("*").alias("size")).where("size > 1")
     parts = F.when(F.col("size") <= block, 1).otherwise(F.ceil(F.col("size") / half)).cast("int")
-    placed = passed.join(sizes, ["dims", "filter"]).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int")).drop("size")
-    # Part i meets part j in task (i, j), i <= j: a row goes to one task for each part.
+    placed = lookup_join(passed, sizes, ["dims", "filter"], "inner").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int")).drop("size")
+    # Part i meets part j in task (i, j), i <= j: a row goes to one task for each part. There are as many sizes as
+    # filters, a parameter, so they are joined before the one shuffle, and a crowded filter's tasks spread over it.
     tasks = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).drop("other", "parts")
 
-    def meet(key: tuple, group: pa.Table) -> pa.Table:
-        this, low, high = key[1].as_py(), key[2].as_py(), key[3].as_py()
-        ids = group.column("node").to_numpy()
-        order = np.argsort(ids)
-        unit = unit_rows(np.array([np.frombuffer(x, exact) for x in group.column("vector").to_pylist()], float)[order])
-        lists = [np.frombuffer(x, small) for x in group.column("filters").to_pylist()]
-        n, root = compare(ids[order], unit, group.column("copies").to_numpy()[order], [lists[k] for k in order], this, low == high, group.column("part").to_numpy()[order], threshold)
-        some = (n > 0) | (root != ids[order])
-        return pa.table({"node": pa.array(ids[order][some], pa.int64()), "n": pa.array(n[some], pa.int64()), "root": pa.array(root[some], pa.int64())})
-
-    found = checkpointed(tasks.groupBy("dims", "filter", "low", "high").applyInArrow(meet, "node long, n long, root long").groupBy("node", "root").agg(F.sum("n").alias("n")))
+    names = ["dims", "filter", "low", "high"]
+
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by task; each run of rows of one task is compared, the last run once its end is seen."""
+        held: pa.Table | None = None
+
+        def compared(rows: pa.Table, borders: np.ndarray) -> pa.RecordBatch:
+            this, low, high = (rows.column(c).to_numpy() for c in names[1:])
+            node, copies, part = (rows.column(c).to_numpy() for c in ("node", "copies", "part"))
+            vectors, lists = rows.column("vector").to_pylist(), rows.column("filters").to_pylist()
+            out: list[list[np.ndarray]] = [[], [], []]
+            for x, y in zip(borders, borders[1:]):
+                if y - x < 2:
+                    continue
+                order = x + np.argsort(node[x:y])
+                unit = unit_rows(np.array([np.frombuffer(vectors[k], exact) for k in order], float))
+                ids = node[order]
+                n, root = compare(ids, unit, copies[order], [np.frombuffer(lists[k], small) for k in order], this[x], low[x] == high[x], part[order], threshold)
+                some = (n > 0) | (root != ids)
+                for col, v in zip(out, (ids, n, root)):
+                    col.append(v[some])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.array([], np.int64), *c])) for c in out], ["node", "n", "root"])
+
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([held, rows]).combine_chunks() if held is not None else rows
+            key = np.stack([rows.column(c).to_numpy() for c in names])
+            ends = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+            if len(ends):
+                yield compared(rows, np.concatenate([[0], ends]))
+                held = rows.slice(int(ends[-1]))
+            else:
+                held = rows
+        if held is not None:
+            yield compared(held, np.array([0, held.num_rows]))
+
+    sorted_tasks = tasks.repartition(*names).sortWithinPartitions(*names)
+    found = checkpointed(sorted_tasks.mapInArrow(meet, "node long, n long, root long").groupBy("node", "root").agg(F.sum("n").alias("n")))
     n_links = found.groupBy("node").agg(F.sum("n").alias("n"))
     joined = components(found.select("node", "root"), "node", "root").withColumnRenamed("component", "root")
     rooted = checkpointed(classes.select("node", "h1", "h2", "id", "copies").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")).join(n_links, "node", "left"))
