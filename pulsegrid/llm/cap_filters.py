@@ -119,7 +119,7 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     usable = F.coalesce((F.size(e) > 0) & ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(e, lambda x: x != 0), F.lit(False))
     keyed = rows.withColumn("usable", usable).withColumn("h1", F.when(F.col("usable"), F.xxhash64("embedding"))).withColumn("h2", F.when(F.col("usable"), F.xxhash64(F.lit("vector"), "embedding")))
     classes = keyed.where("usable").groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
-    classes = checkpointed(classes.withColumn("node", F.xxhash64("h1", "h2")))
+    classes = checkpointed(classes.withColumn("node", F.monotonically_increasing_id()))  # fixed by being written
 
     def to_filters(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
