@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, json_encoder, shared_dir
+from .common import json_encoder, shared_dir
 
 MAGIC, HEADER, NULL_ID = b"PGTOK001", struct.Struct("<8sIIQQ"), -(2**63)
 
