@@ -61,7 +61,7 @@ def ifft(df: DataFrame, keys: list[str], re: str = "re", im: str = "im", k: str
 
 def dft(df: DataFrame, keys: list[str], samples: str, ks: Sequence[int]) -> DataFrame:
     """(keys..., k, re, im) for some frequencies only, by native sums of products; for short series."""
-    each = df.select(*keys, F.size(samples).alias("n"), F.posexplode(samples).alias("p", "x")).crossJoin(F.broadcast(df.sparkSession.createDataFrame([(int(k),) for k in ks], "k int")))  # frequencies: an argument
+    each = df.select(*keys, F.size(samples).alias("n"), F.posexplode(samples).alias("p", "x")).withColumn("k", F.explode(F.array(*(F.lit(int(k)) for k in ks))))
     a = 2 * math.pi * F.col("k") * F.col("p") / F.col("n")
     return each.groupBy(*keys, "k").agg(F.sum(F.col("x") * F.cos(a)).alias("re"), (-F.sum(F.col("x") * F.sin(a))).alias("im"))
 
