@@ -71,7 +71,7 @@ _LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
 #: Marks that may combine with a letter before them.
 _MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff]")
 #: White space besides space and U+0009 to U+000D, and what Python alone calls so: such texts are encoded whole.
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠　﻿]")
+_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]")
 
 
 class UnitEncoder:
