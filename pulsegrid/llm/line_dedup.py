@@ -109,7 +109,7 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     late = partners.join(late, "first", "left_semi").select("k1", "k2", F.lit(True).alias("late"))
 
     # All places of late lines, and those of repeated lines behind the first.
-    marked = some.join(firsts.join(late, ["k1", "k2"], "left"), ["k1", "k2"])
+    marked = lookup_join(some, firsts.join(late, ["k1", "k2"], "left"), ["k1", "k2"], "inner")
     return marked.where(F.coalesce(F.col("late"), F.lit(False)) | (_order() > F.col("first"))).select("id", "copy", "at")
 
 
