@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,12 @@ def div(a, b) -> Column:
     return F.try_divide(col(a).cast("double"), col(b).cast("double"))
 
 
+def bound(value, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once. What a function of an array's elements refers to is worked out anew for
+    each element, so that a least value of an array in there would cost the square of its length."""
+    return F.get(F.transform(F.array(col(value)), use), F.lit(0))
+
+
 # Transforms of correlations and coherences.
 def fisherz(r) -> Column:
     return F.atanh(col(r))
@@ -203,23 +211,26 @@ def trough_to_peak_width(wave, fs: float) -> Column:
 def trough_width(wave, fs: float) -> Column:
     """Seconds between the first and last samples around the trough that are at least half as deep; null if an end is missing."""
     w = col(wave)
-    t, half = _trough(w), F.array_min(w) / 2.0
-    above = F.transform(w, lambda x, i: F.when(x > half, i + 1))
-    left = F.array_max(F.filter(above, lambda i: i < t))
-    right = F.array_min(F.filter(above, lambda i: i > t))
-    return (right - left - 2).cast("double") / float(fs)
+
+    def ends(half: Column) -> Column:
+        above = F.transform(w, lambda x, i: F.when(x > half, i + 1))
+        inner = lambda t: F.array_min(F.filter(above, lambda i: i > t)) - F.array_max(F.filter(above, lambda i: i < t)) - 2
+        return bound(_trough(w), inner)
+
+    return bound(F.array_min(w) / 2.0, ends).cast("double") / float(fs)
 
 
 def repolarization_time(wave, fs: float, criterion: float | str = 0.75) -> Column:
     """Seconds from the peak behind the trough until criterion times the peak is reached, or "inflection"; null if it isn't."""
     if criterion == "inflection":
         return kernels.inflection(col(wave), fs)
-    tail = _after_trough(col(wave))
-    peak = F.array_max(tail)
-    at = F.array_position(tail, peak).cast("int")
-    falling = F.slice(tail, at, F.size(tail) - at + 1)
-    first = F.array_min(F.filter(F.transform(falling, lambda x, i: F.when(x <= criterion * peak, i)), lambda i: i.isNotNull()))
-    return first.cast("double") / float(fs)
+    def first(tail: Column) -> Column:
+        at = F.array_position(tail, F.array_max(tail)).cast("int")
+        falling = F.slice(tail, at, F.size(tail) - at + 1)
+        reached = lambda level: F.array_min(F.filter(F.transform(falling, lambda x, i: F.when(x <= level, i)), lambda i: i.isNotNull()))
+        return bound(criterion * F.array_max(tail), reached)
+
+    return bound(_after_trough(col(wave)), first).cast("double") / float(fs)
 
 
 def trough_peak_amp_ratio(wave) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..functions.exprs import complex_to_spec_type, div
+from ..functions.exprs import bound, complex_to_spec_type, div
 from . import stats
 from .windows import pool_intervals, runs
 
@@ -192,8 +192,9 @@ def burst_analysis(df: DataFrame, keys: list[str], fs: float, bands: DataFrame |
 
 
 def remove_dc(df: DataFrame, samples: str = "samples") -> DataFrame:
-    mean = F.aggregate(samples, F.lit(0.0), lambda a, x: a + x) / F.size(samples)
-    return df.withColumn(samples, F.when(F.size(samples) > 0, F.zip_with(samples, F.transform(samples, lambda x: mean), lambda x, m: x - m)).otherwise(F.col(samples)))
+    """samples less their mean; empty arrays stay."""
+    mean = div(F.aggregate(samples, F.lit(0.0), lambda a, x: a + x), F.size(samples))
+    return df.withColumn(samples, bound(mean, lambda m: F.transform(samples, lambda x: x - m)))
 
 
 def remove_evoked(long: DataFrame, value: str, by: list[str], time: str, label: str | None = None) -> DataFrame:
