@@ -324,8 +324,9 @@ def jackknife_mean(df: DataFrame, value: str, by: list[str], out: str = "left_ou
     return j.withColumn(out, div(F.col("__s") - F.col(value), F.col("__n") - 1)).drop("__s", "__n")
 
 
-def pseudovalue(x, left_out, n) -> Column:
-    return col(n) * col(x) - (col(n) - 1) * col(left_out)
+def pseudovalue(whole, left_out, n) -> Column:
+    """From the statistic of all n observations, and that without one."""
+    return col(n) * col(whole) - (col(n) - 1) * col(left_out)
 
 
 # --- by name --------------------------------------------------------------------------------------
