@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import bound
 from .common import WORD_RE, checkpointed, free_name, lookup_join
 
 #: Lines of fewer words are dropped only if they are the same as an earlier one.
@@ -70,8 +71,8 @@ def _variants(docs: DataFrame, doc_id: str, text: str, partners: DataFrame) -> D
     s = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     own = docs.select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(s).alias("copy"), s.alias("text")).withColumn("key", F.struct("id", "copy")).drop("id", "copy")
     held = lookup_join(own, places.select(F.struct("id", "copy").alias("key"), "places"), ["key"], "inner")
-    numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("at"), x.alias("line")))
-    lines = held.select("key", F.explode(F.filter(numbered, lambda x: F.array_contains("places", x["at"]))).alias("x"))
+    split = held.select("key", "places", F.split("text", "\n").alias("lines"))
+    lines = split.select("key", F.explode(F.transform("places", lambda at: F.struct(at.alias("at"), F.get("lines", at).alias("line")))).alias("x"))
     lines = lines.select("key.id", "key.copy", "x.at", _words("x.line").alias("words")).dropDuplicates(["id", "copy", "at"])
     as_hex = F.transform("words", lambda w: F.lpad(F.hex(F.xxhash64(w)), 16, "0"))
     lines = lines.select(_order().alias("first"), F.unhex(F.array_join(as_hex, "")).alias("words"), F.size("words").alias("n"))
@@ -127,7 +128,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cou
     keyed = docs.select(*(F.col(f"`{c}`") for c in names), F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias(key))
     joined = keyed.join(drops.hint("shuffle_hash"), F.col(f"`{doc_id}`").eqNullSafe(F.col("drop_id")) & (F.col(key) == F.col("drop_copy")), "left")
     lines = F.split(F.col(f"`{text}`"), "\n")
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(places), i)), "\n")
+    # In one pass over the lines, however many are dropped.
+    rest = lambda each: F.array_except(F.sequence(F.lit(0), F.size(each) - 1), F.col(places))
+    left = bound(lines, lambda each: F.array_join(F.transform(rest(each), lambda i: F.get(each, i)), "\n"))
     new = F.when(F.col(places).isNull(), F.col(f"`{text}`")).otherwise(left)
     out = [new.alias(c) if c == text else F.col(f"`{c}`") for c in names]
     if counts:
