@@ -68,7 +68,7 @@ def cells(prints: np.ndarray) -> np.ndarray:
     return (point @ weights)[:, None] + (_STEPS @ weights)[None, :]
 
 
-def _stars(prints: np.ndarray, left: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _stars(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each fingerprint of a block that links with another, the smallest reached by links within the block."""
     n = len(prints)
     p = prints.view(np.uint64)
