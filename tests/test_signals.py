@@ -134,3 +134,12 @@ def test_plot_data(spark, wave):
     assert plotdata.mean_waveforms(wave, []).count() == 512
     assert plotdata.waveform_histogram(wave, -2.0, 2.0).agg(F.sum("n")).first()[0] == 4 * 512
     assert plotdata.heatmap(long, "i", "trial", "x").count() == 4 * 512
+
+
+def test_long_series(spark):
+    """What functions of elements refer to is worked out once: a long series costs its length, not its square."""
+    n = 200_000
+    s = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.when(i == n // 2, -8.0).otherwise(i % 2 + 0.0)).alias("samples"))
+    x = spectral.remove_dc(s).select(F.aggregate("samples", F.lit(0.0), lambda a, v: a + v).alias("sum"), F.array_min("samples").alias("low")).first()
+    assert abs(x["sum"]) < 1e-4 and abs(x["low"] + 8.5) < 1e-3
+    assert s.select(exprs.trough_width("samples", 1.0).alias("w")).first()["w"] == 0.0
