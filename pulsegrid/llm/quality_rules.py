@@ -7,6 +7,10 @@ sketch has some hundred buckets whatever its number of texts, and merging is add
 a language's sketch is the sum of its sources'. Texts that fail the base rules are in no sketch. A text fails if a measure lies outside the fence of its sketch:
 quartile plus or minus the larger of three times the distance of the quartiles and a fixed slack. A source with few
 texts of the language uses the language's sketch, a language with few texts that of all.
+
+The query's slacks are those of its SQL. They are so wide that few texts reach a fence, so the pipeline's stage has
+slacks of its own, a few units each (TIGHT), and leaves lines that repeat out of the measure of repeated words: they
+count as repeated lines.
 """
 
 from __future__ import annotations
@@ -19,6 +23,10 @@ from .common import WORD_RE, checkpointed, free_name, lookup_join
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Measure, the slack above the upper quartile, the slack below the lower quartile (None: no lower fence).
 MEASURES = (("symbols", 80, None), ("repeats", 300, None), ("lines", 400, None), ("length", 400, 250))
+#: The same for the stage: one repeated window in 500 words, one repeated line in 40, one character a word.
+TIGHT = (("symbols", 10, None), ("repeats", 32, None), ("lines", 25, None), ("length", 100, 100))
+#: Words in windows that repeat even when each line of the text is left once.
+FRESH = "n_fresh_repeats"
 #: Texts that a source's, or a language's, own sketch needs.
 ENOUGH = 100
 
@@ -52,15 +60,28 @@ def counts(df: DataFrame, text: str = "text") -> DataFrame:
     return placed.select(*kept, F.explode(F.array(counts_)).alias(all_)).select(*kept, *(F.col(f"{all_}.{c}").alias(c) for c in (*names, "n_repeat_words")))
 
 
+def fresh_counts(df: DataFrame, text: str = "text") -> DataFrame:
+    """counts() and FRESH. Only texts that repeat both lines and windows are counted again."""
+    once, n = free_name(df, "q_once"), "n_repeat_words"
+    whole = counts(df, text).drop(FRESH)
+    again = (F.col("n_dup_lines") > 0) & (F.col(n) > 0)
+    lines = F.filter(F.split(F.col(f"`{text}`").cast("string"), "\n"), lambda x: x.rlike(WORD_RE))
+    own = {c: free_name(whole, "q_" + c) for c in COUNTS}
+    first = whole.withColumn(once, F.when(again, F.array_join(F.array_distinct(lines), "\n"))).withColumnsRenamed(own)
+    fresh = F.when(F.col(once).isNull(), F.col(own[n])).otherwise(F.col(n))
+    second = counts(first, once).withColumn(FRESH, fresh).drop(once, *COUNTS)
+    return second.withColumnsRenamed({v: k for k, v in own.items()})
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def measures() -> Column:
+def measures(repeats: str = "n_repeat_words") -> Column:
     """Array of (measure, value): symbols a thousand word characters, repeated words a thousand words, repeated
     lines a thousand words, and word characters a hundred words."""
     words, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
-    each = {"symbols": F.floor(1000 * F.col("n_symbols") / chars), "repeats": F.floor(1000 * F.col("n_repeat_words") / words), "lines": F.floor(1000 * F.col("n_dup_lines") / words), "length": F.floor(100 * F.col("word_chars") / words)}
+    each = {"symbols": F.floor(1000 * F.col("n_symbols") / chars), "repeats": F.floor(1000 * F.col(repeats) / words), "lines": F.floor(1000 * F.col("n_dup_lines") / words), "length": F.floor(100 * F.col("word_chars") / words)}
     return F.array(*(F.struct(F.lit(k).alias("measure"), v.cast("long").alias("value")) for k, v in each.items()))
 
 
@@ -70,9 +91,9 @@ def bucket(v: Column) -> Column:
     return v - v % step
 
 
-def sketch(df: DataFrame, by: list[str]) -> DataFrame:
+def sketch(df: DataFrame, by: list[str], repeats: str = "n_repeat_words") -> DataFrame:
     """(by..., measure, bucket, n) for df that has the COUNTS. Tasks add up before the shuffle."""
-    each = df.select(*by, F.explode(measures()).alias("m"))
+    each = df.select(*by, F.explode(measures(repeats)).alias("m"))
     return each.groupBy(*by, F.col("m.measure").alias("measure"), bucket(F.col("m.value")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
@@ -81,14 +102,14 @@ def merge(sketches: DataFrame, by: list[str]) -> DataFrame:
     return sketches.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fences(sketches: DataFrame, by: list[str]) -> DataFrame:
+def fences(sketches: DataFrame, by: list[str], slacks: tuple = MEASURES) -> DataFrame:
     """(by..., total, then low and high of each measure): the fence of each sketch."""
     w = Window.partitionBy(*by, "measure")
     ranked = sketches.withColumn("up_to", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w))
     q = ranked.groupBy(*by, "measure").agg(F.max("total").alias("total"), F.min(F.when(4 * F.col("up_to") >= F.col("total"), F.col("bucket"))).alias("q1"), F.min(F.when(4 * F.col("up_to") >= 3 * F.col("total"), F.col("bucket"))).alias("q3"))
     spread = 3 * (F.col("q3") - F.col("q1"))
     cols = [F.max("total").alias("total")]
-    for name, above, below in MEASURES:
+    for name, above, below in slacks:
         here = F.col("measure") == name
         cols.append(F.max(F.when(here, F.col("q3") + F.greatest(spread, F.lit(above)))).alias(f"high_{name}"))
         if below is not None:
@@ -96,21 +117,21 @@ def fences(sketches: DataFrame, by: list[str]) -> DataFrame:
     return q.groupBy(*by).agg(*cols)
 
 
-def thresholds(df: DataFrame) -> DataFrame:
+def thresholds(df: DataFrame, slacks: tuple = MEASURES, repeats: str = "n_repeat_words") -> DataFrame:
     """(q_lang, q_source, fences...): a row for each language and source of df (q_lang, q_source, COUNTS) that has
     texts that pass the base rules."""
-    by_source = checkpointed(sketch(df.where(~base_failed()), ["q_lang", "q_source"]))
+    by_source = checkpointed(sketch(df.where(~base_failed()), ["q_lang", "q_source"], repeats))
     by_lang = merge(by_source, ["q_lang"])
-    own, lang, all_ = fences(by_source, ["q_lang", "q_source"]), fences(by_lang, ["q_lang"]), fences(merge(by_lang, []), []).first()
+    own, lang, all_ = fences(by_source, ["q_lang", "q_source"], slacks), fences(by_lang, ["q_lang"], slacks), fences(merge(by_lang, []), [], slacks).first()
     names = [c for c in own.columns if c.startswith(("high_", "low_"))]
     joined = own.join(lang.withColumnsRenamed({c: "lang_" + c for c in ["total", *names]}), "q_lang")
     pick = lambda c: F.when(F.col("total") >= ENOUGH, F.col(c)).when(F.col("lang_total") >= ENOUGH, F.col("lang_" + c)).otherwise(F.lit(all_[c]))
     return joined.select("q_lang", "q_source", *(pick(c).alias(c) for c in names))
 
 
-def within() -> Column:
+def within(repeats: str = "n_repeat_words") -> Column:
     """Whether a row with COUNTS and fences lies within them all."""
-    ok, each = F.lit(True), measures()
+    ok, each = F.lit(True), measures(repeats)
     for k, (name, _, below) in enumerate(MEASURES):
         v = each[k]["value"]
         ok = ok & (v <= F.col(f"high_{name}"))
@@ -123,11 +144,11 @@ def _keyed(df: DataFrame, lang: str, source: str) -> DataFrame:
     return df.withColumn("q_lang", F.coalesce(F.col(lang).cast("string"), F.lit(""))).withColumn("q_source", F.coalesce(F.col(source).cast("string"), F.lit("")))
 
 
-def judge(df: DataFrame, fence: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+def judge(df: DataFrame, fence: DataFrame, lang: str = "lang", source: str = "source", repeats: str = "n_repeat_words") -> DataFrame:
     """df, which has the COUNTS, with base_failed and kept. Null languages and sources count as empty ones."""
     own = {c: free_name(df, "in_" + c) for c in df.columns if c in fence.columns}
     joined = lookup_join(_keyed(df.withColumnsRenamed(own), own.get(lang, lang), own.get(source, source)), fence, ["q_lang", "q_source"])
-    judged = joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.coalesce(within(), F.lit(True)))
+    judged = joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.coalesce(within(repeats), F.lit(True)))
     return judged.drop(*fence.columns).withColumnsRenamed({v: k for k, v in own.items()})
 
 
@@ -141,9 +162,9 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents within all fences; texts are counted once for the fences and once to be judged, which costs
     less than a shuffle of the texts."""
-    fence = thresholds(_keyed(counts(docs.select("lang", "source", "text")), "lang", "source").drop("lang", "source", "text"))
-    own = {c: free_name(docs, "in_" + c) for c in docs.columns if c in (*COUNTS, "base_failed", "kept")}
-    kept = judge(counts(docs.withColumnsRenamed(own)), fence).where("kept")
+    fence = thresholds(_keyed(fresh_counts(docs.select("lang", "source", "text")), "lang", "source").drop("lang", "source", "text"), TIGHT, FRESH)
+    own = {c: free_name(docs, "in_" + c) for c in docs.columns if c in (*COUNTS, FRESH, "base_failed", "kept")}
+    kept = judge(fresh_counts(docs.withColumnsRenamed(own)), fence, repeats=FRESH).where("kept")
     return kept.select(*(F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns))
 
 

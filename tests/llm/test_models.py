@@ -175,6 +175,26 @@ def test_rules_cases(spark, docs_of):
     assert quality_rules.stage(spark, docs.limit(0), "").count() == 0
 
 
+def test_stage_fences_reject_outliers(spark, docs_of):
+    """Each outlier passes the base rules and lies outside one fence alone; a repeated license line is no outlier."""
+    text = lambda k, n=200: [f"w{k % 10}{j:03d}" for j in range(n)]
+    lines = [" ".join(f"l{k}{j:02d}x" for j in range(6)) for k in range(10)]
+    license_line = " ".join(f"right{j}" for j in range(12))
+    outliers = {
+        1000: " ".join(w + ("#" if j % 8 == 0 else "") for j, w in enumerate(text(1))),  # 25 symbols a thousand characters
+        1001: " ".join(text(1) + text(1)[:20]),  # 181 repeated words a thousand
+        1002: "\n".join([" ".join(text(1, 100)), *lines, *lines[::-1]]),  # 45 repeated lines a thousand words, no repeated window
+        1003: " ".join(w + "abc" for w in text(1)),
+        1004: " ".join(chr(97 + j % 26) + chr(97 + j // 26) + "a" for j in range(200)),
+    }
+    kept = {2000: "\n".join([" ".join(text(2, 400)), license_line, " ".join(f"v{j:04d}" for j in range(9)), license_line])}
+    docs = docs_of(*((k, " ".join(text(k))) for k in range(200)), *outliers.items(), *kept.items())
+    assert not [r.doc_id for r in quality_rules.counts(docs).where(quality_rules.base_failed()).collect()]
+    assert {r.doc_id for r in quality_rules.stage(spark, docs, "").collect()} == {*range(200), *kept}
+    high = {r.doc_id: {m.measure: m.value for m in r.m} for r in quality_rules.fresh_counts(docs.where("doc_id >= 1000")).withColumn("m", quality_rules.measures(quality_rules.FRESH)).collect()}
+    assert high[1000]["symbols"] > 10 and high[1001]["repeats"] > 32 and high[2000]["repeats"] == 0
+
+
 # --- urls -----------------------------------------------------------------------------------------
 
 
