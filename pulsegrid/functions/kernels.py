@@ -86,8 +86,14 @@ def lda(x: np.ndarray, y: np.ndarray, test: np.ndarray) -> np.ndarray:
     labels = np.unique(y)
     means = np.stack([x[y == g].mean(0) for g in labels])
     rest = np.concatenate([x[y == g] - m for g, m in zip(labels, means)])
-    precise = np.linalg.pinv(rest.T @ rest / max(1, len(x) - len(labels)))
-    return labels[np.argmax(test @ precise @ means.T - 0.5 * np.einsum("ij,jk,ik->i", means, precise, means), axis=1)]
+    weights, offsets = lda_weights(means, rest.T @ rest, len(x))
+    return labels[np.argmax(test @ weights - offsets, axis=1)]
+
+
+def lda_weights(means: np.ndarray, cross: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and offsets of each label's score, from labels' means and the cross-products within labels of n rows."""
+    precise = np.linalg.pinv(cross / max(1, n - len(means)))
+    return precise @ means.T, 0.5 * np.einsum("ij,jk,ik->i", means, precise, means)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, test: np.ndarray, ridge: float = 1e-6) -> np.ndarray:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,15 +143,99 @@ percent_explained_variance = pev
 def folds(df: DataFrame, obs: str, label: str, by: list[str], k: int = 5, seed: str = "0", out: str = "fold") -> DataFrame:
     """df with a fold for each observation: within series and label, observations in order of a hash are dealt round."""
     order = F.md5(F.concat_ws("|", F.lit(seed), F.col(obs).cast("string")).cast("binary"))
-    return df.withColumn(out, F.pmod(F.row_number().over(Window.partitionBy(*by, label).orderBy(order, obs)), F.lit(k)))
+    # Ranks in buckets of the hash, each behind the counts of those before it: a label isn't one task.
+    keys = [*by, label, "__bucket"]
+    d = df.withColumn("__order", order).withColumn("__bucket", F.substring("__order", 1, 3))
+    before = F.sum("count").over(Window.partitionBy(*by, label).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
+    starts = d.groupBy(*keys).count().select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)), F.coalesce(before, F.lit(0)).alias("__before"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("__order", obs)) + F.col("__before")
+    return d.join(starts, _same(keys)).withColumn(out, F.pmod(rank, F.lit(k)).cast("int")).select(*df.columns, out)
+
+
+def _same(keys: list[str]) -> Column:
+    """Whether keys equal the columns __k0, __k1, ..., nulls too."""
+    ok = F.lit(True)
+    for i, c in enumerate(keys):
+        ok = ok & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    return ok
+
+
+def _lda_counts(f: DataFrame, by: list[str], k: int) -> DataFrame:
+    """(by..., right, n) for f (by..., __y, __x, fold). Counts, means and cross-products of each fold and label are
+    merged, the discriminant of each fold is solved from them, and rows are scored where they lie."""
+    kind, head = f.schema["__y"].dataType.simpleString(), "".join(f"`{c}` {f.schema[c].dataType.simpleString()}, " for c in by)
+    keys, cols = [*by, "fold", "__y"], [*by, "fold", "__y", "part", "n", "mean", "cross"]
+    sums = f"{head}fold int, __y {kind}, part int, n long, mean array<double>, cross array<double>"
+
+    def gather(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = TaskContext.get().partitionId()
+        for frame in frames:
+            rows = []
+            for key, g in frame.groupby(keys, dropna=False, sort=False):
+                x = np.stack(g["__x"].to_numpy()).astype(float)
+                rest = x - x.mean(0)
+                rows.append((*key, part, len(x), x.mean(0), (rest.T @ rest).ravel()))
+            yield pd.DataFrame(rows, columns=cols)
+
+    def merge(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        n, mean, cross = 0, 0.0, 0.0
+        for m, x, c in frame.sort_values(["part", "n"])[["n", "mean", "cross"]].itertuples(index=False):
+            off = np.asarray(x) - mean
+            cross = cross + np.asarray(c) + np.outer(off, off).ravel() * (n * m / (n + m))
+            mean, n = mean + off * (m / (n + m)), n + m
+        return pd.DataFrame([(*key, n, mean, cross)], columns=cols)
+
+    each = f.mapInPandas(gather, sums)
+    for fan in (64, 1):
+        each = each.groupBy(*keys, F.pmod("part", F.lit(fan)).alias("__fan")).applyInPandas(merge, sums)
+
+    def solve(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for fold in range(k):
+            train = frame[frame["fold"] != fold]
+            labels, means, cross = np.unique(train["__y"].to_numpy()), [], 0.0
+            for g in labels:
+                own = train[train["__y"] == g]
+                n, x = own["n"].to_numpy(float), np.stack(own["mean"].to_numpy())
+                mean = n @ x / n.sum()
+                means.append(mean)
+                cross = cross + np.sum(np.stack(own["cross"].to_numpy()), axis=0).reshape(len(mean), -1) + ((x - mean) * n[:, None]).T @ (x - mean)
+            if len(labels):
+                weights, offsets = kernels.lda_weights(np.stack(means), cross, int(train["n"].sum()))
+                rows.append((*key, fold, labels.tolist(), weights.ravel(), offsets))
+        return pd.DataFrame(rows, columns=[*models, "labels", "weights", "offsets"])
+
+    models = [f"__k{i}" for i in range(len(by) + 1)]
+    fits = "".join(f"{m} {f.schema[c].dataType.simpleString()}, " for m, c in zip(models, by)) + f"{models[-1]} int, labels array<{kind}>, weights array<double>, offsets array<double>"
+    solved = each.groupBy(*by).applyInPandas(solve, fits)
+    joined = f.join(solved if by else F.broadcast(solved), _same([*by, "fold"]), "left")  # without series: k rows
+
+    def score(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for key, g in frame.groupby([*by, "fold"], dropna=False, sort=False):
+                r, right = g.iloc[0], 0
+                if r["labels"] is not None:
+                    offsets = np.asarray(r["offsets"])
+                    x = np.stack(g["__x"].to_numpy()).astype(float)
+                    best = np.argmax(x @ np.asarray(r["weights"]).reshape(-1, len(offsets)) - offsets, axis=1)
+                    right = int((np.asarray(r["labels"])[best] == g["__y"].to_numpy()).sum())
+                rows.append((*key[:-1], right, len(g)))
+            yield pd.DataFrame(rows, columns=[*by, "right", "n"])
+
+    return joined.select(*f.columns, "labels", "weights", "offsets").mapInPandas(score, f"{head}right long, n long")
 
 
 def decode(df: DataFrame, features: str, label: str, obs: str, by: list[str], decoder: str | Callable = "lda", k: int = 5, seed: str = "0", as_pct: bool = False) -> DataFrame:
     """(by..., accuracy, n): share of held-out observations whose label is predicted, over k stratified folds.
 
-    features is an array column. Fold and series are one task each: it gets the series' observations, which have to
-    fit in it. decoder: lda, logistic, or a function of (train x, train y, test x) to predictions."""
+    features is an array column. decoder: lda, which is solved from sums of any number of observations, or logistic,
+    svm or a function of (train x, train y, test x) to predictions; for these, fold and series are one task each,
+    which gets all observations of the series."""
     f = folds(df.where(F.col(label).isNotNull()), obs, label, by, k, seed).select(*by, F.col(label).alias("__y"), F.col(features).alias("__x"), "fold")
+    if decoder == "lda":
+        s = _lda_counts(f, by, k).groupBy(*by).agg(F.sum("right").alias("right"), F.sum("n").alias("n"))
+        return s.select(*by, (div("right", "n") * (100.0 if as_pct else 1.0)).alias("accuracy"), "n")
     fit = decoder if callable(decoder) else kernels.DECODERS[decoder]
     each = f.withColumn("__test", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
 

@@ -102,6 +102,19 @@ def test_decode(spark):
         assert info.decode(df, "x", "label", "obs", [], decoder).first().accuracy > 0.9
 
 
+def test_decode_lda_gathers_no_series(spark, monkeypatch):
+    """The same counts as the kernel over the whole table, which no task gets."""
+    rng = np.random.default_rng(1)
+    rows = [(s, i, "ab"[i % 2], (1000.0 + rng.standard_normal(4) + 0.8 * (i % 2)).tolist()) for s in ("x", None) for i in range(150)]
+    df = spark.createDataFrame(rows, "s string, obs int, label string, x array<double>").repartition(5)
+    for by in ([], ["s"]):
+        want = {tuple(r[:-2]): (r.accuracy, r.n) for r in info.decode(df, "x", "label", "obs", by, info.kernels.lda).collect()}
+        got = info.decode(df, "x", "label", "obs", by)
+        assert {tuple(r[:-2]): (r.accuracy, r.n) for r in got.collect()} == want
+    monkeypatch.setitem(info.kernels.DECODERS, "lda", None)
+    assert info.decode(df, "x", "label", "obs", []).first().n == 300
+
+
 def test_zscore_and_guards(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0), ("b", 5.0)], "k string, v double")
     z = {(r.k, r.v): r.z for r in stats.zscore(df, "v", ["k"]).collect()}
