@@ -7,6 +7,7 @@ import codecs
 import hashlib
 import os
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -86,13 +87,13 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
         table, encoder = loaded(path, pattern)
         lengths = np.array([len(t) for t in table])
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):  # few enough that a batch of long texts stays small
-                part = batch.slice(k, 1024)
-                texts = part.column(part.schema.get_field_index(src)).to_pylist()
-                got = [encoder.encode(s) for s in texts]
+            for row, flat, bounds in encoder.parts(batch.column(batch.schema.get_field_index(src))):
+                part = batch.slice(row, len(bounds) - 1)
+                got = [flat[a:b].astype("<u4").tobytes() for a, b in pairwise(bounds.tolist())]
                 cols = [c for c, f in zip(part.columns, part.schema) if f.name != src] + [pa.array(got, pa.binary())]
                 names = [f.name for f in part.schema if f.name != src] + [ids]
                 if offsets:
+                    texts = part.column(part.schema.get_field_index(src)).to_pylist()
                     at = [character_offsets((s or "").encode(), byte_offsets(np.frombuffer(g, "<u4"), lengths))[:-1] for s, g in zip(texts, got)]
                     cols.append(pa.array(at, pa.list_(pa.int32())))
                     names.append(offsets)
@@ -148,7 +149,7 @@ def load_ranks_once(path: str) -> list[bytes]:
 def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """df without its text, with digests of both directions in one pass: n_tokens, ids_sha256 (of the decimal ids
     with a space between) and decoded_sha256 (of the bytes that the ids stand for). Columns of df that are named
-    like these are replaced; null text counts as empty."""
+    like these are replaced; null text counts as empty; a very long text is encoded whole; an empty table stays empty."""
     new = ["n_tokens", "ids_sha256", "decoded_sha256"]
     rest = [c for c in df.columns if c != text and c not in new]
 
@@ -156,11 +157,13 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> Da
         table, encoder = loaded(path, pattern)
         for batch in batches:
             out: list[list] = [[], [], []]
-            for s in batch.column(len(rest)).to_pylist():
-                ids = np.frombuffer(encoder.encode(s), "<u4").tolist()
-                out[0].append(len(ids))
-                out[1].append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
-                out[2].append(hashlib.sha256(b"".join(map(table.__getitem__, ids))).hexdigest())
+            for _, flat, bounds in encoder.parts(batch.column(len(rest))):
+                every = flat.tolist()
+                for a, b in pairwise(bounds.tolist()):
+                    ids = every[a:b]
+                    out[0].append(len(ids))
+                    out[1].append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+                    out[2].append(hashlib.sha256(b"".join(map(table.__getitem__, ids))).hexdigest())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], [*rest, *new])
 
     kept = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").cast("string").alias(free_name(df, "text_in")))

@@ -5,9 +5,12 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+from collections.abc import Iterator
 from itertools import chain, pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +21,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir that driver and executors share; a temporary one only where that is unset."""
+    """The folder in spark.checkpoint.dir that driver and executors share. Where that is unset, a temporary one, but
+    only if driver and executors are one process; on a cluster it has to be set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         sc = spark.sparkContext
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = getattr(sc, "_pulsegrid_shared", None) or "file://" + tempfile.mkdtemp(prefix="pulsegrid-")
         sc._pulsegrid_shared = root
     return root
@@ -64,24 +70,39 @@ def ascii_lower(text: Column) -> Column:
 
 # --- tokenizers -----------------------------------------------------------------------------------
 
-#: Letters U+0041 to U+024F; behind them, before ASCII punctuation other than the apostrophe, a unit ends too.
-_UNITS = re.compile("[ \\t-\\r]*[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]++(?=[!-&(-/:-@\\[-`{-~])|[ \\t-\\r]*[^ \\t-\\r]+|[ \\t-\\r]+")
-_WORDS = re.compile(_UNITS.pattern.replace("[ \\t-\\r]*", "").removesuffix("|[ \\t-\\r]+"))
-_LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
+#: What a byte is to the unit encoder: other, white space (space and U+0009 to U+000D), ASCII letter, ASCII punctuation.
+_OTHER, _SPACE, _LETTER, _POINT = range(4)
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[[0x20, *range(0x09, 0x0E)]] = _SPACE
+_KINDS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_KINDS[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = _POINT
+_LOWERED = np.arange(256, dtype=np.uint8)
+_LOWERED[0x41:0x5B] += 32
+_LETTERS = re.compile(rb"[a-z]+")
+
+
+def _any_of(*ranges: str) -> re.Pattern:
+    """A pattern over UTF-8 bytes for the characters of the ranges, each given by its ends."""
+    each = dict.fromkeys(chr(c).encode() for r in ranges for c in range(ord(r[0]), ord(r[-1]) + 1))
+    return re.compile(b"|".join(map(re.escape, each)))
+
+
+#: White space besides space and U+0009 to U+000D, and what Python alone calls so.
+_ODD_SPACE = ("\x1c\x1f", "\x85", "\xa0", "\u1680", "\u180e", "\u2000\u200f", "\u2028\u202f", "\u205f", "\u2060", "\u3000", "\ufeff")
 #: Marks that may combine with a letter before them.
-_MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff]")
-#: White space besides space and U+0009 to U+000D, and what Python alone calls so: such texts are encoded whole.
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]")
+_MARKS = ("\u0300\u036f", "\u1ab0\u1aff", "\u1dc0\u1dff", "\u20d0\u20ff")
 
 
 class UnitEncoder:
-    """Encodes texts with a tokenizers.Tokenizer, keeping the ids of recent units.
+    """Encodes texts with a tokenizers.Tokenizer, each different unit of a part of a column once.
+
+    A unit is a run of white space with what stands behind it up to the next white space; it also ends between an
+    ASCII letter and ASCII punctuation. Every pre-tokenizing pattern here starts a new match at white space, and at
+    punctuation behind a letter, so no token reaches over the end of a unit, and a text's ids are its units' ids in
+    turn. Texts with odd white space, or with the spelling of an added token, are one unit: the library sees them whole.
 
-    A unit is a run of white space with the word behind it, or punctuation behind a word. Every pre-tokenizing
-    pattern here starts a new match at white space, and at punctuation behind a letter, so no token reaches over the
-    end of a unit, and a text's ids are its units' ids in turn.
-    The cache has two generations of at most `most` units: when the new one is full it becomes the old one, and
-    units that are met again move over. Ids don't depend on it.
+    The ids of recent units are kept in two generations of at most `most` units: when the new one is full it becomes
+    the old one, and units that are met again move over. Ids don't depend on it.
     """
 
     def __init__(self, tokenizer, bare=None, most: int = 300_000):
@@ -89,64 +110,115 @@ class UnitEncoder:
         are then kept without white space, A-Z in lower case; bare, the same tokenizer without what finds and
         normalises words, encodes those that are nothing but letters in lower case."""
         self.tokenizer, self.bare, self.most, self.ids, self.old = tokenizer, bare, most, {}, {}
+        self.odd = [_any_of(*_ODD_SPACE, *(_MARKS if bare else ()))]
+        if added := [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]:
+            self.odd.append(re.compile(b"|".join(map(re.escape, added))))
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        if self.bare is None:
-            return self._library(self.tokenizer, texts)
-        plain = [bool(_LETTERS.fullmatch(s)) for s in texts]
-        fast = iter(self._library(self.bare, [s for s, p in zip(texts, plain) if p]))
-        full = iter(self._library(self.tokenizer, [s for s, p in zip(texts, plain) if not p]))
-        return [next(fast if p else full) for p in plain]
-
-    @staticmethod
-    def _library(tokenizer, texts: list[str]) -> list[bytes]:
-        if not texts:
+    def _library(self, tokenizer, units: list[bytes]) -> list[bytes]:
+        if not units:
             return []
-        each = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        each = [e.ids for e in tokenizer.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)]
         ends = np.cumsum([len(x) for x in each]) * 4
         flat = np.fromiter(chain.from_iterable(each), "<u4", int(ends[-1]) // 4).tobytes()
         return [flat[a:b] for a, b in pairwise([0, *ends.tolist()])]
 
-    def _split(self, text: str) -> list[str]:
-        if self.bare is None or _MARKS.search(text):
-            return _UNITS.findall(text)
-        return _WORDS.findall(text.encode().lower().decode())  # bytes have A-Z lower-cased alone
+    def _encode(self, units: list[bytes]) -> list[bytes]:
+        if self.bare is None:
+            return self._library(self.tokenizer, units)
+        plain = [bool(_LETTERS.fullmatch(u)) for u in units]
+        fast = iter(self._library(self.bare, [u for u, p in zip(units, plain) if p]))
+        full = iter(self._library(self.tokenizer, [u for u, p in zip(units, plain) if not p]))
+        return [next(fast if p else full) for p in plain]
+
+    def _known(self, units: list[bytes]) -> list[bytes]:
+        """The ids of different units, from those kept or from the library."""
+        if len(self.ids) + len(units) > self.most:
+            self.old, self.ids = self.ids, {}
+        ids, old = self.ids, self.old
+        got = [ids.get(u) for u in units]
+        missing = []
+        for k, (u, g) in enumerate(zip(units, got)):
+            if g is None:
+                if (g := old.get(u)) is None:
+                    missing.append(k)
+                else:
+                    ids[u] = got[k] = g
+        new = [units[k] for k in missing]
+        for k, u, g in zip(missing, new, self._encode(new)):
+            got[k] = g
+            if len(u) < 200:
+                ids[u] = g
+        return got
+
+    def _part(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds): the ids of the texts data[at[k]:at[k + 1]] one behind the other, and where each begins."""
+        kind, size = _KINDS[data], len(data)
+        space = kind == _SPACE
+        start = np.zeros(size + 1, bool)
+        start[1:size] = (space[1:] & ~space[:-1]) | ((kind[1:] == _POINT) & (kind[:-1] == _LETTER))
+        raw = data.tobytes()
+        odd = np.unique([np.searchsorted(at, m.start(), "right") - 1 for p in self.odd for m in p.finditer(raw)]).astype(int)
+        if self.bare is not None:
+            # A unit begins at its first character, and white space is left out.
+            start[1:size] = (space[:-1] & ~space[1:]) | start[1:size] & ~space[1:]
+            keep, data = ~space, _LOWERED[data]
+            for a, b in zip(at[odd], at[odd + 1]):
+                keep[a:b], data[a:b] = True, np.frombuffer(raw[a:b], np.uint8)
+        for a, b in zip(at[odd], at[odd + 1]):
+            start[a:b] = False
+        start[at] = True
+        if self.bare is not None:
+            before = np.concatenate([[0], np.cumsum(keep)])
+            data, units, at = data[keep], before[start], before[at]
+            units = units[np.diff(units, prepend=-1) > 0]
+        else:
+            units = np.flatnonzero(start)
+        units = units[units < len(data)]
+        column = pa.Array.from_buffers(pa.large_binary(), len(units), [None, pa.py_buffer(np.append(units, len(data)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+        distinct = column.dictionary_encode()
+        codes, ids = distinct.indices.to_numpy(), self._known(distinct.dictionary.to_pylist())
+        n = np.array([len(x) // 4 for x in ids], np.int64)
+        flat, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(n) - n
+        each = n[codes]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        where = np.repeat(first[codes] - ends[:-1], each) + np.arange(ends[-1])
+        return flat[where], ends[np.searchsorted(units, at)]
+
+    def parts(self, column: pa.Array, end_id: int | None = None, most_bytes: int = 1 << 22) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(row, ids, bounds) for runs of rows from that row on, some most_bytes of text or one text at a time: the
+        ids (u32) of row + k are ids[bounds[k]:bounds[k + 1]]. Null texts count as empty. end_id: put behind each."""
+        column = pc.fill_null(column, "").cast(pa.large_binary())
+        _, offsets, values = column.buffers()
+        at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+        data, row = np.frombuffer(values or b"", np.uint8), 0
+        while row < len(column):
+            stop = max(row + 1, int(np.searchsorted(at, at[row] + most_bytes, "right")) - 1)
+            ids, bounds = self._part(data[at[row] : at[stop]], at[row : stop + 1] - at[row])
+            if end_id is not None:
+                ids, bounds = np.insert(ids, bounds[1:], end_id), bounds + np.arange(len(bounds))
+            yield row, ids, bounds
+            row = stop
 
     def encode(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers; none for null."""
-        if not text:
-            return b""
-        if _ODD_SPACE.search(text):
-            return self._encode([text])[0]
-        units, known = self._split(text), self.ids
-        if missing := [u for u in set(units) if u not in known]:
-            if len(known) + len(missing) > self.most:
-                self.old, self.ids = known, {}
-                known, missing = self.ids, list(set(units))
-            old = self.old
-            new = [u for u in missing if u not in old]
-            known.update((u, old[u]) for u in missing if u in old)
-            known.update(zip(new, self._encode(new)))
-        return b"".join(map(known.__getitem__, units))
+        """One text's ids as little-endian unsigned 32-bit integers; none for null."""
+        return b"".join(ids.astype("<u4").tobytes() for _, ids, _ in self.parts(pa.array([text], pa.string())))
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}
 
 
 def json_encoder(path: str, folds: bool = False) -> UnitEncoder:
-    """The encoder of a tokenizers file, one for each Python worker; special tokens in a text are ordinary text.
-    folds: see UnitEncoder.__init__; the file's tokenizer works on bytes."""
+    """The encoder of a tokenizers file, one for each Python worker. A special token's spelling in a text is that
+    token, as in the library's plain call. folds: see UnitEncoder.__init__; the file's tokenizer works on bytes."""
     if path not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
         bare = None
         if folds:
             bare = Tokenizer.from_file(path)
             bare.normalizer, bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        _ENCODERS[path] = UnitEncoder(t, bare)
+        _ENCODERS[path] = UnitEncoder(Tokenizer.from_file(path), bare)
     return _ENCODERS[path]
 
 

@@ -95,16 +95,20 @@ class Packer:
         return got
 
 
-def pack(df: DataFrame, tokenizer: str, end_id: int, folds: bool = False, doc_id: str = "doc_id", text: str = "text", tiers: tuple[int, ...] = TIERS, step_tokens: int = 1 << 19, at_once: int = 1 << 21) -> DataFrame:
+def pack(
+    df: DataFrame, tokenizer: str, end_id: int, folds: bool = False, doc_id: str = "doc_id", text: str = "text",
+    tiers: tuple[int, ...] = TIERS, step_tokens: int = 1 << 19, at_once: int = 1 << 21,
+) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian u32), doc_tokens, sequence_id, offset, tier, step_group.
 
-    Tiers are powers of two, each twice the last. folds: see json_encoder. Every partition of df is packed on its own, as it is read, about
-    at_once ids at a time, so there is no shuffle, memory is bounded, and a repeated task gives the same rows. Null
-    texts count as empty: end_id alone. Rows of one doc_id are documents of their own. Other columns are ignored.
+    Tiers are powers of two, each twice the last. folds: see json_encoder. Every partition of df is packed on its own,
+    as it is read, about at_once ids at a time, so there is no shuffle, memory is bounded, and a repeated task gives
+    the same rows. A very long text is encoded whole and cut into windows. Null texts count as empty: end_id alone.
+    Rows of one doc_id are documents of their own. Other columns are ignored; an empty table gives no row.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = json_encoder(tokenizer, folds), np.array([end_id], "<u4").tobytes()
+        encoder = json_encoder(tokenizer, folds)
         part = TaskContext.get().partitionId() << 36
         packer, n_sequences, n_ids = Packer(tiers), 0, 0
 
@@ -134,10 +138,11 @@ def pack(df: DataFrame, tokenizer: str, end_id: int, folds: bool = False, doc_id
 
         held, n_held = [], 0
         for batch in batches:
-            for key, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encoder.encode(s) + end
-                held.append(((key, ids), len(ids) // 4))
-                n_held += len(ids) // 4
+            keys = batch.column(0).to_pylist()
+            for row, flat, bounds in encoder.parts(batch.column(1), end_id):
+                data, cut = flat.astype("<u4").tobytes(), bounds.tolist()
+                held += [((key, data[4 * a : 4 * b]), b - a) for key, a, b in zip(keys[row:], cut, cut[1:])]
+                n_held += cut[-1]
                 if n_held >= at_once:
                     packer.add(held)
                     held, n_held = [], 0

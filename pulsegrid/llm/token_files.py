@@ -2,14 +2,13 @@
 
 A file holds, in order:
 
-* header, 32 bytes: b"PGTOK001", then as little-endian u32 the bits of an id, ids in a block, and as u64 the ids
-  and the documents in the file;
+* header, 16 bytes: b"PGTOK002", then as little-endian u32 the bits of an id and the ids in a block;
 * blocks of `block` ids each, the last one shorter, an id in `bits` bits, lowest bit first, a block padded to a byte;
 * footer: as i64 the byte offset of each block, and of each document its doc_id (the least i64 for null), then the
-  number of ids before it; last the u64 byte offset of the footer.
+  number of ids before it; last as u64 the ids and the documents in the file, and the byte offset of the footer.
 
 All but the last block take the same number of bytes, so any run of ids is read by seeking to its blocks and
-unpacking those with numpy. Files are numbered in ascending order of doc_id, as are the documents within each.
+unpacking those with numpy. What is known only at the end stands at the end, so a file is written in one go. Files are numbered in ascending order of doc_id, as are the documents within each.
 """
 
 from __future__ import annotations
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import json_encoder, shared_dir
 
-MAGIC, HEADER, NULL_ID = b"PGTOK001", struct.Struct("<8sIIQQ"), -(2**63)
+MAGIC, HEADER, LAST, NULL_ID = b"PGTOK002", struct.Struct("<8sII"), struct.Struct("<QQQ"), -(2**63)
 
 
 def width(vocabulary: int) -> int:
@@ -64,14 +63,16 @@ class Writer:
 
     def __init__(self, out, bits: int, block: int):
         self.out, self.bits, self.block = out, bits, block
-        self.rest, self.n_rest, self.at, self.n = [], 0, HEADER.size, 0
+        self.rest, self.n_rest, self.at, self.n, self.n_docs = [], 0, HEADER.size, 0, 0
         self.offsets, self.docs, self.starts = [], [], []
-        out.write(b"\0" * HEADER.size)
+        out.write(HEADER.pack(MAGIC, bits, block))
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append(NULL_ID if doc_id is None else doc_id)
-        self.starts.append(self.n)
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, bounds: np.ndarray) -> None:
+        """Documents whose ids are ids[bounds[k]:bounds[k + 1]]."""
+        self.docs.append(np.array([NULL_ID if d is None else d for d in doc_ids], "<i8"))
+        self.starts.append((bounds[:-1] + self.n).astype("<i8"))
         self.n += len(ids)
+        self.n_docs += len(doc_ids)
         self.rest.append(ids)
         self.n_rest += len(ids)
         if self.n_rest >= 64 * self.block:
@@ -87,14 +88,13 @@ class Writer:
         self.rest = [ids[blocks * self.block :]]
         self.n_rest = len(self.rest[0])
 
-    def close(self) -> bytes:
-        """Writes what is left; the header's bytes, which belong at the start."""
+    def close(self) -> None:
+        """Writes what is left, and the footer."""
         if self.n_rest:
             self._flush(-(-self.n_rest // self.block))
-        for part in (self.offsets, self.docs, self.starts):
-            self.out.write(np.array(part, "<i8").tobytes())
-        self.out.write(struct.pack("<Q", self.at))
-        return HEADER.pack(MAGIC, self.bits, self.block, self.n, len(self.docs))
+        for part in (self.offsets, *self.docs, *self.starts):
+            self.out.write(np.asarray(part, "<i8").tobytes())
+        self.out.write(LAST.pack(self.n, self.n_docs, self.at))
 
 
 class Reader:
@@ -102,11 +102,11 @@ class Reader:
 
     def __init__(self, file):
         self.file = file
-        magic, self.bits, self.block, self.n, self.n_docs = HEADER.unpack(self._read(0, HEADER.size))
+        magic, self.bits, self.block = HEADER.unpack(self._read(0, HEADER.size))
         if magic != MAGIC:
             raise ValueError("not a token file")
         size = file.size() if callable(getattr(file, "size", None)) else file.seek(0, 2)
-        self.footer = struct.unpack("<Q", self._read(size - 8, 8))[0]
+        self.n, self.n_docs, self.footer = LAST.unpack(self._read(size - LAST.size, LAST.size))
         blocks = -(-self.n // self.block)
         table = np.frombuffer(self._read(self.footer, 8 * (blocks + 2 * self.n_docs)), "<i8")
         self.offsets, self.docs, self.starts = np.split(table, [blocks, blocks + self.n_docs])
@@ -136,38 +136,44 @@ class Reader:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]) if k + 1 < self.n_docs else self.n)
 
 
-def write(df: DataFrame, folder: str, tokenizer: str, vocabulary: int, end_id: int, doc_id: str = "doc_id", text: str = "text", block: int = 4096, partitions: int | None = None) -> DataFrame:
+def write(
+    df: DataFrame, folder: str, tokenizer: str, vocabulary: int, end_id: int,
+    doc_id: str = "doc_id", text: str = "text", block: int = 4096, partitions: int | None = None,
+) -> DataFrame:
     """Encodes every text, appends end_id, and writes token files to folder; returns the list of files.
 
     Rows are range-partitioned by doc_id (rows of one doc_id are taken in the order of their texts; nulls first),
     one file for a partition, and encoded behind that shuffle, so each text is encoded once. A null text counts as
     empty. The list has file, path, first_token (ids in the files before it), n_tokens, n_docs. A task writes
     under a name of its own and renames when done, so repeated tasks leave one whole file. An empty table gives no
-    file. Columns other than these two are ignored.
+    file. A long text is encoded whole, in memory. All rows of one doc_id, or without one, fall into one partition,
+    as the order of the output asks, and so into one file. Columns other than these two are ignored.
     """
     spark = df.sparkSession
     bits = width(vocabulary)
 
     def put(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = json_encoder(tokenizer), np.array([end_id], "<u4")
+        encoder = json_encoder(tokenizer)
         store, root = _store(folder)
         store.create_dir(root, recursive=True)
         part = TaskContext.get().partitionId()
         name, draft = posixpath.join(root, f"part-{part:06d}.tok"), posixpath.join(root, f".part-{part:06d}-{uuid.uuid4().hex}")
         writer, out = None, None
         for batch in batches:
-            for key, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            keys = batch.column(0).to_pylist()
+            for row, ids, bounds in encoder.parts(batch.column(1), end_id):
                 if writer is None:
                     out = store.open_output_stream(draft)
                     writer = Writer(out, bits, block)
-                writer.add(key, np.concatenate([np.frombuffer(encoder.encode(s), "<u4"), end]))
+                writer.add(keys[row : row + len(bounds) - 1], ids, bounds)
         if writer is None:
             return
-        header = writer.close()
+        writer.close()
         out.close()
-        _put_header(store, draft, header)
         store.move(draft, name)
-        yield pa.RecordBatch.from_pydict({"file": [part], "path": [posixpath.join(folder, f"part-{part:06d}.tok")], "n_tokens": [writer.n], "n_docs": [len(writer.docs)]}, schema=pa.schema([("file", pa.int32()), ("path", pa.string()), ("n_tokens", pa.int64()), ("n_docs", pa.int64())]))
+        schema = pa.schema([("file", pa.int32()), ("path", pa.string()), ("n_tokens", pa.int64()), ("n_docs", pa.int64())])
+        written = {"file": [part], "path": [posixpath.join(folder, posixpath.basename(name))], "n_tokens": [writer.n], "n_docs": [writer.n_docs]}
+        yield pa.RecordBatch.from_pydict(written, schema=schema)
 
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     n = [partitions] if partitions else []
@@ -181,22 +187,6 @@ def write(df: DataFrame, folder: str, tokenizer: str, vocabulary: int, end_id: i
     return spark.createDataFrame(rows, "file int, path string, first_token long, n_tokens long, n_docs long")
 
 
-def _put_header(store, path: str, header: bytes) -> None:
-    """Local stores are patched in place; others, whose files can't be changed, get the file anew."""
-    from pyarrow import fs
-
-    if isinstance(store, fs.LocalFileSystem) or isinstance(getattr(store, "base_fs", None), fs.LocalFileSystem):
-        with open(path, "r+b") as f:
-            f.write(header)
-    else:
-        with store.open_input_stream(path) as old, store.open_output_stream(path + "+") as new:
-            old.read(len(header))
-            new.write(header)
-            while piece := old.read(1 << 22):
-                new.write(piece)
-        store.move(path + "+", path)
-
-
 def read(files: DataFrame, ids: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32[, ids]) per document, from the files alone; start counts over all files."""
 
@@ -214,7 +204,12 @@ def read(files: DataFrame, ids: bool = False) -> DataFrame:
                         got = r.ids(base, int(bounds[e]))
                         cut = bounds[k : e + 1] - base
                         each = [got[a:b].tobytes() for a, b in zip(cut, cut[1:])]
-                        out = {"doc_id": pa.array([None if d == NULL_ID else int(d) for d in r.docs[k:e]], pa.int64()), "start": pa.array(bounds[k:e] + first, pa.int64()), "n_tokens": pa.array(np.diff(cut), pa.int64()), "ids_crc32": pa.array([zlib.crc32(x) for x in each], pa.int64())}
+                        out = {
+                            "doc_id": pa.array([None if d == NULL_ID else int(d) for d in r.docs[k:e]], pa.int64()),
+                            "start": pa.array(bounds[k:e] + first, pa.int64()),
+                            "n_tokens": pa.array(np.diff(cut), pa.int64()),
+                            "ids_crc32": pa.array([zlib.crc32(x) for x in each], pa.int64()),
+                        }
                         if ids:
                             out["ids"] = pa.array(each, pa.binary())
                         yield pa.RecordBatch.from_pydict(out)

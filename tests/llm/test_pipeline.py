@@ -40,7 +40,6 @@ def test_stages(spark, tmp_path):
     assert rows[4] == {ids[k]: rows[3][ids[k]] for k in set(at)}
     # Sequences.
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     pieces = frames[-1].toPandas().sort_values(["doc_id", "start"])
     assert set(pieces.doc_id) == set(rows[4])
     for d, p in pieces.groupby("doc_id"):

@@ -3,6 +3,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -17,9 +18,7 @@ ODD = ["", "a", " \n\t ", "É É Ḣ x̱ ß İ Σας ΟΔΟΣ. ½ a b c\x1cd",
 
 @pytest.fixture(scope="module")
 def plain():
-    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(P.path("byte_bpe_50k.json"))
 
 
 @pytest.fixture(scope="module")
@@ -39,12 +38,28 @@ def test_units_give_the_library_ids(corpus, name, folds):
     common._ENCODERS.clear()
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.sampled_from("aB é́'.,!#\t\n  \x1c1½ßΣ\U0001f600"), max_size=30))
-def test_units_on_any_text(s):
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*"aB é́'.,!#\t\n \xa0\x1c1½ßΣİJ̌_\U0001f600", "<|endoftext|>", "<|startoftext|>", "'re", "word"]), max_size=30).map("".join), max_size=5))
+def test_units_on_any_text(texts):
+    """Each text of a column, alone and in company, against the library's plain call."""
     for name, folds in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
-        e = common.json_encoder(P.path(name), folds)
-        assert np.frombuffer(e.encode(s), "<u4").tolist() == e.tokenizer.encode(s, add_special_tokens=False).ids
+        e, library = common.json_encoder(P.path(name), folds), Tokenizer.from_file(P.path(name))
+        want = [library.encode(s, add_special_tokens=False).ids for s in texts]
+        assert [np.frombuffer(e.encode(s), "<u4").tolist() for s in texts] == want
+        for most in (1, 20, 1 << 23):
+            got = [ids[a:b].tolist() for _, ids, bounds in e.parts(pa.array(texts, pa.string()), most_bytes=most) for a, b in zip(bounds, bounds[1:])]
+            assert got == want
+        ended = [ids[a:b].tolist() for _, ids, bounds in e.parts(pa.array([None, *texts], pa.string()), 2) for a, b in zip(bounds, bounds[1:])]
+        assert ended == [[2], *(w + [2] for w in want)]
+
+
+def test_special_spellings():
+    """The plain call takes an added token's spelling for that token."""
+    e = common.json_encoder(P.path("byte_bpe_50k.json"))
+    assert np.frombuffer(e.encode("a<|endoftext|>"), "<u4").tolist()[-1] == 50256
+    e = common.json_encoder(P.path("word_bpe_49k.json"), True)
+    assert np.frombuffer(e.encode("<|startoftext|> a"), "<u4").tolist()[0] == 49406
+    assert np.frombuffer(e.encode("İ."), "<u4").tolist() == [328, 136, 229, 269]
 
 
 @settings(max_examples=60, deadline=None)
@@ -63,11 +78,10 @@ def test_random_access(tmp_path, vocabulary, block):
     path = tmp_path / "x.tok"
     with open(path, "wb") as f:
         w = token_files.Writer(f, bits, block)
-        for k, d in enumerate(docs):
-            w.add(k if k else None, d)
-        header = w.close()
-    with open(path, "r+b") as f:
-        f.write(header)
+        w.add([None, 1], np.concatenate(docs[:2]), np.array([0, 3, 3]))
+        for k, d in enumerate(docs[2:], 2):
+            w.add([k], d, np.array([0, len(d)]))
+        w.close()
     everything = np.concatenate(docs)
     with open(path, "rb") as f:
         r = token_files.Reader(f)
@@ -158,7 +172,6 @@ def _pieces(rows, lengths):
 
 def test_packing(spark, docs_of):
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     texts = {1: "a b c", 2: None, 3: "word " * 9000, 4: "", 5: "the end " * 1300, 6: "x " * 511, 7: "x " * 4095}
     docs = docs_of(*texts.items()).coalesce(1)
     rows = packing.pack(docs, P.path("word_bpe_49k.json"), 2, True).collect()
