@@ -4,13 +4,20 @@ Per text, native columns count words, symbols, repeated lines and words in repea
 these whole-number measures are formed. A mergeable quantile sketch holds, per language, source and measure, how many
 texts fall in each bucket; buckets are exact below 64 and within 1/32 above (the upper six bits are kept), so a
 sketch has some hundred buckets whatever its number of texts, and merging is addition: it doesn't depend on order, and
-a language's sketch is the sum of its sources'. Texts that fail the base rules are in no sketch. A text fails if a measure lies outside the fence of its sketch:
-quartile plus or minus the larger of three times the distance of the quartiles and a fixed slack. A source with few
-texts of the language uses the language's sketch, a language with few texts that of all.
+a language's sketch is the sum of its sources'. Texts that fail the base rules are in no sketch.
 
-The query's slacks are those of its SQL. They are so wide that few texts reach a fence, so the pipeline's stage has
-slacks of its own, a few units each (TIGHT), and leaves lines that repeat out of the measure of repeated words: they
-count as repeated lines.
+A text fails if a measure lies outside the fence of its sketch: beyond the outer quantile by more than that quantile
+lies from the median. Which quantile that is, SHARES says; nothing else is a parameter. A fence of n texts is blended
+with its language's, which counts as many texts as a quantile needs to be seen in (the inverse of its share), and a
+language's likewise with that of all texts, so that a small sketch doesn't decide alone.
+
+Repeated words count as a measure only as far as they repeat when each line of the text is left once: lines that
+repeat, such as license lines, are the measure of lines.
+
+Null texts count as empty (no word: base_failed), null languages and sources as empty ones. A very long text is
+counted whole in its row, in time linear but for a sort of its windows if one repeats. Repeated rows count and are
+judged one by one; texts with equal measures in one group get equal verdicts. An empty table gives none. Columns of
+other names stay; those named like the new ones are replaced by them.
 """
 
 from __future__ import annotations
@@ -21,14 +28,11 @@ from pyspark.sql import functions as F
 from .common import WORD_RE, checkpointed, free_name, lookup_join
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Measure, the slack above the upper quartile, the slack below the lower quartile (None: no lower fence).
-MEASURES = (("symbols", 80, None), ("repeats", 300, None), ("lines", 400, None), ("length", 400, 250))
-#: The same for the stage: one repeated window in 500 words, one repeated line in 40, one character a word.
-TIGHT = (("symbols", 10, None), ("repeats", 32, None), ("lines", 25, None), ("length", 100, 100))
 #: Words in windows that repeat even when each line of the text is left once.
 FRESH = "n_fresh_repeats"
-#: Texts that a source's, or a language's, own sketch needs.
-ENOUGH = 100
+#: Measure, and which of so many texts the outer quantiles leave out: one in 10 above for symbols, where a tenth of a
+#: crawl may be junk; None: no lower fence.
+SHARES = (("symbols", 10, None), ("repeats", 100, None), ("lines", 100, None), ("length", 50, 50))
 
 
 def counts(df: DataFrame, text: str = "text") -> DataFrame:
@@ -77,11 +81,16 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def measures(repeats: str = "n_repeat_words") -> Column:
-    """Array of (measure, value): symbols a thousand word characters, repeated words a thousand words, repeated
-    lines a thousand words, and word characters a hundred words."""
+def measures() -> Column:
+    """Array of (measure, value): symbols a thousand word characters, repeated words a thousand words (lines that
+    repeat left once), repeated lines a thousand words, and word characters a hundred words."""
     words, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
-    each = {"symbols": F.floor(1000 * F.col("n_symbols") / chars), "repeats": F.floor(1000 * F.col(repeats) / words), "lines": F.floor(1000 * F.col("n_dup_lines") / words), "length": F.floor(100 * F.col("word_chars") / words)}
+    each = {
+        "symbols": F.floor(1000 * F.col("n_symbols") / chars),
+        "repeats": F.floor(1000 * F.col(FRESH) / words),
+        "lines": F.floor(1000 * F.col("n_dup_lines") / words),
+        "length": F.floor(100 * F.col("word_chars") / words),
+    }
     return F.array(*(F.struct(F.lit(k).alias("measure"), v.cast("long").alias("value")) for k, v in each.items()))
 
 
@@ -91,9 +100,9 @@ def bucket(v: Column) -> Column:
     return v - v % step
 
 
-def sketch(df: DataFrame, by: list[str], repeats: str = "n_repeat_words") -> DataFrame:
-    """(by..., measure, bucket, n) for df that has the COUNTS. Tasks add up before the shuffle."""
-    each = df.select(*by, F.explode(measures(repeats)).alias("m"))
+def sketch(df: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., measure, bucket, n) for df that has the COUNTS and FRESH. Tasks add up before the shuffle."""
+    each = df.select(*by, F.explode(measures()).alias("m"))
     return each.groupBy(*by, F.col("m.measure").alias("measure"), bucket(F.col("m.value")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
@@ -102,38 +111,50 @@ def merge(sketches: DataFrame, by: list[str]) -> DataFrame:
     return sketches.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fences(sketches: DataFrame, by: list[str], slacks: tuple = MEASURES) -> DataFrame:
-    """(by..., total, then low and high of each measure): the fence of each sketch."""
-    w = Window.partitionBy(*by, "measure")
+def fences(sketches: DataFrame, by: list[str], shares: tuple = SHARES) -> DataFrame:
+    """(by..., total, then low and high of each measure): the fence of each sketch, from it alone."""
+    w = Window.partitionBy(*by, "measure")  # over buckets, not texts
     ranked = sketches.withColumn("up_to", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w))
-    q = ranked.groupBy(*by, "measure").agg(F.max("total").alias("total"), F.min(F.when(4 * F.col("up_to") >= F.col("total"), F.col("bucket"))).alias("q1"), F.min(F.when(4 * F.col("up_to") >= 3 * F.col("total"), F.col("bucket"))).alias("q3"))
-    spread = 3 * (F.col("q3") - F.col("q1"))
+    first = lambda reached: F.min(F.when(reached, F.col("bucket"))).cast("double")
+    up_to, total = F.col("up_to"), F.col("total")
+    above, below = (F.create_map(*(F.lit(x) for m in shares for x in (m[0], m[k] or 2)))[F.col("measure")] for k in (1, 2))
+    q = ranked.groupBy(*by, "measure").agg(
+        F.max("total").cast("double").alias("total"), first(2 * up_to >= total).alias("mid"),
+        first(above * up_to >= (above - 1) * total).alias("high"), first(below * up_to >= total).alias("low"),
+    )
     cols = [F.max("total").alias("total")]
-    for name, above, below in slacks:
+    for name, _, below in shares:
         here = F.col("measure") == name
-        cols.append(F.max(F.when(here, F.col("q3") + F.greatest(spread, F.lit(above)))).alias(f"high_{name}"))
+        cols.append(F.max(F.when(here, 2 * F.col("high") - F.col("mid"))).alias(f"high_{name}"))
         if below is not None:
-            cols.append(F.max(F.when(here, F.col("q1") - F.greatest(spread, F.lit(below)))).alias(f"low_{name}"))
+            cols.append(F.max(F.when(here, 2 * F.col("low") - F.col("mid"))).alias(f"low_{name}"))
     return q.groupBy(*by).agg(*cols)
 
 
-def thresholds(df: DataFrame, slacks: tuple = MEASURES, repeats: str = "n_repeat_words") -> DataFrame:
-    """(q_lang, q_source, fences...): a row for each language and source of df (q_lang, q_source, COUNTS) that has
-    texts that pass the base rules."""
-    by_source = checkpointed(sketch(df.where(~base_failed()), ["q_lang", "q_source"], repeats))
+def _weights(shares: tuple) -> dict[str, float]:
+    """For each fence, how many texts the wider sketch's counts as."""
+    return {f"high_{m}": float(above) for m, above, _ in shares} | {f"low_{m}": float(below) for m, _, below in shares if below}
+
+
+def thresholds(df: DataFrame, shares: tuple = SHARES) -> DataFrame:
+    """(q_lang, q_source, fences...): a row for each language and source of df (q_lang, q_source, COUNTS, FRESH) that
+    has texts that pass the base rules."""
+    by_source = checkpointed(sketch(df.where(~base_failed()), ["q_lang", "q_source"]))
     by_lang = merge(by_source, ["q_lang"])
-    own, lang, all_ = fences(by_source, ["q_lang", "q_source"], slacks), fences(by_lang, ["q_lang"], slacks), fences(merge(by_lang, []), [], slacks).first()
-    names = [c for c in own.columns if c.startswith(("high_", "low_"))]
-    joined = own.join(lang.withColumnsRenamed({c: "lang_" + c for c in ["total", *names]}), "q_lang")
-    pick = lambda c: F.when(F.col("total") >= ENOUGH, F.col(c)).when(F.col("lang_total") >= ENOUGH, F.col("lang_" + c)).otherwise(F.lit(all_[c]))
-    return joined.select("q_lang", "q_source", *(pick(c).alias(c) for c in names))
-
-
-def within(repeats: str = "n_repeat_words") -> Column:
-    """Whether a row with COUNTS and fences lies within them all."""
-    ok, each = F.lit(True), measures(repeats)
-    for k, (name, _, below) in enumerate(MEASURES):
-        v = each[k]["value"]
+    own, lang = fences(by_source, ["q_lang", "q_source"], shares), fences(by_lang, ["q_lang"], shares)
+    all_ = fences(merge(by_lang, []), [], shares).first()
+    k = _weights(shares)
+    blend = lambda n, fence, wider, c: (n * fence + k[c] * wider) / (n + k[c])
+    lang = lang.select("q_lang", *(blend(F.col("total"), F.col(c), F.lit(all_[c]), c).alias("lang_" + c) for c in k))
+    joined = own.join(lang, "q_lang")  # a row for each source of a language
+    return joined.select("q_lang", "q_source", *(blend(F.col("total"), F.col(c), F.col("lang_" + c), c).alias(c) for c in k))
+
+
+def within(shares: tuple = SHARES) -> Column:
+    """Whether a row with COUNTS, FRESH and fences lies within them all."""
+    ok, each = F.lit(True), measures()
+    for k, (name, _, below) in enumerate(shares):
+        v = bucket(each[k]["value"])
         ok = ok & (v <= F.col(f"high_{name}"))
         if below is not None:
             ok = ok & (v >= F.col(f"low_{name}"))
@@ -144,55 +165,83 @@ def _keyed(df: DataFrame, lang: str, source: str) -> DataFrame:
     return df.withColumn("q_lang", F.coalesce(F.col(lang).cast("string"), F.lit(""))).withColumn("q_source", F.coalesce(F.col(source).cast("string"), F.lit("")))
 
 
-def judge(df: DataFrame, fence: DataFrame, lang: str = "lang", source: str = "source", repeats: str = "n_repeat_words") -> DataFrame:
-    """df, which has the COUNTS, with base_failed and kept. Null languages and sources count as empty ones."""
+def judge(df: DataFrame, fence: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+    """df, which has the COUNTS and FRESH, with base_failed and kept."""
     own = {c: free_name(df, "in_" + c) for c in df.columns if c in fence.columns}
-    joined = lookup_join(_keyed(df.withColumnsRenamed(own), own.get(lang, lang), own.get(source, source)), fence, ["q_lang", "q_source"])
-    judged = joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.coalesce(within(repeats), F.lit(True)))
+    keyed = _keyed(df.withColumnsRenamed(own), own.get(lang, lang), own.get(source, source))
+    joined = lookup_join(keyed, fence, ["q_lang", "q_source"])
+    judged = joined.withColumn("base_failed", base_failed())
+    judged = judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(within(), F.lit(True)))
     return judged.drop(*fence.columns).withColumnsRenamed({v: k for k, v in own.items()})
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "text")
-    counted = checkpointed(counts(docs).drop("text"))
+    counted = checkpointed(fresh_counts(docs).drop("text"))
     fence = thresholds(_keyed(counted, "lang", "source").drop("lang", "source", "doc_id"))
-    return judge(counted, fence).select("doc_id", *COUNTS, "base_failed", "kept")
+    return judge(counted, fence).select("doc_id", *COUNTS, FRESH, "base_failed", "kept")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents within all fences; texts are counted once for the fences and once to be judged, which costs
-    less than a shuffle of the texts."""
-    fence = thresholds(_keyed(fresh_counts(docs.select("lang", "source", "text")), "lang", "source").drop("lang", "source", "text"), TIGHT, FRESH)
+    """The documents that pass the base rules and lie within all fences. Texts are counted once: what is counted is
+    written with the documents, which costs less than to count again."""
     own = {c: free_name(docs, "in_" + c) for c in docs.columns if c in (*COUNTS, FRESH, "base_failed", "kept")}
-    kept = judge(fresh_counts(docs.withColumnsRenamed(own)), fence, repeats=FRESH).where("kept")
+    counted = checkpointed(fresh_counts(docs.withColumnsRenamed(own)))
+    fence = thresholds(_keyed(counted.select("lang", "source", *COUNTS, FRESH), "lang", "source").drop("lang", "source"))
+    kept = judge(counted, fence).where("kept")
     return kept.select(*(F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns))
 
 
-_FENCES = ", ".join(
-    [f"max(CASE WHEN measure = '{m}' THEN q3 + greatest(3 * (q3 - q1), {above}) END) AS high_{m}" for m, above, _ in MEASURES]
-    + [f"max(CASE WHEN measure = '{m}' THEN q1 - greatest(3 * (q3 - q1), {below}) END) AS low_{m}" for m, _, below in MEASURES if below is not None]
-)
-_NAMES = [f"high_{m}" for m, *_ in MEASURES] + [f"low_{m}" for m, _, below in MEASURES if below is not None]
-_OK = " AND ".join([f"{m} <= high_{m}" for m, *_ in MEASURES] + [f"{m} >= low_{m}" for m, _, below in MEASURES if below is not None])
-
-
 def _fence_sql(name: str, source: str, by: str) -> str:
-    group, part = (f"{by}, " if by else ""), (f"{by}, " if by else "")
-    return f"""{name} AS (SELECT {group}max(total) AS total, {_FENCES} FROM (SELECT {group}measure, max(total) AS total, min(CASE WHEN 4 * up_to >= total THEN bucket END) AS q1, min(CASE WHEN 4 * up_to >= 3 * total THEN bucket END) AS q3
-  FROM (SELECT {group}measure, bucket, sum(n) OVER (PARTITION BY {part}measure ORDER BY bucket) AS up_to, sum(n) OVER (PARTITION BY {part}measure) AS total FROM (SELECT {group}measure, bucket, sum(n) AS n FROM {source} GROUP BY {group}measure, bucket)) GROUP BY {group}measure) {f'GROUP BY {by}' if by else ''})"""
-
-
-ORACLE = rf"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
-w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM d),
-g AS (SELECT doc_id, pos, CASE WHEN lead(word, 7) OVER win IS NOT NULL THEN word || ' ' || lead(word, 1) OVER win || ' ' || lead(word, 2) OVER win || ' ' || lead(word, 3) OVER win || ' ' || lead(word, 4) OVER win || ' ' || lead(word, 5) OVER win || ' ' || lead(word, 6) OVER win || ' ' || lead(word, 7) OVER win END AS gram FROM w WINDOW win AS (PARTITION BY doc_id ORDER BY pos)),
-twice AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, gram) AS times FROM g WHERE gram IS NOT NULL) WHERE times > 1),
-r AS (SELECT doc_id, sum(least(8, coalesce(next - pos, 8)))::BIGINT AS n_repeat_words FROM (SELECT doc_id, pos, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM twice) GROUP BY doc_id),
-c AS (SELECT d.doc_id, lang, source, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-  (SELECT count(*) - count(DISTINCT l) FROM (SELECT unnest(string_split(text, chr(10))) AS l) WHERE regexp_matches(l, '[^\x20\x09-\x0D]'))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN r USING (doc_id)),
-v AS (SELECT *, 1000 * n_symbols // greatest(word_chars, 1) AS symbols, 1000 * n_repeat_words // greatest(n_words, 1) AS repeats, 1000 * n_dup_lines // greatest(n_words, 1) AS lines, 100 * word_chars // greatest(n_words, 1) AS length FROM c),
-m AS (SELECT lang, source, unnest(['symbols', 'repeats', 'lines', 'length']) AS measure, unnest([symbols, repeats, lines, length]) AS value FROM v WHERE NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)),
-b AS (SELECT lang, source, measure, CASE WHEN value < 64 THEN value ELSE (value >> (length(bin(value)) - 6)) << (length(bin(value)) - 6) END AS bucket, count(*) AS n FROM m GROUP BY ALL),
-{_fence_sql("own", "b", "lang, source")}, {_fence_sql("by_lang", "b", "lang")}, {_fence_sql("of_all", "b", "")},
-f AS (SELECT own.lang, own.source, {', '.join(f'CASE WHEN own.total >= {ENOUGH} THEN own.{c} WHEN by_lang.total >= {ENOUGH} THEN by_lang.{c} ELSE of_all.{c} END AS {c}' for c in _NAMES)} FROM own JOIN by_lang ON own.lang = by_lang.lang, of_all)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({_OK}, true) AS kept
-FROM (SELECT v.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM v) AS v LEFT JOIN f USING (lang, source)"""
+    group, part = (f"{by}, ", f"{by}, ") if by else ("", "")
+    case = lambda k: "CASE measure " + " ".join(f"WHEN '{m[0]}' THEN {m[k] or 2}" for m in SHARES) + " END"
+    cols = [f"max(CASE WHEN measure = '{m}' THEN 2 * high - mid END) AS high_{m}" for m, *_ in SHARES]
+    cols += [f"max(CASE WHEN measure = '{m}' THEN 2 * low - mid END) AS low_{m}" for m, _, below in SHARES if below]
+    return f"""{name} AS (SELECT {group}max(total) AS total, {", ".join(cols)}
+  FROM (SELECT {group}measure, max(total)::DOUBLE AS total, min(CASE WHEN 2 * up_to >= total THEN bucket END)::DOUBLE AS mid,
+      min(CASE WHEN above * up_to >= (above - 1) * total THEN bucket END)::DOUBLE AS high, min(CASE WHEN below * up_to >= total THEN bucket END)::DOUBLE AS low
+    FROM (SELECT {group}measure, bucket, {case(1)} AS above, {case(2)} AS below,
+        sum(n) OVER (PARTITION BY {part}measure ORDER BY bucket) AS up_to, sum(n) OVER (PARTITION BY {part}measure) AS total
+      FROM (SELECT {group}measure, bucket, sum(n) AS n FROM {source} GROUP BY {group}measure, bucket)) GROUP BY {group}measure)
+  {f"GROUP BY {by}" if by else ""})"""
+
+
+def _repeats_sql(name: str, source: str) -> str:
+    """name (doc_id, n): words of source (doc_id, words) that lie in eight-word windows found twice."""
+    gram = " || ' ' || ".join(f"lead(word, {k}) OVER win" for k in range(8))
+    return f"""{name}_w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM {source}),
+{name}_g AS (SELECT doc_id, pos, {gram} AS gram FROM {name}_w WINDOW win AS (PARTITION BY doc_id ORDER BY pos)),
+{name}_t AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, gram) AS times FROM {name}_g WHERE gram IS NOT NULL) WHERE times > 1),
+{name} AS (SELECT doc_id, sum(least(8, coalesce(next - pos, 8)))::BIGINT AS n
+  FROM (SELECT doc_id, pos, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM {name}_t) GROUP BY doc_id)"""
+
+
+_K = _weights(SHARES)
+_LANG = ", ".join(f"(l.total * l.{c} + {k}::DOUBLE * a.{c}) / (l.total + {k}::DOUBLE) AS {c}" for c, k in _K.items())
+_OWN = ", ".join(f"(own.total * own.{c} + {k}::DOUBLE * lang_fence.{c}) / (own.total + {k}::DOUBLE) AS {c}" for c, k in _K.items())
+_BUCKET = "CASE WHEN {0} < 64 THEN {0} ELSE ({0} >> (length(bin({0})) - 6)) << (length(bin({0})) - 6) END"
+_OK = " AND ".join(f"{_BUCKET.format(c.split('_')[1])} {'<=' if c.startswith('high') else '>='} {c}" for c in _K)
+
+ORACLE = rf"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text,
+  regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS words FROM documents),
+{_repeats_sql("r", "d")},
+lines AS (SELECT doc_id, line, count(*) AS times, min(pos) AS pos FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+  generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d) WHERE regexp_matches(line, '[^ 	-]') GROUP BY doc_id, line),
+dup AS (SELECT doc_id, sum(times - 1)::BIGINT AS n_dup_lines, string_agg(line, chr(10) ORDER BY pos) AS once FROM lines GROUP BY doc_id),
+again AS (SELECT doc_id, regexp_extract_all(once, '[^ 	-]+') AS words FROM dup JOIN r USING (doc_id) WHERE n_dup_lines > 0 AND r.n > 0),
+{_repeats_sql("f", "again")},
+c AS (SELECT d.doc_id, lang, source, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+  (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+  coalesce(r.n, 0)::BIGINT AS n_repeat_words, (CASE WHEN coalesce(n_dup_lines, 0) > 0 THEN coalesce(f.n, 0) ELSE coalesce(r.n, 0) END)::BIGINT AS n_fresh_repeats
+  FROM d LEFT JOIN r USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN f USING (doc_id)),
+v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, 1000 * n_symbols // greatest(word_chars, 1) AS symbols,
+  1000 * n_fresh_repeats // greatest(n_words, 1) AS repeats, 1000 * n_dup_lines // greatest(n_words, 1) AS lines, 100 * word_chars // greatest(n_words, 1) AS length FROM c),
+m AS (SELECT lang, source, unnest(['symbols', 'repeats', 'lines', 'length']) AS measure, unnest([symbols, repeats, lines, length]) AS value FROM v WHERE NOT base_failed),
+b AS (SELECT lang, source, measure, {_BUCKET.format("value")} AS bucket, count(*) AS n FROM m GROUP BY ALL),
+{_fence_sql("own", "b", "lang, source")},
+{_fence_sql("by_lang", "b", "lang")},
+{_fence_sql("of_all", "b", "")},
+lang_fence AS (SELECT l.lang, {_LANG} FROM by_lang AS l, of_all AS a),
+fence AS (SELECT own.lang, own.source, {_OWN} FROM own JOIN lang_fence USING (lang))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_fresh_repeats, base_failed, NOT base_failed AND coalesce({_OK}, true) AS kept
+FROM v LEFT JOIN fence USING (lang, source)"""
