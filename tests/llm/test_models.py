@@ -37,7 +37,63 @@ def test_lm_query(spark):
     for r in rows:
         n, known, total, base = want[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (n, known, total, held(r.doc_id))
-        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score < 0
+        assert r.base_score == pytest.approx(base, rel=1e-9)
+        assert r.perplexity == pytest.approx(10 ** (-r.score / r.n_tokens))
+
+
+def brute_scores(docs, learn, fitted):
+    """{doc_id: score} by a plain class bigram model over the classes that exchange found."""
+    words = lambda t: (t or "").encode().lower().split()
+    own = {w: k for k, (w, _) in enumerate(fitted.top[: fitted.n_own])}
+    end = int(fitted.of[-1])
+    cls = lambda w: end if w == class_lm.END else int(fitted.of[own[w] if w in own else fitted.n_own + zlib.crc32(w[-3:]) % fitted.groups])
+    counts, pairs, before = Counter(), Counter(), Counter()
+    for _, t in learn:
+        seq = [class_lm.END, *words(t), class_lm.END]
+        counts.update(seq[1:])
+        for a, b in zip(seq, seq[1:]):
+            pairs[cls(a), cls(b)] += 1
+            before[cls(a)] += 1
+    n_classes, n_all = end + 1, sum(counts.values())
+    follow = Counter()
+    for (_, b), n in pairs.items():
+        follow[b] += n
+    freq = [(follow[c] + 0.1) / (n_all + 0.1 * n_classes) for c in range(n_classes)]
+    size, kinds = Counter(), Counter()
+    for w, n in counts.items():
+        size[cls(w)] += n
+        kinds[cls(w)] += 1
+
+    def one(t):
+        seq, total = [class_lm.END, *words(t), class_lm.END], 0.0
+        for a, b in zip(seq, seq[1:]):
+            x, y = cls(a), cls(b)
+            total += np.log10((pairs[x, y] + 20 * freq[y]) / (before[x] + 20))
+            if b != class_lm.END:
+                total += np.log10((counts[b] + 0.1) / (size[y] + 0.1 * (kinds[y] + 1)))
+        return total
+
+    return {k: one(t) for k, t in docs}
+
+
+def test_lm_scores_against_brute_force(spark, docs_of, corpus):
+    docs = [(r.doc_id, r.text) for r in corpus.limit(60).collect()] + [(10_001, None), (10_002, "never seen zzzq words")]
+    learn = [d for d in docs[:60] if not held(d[0])]
+    train = docs_of(*learn)
+    options = {"clustered": 300, "groups": 40, "classes": 12, "head": 500}
+    want = brute_scores(docs, learn, class_lm.fit(train, **options))
+    got = {r.doc_id: r.score for r in class_lm.score(docs_of(*docs), train, **options).collect()}
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, rel=1e-9)
+
+
+def test_ties_do_not_switch_clustering_off(spark, docs_of):
+    """All words occur once: the bound falls inside a tie, and still as many words as it says are clustered."""
+    train = docs_of((1, " ".join(f"w{k:04d}" for k in range(500))))
+    fitted = class_lm.fit(train, clustered=100, groups=8, classes=4, head=200)
+    assert [w for w, _ in fitted.top] == [f"w{k:04d}".encode() for k in range(200)] and fitted.n_own == 100
+    assert set(fitted.of[:108]) == {0, 1, 2, 3} and fitted.of[-1] == 4
 
 
 def test_lm_beats_single_words(spark):
@@ -49,9 +105,11 @@ def test_lm_sums_to_one(spark, docs_of):
     """Over all texts of up to one word, seen and unseen, probabilities add up: the rest is longer texts."""
     train = docs_of((1, "a b a b"), (2, "a b"), (3, "a c,"))
     words = ["a", "b", "c,"]
-    out = class_lm.score(docs_of((0, ""), *((k + 1, w) for k, w in enumerate(words))), train, clustered=2, classes=2)
+    out = class_lm.score(docs_of((0, ""), *((k + 1, w) for k, w in enumerate(words))), train, clustered=2, classes=2, groups=2)
     p = [10**r.score for r in out.collect()]
     assert 0 < sum(p) < 1
+    fitted = class_lm.fit(train, clustered=2, classes=2, groups=2)
+    assert (10**fitted.transition).sum(axis=1) == pytest.approx(1.0)  # classes behind a class
     one = class_lm.score(docs_of((1, "a"), (2, "a"), (2, "a"), (3, None), (4, "zzz zzz"), (None, "A b")), train, clustered=2, classes=2).collect()
     assert sorted(((r.doc_id, r.n_tokens, r.n_known) for r in one), key=str) == sorted([(1, 2, 2), (2, 2, 2), (2, 2, 2), (3, 1, 1), (4, 3, 1), (None, 3, 3)], key=str)
     assert len({r.score for r in one if r.doc_id in (1, 2)}) == 1
@@ -66,9 +124,8 @@ def test_exchange_finds_alternating_classes(spark, docs_of):
     text = lambda: " ".join(x for _ in range(200) for x in (str(rng.choice(left)), str(rng.choice(right))))
     docs = docs_of(*((k, text()) for k in range(20)))
     codes = {w.encode(): k for k, w in enumerate(left + right)}
-    n = len(codes) + class_lm.N_SHAPES + 1
-    big = class_lm.bigram_counts(docs, codes, n)
-    of = class_lm.exchange(big, len(codes), n, 2, 8)
+    big = class_lm.bigram_counts(docs, codes, 1)
+    of = class_lm.exchange(big, len(codes) + 1, 2, 8)
     assert len(set(of[:6])) == 1 and len(set(of[6:12])) == 1 and of[0] != of[6]
 
 
@@ -98,10 +155,17 @@ def test_best_move_gains_what_it_says():
         assert to == int(np.argmax(each)) and gain == pytest.approx(max(each), abs=1e-6)
 
 
-def test_shapes_agree(spark):
-    words = ["a", "é", "abc.", "abc,", "x" * 12, "ü" * 7 + "!", "7", "end.", "\U0001f600"]
+def test_groups_agree(spark):
+    words = ["a", "é", "abc.", "abc,", "x" * 12, "ü" * 7 + "!", "7", "ab", "end.", "\U0001f600"]
     df = spark.createDataFrame([(w.encode(),) for w in words], "word binary")
-    assert [r[0] for r in df.select(class_lm._shape_column(F.col("word"))).collect()] == [class_lm.shape(w.encode()) for w in words]
+    assert [r[0] for r in df.select(class_lm._group_column(F.col("word"), 512)).collect()] == [class_lm.group(w.encode(), 512) for w in words]
+
+
+def test_lm_takes_long_texts_and_clashing_names(spark, docs_of):
+    long = "the end of it " * 50_000
+    docs = docs_of((1, long), (2, "the end")).withColumnRenamed("lang", "score").withColumnRenamed("source", "word").withColumn("row", F.lit(1))
+    got = {r.doc_id: r for r in class_lm.score(docs, docs).collect()}
+    assert got[1].n_tokens == 200_001 and got[1].n_known == 200_001 and got[2].n_tokens == 3
 
 
 # --- classifier -----------------------------------------------------------------------------------
@@ -248,7 +312,32 @@ def test_reputation_shrinks(spark):
 
 
 def test_suffixes(spark):
-    hosts = ["a.b.co.uk", "co.uk", "x.example.com", "com", ""]
-    s, d = url_reputation.suffix_and_domain(F.col("h"))
-    got = spark.createDataFrame([(h,) for h in hosts], "h string").select(s.alias("s"), d.alias("d")).collect()
-    assert [tuple(r) for r in got] == [("co.uk", "b.co.uk"), ("co.uk", "co.uk"), ("com", "example.com"), ("com", "com"), ("", "")]
+    hosts = ["a.b.co.uk", "co.uk", "x.example.com", "com", "", "shop.a.com.sg:8080", "u:p@x.edu.au", "10.0.0.1:80", "[::1]", "a.github.io"]
+    s, d = url_reputation.suffix_and_domain(F.col("host"))
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", s.alias("suffix"), d.alias("domain"))
+    want = [("co.uk", "b.co.uk"), ("co.uk", "co.uk"), ("com", "example.com"), ("com", "com"), ("", ""), ("com.sg", "a.com.sg"), ("edu.au", "x.edu.au"), ("", "10.0.0.1"), ("", "[::1]"), ("io", "github.io")]
+    assert [(r.suffix, r.domain) for r in rows.collect()] == want
+    listed = spark.createDataFrame([("github.io",), ("io",), ("uk",)], "suffix string")
+    got = {r.host: (r.suffix, r.domain) for r in url_reputation.listed_suffixes(rows, listed).collect()}
+    assert got["a.github.io"] == ("github.io", "a.github.io") and got["a.b.co.uk"] == ("uk", "co.uk") and got["com"] == ("com", "com")
+
+
+def test_posterior_bound_against_integration(spark):
+    """The chance that a beta share lies above one half, by a fine sum over its density."""
+    pairs = [(1.5, 0.5), (5.0, 0.5), (0.4, 0.2), (12.0, 5.0), (12.0, 7.0), (3.0, 3.0), (0.2, 5.0), (300.0, 250.0), (300.0, 265.0), (60_000.0, 59_200.0), (60_000.0, 59_700.0), (2e6, 1.99e6)]
+    got = [r[0] for r in spark.createDataFrame(pairs, "a double, b double").select(url_reputation.mostly_bad(F.col("a"), F.col("b"))).collect()]
+    for (a, b), bad in zip(pairs, got):
+        u = np.linspace(np.log(a / b) - 60 * max(1, 1 / a) / min(1, a**0.5 + 1e-9) ** 0, np.log(a / b) + 60 * max(1, 1 / b), 2_000_001) if a + b < 1000 else np.log(a / b) + np.linspace(-12, 12, 2_000_001) * np.sqrt(1 / a + 1 / b)
+        f = -a * np.logaddexp(0, -u) - b * np.logaddexp(0, u)
+        f = np.exp(f - f.max())
+        assert bad == (f[u > 0].sum() / f.sum() >= 0.95), (a, b)
+
+
+def test_one_page_hosts_and_ports(spark):
+    """One bad page doesn't block a host, nor do its neighbours block one on another port that is clean."""
+    rules = (("bad.com", "/x", "block"), ("good.com", "/x", "allow"))
+    rows = [("http://bad.com/x",), ("http://bad.com/y",)] + [(f"http://good.com:{p}/x",) for p in range(80, 90)] + [("http://good.com:99/y",), ("http://10.1.2.3:80/y",)]
+    got = {r.url: r.verdict for r in url_reputation.judge(spark.createDataFrame(rows, "url string"), rules=rules).collect()}
+    assert got["http://bad.com/y"] == "allow" and got["http://good.com:99/y"] == "allow" and got["http://10.1.2.3:80/y"] == "allow"
+    long = "http://h.com/" + "a" * 200_000
+    assert url_reputation.judge(spark.createDataFrame([(long,)], "url string")).first().path == long[12:]
