@@ -86,11 +86,28 @@ def test_simhash_cases(spark, docs_of):
     docs = docs_of((3, "a b c d"), (1, "A b C d"), (2, None), (4, ""), (5, "a b c d"), (5, "a b c d"), (None, "a b c d"), (None, "other words entirely here"))
     got = [(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()]
     assert sorted(got, key=str) == sorted([(3, 1), (1, 1), (2, 2), (4, 2), (5, 1), (5, 1), (None, 1), (None, None)], key=str)
-    kept = simhash.stage(spark, docs.withColumnRenamed("lang", "keep_id"), "")
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 2, None, None], key=str)
+    kept = simhash.stage(spark, docs.withColumnRenamed("lang", "sim_id").withColumnRenamed("source", "sim_text"), "")
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, "A b C d"), (2, None), (None, "other words entirely here")], key=str)
+    assert kept.columns == ["doc_id", "text", "sim_id", "sim_text", "n_chars"]
+    assert simhash.stage(spark, docs.limit(0), "").count() == 0
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("order", [(0, 1, 2), (0, 2, 1), (2, 1, 0), (1, 0, 2)])
+def test_stage_keeps_unique_texts_of_a_repeated_id(spark, docs_of, order):
+    rows = [(3, "b b1 b2 b3 b4"), (5, "b b1 b2 b3 b4"), (5, "a text of its own, found nowhere else")]
+    kept = simhash.stage(spark, docs_of(*(rows[k] for k in order)).coalesce(1), "")
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [rows[0], rows[2]]
+
+
+def test_cells_are_selective():
+    """Of a million random fingerprints, few meet another in a cell at all."""
+    p = np.random.default_rng(4).integers(-(2**63), 2**63, 1_000_000)
+    keys = np.sort(np.concatenate([simhash.cells(q).ravel() for q in np.array_split(p, 20)]))
+    _, n = np.unique(keys, return_counts=True)
+    assert (n[n > 1] * (n[n > 1] - 1) // 2).sum() < 1_000
+
+
 # --- embeddings -----------------------------------------------------------------------------------
 
 
@@ -164,7 +181,7 @@ def brute_lines(docs):
         kept = []
         for line in text.split("\n"):
             w = line.split()
-            gone = bool(w) and any(w == s or (max(len(w), len(s)) >= line_dedup.LEAST_WORDS and near(w, s)) for s in seen)
+            gone = bool(w) and any(w == s or (max(len(w), len(s)) >= line_dedup.WORDS_PER_EDIT and near(w, s)) for s in seen)
             kept += [] if gone else [line]
             if w:
                 seen.append(w)
