@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -168,9 +169,14 @@ def all_subsets(values, empty: bool = False, full: bool = True) -> Column:
     return F.transform(codes, pick)
 
 
-def iarange(start: int, stop: int, step: int = 1) -> Column:
-    """Whole numbers from start to stop, both included."""
-    return F.sequence(F.lit(start), F.lit(stop - (stop - start) % step), F.lit(step))
+def iarange(start: float, stop: float, step: float = 1) -> Column:
+    """Numbers from start to stop by step, stop included (within 1e-12 of it); whole numbers if all three are."""
+    n = math.floor((stop - start + math.copysign(1e-12, step)) / step)
+    if n < 0:
+        return F.array().cast("array<double>")
+    if all(float(x).is_integer() and isinstance(x, int) for x in (start, stop, step)):
+        return F.sequence(F.lit(start), F.lit(start + n * step), F.lit(step))
+    return F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.lit(float(start)) + i * float(step))
 
 
 def object_array_equal(a, b) -> Column:

@@ -30,16 +30,21 @@ def auroc(df: DataFrame, value: str, label: str, groups: tuple, by: list[str], s
     From counts of distinct values: what is sorted has a row for each distinct value, not for each observation."""
     g1, g2 = (F.count(F.when(F.col(label) == F.lit(g), 1)) for g in groups)
     n = df.where(F.col(value).isNotNull() & F.col(label).isin(*groups)).groupBy(*by, value).agg(g1.alias("a"), g2.alias("b"))
-    below = F.coalesce(F.sum("b").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    s = n.withColumn("w", F.col("a") * (below + F.col("b") / 2.0)).groupBy(*by).agg(F.sum("w").alias("w"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    n = stats.running_before(n, value, by, "b", "below")
+    s = n.withColumn("w", F.col("a") * (F.col("below") + F.col("b") / 2.0)).groupBy(*by).agg(F.sum("w").alias("w"), F.sum("a").alias("a"), F.sum("b").alias("b"))
     a = div("w", F.col("a") * F.col("b"))
     return s.select(*by, (a if signed else F.abs(a - 0.5) + 0.5).alias(out))
 
 
+MOST_EXACT = 1_000_000
+
+
 def fd_bins(df: DataFrame, value: str) -> tuple[float, float, int]:
-    """(low, width, n) of equal bins by the rule of Freedman and Diaconis over all values. Exact quartiles take a
-    full sort-merge of distinct values; the result is three numbers."""
-    q1, q3, low, high, n = df.agg(F.percentile(value, 0.25), F.percentile(value, 0.75), F.min(value), F.max(value), F.count(value)).first()
+    """(low, width, n) of equal bins by the rule of Freedman and Diaconis over all values. Quartiles are exact up to
+    MOST_EXACT values, and from a quantile sketch of bounded size beyond, as exact ones hold all distinct values."""
+    low, high, n = df.agg(F.min(value), F.max(value), F.count(value)).first()
+    quartile = lambda p: F.percentile(value, p) if n <= MOST_EXACT else F.percentile_approx(value, p, 1_000_000)
+    q1, q3 = (None if x is None else float(x) for x in df.agg(quartile(0.25), quartile(0.75)).first())
     width = 2.0 * (q3 - q1) / n ** (1 / 3) if n else 0.0
     k = max(1, int(np.ceil((high - low) / width))) if width > 0 else 1
     return float(low), (high - low) / k if high > low else 1.0, k

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +47,11 @@ def realign_samples(df: DataFrame, align: DataFrame, on: list[str], time_range:
     return cut.withColumn(index, F.col("__at") - low).drop("__at", "align")
 
 
+def realign_samples_on_event(df: DataFrame, trials: DataFrame, event: str, on: list[str], time_range: tuple[float, float], fs: float, **options) -> DataFrame:
+    """realign_samples() on a column of trials."""
+    return realign_samples(df, trials.select(*on, F.col(event).alias("align")), on, time_range, fs, **options)
+
+
 def cut_trials(df: DataFrame, trials: DataFrame, t: str = "t", ref: str | None = None) -> DataFrame:
     """Events with each trial (trial, start, end) whose [start, end) holds them, less the trial's ref time."""
     cut = interval_join(df, t, trials)
@@ -125,8 +129,7 @@ def bin_rate(df: DataFrame, by: list[str], trains: DataFrame | None = None, lims
         raise ValueError("output must be rate, count or bool")
     spark = df.sparkSession
     if bins is None and (step is None or step == width):
-        table = sliding_windows(spark, width, lims)
-        n = int((lims[1] - lims[0]) / width + 1e-9)
+        table, n = None, int((lims[1] - lims[0]) / width + 1e-9)
         at = F.floor((F.col(t) - lims[0]) / width + 1e-9)
         top = lims[0] + n * width
         inside = df.where((F.col(t) >= lims[0]) & (F.col(t) <= top))
@@ -134,12 +137,21 @@ def bin_rate(df: DataFrame, by: list[str], trains: DataFrame | None = None, lims
     else:
         table = bins if bins is not None else sliding_windows(spark, width, lims, step)
         counted = interval_join(df, t, table).groupBy(*by, "win").agg(F.count("*").alias("n"))
-    every = (df if trains is None else trains).select(*by).distinct().crossJoin(F.broadcast(table))  # bins: an argument, not data
+    named = (df if trains is None else trains).select(*by).distinct()
+    if table is None:  # bins follow from their number
+        low = lims[0] + F.col("win").cast("double") * width
+        every = named.withColumn("win", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))) if n else named.withColumn("win", F.lit(0)).limit(0)
+        every = every.withColumn("start", low).withColumn("end", low + width)
+    else:  # a row for each train and bin is what is asked for; the table is an argument, broadcast if it is small
+        small = table.limit(MOST_BINS + 1).count() <= MOST_BINS
+        every = named.crossJoin(F.broadcast(table) if small else table)
     filled = every.join(counted, [*by, "win"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     value = {"count": F.col("n"), "bool": F.col("n") > 0, "rate": F.col("n") / (F.col("end") - F.col("start"))}[output]
     return filled.select(*by, "win", "start", "end", value.alias(output))
 
 
+#: Tables of bins of up to so many rows are broadcast.
+MOST_BINS = 100_000
 psth = bin_rate
 
 
@@ -162,30 +174,23 @@ def _bell(kind: str | Sequence[float] | Callable[[np.ndarray], np.ndarray], widt
 def density(df: DataFrame, by: list[str], lims: tuple[float, float], width: float = 0.05, step: float = 0.001, kernel: str | Sequence[float] | Callable[[np.ndarray], np.ndarray] = "gaussian", trains: DataFrame | None = None, t: str = "t", dt: float = 0.001) -> DataFrame:
     """(by..., time, rate): event density on a grid, zero for trains without events.
 
-    Events go to a grid of dt, with counts summed before the shuffle, and each train's grid is convolved with the
+    Events go to a grid of dt, with counts summed before the shuffle. Each cell in use adds to the grid points that its
     kernel (gaussian, hanning, an odd number of values at steps of dt, or a function of time over three widths to
-    either side) in a task of its own; the grid's length is set by lims, not by the number of events."""
+    either side) reaches, as rows that are summed by train and point, so a train isn't gathered anywhere."""
     k = _bell(kernel, width, dt)
-    pad, n = len(k) // 2, int(round((lims[1] - lims[0]) / dt)) + 1
-    every, keys = round(step / dt), [df.schema[c] for c in by]
+    pad, n, every = len(k) // 2, int(round((lims[1] - lims[0]) / dt)) + 1, round(step / dt)
     at = F.rint((F.col(t) - lims[0]) / dt).cast("int")
     cells = df.groupBy(*by, at.alias("__at")).agg(F.count("*").alias("__n")).where(F.col("__at").between(-pad, n - 1 + pad))
-    if trains is not None:
-        cells = trains.select(*by).distinct().join(cells, by, "left")
-    held = cells.groupBy(*by).agg(F.collect_list(F.when(F.col("__at").isNotNull(), F.struct("__at", "__n"))).alias("__cells"))  # at most a cell for each grid point
-
-    def smooth(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        times = lims[0] + np.arange(0, n, every) * dt
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                grid = np.zeros(n + 2 * pad)
-                for c in row[-1]:
-                    grid[int(c["__at"]) + pad] += c["__n"]
-                rate = np.maximum(np.convolve(grid, k, "valid")[::every], 0.0)
-                yield pd.DataFrame({**dict(zip(by, row[: len(by)])), "time": times, "rate": rate})
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keys), "time double, rate double"])
-    return held.mapInPandas(smooth, schema)
+    low, high = F.ceil((F.col("__at") - pad) / every), F.floor((F.col("__at") + pad) / every)
+    low, high = F.greatest(low.cast("int"), F.lit(0)), F.least(high.cast("int"), F.lit((n - 1) // every))
+    reached = cells.where(low <= high).withColumn("__point", F.explode(F.sequence(low, high)))
+    weights = F.array(*(F.lit(float(x)) for x in k))  # as many as the kernel has
+    part = F.col("__n") * F.get(weights, F.col("__point") * every - F.col("__at") + pad)
+    sums = reached.groupBy(*by, "__point").agg(F.sum(part).alias("rate"))
+    named = (df if trains is None else trains).select(*by).distinct()
+    points = named.withColumn("__point", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // every))))
+    rate = F.greatest(F.coalesce("rate", F.lit(0.0)), F.lit(0.0))
+    return points.join(sums, [*by, "__point"], "left").select(*by, (lims[0] + F.col("__point") * every * dt).alias("time"), rate.alias("rate"))
 
 
 def rate(df: DataFrame, by: list[str], method: str = "bin", **options) -> DataFrame:
@@ -201,8 +206,8 @@ def times_to_bool(df: DataFrame, by: list[str], lims: tuple[float, float], width
     n = int(round((lims[1] - lims[0]) / width)) + 1
     at = F.rint((F.col(t) - lims[0]) / width).cast("int")
     hit = df.select(*by, at.alias("i")).where(F.col("i").between(0, n - 1)).distinct().withColumn("spike", F.lit(True))
-    grid = df.sparkSession.range(n).select(F.col("id").cast("int").alias("i"), (lims[0] + F.col("id") * width).alias("t"))
-    every = (df if trains is None else trains).select(*by).distinct().crossJoin(F.broadcast(grid))  # the grid: an argument
+    named = (df if trains is None else trains).select(*by).distinct()
+    every = named.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("t", lims[0] + F.col("i") * width)
     return every.join(hit, [*by, "i"], "left").withColumn("spike", F.coalesce("spike", F.lit(False)))
 
 

@@ -3,7 +3,7 @@
 Draws come from hashes of (seed, draw, observation), so they are the same however data are partitioned, and the same
 for all series that share observations. A test is one plan: observations times draws, one aggregate by series and
 draw, one by series; nothing is looped over on the driver. `stat` is a name or a function that makes an aggregate
-column.
+column. With return_stats, a test or interval gives each draw's statistic beside its result: (by..., draw, s, ...).
 """
 
 from __future__ import annotations
@@ -101,13 +101,20 @@ def compare(tail: str | Callable, resampled: Column, observed: Column) -> Column
     raise ValueError(f"unknown tail {tail!r}: both, right, left or a function")
 
 
-def p_values(resampled: DataFrame, observed: DataFrame, by: list[str], tail, n: int, centre: bool = False, null: float = 0.0) -> DataFrame:
-    """(by..., stat, p): (1 + draws as extreme) / (1 + n). resampled (by..., s), observed (by..., stat).
+def p_values(resampled: DataFrame, observed: DataFrame, by: list[str], tail, n: int, centre: bool = False, null: float = 0.0, return_stats: bool = False) -> DataFrame:
+    """(by..., stat, p): (1 + draws as extreme) / (1 + n). resampled (by..., draw, s), observed (by..., stat).
+    return_stats: (by..., draw, s, stat, p).
 
     centre: resampled statistics are taken less the observed one, and that less null, as for a bootstrap."""
     j = resampled.join(observed, by) if by else resampled.crossJoin(F.broadcast(observed))  # one row
     s, o = (F.col("s") - F.col("stat"), F.col("stat") - null) if centre else (F.col("s"), F.col("stat"))
-    return j.groupBy(*by, "stat").agg(((1 + F.count_if(compare(tail, s, o))) / F.lit(float(n + 1))).alias("p"))
+    p = j.groupBy(*by, "stat").agg(((1 + F.count_if(compare(tail, s, o))) / F.lit(float(n + 1))).alias("p"))
+    return _with_draws(resampled, p, by) if return_stats else p
+
+
+def _with_draws(resampled: DataFrame, result: DataFrame, by: list[str]) -> DataFrame:
+    d = resampled.select(*by, "draw", "s")
+    return d.join(result, by) if by else d.crossJoin(F.broadcast(result))  # one row
 
 
 def _differences(df: DataFrame, x: str, y: str, d: float) -> DataFrame:
@@ -117,13 +124,13 @@ def _differences(df: DataFrame, x: str, y: str, d: float) -> DataFrame:
 # --- one sample and pairs -------------------------------------------------------------------------
 
 
-def one_sample_randomization_test(df: DataFrame, value: str, obs: str, by: list[str], mu: float = 0.0, stat="t", tail="both", n_resamples: int = 10_000, seed=0) -> DataFrame:
+def one_sample_randomization_test(df: DataFrame, value: str, obs: str, by: list[str], mu: float = 0.0, stat="t", tail="both", n_resamples: int = 10_000, seed=0, return_stats: bool = False) -> DataFrame:
     """(by..., stat, p): signs of value - mu flipped at random, independently in each draw."""
     f = _stat(stat, ONE_SAMPLE)
     d = df.where(F.col(value).isNotNull()).select(*by, obs, (F.col(value) - float(mu)).alias("__v"))
     flipped = F.when(_flip(seed, obs), -F.col("__v")).otherwise(F.col("__v"))
     s = with_draws(d, n_resamples - 1).withColumn("__v", flipped).groupBy(*by, "draw").agg(f("__v").alias("s"))
-    return p_values(s, d.groupBy(*by).agg(f("__v").alias("stat")), by, tail, n_resamples - 1)
+    return p_values(s, d.groupBy(*by).agg(f("__v").alias("stat")), by, tail, n_resamples - 1, return_stats=return_stats)
 
 
 one_sample_permutation_test = one_sample_randomization_test
@@ -135,8 +142,9 @@ def paired_sample_permutation_test(df: DataFrame, x: str, y: str, obs: str, by:
 
 def _numbered(df: DataFrame, by: list[str], obs: str) -> DataFrame:
     """Observations numbered from 0 in each series, with their count."""
-    w = Window.partitionBy(*by)
-    return df.withColumn("__i", F.row_number().over(w.orderBy(obs)) - 1).withColumn("__n", F.count("*").over(w))
+    n = df.groupBy(*by).agg(F.count("*").alias("__n"))
+    counted = df.join(n, by) if by else df.crossJoin(F.broadcast(n))  # one row
+    return counted.withColumn("__i", F.row_number().over(Window.partitionBy(*by).orderBy(obs)) - 1)
 
 
 def _resample(df: DataFrame, by: list[str], obs: str, cols: list[str], draws: int, seed, sample: Column | None = None) -> DataFrame:
@@ -147,13 +155,13 @@ def _resample(df: DataFrame, by: list[str], obs: str, cols: list[str], draws: in
     return places.join(d.select(*by, "__i", *cols), [*by, "__i"])
 
 
-def one_sample_bootstrap_test(df: DataFrame, value: str, obs: str, by: list[str], mu: float = 0.0, stat="t", tail="both", n_resamples: int = 10_000, seed=0) -> DataFrame:
+def one_sample_bootstrap_test(df: DataFrame, value: str, obs: str, by: list[str], mu: float = 0.0, stat="t", tail="both", n_resamples: int = 10_000, seed=0, return_stats: bool = False) -> DataFrame:
     """(by..., stat, p): resampled statistics, centred on the observed one, against its distance from mu."""
     f = _stat(stat, ONE_SAMPLE)
     is_mean = stat == "mean"
     d = df.where(F.col(value).isNotNull()).select(*by, obs, (F.col(value) - (0.0 if is_mean else float(mu))).alias("__v"))
     s = _resample(d, by, obs, ["__v"], n_resamples - 1, seed).groupBy(*by, "draw").agg(f("__v").alias("s"))
-    return p_values(s, d.groupBy(*by).agg(f("__v").alias("stat")), by, tail, n_resamples - 1, centre=True, null=float(mu) if is_mean else 0.0)
+    return p_values(s, d.groupBy(*by).agg(f("__v").alias("stat")), by, tail, n_resamples - 1, centre=True, null=float(mu) if is_mean else 0.0, return_stats=return_stats)
 
 
 def paired_sample_bootstrap_test(df: DataFrame, x: str, y: str, obs: str, by: list[str], d: float = 0.0, **options) -> DataFrame:
@@ -173,20 +181,20 @@ def _association(df: DataFrame, x: str, y: str, by: list[str], stat) -> DataFram
     raise ValueError(f"unknown stat {stat!r}: r, rho or a function")
 
 
-def paired_sample_association_permutation_test(df: DataFrame, x: str, y: str, obs: str, by: list[str], stat="r", tail="both", n_resamples: int = 10_000, seed=0) -> DataFrame:
+def paired_sample_association_permutation_test(df: DataFrame, x: str, y: str, obs: str, by: list[str], stat="r", tail="both", n_resamples: int = 10_000, seed=0, return_stats: bool = False) -> DataFrame:
     """(by..., stat, p): y in an order shuffled against x."""
     d = _numbered(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, obs, x, y), by, obs)
     w = Window.partitionBy(*by, "draw").orderBy(digest(seed, "draw", obs), obs)
     shuffled = with_draws(d.select(*by, obs, x), n_resamples - 1).withColumn("__i", F.row_number().over(w) - 1)
     s = _association(shuffled.join(d.select(*by, "__i", y), [*by, "__i"]), x, y, [*by, "draw"], stat)
-    return p_values(s, _association(d, x, y, by, stat).withColumnRenamed("s", "stat"), by, tail, n_resamples - 1)
+    return p_values(s, _association(d, x, y, by, stat).withColumnRenamed("s", "stat"), by, tail, n_resamples - 1, return_stats=return_stats)
 
 
-def paired_sample_association_bootstrap_test(df: DataFrame, x: str, y: str, obs: str, by: list[str], stat="r", tail="both", n_resamples: int = 10_000, seed=0) -> DataFrame:
+def paired_sample_association_bootstrap_test(df: DataFrame, x: str, y: str, obs: str, by: list[str], stat="r", tail="both", n_resamples: int = 10_000, seed=0, return_stats: bool = False) -> DataFrame:
     """(by..., stat, p): pairs drawn together."""
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, obs, x, y)
     s = _association(_resample(d, by, obs, [x, y], n_resamples - 1, seed), x, y, [*by, "draw"], stat)
-    return p_values(s, _association(d, x, y, by, stat).withColumnRenamed("s", "stat"), by, tail, n_resamples - 1, centre=True)
+    return p_values(s, _association(d, x, y, by, stat).withColumnRenamed("s", "stat"), by, tail, n_resamples - 1, centre=True, return_stats=return_stats)
 
 
 # --- two and more samples -------------------------------------------------------------------------
@@ -203,21 +211,22 @@ def _two_sample(df: DataFrame, value: str, label: str, groups: tuple, by: list[s
     raise ValueError(f"unknown stat {stat!r}: t, meandiff or a function of two columns")
 
 
-def two_sample_permutation_test(df: DataFrame, value: str, label: str, groups: tuple, obs: str, by: list[str], stat="t", tail="both", n_resamples: int = 10_000, seed=0) -> DataFrame:
+def two_sample_permutation_test(df: DataFrame, value: str, label: str, groups: tuple, obs: str, by: list[str], stat="t", tail="both", n_resamples: int = 10_000, seed=0, return_stats: bool = False) -> DataFrame:
     """(by..., stat, p): observations in shuffled order, as many as before to the first group."""
     d = df.where(F.col(value).isNotNull() & F.col(label).isin(*groups)).select(*by, obs, value, label)
-    n1 = F.count_if(F.col(label) == F.lit(groups[0])).over(Window.partitionBy(*by))
+    n1 = d.groupBy(*by).agg(F.count_if(F.col(label) == F.lit(groups[0])).alias("__n1"))
+    counted = d.join(n1, by) if by else d.crossJoin(F.broadcast(n1))  # one row
     place = F.row_number().over(Window.partitionBy(*by, "draw").orderBy(digest(seed, "draw", obs), obs))
-    dealt = with_draws(d.withColumn("__n1", n1), n_resamples - 1).withColumn(label, F.when(place <= F.col("__n1"), F.lit(groups[0])).otherwise(F.lit(groups[1])))
+    dealt = with_draws(counted, n_resamples - 1).withColumn(label, F.when(place <= F.col("__n1"), F.lit(groups[0])).otherwise(F.lit(groups[1])))
     s = _two_sample(dealt, value, label, groups, [*by, "draw"], stat)
-    return p_values(s, _two_sample(d, value, label, groups, by, stat).withColumnRenamed("s", "stat"), by, tail, n_resamples - 1)
+    return p_values(s, _two_sample(d, value, label, groups, by, stat).withColumnRenamed("s", "stat"), by, tail, n_resamples - 1, return_stats=return_stats)
 
 
-def two_sample_bootstrap_test(df: DataFrame, value: str, label: str, groups: tuple, obs: str, by: list[str], stat="t", tail="both", n_resamples: int = 10_000, seed=0) -> DataFrame:
+def two_sample_bootstrap_test(df: DataFrame, value: str, label: str, groups: tuple, obs: str, by: list[str], stat="t", tail="both", n_resamples: int = 10_000, seed=0, return_stats: bool = False) -> DataFrame:
     """(by..., stat, p): each group drawn from itself."""
     d = df.where(F.col(value).isNotNull() & F.col(label).isin(*groups)).select(*by, obs, value, label)
     s = _two_sample(_resample(d, [*by, label], obs, [value], n_resamples - 1, seed, F.col(label)), value, label, groups, [*by, "draw"], stat)
-    return p_values(s, _two_sample(d, value, label, groups, by, stat).withColumnRenamed("s", "stat"), by, tail, n_resamples - 1, centre=True)
+    return p_values(s, _two_sample(d, value, label, groups, by, stat).withColumnRenamed("s", "stat"), by, tail, n_resamples - 1, centre=True, return_stats=return_stats)
 
 
 def _shuffled_labels(df: DataFrame, labels: list[str], obs: str, by: list[str], draws: int, seed) -> DataFrame:
@@ -229,7 +238,7 @@ def _shuffled_labels(df: DataFrame, labels: list[str], obs: str, by: list[str],
     return moved.join(d.select(*by, "__i", *labels), [*by, "__i"])
 
 
-def one_way_permutation_test(df: DataFrame, value: str, label: str, obs: str, by: list[str], groups: list | None = None, stat="F", tail="right", n_resamples: int = 10_000, seed=0, compat: bool = False) -> DataFrame:
+def one_way_permutation_test(df: DataFrame, value: str, label: str, obs: str, by: list[str], groups: list | None = None, stat="F", tail="right", n_resamples: int = 10_000, seed=0, compat: bool = False, return_stats: bool = False) -> DataFrame:
     """(by..., stat, p)."""
     if stat not in ("F", "f") and not callable(stat):
         raise ValueError("stat must be F or a function of (df, value, label, by) to (by..., s)")
@@ -237,14 +246,22 @@ def one_way_permutation_test(df: DataFrame, value: str, label: str, obs: str, by
     d = df.where(F.col(value).isNotNull() & F.col(label).isNotNull()).select(*by, obs, value, label)
     d = d if groups is None else d.where(F.col(label).isin(*groups))
     s = f(_shuffled_labels(d, [label], obs, by, n_resamples - 1, seed), value, label, [*by, "draw"])
-    return p_values(s, f(d, value, label, by).withColumnRenamed("s", "stat"), by, tail, n_resamples - 1)
+    return p_values(s, f(d, value, label, by).withColumnRenamed("s", "stat"), by, tail, n_resamples - 1, return_stats=return_stats)
 
 
-def two_way_permutation_test(df: DataFrame, value: str, a: str, b: str, obs: str, by: list[str], interact: bool = True, tail="right", n_resamples: int = 10_000, seed=0, compat: bool = False) -> DataFrame:
-    """(by..., term, stat, p)."""
+def two_way_permutation_test(
+    df: DataFrame, value: str, a: str, b: str, obs: str, by: list[str], interact: bool = True, stat="F", tail="right",
+    n_resamples: int = 10_000, seed=0, compat: bool = False, return_stats: bool = False,
+) -> DataFrame:
+    """(by..., term, stat, p). stat: F, or a function of (df, value, a, b, by) to (by..., term, s)."""
+    if stat not in ("F", "f") and not callable(stat):
+        raise ValueError("stat must be F or a function of (df, value, a, b, by) to (by..., term, s)")
+    f_ = lambda d, v, x, y, k: stats.two_way_fstat(d, v, x, y, k, interact, compat).withColumnRenamed("f", "s")
+    f = stat if callable(stat) else f_
     d = df.where(F.col(value).isNotNull()).select(*by, obs, value, a, b)
-    s = stats.two_way_fstat(_shuffled_labels(d, [a, b], obs, by, n_resamples - 1, seed), value, a, b, [*by, "draw"], interact, compat).withColumnRenamed("f", "s")
-    return p_values(s, stats.two_way_fstat(d, value, a, b, by, interact, compat).withColumnRenamed("f", "stat"), [*by, "term"], tail, n_resamples - 1)
+    s = f(_shuffled_labels(d, [a, b], obs, by, n_resamples - 1, seed), value, a, b, [*by, "draw"])
+    observed = f(d, value, a, b, by).withColumnRenamed("s", "stat")
+    return p_values(s, observed, [*by, "term"], tail, n_resamples - 1, return_stats=return_stats)
 
 
 # --- confidence intervals -------------------------------------------------------------------------
@@ -258,29 +275,30 @@ def confint_indexes(confint: float, n: int) -> tuple[int, int]:
     return round(tail) - 1, round(n - tail) - 1
 
 
-def _interval(s: DataFrame, observed: DataFrame, by: list[str], confint: float, n: int) -> DataFrame:
+def _interval(s: DataFrame, observed: DataFrame, by: list[str], confint: float, n: int, return_stats: bool = False) -> DataFrame:
     low, high = confint_indexes(confint, n)
     at = F.row_number().over(Window.partitionBy(*by).orderBy("s", "draw")) - 1
     ends = s.withColumn("__at", at).groupBy(*by).agg(F.max(F.when(F.col("__at") == low, F.col("s"))).alias("low"), F.max(F.when(F.col("__at") == high, F.col("s"))).alias("high"))
-    return observed.join(ends, by) if by else observed.crossJoin(F.broadcast(ends))  # one row
+    out = observed.join(ends, by) if by else observed.crossJoin(F.broadcast(ends))  # one row
+    return _with_draws(s, out, by) if return_stats else out
 
 
-def one_sample_confints(df: DataFrame, value: str, obs: str, by: list[str], stat="mean", confint: float = 0.95, n_resamples: int = 10_000, seed=0) -> DataFrame:
+def one_sample_confints(df: DataFrame, value: str, obs: str, by: list[str], stat="mean", confint: float = 0.95, n_resamples: int = 10_000, seed=0, return_stats: bool = False) -> DataFrame:
     """(by..., stat, low, high) by the bootstrap."""
     f = _stat(stat, ONE_SAMPLE)
     d = df.where(F.col(value).isNotNull())
     s = _resample(d.select(*by, obs, value), by, obs, [value], n_resamples, seed).groupBy(*by, "draw").agg(f(value).alias("s"))
-    return _interval(s, d.groupBy(*by).agg(f(value).alias("stat")), by, confint, n_resamples)
+    return _interval(s, d.groupBy(*by).agg(f(value).alias("stat")), by, confint, n_resamples, return_stats)
 
 
 def paired_sample_confints(df: DataFrame, x: str, y: str, obs: str, by: list[str], **options) -> DataFrame:
     return one_sample_confints(_differences(df, x, y, 0.0), "__v", obs, by, **options)
 
 
-def two_sample_confints(df: DataFrame, value: str, label: str, groups: tuple, obs: str, by: list[str], stat="meandiff", confint: float = 0.95, n_resamples: int = 10_000, seed=0) -> DataFrame:
+def two_sample_confints(df: DataFrame, value: str, label: str, groups: tuple, obs: str, by: list[str], stat="meandiff", confint: float = 0.95, n_resamples: int = 10_000, seed=0, return_stats: bool = False) -> DataFrame:
     d = df.where(F.col(value).isNotNull() & F.col(label).isin(*groups)).select(*by, obs, value, label)
     s = _two_sample(_resample(d, [*by, label], obs, [value], n_resamples, seed, F.col(label)), value, label, groups, [*by, "draw"], stat)
-    return _interval(s, _two_sample(d, value, label, groups, by, stat).withColumnRenamed("s", "stat"), by, confint, n_resamples)
+    return _interval(s, _two_sample(d, value, label, groups, by, stat).withColumnRenamed("s", "stat"), by, confint, n_resamples, return_stats)
 
 
 def poisson_weight(seed, *parts, most: int = 8) -> Column:
@@ -294,7 +312,7 @@ def poisson_weight(seed, *parts, most: int = 8) -> Column:
     return out
 
 
-def mean_confints_large(df: DataFrame, value: str, obs: str, by: list[str], confint: float = 0.95, n_resamples: int = 1000, seed=0) -> DataFrame:
+def mean_confints_large(df: DataFrame, value: str, obs: str, by: list[str], confint: float = 0.95, n_resamples: int = 1000, seed=0, return_stats: bool = False) -> DataFrame:
     """(by..., stat, low, high) of the mean by the Poisson bootstrap, for series of any size.
 
     Each observation is weighed by itself, so nothing is numbered, sorted or joined: rows times draws go into one
@@ -302,10 +320,10 @@ def mean_confints_large(df: DataFrame, value: str, obs: str, by: list[str], conf
     d = df.where(F.col(value).isNotNull())
     w = poisson_weight(seed, "draw", obs)
     s = with_draws(d.select(*by, obs, value), n_resamples).withColumn("__w", w).groupBy(*by, "draw").agg(div(F.sum(F.col("__w") * F.col(value)), F.sum("__w")).alias("s"))
-    return _interval(s, d.groupBy(*by).agg(F.avg(value).alias("stat")), by, confint, n_resamples)
+    return _interval(s, d.groupBy(*by).agg(F.avg(value).alias("stat")), by, confint, n_resamples, return_stats)
 
 
-def two_sample_test_large(df: DataFrame, value: str, label: str, groups: tuple, obs: str, by: list[str], stat="meandiff", tail="both", n_resamples: int = 1000, seed=0) -> DataFrame:
+def two_sample_test_large(df: DataFrame, value: str, label: str, groups: tuple, obs: str, by: list[str], stat="meandiff", tail="both", n_resamples: int = 1000, seed=0, return_stats: bool = False) -> DataFrame:
     """(by..., stat, p) of a permutation test for series of any size: each draw labels every observation by itself,
     with the first group's share as the chance, so group sizes vary about the given ones and nothing is sorted."""
     d = df.where(F.col(value).isNotNull() & F.col(label).isin(*groups)).select(*by, obs, value, label)
@@ -314,7 +332,7 @@ def two_sample_test_large(df: DataFrame, value: str, label: str, groups: tuple,
     first = uniform(seed, "draw", obs) < F.col("__share")
     dealt = with_draws(dealt, n_resamples - 1).withColumn(label, F.when(first, F.lit(groups[0])).otherwise(F.lit(groups[1])))
     s = _two_sample(dealt, value, label, groups, [*by, "draw"], stat)
-    return p_values(s, _two_sample(d, value, label, groups, by, stat).withColumnRenamed("s", "stat"), by, tail, n_resamples - 1)
+    return p_values(s, _two_sample(d, value, label, groups, by, stat).withColumnRenamed("s", "stat"), by, tail, n_resamples - 1, return_stats=return_stats)
 
 
 def jackknife_mean(df: DataFrame, value: str, by: list[str], out: str = "left_out") -> DataFrame:

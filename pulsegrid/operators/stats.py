@@ -92,13 +92,35 @@ def correlation(df: DataFrame, x: str, y: str, by: list[str], out: str = "r") ->
     return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by).agg(_pearson(x, y).alias(out))
 
 
+#: Distinct values of all series above which running sums are taken by ranges of the value.
+MOST_IN_A_TASK = 1_000_000
+
+
+def running_before(counted: DataFrame, value: str, by: list[str], n: str, out: str) -> DataFrame:
+    """counted (by..., value, n), a row for each distinct value, with the sum of n over lesser values of its series.
+
+    Beyond MOST_IN_A_TASK rows, values fall in ranges between approximate quantiles; a range is summed in a task of its
+    own and begins at the sum of the ranges before it, so that one long series isn't one task."""
+    total = lambda over: F.coalesce(F.sum(n).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    number = dict(counted.dtypes)[value] in ("tinyint", "smallint", "int", "bigint", "float", "double") or dict(counted.dtypes)[value].startswith("decimal")
+    rows = counted.limit(MOST_IN_A_TASK + 1).count() if number else 0
+    if rows <= MOST_IN_A_TASK:
+        return counted.withColumn(out, total(Window.partitionBy(*by).orderBy(value)))
+    cuts = counted.agg(F.percentile_approx(F.col(value).cast("double"), [k / 200 for k in range(1, 200)], 10_000)).first()[0]
+    bounds = F.array(*(F.lit(c) for c in sorted(set(cuts))))
+    ranged = counted.withColumn("__range", F.size(F.filter(bounds, lambda c: c < F.col(value).cast("double"))))
+    sums = ranged.groupBy(*by, "__range").agg(F.sum(n).alias(n))
+    sums = sums.withColumn("__start", total(Window.partitionBy(*by).orderBy("__range"))).drop(n)
+    inside = ranged.withColumn(out, total(Window.partitionBy(*by, "__range").orderBy(value)))
+    return inside.join(sums, [*by, "__range"]).withColumn(out, F.col(out) + F.col("__start")).drop("__range", "__start")
+
+
 def average_ranks(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
     """df with ranks from 1, ties sharing their mean rank.
 
-    Equal values are counted before anything is sorted, so the window sees a row for each distinct value."""
-    n = df.groupBy(*by, value).agg(F.count("*").alias("__n"))
-    below = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = n.select(*by, value, (below + (F.col("__n") + 1) / 2.0).alias(out))
+    Equal values are counted before anything is sorted, so what is sorted has a row for each distinct value."""
+    n = running_before(df.groupBy(*by, value).agg(F.count("*").alias("__n")), value, by, "__n", "__below")
+    ranks = n.select(*by, value, (F.col("__below") + (F.col("__n") + 1) / 2.0).alias(out))
     return df.join(ranks, [*by, value])
 
 

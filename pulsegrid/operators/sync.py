@@ -58,22 +58,29 @@ def ppc(pairs: DataFrame, by: list[str], return_phase: bool = True) -> DataFrame
 pairwise_phase_consistency = ppc
 
 
-def single_trial(pairs: DataFrame, by: list[str], trial: str, method: str = "pseudo") -> DataFrame:
-    """(by..., trial, coherence): jackknife pseudo-values, or with "richter" the leave-one-out values themselves.
+def single_trial(pairs: DataFrame, by: list[str], trial: str, method: str = "pseudo", stat: str = "coherence") -> DataFrame:
+    """(by..., trial, coherence | plv | ppc): jackknife pseudo-values, or with "richter" the leave-one-out values themselves.
 
     Left-out sums are the totals less a trial's own, so trials aren't paired with each other."""
     if method not in ("pseudo", "richter"):
         raise ValueError("method must be pseudo or richter")
+    if stat not in METHODS:
+        raise ValueError(f"unknown stat {stat!r}: one of {sorted(METHODS)}")
     re, im = _cross()
-    names = ("re", "im", "p1", "p2")
-    sums = [F.sum(c).alias(n) for c, n in zip((re, im, F.col("re1") ** 2 + F.col("im1") ** 2, F.col("re2") ** 2 + F.col("im2") ** 2), names)]
-    own = pairs.groupBy(*by, trial).agg(*sums)
-    total = own.groupBy(*by).agg(*(F.sum(n).alias("t_" + n) for n in names), F.count("*").alias("n"))
+    if stat == "coherence":
+        parts = {"re": re, "im": im, "p1": F.col("re1") ** 2 + F.col("im1") ** 2, "p2": F.col("re2") ** 2 + F.col("im2") ** 2}
+        value = lambda c: div(F.hypot(c["re"], c["im"]), F.sqrt(c["p1"] * c["p2"]))
+    else:
+        size = F.hypot(re, im)
+        parts = {"re": div(re, size), "im": div(im, size), "m": F.lit(1.0)}
+        length = lambda c: div(F.hypot(c["re"], c["im"]), c["m"])
+        value = length if stat == "plv" else (lambda c: plv_to_ppc(length(c), c["m"]))
+    own = pairs.groupBy(*by, trial).agg(*(F.sum(c).alias(n) for n, c in parts.items()))
+    total = own.groupBy(*by).agg(*(F.sum(n).alias("t_" + n) for n in parts), F.count("*").alias("n"))
     j = own.join(total, by)
-    coh = lambda re, im, p1, p2: div(F.hypot(re, im), F.sqrt(p1 * p2))
-    left = coh(*(F.col("t_" + n) - F.col(n) for n in names))
-    whole = coh(*(F.col("t_" + n) for n in names))
-    return j.select(*by, trial, (left if method == "richter" else F.col("n") * whole - (F.col("n") - 1) * left).alias("coherence"))
+    left = value({n: F.col("t_" + n) - F.col(n) for n in parts})
+    whole = value({n: F.col("t_" + n) for n in parts})
+    return j.select(*by, trial, (left if method == "richter" else F.col("n") * whole - (F.col("n") - 1) * left).alias(stat))
 
 
 METHODS = {"coherence": coherence, "plv": plv, "ppc": ppc}

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from ..functions.exprs import col
 
-MOST_BROADCAST = 10_000
+#: Broadcast intervals are compared with every point, so more than these are joined by cells.
+MOST_BROADCAST = 100
 
 
 def sliding_windows(spark: SparkSession, width: float, lims: tuple[float, float], step: float | None = None, reference: float | None = None, whole: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import points, simulate, windows
+from pulsegrid.operators import points, windows
 
 
 @pytest.fixture(scope="module")
@@ -65,18 +65,6 @@ def test_interp_and_runs(spark):
     assert sorted((r.first, r.last, r.n, r.touches_end) for r in windows.runs(f, F.col("on"), ["k"], "i").collect()) == [(1, 2, 2, False), (5, 7, 3, True)]
 
 
-def test_simulated_rates(spark):
-    r = simulate.spike_rates(spark, gain=10.0, offset=5.0, n_conds=2, n_trials=400, seed=1)
-    m = {x.cond: x.m for x in r.groupBy("cond").agg(F.avg("rate").alias("m")).collect()}
-    assert m[0] == pytest.approx(5, abs=0.6) and m[1] == pytest.approx(15, abs=1)
-    t = simulate.spike_trains(spark, n_trials=50, refractory=0.02, seed=2)
-    assert points.isi(t, ["trial"]).agg(F.min("isi")).first()[0] >= 0.02 - 1e-9
-    w = simulate.spike_waveforms(spark, 5, noise=0.0)
-    assert len(w.first().samples) == 49
-    o = simulate.multichannel_oscillation(spark, [{"phase": 0.0}, {"phase": 1.0}], frequency=10.0, n_trials=3, fs=200.0)
-    assert o.count() == 6 and np.abs(o.first().samples).max() > 1
-
-
 def test_cubic_interpolation(spark):
     """Cubics are their own splines."""
     f = lambda x: 2.0 - x + 0.5 * x**2 - 0.25 * x**3

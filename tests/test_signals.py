@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import exprs, kernels
 from pulsegrid.operators import spectral, sync
-from pulsegrid.sources import mat5
 
 
 @pytest.fixture(scope="module")
@@ -101,15 +100,6 @@ def test_waveforms(spark):
         exprs.waveform_stats("w", 10.0, "nonsense")
 
 
-def test_mat_files(spark, tmp_path):
-    mat5.write_file(str(tmp_path / "a.mat"), {"x": np.arange(6).reshape(2, 3), "s": "abc"})
-    mat5.register(spark)
-    r = {x.name: x for x in spark.read.format("mat5").load(str(tmp_path)).collect()}
-    assert list(r["x"].dims) == [2, 3] and list(r["x"]["values"]) == [0, 3, 1, 4, 2, 5] and r["s"].text == "abc"
-    assert spark.read.format("mat5").option("variables", "s").load(str(tmp_path)).count() == 1
-    assert mat5.version(str(tmp_path / "a.mat")) == "7"
-
-
 def test_predicted_part_is_removed(spark):
     rows = [(k, float(k), float(k % 3), 2.0 + 3.0 * k - 1.5 * (k % 3)) for k in range(30)]
     df = spark.createDataFrame(rows, "obs int, a double, b double, y double")

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pulsegrid.functions import exprs
 from pulsegrid.operators import info, resample, stats
 
 
@@ -105,7 +106,7 @@ def test_decode(spark):
 def test_decode_lda_gathers_no_series(spark, monkeypatch):
     """The same counts as the kernel over the whole table, which no task gets."""
     rng = np.random.default_rng(1)
-    rows = [(s, i, "ab"[i % 2], (1000.0 + rng.standard_normal(4) + 0.8 * (i % 2)).tolist()) for s in ("x", None) for i in range(150)]
+    rows = [(s, i + first, "ab"[i % 2], (1000.0 + rng.standard_normal(4) + 0.8 * (i % 2)).tolist()) for s, first in (("x", 0), (None, 150)) for i in range(150)]
     df = spark.createDataFrame(rows, "s string, obs int, label string, x array<double>").repartition(5)
     for by in ([], ["s"]):
         want = {tuple(r[:-2]): (r.accuracy, r.n) for r in info.decode(df, "x", "label", "obs", by, info.kernels.lda).collect()}
@@ -156,3 +157,19 @@ def test_large_forms_agree_with_the_exact_ones(spark):
     assert p[0] == pytest.approx(p[1], abs=0.1)
     w = df.select(resample.poisson_weight(1, F.col("obs")).alias("w")).agg(F.avg("w"), F.var_samp("w")).first()
     assert w[0] == pytest.approx(1, abs=0.15) and w[1] == pytest.approx(1, abs=0.3)
+
+
+@pytest.mark.parametrize("by", [[], ["k"]])
+def test_running_sums_by_ranges(spark, monkeypatch, by):
+    """Ranges of the value give what one window gives."""
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(int(k), float(v)) for k, v in zip(rng.integers(0, 2, 500), rng.integers(0, 90, 500))], "k int, v double")
+    want = sorted(stats.average_ranks(df, "v", by, "r").collect())
+    monkeypatch.setattr(stats, "MOST_IN_A_TASK", 10)
+    assert sorted(stats.average_ranks(df, "v", by, "r").collect()) == want
+
+
+def test_ranges_of_floats(spark):
+    one = spark.range(1)
+    for args, want in (((0.0, 0.3, 0.1), [0.0, 0.1, 0.2, 0.3]), ((1.0, 0.0, -0.5), [1.0, 0.5, 0.0]), ((0.0, -1.0, 0.5), []), ((3, 11, 4), [3, 7, 11]), ((3, 10, 4), [3, 7])):
+        assert one.select(exprs.iarange(*args)).first()[0] == pytest.approx(want)
