@@ -76,7 +76,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     At most about `most` labelled ids take part, those with the least hashes; the sample is bounded whatever the
     input, so its ids can be broadcast to the documents and a shard's documents fit in a task. Each shard is
     trained by itself over its documents in order of hash, and the shards' weights are averaged. Labels that are
-    null or neither 0 nor 1 don't take part; of rows of one doc_id the least text does. Without labelled documents all weights are 0, and all scores 0.5.
+    null or neither 0 nor 1 don't take part; of rows of one doc_id the least text does, and the greater label; ids
+    with equal hashes go by the id. A very long text is one list of features. Without labelled documents all weights
+    are 0, and all scores 0.5.
     """
     usable = labels.select(F.col(doc_id).alias("key"), F.col(label).cast("int").alias("label")).where("key IS NOT NULL AND label IN (0, 1)")
     usable = usable.groupBy("key").agg(F.max("label").alias("label"))
@@ -90,15 +92,20 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     def sparse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             each = [np.unique(features(s), return_counts=True) for s in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(4), batch.column(2), batch.column(0), batch.column(1), pa.array([i.astype("<i4").tobytes() for i, _ in each], pa.binary()), pa.array([(c / np.sqrt(max(1, c.sum()))).astype("<f4").tobytes() for _, c in each], pa.binary())], ["shard", "rank", "key", "label", "index", "value"])
+            index = pa.array([i.astype("<i4").tobytes() for i, _ in each], pa.binary())
+            value = pa.array([(c / np.sqrt(max(1, c.sum()))).astype("<f4").tobytes() for _, c in each], pa.binary())
+            cols = [batch.column(4), batch.column(2), batch.column(0), batch.column(1), index, value]
+            yield pa.RecordBatch.from_arrays(cols, ["shard", "rank", "key", "label", "index", "value"])
 
     def fit(group: pa.Table) -> pa.Table:
         group = group.sort_by([("rank", "ascending"), ("key", "ascending")])
-        model, rows = FollowTheLeader(), [(np.frombuffer(i, "<i4"), np.frombuffer(v, "<f4").astype(float), y) for i, v, y in zip(*(group.column(c).to_pylist() for c in ("index", "value", "label")))]
+        model, columns = FollowTheLeader(), (group.column(c).to_pylist() for c in ("index", "value", "label"))
+        rows = [(np.frombuffer(i, "<i4"), np.frombuffer(v, "<f4").astype(float), y) for i, v, y in zip(*columns)]
         for _ in range(epochs):
             for row in rows:
                 model.step(*row)
-        return pa.table({"shard": group.column("shard").slice(0, 1), "n": pa.array([len(rows)], pa.int64()), "weights": pa.array([model.weights().astype("<f4").tobytes()], pa.binary())})
+        weights = pa.array([model.weights().astype("<f4").tobytes()], pa.binary())
+        return pa.table({"shard": group.column("shard").slice(0, 1), "n": pa.array([len(rows)], pa.int64()), "weights": weights})
 
     kind = labels.schema[doc_id].dataType.simpleString()
     fitted = rows.mapInArrow(sparse, f"shard int, rank long, key {kind}, label int, index binary, value binary").groupBy("shard").applyInArrow(fit, "shard int, n long, weights binary").collect()
@@ -144,6 +151,8 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose score is at least 0.7."""
-    name = free_name(docs, "quality_score")
-    return score(docs, fitted(spark, docs, sf_dir), out=name).where(F.col(name) >= ACCEPT).drop(name)
+    """The documents whose score is at least 0.7; all of them if none has a label, as then nothing is learned."""
+    name, weights = free_name(docs, "quality_score"), fitted(spark, docs, sf_dir)
+    if not weights.any():
+        return docs
+    return score(docs, weights, out=name).where(F.col(name) >= ACCEPT).drop(name)

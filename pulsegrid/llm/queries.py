@@ -1,26 +1,21 @@
-"""One query for each training-data operator, over its whole table."""
+"""One query for each training-data operator, over its whole table. On a cluster whose executors don't have this package,
+call session.attach(spark) first, as the entry points do."""
 
 from __future__ import annotations
 
-from ..session import attach
 from . import byte_bpe, cap_filters, class_lm, line_dedup, packing, quality_model, quality_rules, simhash, token_files, url_reputation
 
-
-def _attached(query):
-    return lambda spark, sf_dir: query(attach(spark), sf_dir)
-
-
 QUERIES = {
-    "op1_class_lm": _attached(class_lm.query),
-    "op2_cap_filters": _attached(cap_filters.query),
-    "op3_quality_rules": _attached(quality_rules.query),
-    "op4_line_dedup": _attached(line_dedup.query),
-    "op5_token_files": _attached(token_files.query),
-    "op6_byte_bpe": _attached(byte_bpe.query),
-    "op7_quality_classifier": _attached(quality_model.query),
-    "op8_simhash": _attached(simhash.query),
-    "op9_url_reputation": _attached(url_reputation.query),
-    "op10_packing": _attached(packing.query),
+    "op1_class_lm": class_lm.query,
+    "op2_cap_filters": cap_filters.query,
+    "op3_quality_rules": quality_rules.query,
+    "op4_line_dedup": line_dedup.query,
+    "op5_token_files": token_files.query,
+    "op6_byte_bpe": byte_bpe.query,
+    "op7_quality_classifier": quality_model.query,
+    "op8_simhash": simhash.query,
+    "op9_url_reputation": url_reputation.query,
+    "op10_packing": packing.query,
 }
 
 ORACLES: dict[str, str] = {

@@ -192,6 +192,62 @@ def test_classifier_cases(spark, docs_of):
     assert quality_model.score(docs.limit(0), w).count() == 0
 
 
+def plain_ftrl(docs, labels, ranks, shards, epochs):
+    """The averaged weights by a plain follow-the-regularised-leader loop over dicts."""
+    import re
+
+    def features(text):
+        one = [zlib.crc32(t.encode()) for t in re.findall(r"\w+|[^\w\s]+", text.lower())]
+        two = [(a * 0x9E3779B1 + b * 0x85EBCA6B) % 2**64 >> 7 for a, b in zip(one, one[1:])]
+        again = [0x5BD1E995 + k for k in (1, 2) for a, b in zip(one[k:], one) if a == b]
+        every = Counter(h % 2**quality_model.BITS for h in one + two + again)
+        size = sum(every.values()) ** 0.5
+        return {h: float(np.float32(n / size)) for h, n in every.items()}
+
+    total, out = len(docs), Counter()
+    for shard in range(shards):
+        own = sorted((d for d in docs if ranks[d] % shards == shard), key=lambda d: (ranks[d], d))
+        z, n = Counter(), Counter()
+
+        def weight(h):
+            if abs(z[h]) <= 0.02:
+                return 0.0
+            return -(z[h] - np.sign(z[h]) * 0.02) / ((1.0 + n[h] ** 0.5) / 0.5 + 0.1)
+
+        for _ in range(epochs):
+            for d in own:
+                x = features(docs[d]) | {-1: 1.0}
+                w = {h: weight(h) for h in x}
+                g = 1 / (1 + np.exp(-sum(w[h] * v for h, v in x.items()))) - labels[d]
+                for h, v in x.items():
+                    z[h] += g * v - ((n[h] + (g * v) ** 2) ** 0.5 - n[h] ** 0.5) / 0.5 * w[h]
+                    n[h] += (g * v) ** 2
+        for h in z:
+            out[h] += weight(h) * len(own) / total
+    return out
+
+
+def test_weights_against_plain_ftrl(spark, docs_of):
+    rng = np.random.default_rng(9)
+    good, bad = "the of and river stone light house".split(), "xx xx |#| buy now".split()
+    docs = {k: " ".join(rng.choice(good if k % 2 else bad, 30)) for k in range(60)}
+    labels = {k: k % 2 for k in docs}
+    table = spark.createDataFrame(list(labels.items()), "doc_id long, quality int")
+    ranks = {r.doc_id: r.rank for r in table.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)).alias("rank")).collect()}
+    got = quality_model.train(docs_of(*docs.items()), table, shards=2, epochs=2)
+    want = plain_ftrl(docs, labels, ranks, 2, 2)
+    assert {int(h) for h in np.flatnonzero(got[:-1])} <= set(want)
+    for h, w in want.items():
+        assert got[h] == pytest.approx(w, rel=1e-4, abs=1e-6)
+
+
+def test_classifier_takes_long_texts_and_no_labels(spark, docs_of, tmp_path):
+    docs = docs_of((1, "word " * 300_000), (2, None))
+    assert quality_model.score(docs, np.ones((1 << quality_model.BITS) + 1)).count() == 2
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert quality_model.stage(spark, docs, str(tmp_path)).count() == 2
+
+
 # --- rules ----------------------------------------------------------------------------------------
 
 

@@ -51,3 +51,21 @@ def test_stages(spark, tmp_path):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, f"{DATA}/sf0.001").count() > 0
+
+
+def test_stages_on_odd_rows(spark, corpus, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows, one id with two texts, clashing names, no rows."""
+    some = [tuple(r) for r in corpus.limit(40).collect()]
+    kind = corpus.schema
+    odd = [some[0], some[0], (some[1][0], some[2][1], *some[2][2:]), (None,) * len(kind), (None, *some[3][1:]), (9_000_001, "", None, None, 0), (9_000_002, some[4][1] * 30, "en", None, None)]
+    docs = spark.createDataFrame(some + odd, kind)
+    for c in ("score", "kept", "n_words", "q_lang", "text_hash", "doc_tokens", "sim_id", "quality_score"):
+        docs = docs.withColumn(c, docs.doc_id)
+    for name, frame in (("rows", docs), ("none", docs.limit(0))):
+        rest = frame
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, rest, f"{DATA}/sf0.001").write.parquet(f"{tmp_path}/{name}{k}")
+            rest = spark.read.parquet(f"{tmp_path}/{name}{k}")
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert rest.columns == docs.columns
+        assert (rest.count() > 0) == (name == "rows")

@@ -181,6 +181,23 @@ def test_packing(spark, docs_of):
     for r in rows:
         assert r.ids == ids[r.doc_id][r.start : r.start + r.length].tobytes()
     assert packing.pack(docs.limit(0), P.path("word_bpe_49k.json"), 2).count() == 0
+    for r in packing.packed(docs).collect():
+        assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
+
+
+def test_packing_of_repeated_ids_and_clashing_names(spark, docs_of):
+    docs = docs_of((1, "a b c"), (1, "a b c"), (1, "d"), (None, "e")).withColumnRenamed("lang", "start").withColumnRenamed("source", "ids").coalesce(1)
+    rows = packing.packed(docs).collect()
+    assert sorted((r.doc_id or 0, r.doc_tokens) for r in rows if r.start == 0) == [(0, 2), (1, 2), (1, 4), (1, 4)]
+    assert sum(r.length for r in rows) == 12
+
+
+def test_byte_bpe_of_long_texts_and_no_rows(spark, docs_of, tik):
+    path, long = P.path("byte_bpe_50k.tiktoken"), "long words, and İ. " * 20_000
+    r = byte_bpe.round_trip(docs_of((1, long)), path, P.PATTERN).first()
+    assert r.n_tokens == len(tik.encode_ordinary(long)) and r.decoded_sha256 == hashlib.sha256(long.encode()).hexdigest()
+    empty = docs_of((1, "")).limit(0)
+    assert byte_bpe.round_trip(empty, path, P.PATTERN).count() == 0 and byte_bpe.decode(byte_bpe.encode(empty, path, P.PATTERN), path).count() == 0
 
 
 @settings(max_examples=40, deadline=None)
