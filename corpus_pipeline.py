@@ -2,7 +2,10 @@
 
 STAGES lists (name, function). Each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's docs. All but the last return the columns of documents. Further columns of
-docs pass through; null texts count as empty; an empty table passes all stages.
+docs pass through, whatever their names; null texts count as empty, and nulls in other columns are values like any
+other; an empty table passes all stages. Very long texts are read whole by every stage, each in one row. Repeated rows
+pass the first three stages alike, and one of them stays behind the fourth; ties there go to the least doc_id, then to
+the least hash of the text, so no stage's result depends on the order of rows.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ def adaptive_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts lines that an earlier line is equal to or within one word of; keeps all documents."""
+    """Cuts lines that an earlier line is equal or near to; keeps all documents."""
     return line_dedup.stage(attach(spark), docs, sf_dir)
 
 

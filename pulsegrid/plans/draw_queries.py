@@ -177,7 +177,8 @@ def float_range(spark, d):
 
 
 def mean_waveforms(spark, d):
-    return plotdata.mean_waveforms(_signals(spark, d), ["label"]).select("label", "i", _r("mean").alias("mean"), _r("sd").alias("sd"))
+    """Without a condition: over all rows."""
+    return plotdata.mean_waveforms(_signals(spark, d), []).select("i", _r("mean").alias("mean"), _r("sd").alias("sd"))
 
 
 def samples_in_range(spark, d):
@@ -332,7 +333,7 @@ SELECT term, round(t.ss / (t.ss + st - x.ss), 9) AS r2 FROM t, m, x""",
     "phases": f"WITH {_P.split(', p AS')[0]} SELECT vec_id, k, round(re / sqrt(re * re + im * im), 5) AS c, round(im / sqrt(re * re + im * im), 5) AS s FROM s",
     "bell_nd": """WITH p AS (SELECT vec_id, embedding[1]::DOUBLE - 0.1::DOUBLE AS a, embedding[2]::DOUBLE + 0.1::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings) SELECT vec_id, round(2 * exp(-0.5::DOUBLE * (2 * a * a + a * b + b * b + 3 * c * c)) + 0.5::DOUBLE, 6) AS bell FROM p""",
     "float_range": "SELECT r_regionkey, i::INTEGER AS i, round(0.1::DOUBLE + i * 0.2::DOUBLE, 6) AS x FROM region, range(4) AS t(i)",
-    "mean_waveforms": f"WITH {_L} SELECT label, i::INTEGER AS i, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS sd FROM l GROUP BY ALL",
+    "mean_waveforms": f"WITH {_L} SELECT i::INTEGER AS i, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS sd FROM l GROUP BY ALL",
     "samples_in_range": f"WITH {_L} SELECT vec_id, i::INTEGER AS i, round(x, 6) AS x FROM l WHERE i BETWEEN 16 AND 32",
     "realign_samples_on_event": f"WITH {_L} SELECT vec_id, (i - (vec_id % 3) * 8 - 8)::INTEGER AS i, round(x, 6) AS x FROM l WHERE i - (vec_id % 3) * 8 - 8 BETWEEN 0 AND 24",
     "epoch_sums": f"WITH {_P.split(', p AS')[0]}, b AS (SELECT * FROM (VALUES ('low', 1, 4), ('high', 8, 32)) AS v(name, a, z)) SELECT vec_id, name, round(sum(re * re + im * im), 5) AS power FROM s JOIN b ON k BETWEEN a AND z GROUP BY ALL",

@@ -165,12 +165,12 @@ def fisher_round_trip(spark, d):
 
 
 def wide_to_rows(spark, d):
-    s = _signals(spark, d).select("vec_id", F.slice("samples", 1, 5).alias("a"), F.slice("samples", 6, 3).alias("b"))
+    s = _signals(spark, d).select("vec_id", F.slice("samples", 1, 40).alias("a"), F.slice("samples", 41, 24).alias("b"))
     return columns_to_rows(s, ["a", "b"], ["vec_id"]).select("vec_id", _r("a").alias("a"), _r("b").alias("b"))
 
 
 def table_names(spark, d):
-    return variables(spark, d).where("variable IN ('events', 'lineitem', 'nation')")
+    return variables(spark, d)
 
 
 QUERIES = {
@@ -208,7 +208,7 @@ ORACLES = {
     "groups_labelled": "SELECT CASE o_orderstatus WHEN 'O' THEN 0 ELSE 1 END AS label, count(*) AS n, round(avg(o_totalprice), 3) AS mean FROM orders WHERE o_orderstatus IN ('O', 'F') GROUP BY ALL",
     "condition_spread": "SELECT c_mktsegment, round(stddev_samp(c_acctbal), 4) AS sd FROM customer GROUP BY ALL",
     "pseudovalues": "SELECT c_custkey, round(c_acctbal, 2) AS value FROM customer",
-    "wide_to_rows": f"WITH {_L} SELECT a.vec_id, round(a.x, 6) AS a, round(b.x, 6) AS b FROM l AS a LEFT JOIN l AS b ON a.vec_id = b.vec_id AND b.i = a.i + 5 AND a.i < 3 WHERE a.i < 5",
-    "table_names": "SELECT unnest(['events', 'lineitem', 'nation']) AS variable",
+    "wide_to_rows": f"WITH {_L} SELECT a.vec_id, round(a.x, 6) AS a, round(b.x, 6) AS b FROM l AS a LEFT JOIN l AS b ON a.vec_id = b.vec_id AND b.i = a.i + 40 AND a.i < 24 WHERE a.i < 40",
+    "table_names": "SELECT unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier']) AS variable",
     "fisher_round_trip": "SELECT l_returnflag, round(corr(l_quantity, l_discount), 6) AS r FROM lineitem GROUP BY ALL",
 }

@@ -8,7 +8,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import exprs
-from ..operators import info, spectral, sync
+from ..operators import info, plotdata, spectral, sync
 from ..sources.tables import table
 
 FS, KS = 64.0, (1, 2, 4, 8, 16)
@@ -97,8 +97,7 @@ def _wave(stat):
 
 
 def mean_waveform(spark, d):
-    long = _signals(spark, d).select("label", F.posexplode("samples").alias("i", "x"))
-    return long.groupBy("label", "i").agg(_r(F.avg("x")).alias("mean"), _r(F.stddev_pop("x")).alias("sd"))
+    return plotdata.mean_waveforms(_signals(spark, d), ["label"]).select("label", "i", _r("mean").alias("mean"), _r("sd").alias("sd"))
 
 
 def waveform_histogram(spark, d):
