@@ -231,13 +231,19 @@ def _lda_counts(f: DataFrame, by: list[str], k: int) -> DataFrame:
     return joined.select(*f.columns, "labels", "weights", "offsets").mapInPandas(score, f"{head}right long, n long")
 
 
-def decode(df: DataFrame, features: str, label: str, obs: str, by: list[str], decoder: str | Callable = "lda", k: int = 5, seed: str = "0", as_pct: bool = False) -> DataFrame:
-    """(by..., accuracy, n): share of held-out observations whose label is predicted, over k stratified folds.
+def decode(df: DataFrame, features: str, label: str, obs: str, by: list[str], decoder: str | Callable = "lda", k: int = 5, seed: str = "0", as_pct: bool = False, fold: str | None = None) -> DataFrame:
+    """(by..., accuracy, n): share of held-out observations whose label is predicted, over k stratified folds, or over
+    those that a column `fold` gives, numbered from 0: a splitter of one's own, such as one that leaves a group out.
 
     features is an array column. decoder: lda, which is solved from sums of any number of observations, or logistic,
     svm or a function of (train x, train y, test x) to predictions; for these, fold and series are one task each,
     which gets all observations of the series."""
-    f = folds(df.where(F.col(label).isNotNull()), obs, label, by, k, seed).select(*by, F.col(label).alias("__y"), F.col(features).alias("__x"), "fold")
+    known = df.where(F.col(label).isNotNull())
+    if fold is None:
+        f = folds(known, obs, label, by, k, seed)
+    else:
+        f, k = known.withColumn("fold", F.col(fold).cast("int")), (known.agg(F.max(fold)).first()[0] or 0) + 1
+    f = f.select(*by, F.col(label).alias("__y"), F.col(features).alias("__x"), "fold")
     if decoder == "lda":
         s = _lda_counts(f, by, k).groupBy(*by).agg(F.sum("right").alias("right"), F.sum("n").alias("n"))
         return s.select(*by, (div("right", "n") * (100.0 if as_pct else 1.0)).alias("accuracy"), "n")

@@ -184,7 +184,7 @@ def burst_analysis(df: DataFrame, keys: list[str], fs: float, bands: DataFrame |
     if freq_exp is not None:
         power = power.withColumn("value", F.col("value") * F.pow("freq", F.lit(float(freq_exp))))
     if bands is not None:
-        power = pool_intervals(power, "value", "freq", bands, [*keys, "time"]).join(F.broadcast(bands.select("name", ((F.col("low") + F.col("high")) / 2).alias("freq"))), "name").drop("name")
+        power = pool_intervals(power, "value", "freq", bands, [*keys, "time"]).join(bands.select("name", ((F.col("low") + F.col("high")) / 2).alias("freq")), "name").drop("name")
     z = stats.zscore(power, "value", [*series, "freq"]).withColumn("i", F.rint(F.col("time") * fs).cast("long"))
     r = runs(z, F.col("z") > threshold, [*keys, "freq"], "i")
     least = F.ceil(F.lit(float(min_cycles)) / F.col("freq") * fs - 1e-9)

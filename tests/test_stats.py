@@ -103,6 +103,17 @@ def test_decode(spark):
         assert info.decode(df, "x", "label", "obs", [], decoder).first().accuracy > 0.9
 
 
+def test_decode_with_folds_of_ones_own(spark):
+    """Blocks as folds; with the labels as folds, no held-out label was ever seen."""
+    rng = np.random.default_rng(2)
+    rows = [(i, i % 2, i % 3, (rng.standard_normal(2) + 4 * (i % 2)).tolist()) for i in range(90)]
+    df = spark.createDataFrame(rows, "obs int, label int, block int, x array<double>")
+    for decoder in ("lda", info.kernels.lda):
+        got = info.decode(df, "x", "label", "obs", [], decoder, fold="block").first()
+        assert got.n == 90 and got.accuracy > 0.9
+        assert info.decode(df, "x", "label", "obs", [], decoder, fold="label").first().accuracy == 0.0
+
+
 def test_decode_lda_gathers_no_series(spark, monkeypatch):
     """The same counts as the kernel over the whole table, which no task gets."""
     rng = np.random.default_rng(1)
