@@ -92,7 +92,8 @@ def test_ties_do_not_switch_clustering_off(spark, docs_of):
     """All words occur once: the bound falls inside a tie, and still as many words as it says are clustered."""
     train = docs_of((1, " ".join(f"w{k:04d}" for k in range(500))))
     fitted = class_lm.fit(train, clustered=100, groups=8, classes=4, head=200)
-    assert [w for w, _ in fitted.top] == [f"w{k:04d}".encode() for k in range(200)] and fitted.n_own == 100
+    assert len({w for w, _ in fitted.top}) == 200 and fitted.n_own == 100
+    assert class_lm.frequent(fitted.counts, 200) == fitted.top and len(class_lm.frequent(fitted.counts, 900)) == 500
     assert set(fitted.of[:108]) == {0, 1, 2, 3} and fitted.of[-1] == 4
 
 
