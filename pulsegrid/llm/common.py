@@ -105,7 +105,7 @@ class UnitEncoder:
     the old one, and units that are met again move over. Ids don't depend on it.
     """
 
-    def __init__(self, tokenizer, bare=None, most: int = 300_000):
+    def __init__(self, tokenizer, bare=None, most: int = 200_000):
         """bare: given if the tokenizer lower-cases, drops white space and takes a run of letters as one word. Units
         are then kept without white space, A-Z in lower case; bare, the same tokenizer without what finds and
         normalises words, encodes those that are nothing but letters in lower case."""
@@ -115,12 +115,13 @@ class UnitEncoder:
             self.odd.append(re.compile(b"|".join(map(re.escape, added))))
 
     def _library(self, tokenizer, units: list[bytes]) -> list[bytes]:
-        if not units:
-            return []
-        each = [e.ids for e in tokenizer.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)]
-        ends = np.cumsum([len(x) for x in each]) * 4
-        flat = np.fromiter(chain.from_iterable(each), "<u4", int(ends[-1]) // 4).tobytes()
-        return [flat[a:b] for a, b in pairwise([0, *ends.tolist()])]
+        out: list[bytes] = []
+        for k in range(0, len(units), 1024):  # what the library makes of a unit takes a kilobyte
+            each = [e.ids for e in tokenizer.encode_batch_fast([u.decode() for u in units[k : k + 1024]], add_special_tokens=False)]
+            ends = np.cumsum([len(x) for x in each]) * 4
+            flat = np.fromiter(chain.from_iterable(each), "<u4", int(ends[-1]) // 4).tobytes()
+            out += [flat[a:b] for a, b in pairwise([0, *ends.tolist()])]
+        return out
 
     def _encode(self, units: list[bytes]) -> list[bytes]:
         if self.bare is None:
@@ -184,7 +185,7 @@ class UnitEncoder:
         where = np.repeat(first[codes] - ends[:-1], each) + np.arange(ends[-1])
         return flat[where], ends[np.searchsorted(units, at)]
 
-    def parts(self, column: pa.Array, end_id: int | None = None, most_bytes: int = 1 << 22) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def parts(self, column: pa.Array, end_id: int | None = None, most_bytes: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(row, ids, bounds) for runs of rows from that row on, some most_bytes of text or one text at a time: the
         ids (u32) of row + k are ids[bounds[k]:bounds[k + 1]]. Null texts count as empty. end_id: put behind each."""
         column = pc.fill_null(column, "").cast(pa.large_binary())

@@ -97,7 +97,7 @@ class Packer:
 
 def pack(
     df: DataFrame, tokenizer: str, end_id: int, folds: bool = False, doc_id: str = "doc_id", text: str = "text",
-    tiers: tuple[int, ...] = TIERS, step_tokens: int = 1 << 19, at_once: int = 1 << 21,
+    tiers: tuple[int, ...] = TIERS, step_tokens: int = 1 << 19, at_once: int = 1 << 20,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian u32), doc_tokens, sequence_id, offset, tier, step_group.
 
