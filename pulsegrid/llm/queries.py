@@ -3,7 +3,7 @@ call session.attach(spark) first, as the entry points do."""
 
 from __future__ import annotations
 
-from . import byte_bpe, cap_filters, class_lm, line_dedup, packing, quality_model, quality_rules, simhash, token_files, url_reputation
+from . import byte_bpe, cap_filters, class_lm, language_id, line_dedup, packing, quality_model, quality_rules, simhash, spelling, token_files, url_reputation, whitening
 
 QUERIES = {
     "op1_class_lm": class_lm.query,
@@ -16,10 +16,14 @@ QUERIES = {
     "op8_simhash": simhash.query,
     "op9_url_reputation": url_reputation.query,
     "op10_packing": packing.query,
+    "op11_language_id": language_id.query,
+    "op12_whitening": whitening.query,
+    "op13_spelling": spelling.query,
 }
 
 ORACLES: dict[str, str] = {
     "op3_quality_rules": quality_rules.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
     "op9_url_reputation": url_reputation.ORACLE,
+    "op13_spelling": spelling.ORACLE,
 }
