@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .order import numbered
+
 
 def lines(df: DataFrame, x: str, value: str, by: list[str], error: str = "sem") -> DataFrame:
     """(by..., x, y, low, high): means over rows with a ribbon of a standard error or deviation."""
@@ -22,7 +24,7 @@ def heatmap(df: DataFrame, x: str, y: str, value: str) -> DataFrame:
 
 def stacked(df: DataFrame, line: str, x: str, value: str, scale: float = 1.5) -> DataFrame:
     """(line, x, y): lines one above the other in order of `line`, scaled by the greatest absolute value."""
-    rank = df.select(line).distinct().withColumn("__at", F.row_number().over(Window.orderBy(line)) - 1)  # a row for each line of a plot
+    rank = numbered(df.select(line).distinct(), [], [line], "__at")
     top = df.agg(F.max(F.abs(F.col(value))).alias("__top"))
     y = F.col("__at") + scale * F.try_divide(F.col(value), F.col("__top"))
     return df.join(rank, line).crossJoin(F.broadcast(top)).select(line, x, y.alias("y"))  # top is one row
@@ -30,7 +32,7 @@ def stacked(df: DataFrame, line: str, x: str, value: str, scale: float = 1.5) ->
 
 def raster(events: DataFrame, by: list[str], t: str = "t") -> DataFrame:
     """(train, t): events with their train numbered from 0 in order of its keys."""
-    n = events.select(*by).distinct().withColumn("train", F.row_number().over(Window.orderBy(*by)) - 1)
+    n = numbered(events.select(*by).distinct(), [], by, "train")
     return events.join(n, by).select("train", t)
 
 

@@ -15,6 +15,12 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import col, div
 from . import stats
+from .order import SMALL, gathered, joined, largest, numbered
+
+#: Observations from which a bootstrap draws at once; its draws depend on it.
+BLOCK = 4096
+#: Blocks, or groups of blocks, among which a whole series' picks are counted at first.
+FAN = 4096
 
 
 def digest(seed, *parts) -> Column:
@@ -41,8 +47,7 @@ def _obs(spark: SparkSession, n: int, draws: int) -> DataFrame:
 
 def permutations(spark: SparkSession, n: int, n_resamples: int = 9999, seed=0) -> DataFrame:
     """(draw, pos, i): pos and i from 0."""
-    w = Window.partitionBy("draw").orderBy(digest(seed, "draw", "i"), "i")
-    return _obs(spark, n, n_resamples).select("draw", (F.row_number().over(w) - 1).alias("pos"), "i")
+    return numbered(_obs(spark, n, n_resamples), ["draw"], [digest(seed, "draw", "i"), "i"], "pos", n).select("draw", "pos", "i")
 
 
 def bootstraps(spark: SparkSession, n: int, n_resamples: int = 9999, seed=0) -> DataFrame:
@@ -140,27 +145,107 @@ def paired_sample_permutation_test(df: DataFrame, x: str, y: str, obs: str, by:
     return one_sample_randomization_test(_differences(df, x, y, d), "__v", obs, by, **options)
 
 
-def _numbered(df: DataFrame, by: list[str], obs: str) -> DataFrame:
-    """Observations numbered from 0 in each series, with their count."""
+def _resample(df: DataFrame, by: list[str], obs: str, cols: list[str], draws: int, seed, sample: Column | None = None, block: int = BLOCK) -> DataFrame:
+    """(by..., draw, cols...): observations drawn with replacement in each series, as many as it has.
+
+    Observations lie in blocks of `block`, in order of obs. A draw's picks are split over the blocks, then each block's
+    picks over its observations, where these lie: rows times draws aren't shuffled, but for their counts by block. In
+    a series of one block the t-th pick is the uniform number of (draw, t); in others that number tells the pick's block,
+    and the t-th pick in a block is the uniform number of (draw, "b", block, t)."""
+    parts = ["draw"] if sample is None else ["draw", sample]
+    n, most = _counts(df, by)
+
+
+    def taken_rows(drawn: DataFrame, picks: Column | str, u: Callable[[Column], Column]) -> DataFrame:
+        """As many rows as picks of each draw: one array in the row, so that the block isn't copied for each pick."""
+        each = F.transform(F.sequence(F.lit(0).cast("long"), F.col(picks) - 1), lambda t: F.get("__rows", F.floor(u(t) * F.size("__rows")).cast("int")))
+        return drawn.select(*by, "draw", F.inline(each))
+
+    if most <= block:
+        whole = joined(gathered(df, by, [obs], cols, "__rows"), n, by)
+        # Draws in portions: the few rows would else be few tasks.
+        portions = min(draws, 64)
+        dealt = with_draws(whole, portions, "__portion").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "__portion")
+        drawn = dealt.withColumn("draw", F.explode(F.sequence(F.col("__portion"), F.lit(draws), F.lit(portions))))
+        return taken_rows(drawn, "__n", lambda t: uniform(seed, *parts, t))
+
+    d = joined(numbered(df, by, [obs], "__i", most), n, by)
+    # How many picks fall to each block; if there are many blocks, to each group of blocks before.
+    group = F.greatest(F.lit(1), F.ceil(F.col("__n") / (block * FAN))) * block
+    first = F.floor(uniform(seed, *parts, "__i") * F.col("__n"))
+    split = F.col("__n") > block
+    taken = with_draws(d.where(split).select(*by, "__i", "__n"), draws).select(*by, "draw", "__n", F.floor(first / group).alias("__group")).groupBy(*by, "draw", "__n", "__group").agg(F.count("*").alias("__m"))
+    many = group > block
+    held = F.least(group, F.col("__n") - F.col("__group") * group)
+    picks = taken.where(many).withColumn("__t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__m") - 1)))
+    at = F.col("__group") * group + F.floor(uniform(seed, *parts, F.lit("g"), "__group", "__t") * held)
+    taken = taken.where(~many).select(*by, "draw", F.col("__group").alias("__block"), "__m").unionByName(
+        picks.groupBy(*by, "draw", "__n", "__group", F.floor(at / block).alias("__block")).agg(F.count("*").alias("__m")).select(*by, "draw", "__block", "__m"))
+    blocks = gathered(d.withColumn("__block", F.floor(F.col("__i") / block)), [*by, "__block", "__n"], ["__i"], cols, "__rows")
+    one = with_draws(blocks.where(~split), draws).withColumn("__m", F.col("__n"))
+    of_block = taken.groupBy(*by, "__block").agg(F.collect_list(F.struct("draw", "__m")).alias("__draws"))  # at most `draws`
+    more = blocks.where(split).join(of_block, [*by, "__block"]).select(*by, "__block", "__n", "__rows", F.inline("__draws"))
+    inside = lambda t: uniform(seed, *parts, F.lit("b"), "__block", t)
+    return taken_rows(one, "__m", lambda t: uniform(seed, *parts, t)).unionByName(taken_rows(more, "__m", inside))
+
+
+def _counts(df: DataFrame, by: list[str]) -> tuple[DataFrame, int]:
+    """(by..., __n), and the greatest __n."""
     n = df.groupBy(*by).agg(F.count("*").alias("__n"))
-    counted = df.join(n, by) if by else df.crossJoin(F.broadcast(n))  # one row
-    return counted.withColumn("__i", F.row_number().over(Window.partitionBy(*by).orderBy(obs)) - 1)
-
-
-def _resample(df: DataFrame, by: list[str], obs: str, cols: list[str], draws: int, seed, sample: Column | None = None) -> DataFrame:
-    """(by..., draw, cols...): observations drawn with replacement in each series."""
-    d = _numbered(df, by, obs)
-    pick = F.floor(uniform(seed, "draw", *([sample] if sample is not None else []), "__i") * F.col("__n"))
-    places = with_draws(d.select(*by, "__i", "__n"), draws).select(*by, "draw", pick.cast("int").alias("__i"))
-    return places.join(d.select(*by, "__i", *cols), [*by, "__i"])
-
-
-def one_sample_bootstrap_test(df: DataFrame, value: str, obs: str, by: list[str], mu: float = 0.0, stat="t", tail="both", n_resamples: int = 10_000, seed=0, return_stats: bool = False) -> DataFrame:
+    return n, n.agg(F.max("__n")).first()[0] or 0
+
+
+def _reordered(df: DataFrame, by: list[str], obs: str, moved: list[str], draws: int, seed) -> DataFrame:
+    """df's rows once for each draw; in each draw the columns `moved` are those of the observation (in order of obs)
+    whose place is the row's place in the order of digests. Places come from numbered(): a draw's rows needn't be in
+    one task."""
+    rest = [c for c in df.columns if c not in moved and c not in by]
+    most = largest(df, by)
+    order = [digest(seed, "draw", obs), obs]
+    drawn = with_draws(df.select(*by, *rest), draws)
+    if most <= SMALL:
+        shuffled = joined(gathered(drawn, [*by, "draw"], order, rest, "__a"), gathered(df, by, [obs], moved, "__b"), by)
+        return shuffled.select(*by, "draw", F.explode(F.arrays_zip("__a", "__b")).alias("__x")).select(*by, "draw", "__x.__a.*", "__x.__b.*")
+    places = numbered(df.select(*by, obs, *moved), by, [obs], "__i", most).drop(obs)
+    return numbered(drawn, [*by, "draw"], order, "__i", most).join(places, [*by, "__i"]).drop("__i")
+
+
+def _cuts(df: DataFrame, by: list[str], obs: str, draws: int, seed, place: str, most: int) -> DataFrame:
+    """(by..., __cuts): for each draw, the digest and obs at `place` (from 1; a column that is constant in a series) of
+    the order by digest: an array of (draw, digest, obs); nothing for a draw if place is 0.
+
+    Found by distributed selection: digests are counted by their first two digits, which tells in which of 256 ranges
+    the place lies; those of that range are counted by the next two, until a range is small enough to be sorted."""
+    key = digest(seed, "draw", obs)
+    drawn, shown, before, known = with_draws(df.select(*by, obs, place), draws).withColumn("__prefix", F.lit("")).withColumn("__before", F.lit(0).cast("long")), most, 0, 0
+    while shown > SMALL:
+        counted = drawn.groupBy(*by, "draw", place, "__prefix", "__before", F.substring(key, known + 1, 2).alias("__next")).agg(F.count("*").alias("__m"))
+        ranges = F.sort_array(F.collect_list(F.struct("__next", "__m")))  # at most 256
+        none = F.struct(F.col("__before").alias("before"), F.lit(None).cast("string").alias("at"))
+
+        def step(a: Column, x: Column) -> Column:
+            past = a["before"] + x["__m"] >= F.col(place)
+            there = F.struct(a["before"].alias("before"), x["__next"].alias("at"))
+            on = F.struct((a["before"] + x["__m"]).alias("before"), a["at"].alias("at"))
+            return F.when(a["at"].isNotNull(), a).when(past, there).otherwise(on)
+
+        found = counted.groupBy(*by, "draw", place, "__prefix", "__before").agg(ranges.alias("__ranges")).withColumn("__to", F.aggregate("__ranges", none, step)).where("__to.at IS NOT NULL")
+        ranged = F.struct("draw", F.concat("__prefix", "__to.at").alias("__prefix"), F.col("__to.before").alias("__before"))
+        told = found.groupBy(*by).agg(F.collect_list(ranged).alias("__told"))  # a range for each draw
+        known, shown = known + 2, -(-shown // 256) * 2
+        drawn = joined(df.select(*by, obs, place), told, by).select(*by, obs, place, F.inline("__told")).where(F.substring(key, 1, known) == F.col("__prefix"))
+    ordered = F.sort_array(F.collect_list(F.struct(key.alias("digest"), F.col(obs).alias("obs"))))
+    at = F.get("__ordered", (F.col(place) - F.col("__before") - 1).cast("int"))
+    cut = drawn.groupBy(*by, "draw", place, "__before").agg(ordered.alias("__ordered")).select(*by, "draw", at["digest"].alias("digest"), at["obs"].alias("obs"))
+    return cut.groupBy(*by).agg(F.collect_list(F.struct("draw", "digest", "obs")).alias("__cuts"))
+
+
+def one_sample_bootstrap_test(df: DataFrame, value: str, obs: str, by: list[str], mu: float = 0.0, stat="t", tail="both", n_resamples: int = 10_000, seed=0, return_stats: bool = False, block: int = BLOCK) -> DataFrame:
     """(by..., stat, p): resampled statistics, centred on the observed one, against its distance from mu."""
     f = _stat(stat, ONE_SAMPLE)
     is_mean = stat == "mean"
     d = df.where(F.col(value).isNotNull()).select(*by, obs, (F.col(value) - (0.0 if is_mean else float(mu))).alias("__v"))
-    s = _resample(d, by, obs, ["__v"], n_resamples - 1, seed).groupBy(*by, "draw").agg(f("__v").alias("s"))
+    s = _resample(d, by, obs, ["__v"], n_resamples - 1, seed, block=block).groupBy(*by, "draw").agg(f("__v").alias("s"))
     return p_values(s, d.groupBy(*by).agg(f("__v").alias("stat")), by, tail, n_resamples - 1, centre=True, null=float(mu) if is_mean else 0.0, return_stats=return_stats)
 
 
@@ -183,17 +268,15 @@ def _association(df: DataFrame, x: str, y: str, by: list[str], stat) -> DataFram
 
 def paired_sample_association_permutation_test(df: DataFrame, x: str, y: str, obs: str, by: list[str], stat="r", tail="both", n_resamples: int = 10_000, seed=0, return_stats: bool = False) -> DataFrame:
     """(by..., stat, p): y in an order shuffled against x."""
-    d = _numbered(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, obs, x, y), by, obs)
-    w = Window.partitionBy(*by, "draw").orderBy(digest(seed, "draw", obs), obs)
-    shuffled = with_draws(d.select(*by, obs, x), n_resamples - 1).withColumn("__i", F.row_number().over(w) - 1)
-    s = _association(shuffled.join(d.select(*by, "__i", y), [*by, "__i"]), x, y, [*by, "draw"], stat)
+    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, obs, x, y)
+    s = _association(_reordered(d, by, obs, [y], n_resamples - 1, seed), x, y, [*by, "draw"], stat)
     return p_values(s, _association(d, x, y, by, stat).withColumnRenamed("s", "stat"), by, tail, n_resamples - 1, return_stats=return_stats)
 
 
-def paired_sample_association_bootstrap_test(df: DataFrame, x: str, y: str, obs: str, by: list[str], stat="r", tail="both", n_resamples: int = 10_000, seed=0, return_stats: bool = False) -> DataFrame:
+def paired_sample_association_bootstrap_test(df: DataFrame, x: str, y: str, obs: str, by: list[str], stat="r", tail="both", n_resamples: int = 10_000, seed=0, return_stats: bool = False, block: int = BLOCK) -> DataFrame:
     """(by..., stat, p): pairs drawn together."""
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, obs, x, y)
-    s = _association(_resample(d, by, obs, [x, y], n_resamples - 1, seed), x, y, [*by, "draw"], stat)
+    s = _association(_resample(d, by, obs, [x, y], n_resamples - 1, seed, block=block), x, y, [*by, "draw"], stat)
     return p_values(s, _association(d, x, y, by, stat).withColumnRenamed("s", "stat"), by, tail, n_resamples - 1, centre=True, return_stats=return_stats)
 
 
@@ -214,30 +297,24 @@ def _two_sample(df: DataFrame, value: str, label: str, groups: tuple, by: list[s
 def two_sample_permutation_test(df: DataFrame, value: str, label: str, groups: tuple, obs: str, by: list[str], stat="t", tail="both", n_resamples: int = 10_000, seed=0, return_stats: bool = False) -> DataFrame:
     """(by..., stat, p): observations in shuffled order, as many as before to the first group."""
     d = df.where(F.col(value).isNotNull() & F.col(label).isin(*groups)).select(*by, obs, value, label)
-    n1 = d.groupBy(*by).agg(F.count_if(F.col(label) == F.lit(groups[0])).alias("__n1"))
-    counted = d.join(n1, by) if by else d.crossJoin(F.broadcast(n1))  # one row
-    place = F.row_number().over(Window.partitionBy(*by, "draw").orderBy(digest(seed, "draw", obs), obs))
-    dealt = with_draws(counted, n_resamples - 1).withColumn(label, F.when(place <= F.col("__n1"), F.lit(groups[0])).otherwise(F.lit(groups[1])))
+    n1 = d.groupBy(*by).agg(F.count_if(F.col(label) == F.lit(groups[0])).alias("__n1"), F.count("*").alias("__n"))
+    most = n1.agg(F.max("__n")).first()[0] or 0
+    counted = joined(d, n1.drop("__n"), by)
+    cuts = _cuts(counted, by, obs, n_resamples - 1, seed, "__n1", most)
+    drawn = joined(counted, cuts, by).select(*by, obs, value, F.explode("__cuts").alias("__cut")).withColumn("draw", F.col("__cut.draw"))
+    first = F.struct(digest(seed, "draw", obs).alias("digest"), F.col(obs).alias("obs")) <= F.struct("__cut.digest", "__cut.obs")
+    dealt = drawn.withColumn(label, F.when(first & F.col("__cut.digest").isNotNull(), F.lit(groups[0])).otherwise(F.lit(groups[1])))
     s = _two_sample(dealt, value, label, groups, [*by, "draw"], stat)
     return p_values(s, _two_sample(d, value, label, groups, by, stat).withColumnRenamed("s", "stat"), by, tail, n_resamples - 1, return_stats=return_stats)
 
 
-def two_sample_bootstrap_test(df: DataFrame, value: str, label: str, groups: tuple, obs: str, by: list[str], stat="t", tail="both", n_resamples: int = 10_000, seed=0, return_stats: bool = False) -> DataFrame:
+def two_sample_bootstrap_test(df: DataFrame, value: str, label: str, groups: tuple, obs: str, by: list[str], stat="t", tail="both", n_resamples: int = 10_000, seed=0, return_stats: bool = False, block: int = BLOCK) -> DataFrame:
     """(by..., stat, p): each group drawn from itself."""
     d = df.where(F.col(value).isNotNull() & F.col(label).isin(*groups)).select(*by, obs, value, label)
-    s = _two_sample(_resample(d, [*by, label], obs, [value], n_resamples - 1, seed, F.col(label)), value, label, groups, [*by, "draw"], stat)
+    s = _two_sample(_resample(d, [*by, label], obs, [value], n_resamples - 1, seed, F.col(label), block), value, label, groups, [*by, "draw"], stat)
     return p_values(s, _two_sample(d, value, label, groups, by, stat).withColumnRenamed("s", "stat"), by, tail, n_resamples - 1, centre=True, return_stats=return_stats)
 
 
-def _shuffled_labels(df: DataFrame, labels: list[str], obs: str, by: list[str], draws: int, seed) -> DataFrame:
-    """Rows of labels dealt to observations in shuffled order, together."""
-    d = _numbered(df, by, obs)
-    w = Window.partitionBy(*by, "draw").orderBy(digest(seed, "draw", obs), obs)
-    rest = [c for c in d.columns if c not in labels and c != "__i"]
-    moved = with_draws(d.select(*rest), draws).withColumn("__i", F.row_number().over(w) - 1)
-    return moved.join(d.select(*by, "__i", *labels), [*by, "__i"])
-
-
 def one_way_permutation_test(df: DataFrame, value: str, label: str, obs: str, by: list[str], groups: list | None = None, stat="F", tail="right", n_resamples: int = 10_000, seed=0, compat: bool = False, return_stats: bool = False) -> DataFrame:
     """(by..., stat, p)."""
     if stat not in ("F", "f") and not callable(stat):
@@ -245,7 +322,7 @@ def one_way_permutation_test(df: DataFrame, value: str, label: str, obs: str, by
     f = stat if callable(stat) else (lambda d, v, g, b: stats.one_way_fstat(d, v, g, b, compat, "s"))
     d = df.where(F.col(value).isNotNull() & F.col(label).isNotNull()).select(*by, obs, value, label)
     d = d if groups is None else d.where(F.col(label).isin(*groups))
-    s = f(_shuffled_labels(d, [label], obs, by, n_resamples - 1, seed), value, label, [*by, "draw"])
+    s = f(_reordered(d, by, obs, [label], n_resamples - 1, seed), value, label, [*by, "draw"])
     return p_values(s, f(d, value, label, by).withColumnRenamed("s", "stat"), by, tail, n_resamples - 1, return_stats=return_stats)
 
 
@@ -259,7 +336,7 @@ def two_way_permutation_test(
     f_ = lambda d, v, x, y, k: stats.two_way_fstat(d, v, x, y, k, interact, compat).withColumnRenamed("f", "s")
     f = stat if callable(stat) else f_
     d = df.where(F.col(value).isNotNull()).select(*by, obs, value, a, b)
-    s = f(_shuffled_labels(d, [a, b], obs, by, n_resamples - 1, seed), value, a, b, [*by, "draw"])
+    s = f(_reordered(d, by, obs, [a, b], n_resamples - 1, seed), value, a, b, [*by, "draw"])
     observed = f(d, value, a, b, by).withColumnRenamed("s", "stat")
     return p_values(s, observed, [*by, "term"], tail, n_resamples - 1, return_stats=return_stats)
 
@@ -283,11 +360,11 @@ def _interval(s: DataFrame, observed: DataFrame, by: list[str], confint: float,
     return _with_draws(s, out, by) if return_stats else out
 
 
-def one_sample_confints(df: DataFrame, value: str, obs: str, by: list[str], stat="mean", confint: float = 0.95, n_resamples: int = 10_000, seed=0, return_stats: bool = False) -> DataFrame:
+def one_sample_confints(df: DataFrame, value: str, obs: str, by: list[str], stat="mean", confint: float = 0.95, n_resamples: int = 10_000, seed=0, return_stats: bool = False, block: int = BLOCK) -> DataFrame:
     """(by..., stat, low, high) by the bootstrap."""
     f = _stat(stat, ONE_SAMPLE)
     d = df.where(F.col(value).isNotNull())
-    s = _resample(d.select(*by, obs, value), by, obs, [value], n_resamples, seed).groupBy(*by, "draw").agg(f(value).alias("s"))
+    s = _resample(d.select(*by, obs, value), by, obs, [value], n_resamples, seed, block=block).groupBy(*by, "draw").agg(f(value).alias("s"))
     return _interval(s, d.groupBy(*by).agg(f(value).alias("stat")), by, confint, n_resamples, return_stats)
 
 
@@ -295,14 +372,15 @@ def paired_sample_confints(df: DataFrame, x: str, y: str, obs: str, by: list[str
     return one_sample_confints(_differences(df, x, y, 0.0), "__v", obs, by, **options)
 
 
-def two_sample_confints(df: DataFrame, value: str, label: str, groups: tuple, obs: str, by: list[str], stat="meandiff", confint: float = 0.95, n_resamples: int = 10_000, seed=0, return_stats: bool = False) -> DataFrame:
+def two_sample_confints(df: DataFrame, value: str, label: str, groups: tuple, obs: str, by: list[str], stat="meandiff", confint: float = 0.95, n_resamples: int = 10_000, seed=0, return_stats: bool = False, block: int = BLOCK) -> DataFrame:
     d = df.where(F.col(value).isNotNull() & F.col(label).isin(*groups)).select(*by, obs, value, label)
-    s = _two_sample(_resample(d, [*by, label], obs, [value], n_resamples, seed, F.col(label)), value, label, groups, [*by, "draw"], stat)
+    s = _two_sample(_resample(d, [*by, label], obs, [value], n_resamples, seed, F.col(label), block), value, label, groups, [*by, "draw"], stat)
     return _interval(s, _two_sample(d, value, label, groups, by, stat).withColumnRenamed("s", "stat"), by, confint, n_resamples, return_stats)
 
 
-def poisson_weight(seed, *parts, most: int = 8) -> Column:
-    """How often a draw takes an observation, if each is taken on its own: Poisson with mean 1, at most `most`."""
+def poisson_weight(seed, *parts, most: int = 13) -> Column:
+    """How often a draw takes an observation, if each is taken on its own: Poisson with mean 1, at most `most`. More than
+    13 is less likely than the 32 bits of a uniform number can tell."""
     u, p, total, out = uniform(seed, *parts), 1.0, 0.0, F.lit(0)
     term = 2.718281828459045**-1
     for k in range(most):

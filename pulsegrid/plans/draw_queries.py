@@ -12,7 +12,7 @@ from .event_queries import _events
 from .event_queries import E as _E
 from .signal_queries import _K, _L, _P, FS, KS, _dft, _signals
 from .signal_queries import _channels as _pairs_of_channels
-from .table_queries import _C, _PAIR, DRAWS, SEED, _customers, _items, _md5, _pairs, _r, _u
+from .table_queries import _C, _PAIR, DRAWS, SEED, _customers, _items, _md5, _pairs, _picked, _r, _u
 
 SEG = ["c_mktsegment"]
 TWO = ("BUILDING", "MACHINERY")
@@ -264,13 +264,6 @@ def _signed(extreme, draws=_D, n=DRAWS):
 SELECT seg AS c_mktsegment, round(any_value(o), 4) AS stat, round((1 + count(*) FILTER (WHERE {extreme})) / {n}::DOUBLE, 6) AS p FROM s JOIN o USING (seg) GROUP BY seg"""
 
 
-def _drawn(source, *cols, key="seg"):
-    """k: the columns of source drawn with replacement in each seg."""
-    picked = ", ".join(f"n.{c}" for c in cols)
-    return f"""n AS (SELECT seg, {', '.join(cols)}, row_number() OVER (PARTITION BY seg ORDER BY obs) - 1 AS i, count(*) OVER (PARTITION BY seg) AS n FROM {source}),
-j AS (SELECT seg, draw, floor({_u('draw', *(['seg'] if key == 'label' else []), 'i')} * n)::BIGINT AS i FROM n, d), k AS (SELECT seg, draw, {picked} FROM j JOIN n USING (seg, i))"""
-
-
 _LOW, _HIGH = round(DRAWS * (1 - 0.9) / 2) - 1, round(DRAWS - DRAWS * (1 - 0.9) / 2) - 1
 _ENDS = f"round(max(s) FILTER (WHERE at_ = {_LOW}), 4) AS low, round(max(s) FILTER (WHERE at_ = {_HIGH}), 4) AS high"
 _MEANDIFF = "avg(v) FILTER (WHERE seg = 'BUILDING') - avg(v) FILTER (WHERE seg = 'MACHINERY')"
@@ -292,13 +285,13 @@ ORACLES = {
     "paired_perm": _signed("abs(s) >= abs(o)"),
     "paired_perm_left": _signed("s <= o"),
     "paired_perm_tail": _signed("s * 2 >= o"),
-    "paired_boot": f"""WITH {_C}, {_D}, {_V}, {_drawn('x', 'v')}, o AS (SELECT seg, avg(v) AS o FROM x GROUP BY seg), s AS (SELECT seg, draw, avg(v) AS s FROM k GROUP BY ALL)
+    "paired_boot": f"""WITH {_C}, {_D}, {_V}, {_picked('x', 'v')}, o AS (SELECT seg, avg(v) AS o FROM x GROUP BY seg), s AS (SELECT seg, draw, avg(v) AS s FROM k GROUP BY ALL)
 SELECT seg AS c_mktsegment, round(any_value(o), 4) AS stat, round((1 + count(*) FILTER (WHERE abs(s - o) >= abs(o))) / {DRAWS}::DOUBLE, 6) AS p FROM s JOIN o USING (seg) GROUP BY seg""",
-    "paired_ci": f"""WITH {_C}, {_DALL}, x AS (SELECT obs, seg, v - o AS v FROM c), {_drawn('x', 'v')}, s AS (SELECT seg, draw, avg(v) AS s FROM k GROUP BY ALL), q AS (SELECT seg, s, row_number() OVER (PARTITION BY seg ORDER BY s, draw) - 1 AS at_ FROM s),
+    "paired_ci": f"""WITH {_C}, {_DALL}, x AS (SELECT obs, seg, v - o AS v FROM c), {_picked('x', 'v')}, s AS (SELECT seg, draw, avg(v) AS s FROM k GROUP BY ALL), q AS (SELECT seg, s, row_number() OVER (PARTITION BY seg ORDER BY s, draw) - 1 AS at_ FROM s),
 o AS (SELECT seg, avg(v) AS o FROM x GROUP BY seg) SELECT seg AS c_mktsegment, round(any_value(o), 4) AS stat, {_ENDS} FROM q JOIN o USING (seg) GROUP BY seg""",
-    "two_sample_ci": f"""WITH {_C}, {_DALL}, {_PAIR}, {_drawn('c2', 'v', key='label')}, s AS (SELECT draw, {_MEANDIFF} AS s FROM k GROUP BY draw), q AS (SELECT s, row_number() OVER (ORDER BY s, draw) - 1 AS at_ FROM s)
+    "two_sample_ci": f"""WITH {_C}, {_DALL}, {_PAIR}, {_picked('c2', 'v', key=True)}, s AS (SELECT draw, {_MEANDIFF} AS s FROM k GROUP BY draw), q AS (SELECT s, row_number() OVER (ORDER BY s, draw) - 1 AS at_ FROM s)
 SELECT (SELECT round({_MEANDIFF}, 4) FROM c2) AS stat, {_ENDS} FROM q""",
-    "assoc_boot": f"""WITH {_C}, {_D}, {_drawn('c', 'v', 'o')}, s AS (SELECT seg, draw, corr(v, o) AS s FROM k GROUP BY ALL), o AS (SELECT seg, corr(v, o) AS o FROM c GROUP BY seg)
+    "assoc_boot": f"""WITH {_C}, {_D}, {_picked('c', 'v', 'o')}, s AS (SELECT seg, draw, corr(v, o) AS s FROM k GROUP BY ALL), o AS (SELECT seg, corr(v, o) AS o FROM c GROUP BY seg)
 SELECT seg AS c_mktsegment, round(any_value(o), 6) AS stat, round((1 + count(*) FILTER (WHERE abs(s - o) >= abs(o))) / {DRAWS}::DOUBLE, 6) AS p FROM s JOIN o USING (seg) GROUP BY seg""",
     "assoc_rank": f"""WITH {_C}, {_TENTH}, {_PERM}, r AS (SELECT seg, draw, {_RANKS.format(', draw', 'v')} AS a, {_RANKS.format(', draw', 'o')} AS b FROM y), s AS (SELECT seg, draw, corr(a, b) AS s FROM r GROUP BY ALL)
 SELECT s.seg AS c_mktsegment, round(any_value(o.s), 6) AS stat, round((1 + count(*) FILTER (WHERE abs(s.s) >= abs(o.s) - 1e-12::DOUBLE)) / 10::DOUBLE, 6) AS p FROM s JOIN s AS o ON s.seg = o.seg AND o.draw = 0 WHERE s.draw > 0 GROUP BY s.seg""",
@@ -311,7 +304,7 @@ SELECT seg AS c_mktsegment, draw, round(s, 4) AS s, round(o, 4) AS stat, round((
     "perm_two_sample_stats": f"""WITH {_C}, {_D}, {_PAIR}, o AS (SELECT {_MEANDIFF} AS o, count(*) FILTER (WHERE seg = 'BUILDING') AS n1 FROM c2),
 k AS (SELECT draw, v, CASE WHEN row_number() OVER (PARTITION BY draw ORDER BY {_md5('draw', 'obs')}, obs) <= n1 THEN 'BUILDING' ELSE 'MACHINERY' END AS seg FROM c2, d, o), s AS (SELECT draw, {_MEANDIFF} AS s FROM k GROUP BY draw)
 SELECT draw, round(s, 4) AS s, round(o, 4) AS stat, round((1 + count(*) FILTER (WHERE abs(s) >= abs(o)) OVER ()) / {DRAWS}::DOUBLE, 6) AS p FROM s, o""",
-    "boot_ci_stats": f"""WITH {_C}, {_DALL}, {_drawn('c', 'v')}, s AS (SELECT seg, draw, avg(v) AS s FROM k GROUP BY ALL), q AS (SELECT seg, s, row_number() OVER (PARTITION BY seg ORDER BY s, draw) - 1 AS at_ FROM s),
+    "boot_ci_stats": f"""WITH {_C}, {_DALL}, {_picked('c', 'v')}, s AS (SELECT seg, draw, avg(v) AS s FROM k GROUP BY ALL), q AS (SELECT seg, s, row_number() OVER (PARTITION BY seg ORDER BY s, draw) - 1 AS at_ FROM s),
 o AS (SELECT seg, avg(v) AS o FROM c GROUP BY seg), b AS (SELECT seg, {_ENDS} FROM q GROUP BY seg) SELECT seg AS c_mktsegment, draw, round(s, 4) AS s, round(o, 4) AS stat, low, high FROM s JOIN o USING (seg) JOIN b USING (seg)""",
     "perm_two_way_spread": f"""WITH {_C}, {_D}, n AS (SELECT *, row_number() OVER (ORDER BY obs) - 1 AS i FROM c), m AS (SELECT draw, v, row_number() OVER (PARTITION BY draw ORDER BY {_md5('draw', 'obs')}, obs) - 1 AS i FROM n, d),
 p AS (SELECT draw, m.v, seg, side FROM m JOIN n USING (i) UNION ALL SELECT 0, v, seg, side FROM c), f AS (SELECT draw, 'a' AS term, {_SPREAD} FROM (SELECT draw, seg, avg(v) AS m FROM p GROUP BY ALL) GROUP BY draw UNION ALL SELECT draw, 'b', {_SPREAD} FROM (SELECT draw, side, avg(v) AS m FROM p GROUP BY ALL) GROUP BY draw)

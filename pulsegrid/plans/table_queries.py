@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import exp, factorial
+
 from pyspark.sql import functions as F
 
 from ..functions import exprs
@@ -145,8 +147,41 @@ def boot_two_sample(spark, d):
     return resample.two_sample_test(_customers(spark, d), "c_acctbal", "c_mktsegment", ("BUILDING", "MACHINERY"), "c_custkey", [], method="bootstrap", stat="meandiff", n_resamples=DRAWS, seed=SEED).select(_r("stat", 4).alias("stat"), _r("p").alias("p"))
 
 
+def _numbered_items(spark, d):
+    """Lines with a name of their own: order and line alone repeat in these tables."""
+    cents = F.floor(F.col("l_extendedprice") * 100 + 0.5)
+    return table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents).alias("obs"))
+
+
+def boot_items(spark, d):
+    """Series of many blocks."""
+    s = resample.one_sample_confints(_numbered_items(spark, d), "l_quantity", "obs", ["l_returnflag"], confint=0.8, n_resamples=15, seed=SEED, block=1024)
+    return s.select("l_returnflag", *(_r(c, 4).alias(c) for c in ("stat", "low", "high")))
+
+
+def boot_two_items(spark, d):
+    s = resample.two_sample_bootstrap_test(_numbered_items(spark, d), "l_quantity", "l_returnflag", ("A", "R"), "obs", ["l_linestatus"], stat="meandiff", n_resamples=15, seed=SEED, block=1024)
+    return s.select("l_linestatus", _r("stat", 6).alias("stat"), _r("p").alias("p"))
+
+
+def perm_items(spark, d):
+    """A place among more observations than are sorted at once."""
+    s = resample.two_sample_permutation_test(_numbered_items(spark, d), "l_quantity", "l_returnflag", ("A", "R"), "obs", [], stat="meandiff", n_resamples=25, seed=SEED)
+    return s.select(_r("stat", 6).alias("stat"), _r("p").alias("p"))
+
+
+def perm_groups_items(spark, d):
+    s = resample.one_way_permutation_test(_numbered_items(spark, d), "l_quantity", "l_returnflag", "obs", [], n_resamples=8, seed=SEED)
+    return s.select(_r("stat").alias("stat"), _r("p").alias("p"))
+
+
+def perm_assoc_items(spark, d):
+    s = resample.paired_sample_association_permutation_test(_numbered_items(spark, d), "l_quantity", "l_extendedprice", "obs", ["l_returnflag"], n_resamples=8, seed=SEED)
+    return s.select("l_returnflag", _r("stat").alias("stat"), _r("p").alias("p"))
+
+
 def boot_ci_large(spark, d):
-    return resample.mean_confints_large(_items(spark, d).withColumn("obs", F.xxhash64("*")), "l_quantity", "obs", ["l_returnflag"], n_resamples=40, seed=SEED).select("l_returnflag", *(_r(c, 4).alias(c) for c in ("stat", "low", "high")))
+    return resample.mean_confints_large(_numbered_items(spark, d), "l_quantity", "obs", ["l_returnflag"], n_resamples=40, seed=SEED).select("l_returnflag", *(_r(c, 4).alias(c) for c in ("stat", "low", "high")))
 
 
 def perm_two_sample_large(spark, d):
@@ -173,6 +208,7 @@ QUERIES = {
     "pearson": pearson, "spearman": spearman, "condition_mean": condition_mean, "condition_median": condition_median, "dprime": dprime, "auroc": auroc, "mutual_info": mutual_info, "mutual_info_binned": mutual_info_binned,
     "pev_anova1": _anova1(True), "pev_anova1_eta": _anova1(False), "pev_anova1_p": anova1_p, "pev_anova2": _anova2(), "pev_anova2_additive": _anova2(interact=False), "pev_anova2_partial": _anova2(partial=True), "pev_regress": regress, "pev_regress_terms": regress_terms,
     "rand_sign": rand_sign, "boot_one_sample": boot_one_sample, "perm_two_sample": perm_two_sample, "perm_one_way": perm_one_way, "perm_two_way": perm_two_way, "perm_assoc": perm_assoc, "boot_ci": boot_ci, "boot_two_sample": boot_two_sample,
+    "boot_items": boot_items, "boot_two_items": boot_two_items, "perm_items": perm_items, "perm_groups_items": perm_groups_items, "perm_assoc_items": perm_assoc_items,
     "boot_ci_large": boot_ci_large, "perm_two_sample_large": perm_two_sample_large, "jackknife_mean": jackknife, "draw_subsets": draws_subsets, "nation_subsets": nation_subsets,
 }
 
@@ -200,9 +236,25 @@ def _u(*parts):
     return f"(('0x' || substr({_md5(*parts)}, 1, 8))::BIGINT / 4294967296::DOUBLE)"
 
 
+def _picked(source, *cols, key=False, block=4096):
+    """k: the columns of source drawn with replacement in each seg, by way of blocks; key: a seg has draws of its own."""
+    own = ["'' || seg"] if key else []
+    return f"""n AS (SELECT seg, {', '.join(cols)}, row_number() OVER (PARTITION BY seg ORDER BY obs) - 1 AS i, count(*) OVER (PARTITION BY seg) AS n FROM {source}),
+w AS (SELECT seg, draw, n, floor({_u('draw', *own, 'i')} * n)::BIGINT AS x FROM n, d), g AS (SELECT seg, draw, n, x // {block} AS b, unnest(range(count(*))) AS t FROM w WHERE n > {block} GROUP BY seg, draw, n, b),
+j AS (SELECT seg, draw, x AS i FROM w WHERE n <= {block} UNION ALL SELECT seg, draw, b * {block} + floor({_u('draw', *own, "'b'", 'b', 't')} * least({block}, n - b * {block}))::BIGINT FROM g),
+k AS (SELECT seg, draw, {', '.join('n.' + c for c in cols)} FROM j JOIN n USING (seg, i))"""
+
+
 _PAIR = "c2 AS (SELECT obs, seg, v FROM c WHERE seg IN ('BUILDING', 'MACHINERY'))"
 _DIFF = "avg(v) FILTER (WHERE g = 'BUILDING') - avg(v) FILTER (WHERE g = 'MACHINERY')"
 _F = lambda keys, label, src: f"(SELECT {keys}{', ' if keys else ''}sum(n * (m - gm) * (m - gm)) / (count(*) - 1) / (sum(ss) / (sum(n) - count(*))) AS s FROM (SELECT {keys}{', ' if keys else ''}{label}, count(*)::DOUBLE AS n, avg(v) AS m, var_pop(v) * count(*) AS ss, sum(sum(v)) OVER ({'PARTITION BY ' + keys if keys else ''}) / sum(count(*)) OVER ({'PARTITION BY ' + keys if keys else ''}) AS gm FROM {src} GROUP BY {keys}{', ' if keys else ''}{label}) {'GROUP BY ' + keys if keys else ''})"
+_OBS = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, floor(l_extendedprice * 100 + 0.5::DOUBLE)::BIGINT) AS obs"
+_X = "x AS (SELECT " + _OBS + ", {0} AS seg, {1} AS v, l_extendedprice AS o FROM lineitem)"
+_ends = [round(15 * (1 - 0.8) / 2) - 1, round(15 - 15 * (1 - 0.8) / 2) - 1]
+_ITEMS = "avg(v) FILTER (WHERE g = 'A') - avg(v) FILTER (WHERE g = 'R')"
+_draws = lambda n: f"d AS (SELECT unnest(range(1, {n + 1}))::BIGINT AS draw)"
+#: Poisson draws of mean 1: how many of the distribution's first sums a uniform number reaches.
+_POISSON = "list_sum([(u >= c)::INTEGER FOR c IN [" + ", ".join(f"{sum(exp(-1) / factorial(i) for i in range(k + 1))!r}::DOUBLE" for k in range(13)) + "]])"
 ORACLES = {
     "t_one": "SELECT l_returnflag, round((avg(l_quantity) - 25) / (stddev_samp(l_quantity) / sqrt(count(*))), 6) AS t FROM lineitem GROUP BY ALL",
     "t_paired": "SELECT l_returnflag, round((avg(l_discount - l_tax) - 0.01::DOUBLE) / (stddev_samp(l_discount - l_tax) / sqrt(count(*))), 4) AS t FROM lineitem GROUP BY ALL",
@@ -234,8 +286,8 @@ ORACLES |= {
     "pev_anova2_partial": f"WITH {_FULL} SELECT term, round(100 * (ss - df * (sse / dfe)) / (st + (nn - df) * (sse / dfe)), 6) AS pev, round(ss / df / (sse / dfe), 6) AS f FROM t, e",
     "pev_regress": "WITH s AS (SELECT l_returnflag, count(*)::DOUBLE AS n, var_pop(l_extendedprice) * count(*) AS st, regr_r2(l_extendedprice, l_quantity) AS r2 FROM lineitem GROUP BY ALL) SELECT l_returnflag, 'quantity' AS term, round(100 * (r2 * st - (1 - r2) * st / (n - 2)) / (st + (1 - r2) * st / (n - 2)), 4) AS pev FROM s",
     "rand_sign": f"WITH {_C}, {_B}, o AS (SELECT seg, avg(v - 4500) AS o FROM c GROUP BY seg), s AS (SELECT seg, draw, avg(CASE WHEN substr({_md5('draw', 'obs')}, 1, 1) >= '8' THEN 4500 - v ELSE v - 4500 END) AS s FROM c, d GROUP BY ALL) SELECT seg AS c_mktsegment, round(any_value(o), 4) AS stat, round((1 + count(*) FILTER (WHERE abs(s) >= abs(o))) / {DRAWS}::DOUBLE, 6) AS p FROM s JOIN o USING (seg) GROUP BY seg",
-    "boot_one_sample": f"""WITH {_C}, {_B}, n AS (SELECT seg, v, row_number() OVER (PARTITION BY seg ORDER BY obs) - 1 AS i, count(*) OVER (PARTITION BY seg) AS n FROM c), k AS (SELECT seg, draw, floor({_u('draw', 'i')} * n)::BIGINT AS i FROM n, d),
-s AS (SELECT k.seg, draw, avg(v) AS s FROM k JOIN n USING (seg, i) GROUP BY ALL), o AS (SELECT seg, avg(v) AS o FROM c GROUP BY seg) SELECT seg AS c_mktsegment, round(any_value(o), 4) AS stat, round((1 + count(*) FILTER (WHERE abs(s - o) >= abs(o - 4500))) / {DRAWS}::DOUBLE, 6) AS p FROM s JOIN o USING (seg) GROUP BY seg""",
+    "boot_one_sample": f"""WITH {_C}, {_B}, {_picked('c', 'v')},
+s AS (SELECT seg, draw, avg(v) AS s FROM k GROUP BY ALL), o AS (SELECT seg, avg(v) AS o FROM c GROUP BY seg) SELECT seg AS c_mktsegment, round(any_value(o), 4) AS stat, round((1 + count(*) FILTER (WHERE abs(s - o) >= abs(o - 4500))) / {DRAWS}::DOUBLE, 6) AS p FROM s JOIN o USING (seg) GROUP BY seg""",
     "perm_two_sample": f"""WITH {_C}, {_B}, {_PAIR}, o AS (SELECT {_DIFF.replace('g =', 'seg =')} AS o, count(*) FILTER (WHERE seg = 'BUILDING') AS n1 FROM c2),
 p AS (SELECT draw, v, CASE WHEN row_number() OVER (PARTITION BY draw ORDER BY {_md5('draw', 'obs')}, obs) <= n1 THEN 'BUILDING' ELSE 'MACHINERY' END AS g FROM c2, d, o), s AS (SELECT draw, {_DIFF} AS s FROM p GROUP BY draw) SELECT round(any_value(o), 4) AS stat, round((1 + count(*) FILTER (WHERE abs(s) >= abs(o))) / {DRAWS}::DOUBLE, 6) AS p FROM s, o""",
     "perm_two_sample_large": f"""WITH {_C}, {_B}, {_PAIR}, o AS (SELECT {_DIFF.replace('g =', 'seg =')} AS o, avg((seg = 'BUILDING')::INTEGER) AS share FROM c2),
@@ -251,12 +303,25 @@ f AS (SELECT draw, unnest(['a', 'b', 'ab']) AS term, unnest([a.ss / (a.k - 1), b
 SELECT s.term, round(any_value(o.f), 6) AS stat, round((1 + count(*) FILTER (WHERE s.f >= o.f)) / {DRAWS}::DOUBLE, 6) AS p FROM f AS s JOIN f AS o ON s.term = o.term WHERE s.draw > 0 AND o.draw = 0 GROUP BY s.term""",
     "perm_assoc": f"""WITH {_C}, {_B}, n AS (SELECT *, row_number() OVER (PARTITION BY seg ORDER BY obs) - 1 AS i FROM c), m AS (SELECT seg, draw, v, row_number() OVER (PARTITION BY seg, draw ORDER BY {_md5('draw', 'obs')}, obs) - 1 AS i FROM n, d),
 s AS (SELECT seg, draw, corr(m.v, n.o) AS s FROM m JOIN n USING (seg, i) GROUP BY ALL), o AS (SELECT seg, corr(v, o) AS o FROM c GROUP BY seg) SELECT seg AS c_mktsegment, round(any_value(o), 6) AS stat, round((1 + count(*) FILTER (WHERE abs(s) >= abs(o))) / {DRAWS}::DOUBLE, 6) AS p FROM s JOIN o USING (seg) GROUP BY seg""",
-    "boot_ci": f"""WITH {_C}, {_BALL}, n AS (SELECT seg, v, row_number() OVER (PARTITION BY seg ORDER BY obs) - 1 AS i, count(*) OVER (PARTITION BY seg) AS n FROM c), k AS (SELECT seg, draw, floor({_u('draw', 'i')} * n)::BIGINT AS i FROM n, d),
-s AS (SELECT k.seg, draw, avg(v) AS s FROM k JOIN n USING (seg, i) GROUP BY ALL), q AS (SELECT seg, s, row_number() OVER (PARTITION BY seg ORDER BY s, draw) - 1 AS at_ FROM s), o AS (SELECT seg, avg(v) AS o FROM c GROUP BY seg)
+    "boot_ci": f"""WITH {_C}, {_BALL}, {_picked('c', 'v')},
+s AS (SELECT seg, draw, avg(v) AS s FROM k GROUP BY ALL), q AS (SELECT seg, s, row_number() OVER (PARTITION BY seg ORDER BY s, draw) - 1 AS at_ FROM s), o AS (SELECT seg, avg(v) AS o FROM c GROUP BY seg)
 SELECT seg AS c_mktsegment, round(any_value(o), 4) AS stat, round(max(s) FILTER (WHERE at_ = {round(DRAWS * (1 - 0.9) / 2) - 1}), 4) AS low, round(max(s) FILTER (WHERE at_ = {round(DRAWS - DRAWS * (1 - 0.9) / 2) - 1}), 4) AS high FROM q JOIN o USING (seg) GROUP BY seg""",
-    "boot_two_sample": f"""WITH {_C}, {_B}, {_PAIR}, n AS (SELECT seg, v, row_number() OVER (PARTITION BY seg ORDER BY obs) - 1 AS i, count(*) OVER (PARTITION BY seg) AS n FROM c2), k AS (SELECT seg, draw, floor({_u('draw', 'seg', 'i')} * n)::BIGINT AS i FROM n, d),
-p AS (SELECT k.seg AS g, draw, v FROM k JOIN n USING (seg, i)), s AS (SELECT draw, {_DIFF} AS s FROM p GROUP BY draw), o AS (SELECT {_DIFF.replace('g =', 'seg =')} AS o FROM c2) SELECT round(any_value(o), 4) AS stat, round((1 + count(*) FILTER (WHERE abs(s - o) >= abs(o))) / {DRAWS}::DOUBLE, 6) AS p FROM s, o""",
+    "boot_two_sample": f"""WITH {_C}, {_B}, {_PAIR}, {_picked('c2', 'v', key=True)},
+p AS (SELECT seg AS g, draw, v FROM k), s AS (SELECT draw, {_DIFF} AS s FROM p GROUP BY draw), o AS (SELECT {_DIFF.replace('g =', 'seg =')} AS o FROM c2) SELECT round(any_value(o), 4) AS stat, round((1 + count(*) FILTER (WHERE abs(s - o) >= abs(o))) / {DRAWS}::DOUBLE, 6) AS p FROM s, o""",
     "jackknife_mean": "SELECT c_custkey, round((sum(c_acctbal) OVER w - c_acctbal) / (count(*) OVER w - 1), 4) AS left_out FROM customer WINDOW w AS (PARTITION BY c_mktsegment)",
     "draw_subsets": f"WITH n AS (SELECT unnest(range((SELECT count(*) FROM customer)))::BIGINT AS i), d AS (SELECT unnest(range(1, 21))::BIGINT AS draw), p AS (SELECT draw, i, row_number() OVER (PARTITION BY draw ORDER BY {_md5('draw', 'i')}, i) - 1 AS pos FROM n, d) SELECT draw::INTEGER AS draw, i AS obs FROM p WHERE pos < 10",
     "nation_subsets": "WITH v AS (SELECT n_regionkey, list_sort(list(n_nationkey)) AS v FROM nation GROUP BY ALL), s AS (SELECT n_regionkey, v, unnest(range(1, (1 << len(v))::BIGINT)) AS k FROM v) SELECT n_regionkey, array_to_string([x FOR x, i IN v IF (k >> (i - 1)::INTEGER) & 1 = 1], ',') AS subset FROM s",
+    "boot_items": f"""WITH {_X.format("l_returnflag", "l_quantity")}, {_draws(15)}, {_picked('x', 'v', block=1024)}, s AS (SELECT seg, draw, avg(v) AS s FROM k GROUP BY ALL), q AS (SELECT seg, s, row_number() OVER (PARTITION BY seg ORDER BY s, draw) - 1 AS at_ FROM s), o AS (SELECT seg, avg(v) AS o FROM x GROUP BY seg)
+SELECT seg AS l_returnflag, round(any_value(o), 4) AS stat, round(max(s) FILTER (WHERE at_ = {_ends[0]}), 4) AS low, round(max(s) FILTER (WHERE at_ = {_ends[1]}), 4) AS high FROM q JOIN o USING (seg) GROUP BY seg""",
+    "boot_two_items": f"""WITH x AS (SELECT {_OBS}, l_linestatus || l_returnflag AS seg, l_returnflag AS g, l_quantity AS v FROM lineitem WHERE l_returnflag IN ('A', 'R')), {_draws(14)}, {_picked('x', 'v', key=True, block=1024).replace("'' || seg", "right(seg, 1)")},
+y AS (SELECT left(seg, 1) AS l_linestatus, right(seg, 1) AS g, draw, v FROM k UNION ALL SELECT left(seg, 1), g, 0, v FROM x), s AS (SELECT l_linestatus, draw, {_ITEMS} AS s FROM y GROUP BY ALL)
+SELECT l_linestatus, round(o.s, 6) AS stat, round((1 + count(*) FILTER (WHERE s.draw > 0 AND abs(s.s - o.s) >= abs(o.s))) / 15::DOUBLE, 6) AS p FROM s JOIN s AS o USING (l_linestatus) WHERE o.draw = 0 GROUP BY l_linestatus, o.s""",
+    "perm_items": f"""WITH {_X.format("l_returnflag", "l_quantity")}, {_draws(24)}, y AS (SELECT * FROM x WHERE seg IN ('A', 'R')), o AS (SELECT {_ITEMS.replace('g =', 'seg =')} AS o, count(*) FILTER (WHERE seg = 'A') AS n1 FROM y),
+p AS (SELECT draw, v, CASE WHEN row_number() OVER (PARTITION BY draw ORDER BY {_md5('draw', 'obs')}, obs) <= n1 THEN 'A' ELSE 'R' END AS g FROM y, d, o), s AS (SELECT draw, {_ITEMS} AS s FROM p GROUP BY draw) SELECT round(any_value(o), 6) AS stat, round((1 + count(*) FILTER (WHERE abs(s) >= abs(o))) / 25::DOUBLE, 6) AS p FROM s, o""",
+    "perm_groups_items": f"""WITH {_X.format("l_returnflag", "l_quantity")}, {_draws(7)}, n AS (SELECT *, row_number() OVER (ORDER BY obs) - 1 AS i FROM x), m AS (SELECT draw, v, row_number() OVER (PARTITION BY draw ORDER BY {_md5('draw', 'obs')}, obs) - 1 AS i FROM n, d), p AS (SELECT draw, m.v, seg FROM m JOIN n USING (i)),
+s AS {_F('draw', 'seg', 'p')}, o AS {_F('', 'seg', 'x')} SELECT round(any_value(o.s), 6) AS stat, round((1 + count(*) FILTER (WHERE s.s >= o.s)) / 8::DOUBLE, 6) AS p FROM s, o""",
+    "perm_assoc_items": f"""WITH {_X.format("l_returnflag", "l_quantity")}, {_draws(7)}, n AS (SELECT *, row_number() OVER (PARTITION BY seg ORDER BY obs) - 1 AS i FROM x), m AS (SELECT seg, draw, v, row_number() OVER (PARTITION BY seg, draw ORDER BY {_md5('draw', 'obs')}, obs) - 1 AS i FROM n, d),
+s AS (SELECT seg, draw, corr(m.v, n.o) AS s FROM m JOIN n USING (seg, i) GROUP BY ALL), o AS (SELECT seg, corr(v, o) AS o FROM x GROUP BY seg) SELECT seg AS l_returnflag, round(any_value(o), 6) AS stat, round((1 + count(*) FILTER (WHERE abs(s) >= abs(o))) / 8::DOUBLE, 6) AS p FROM s JOIN o USING (seg) GROUP BY seg""",
+    "boot_ci_large": f"""WITH {_X.format("l_returnflag", "l_quantity")}, {_draws(40)}, u AS (SELECT seg, draw, v, {_u('draw', 'obs')} AS u FROM x, d), w AS (SELECT seg, draw, v, {_POISSON} AS w FROM u), s AS (SELECT seg, draw, sum(w * v) / sum(w) AS s FROM w GROUP BY ALL),
+q AS (SELECT seg, s, row_number() OVER (PARTITION BY seg ORDER BY s, draw) - 1 AS at_ FROM s), o AS (SELECT seg, avg(v) AS o FROM x GROUP BY seg) SELECT seg AS l_returnflag, round(any_value(o), 4) AS stat, round(max(s) FILTER (WHERE at_ = 0), 4) AS low, round(max(s) FILTER (WHERE at_ = 38), 4) AS high FROM q JOIN o USING (seg) GROUP BY seg""",
 }

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "pulsegrid", master: str | None = None, **conf: str) -> SparkSession:
@@ -33,3 +33,24 @@ def attach(spark: SparkSession) -> SparkSession:
         sc.addPyFile(out)
         sc._pulsegrid_sent = True
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir that driver and executors share. Where that is unset, a temporary one, but
+    only if driver and executors are one process; on a cluster it has to be set."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        sc = spark.sparkContext
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = getattr(sc, "_pulsegrid_shared", None) or "file://" + tempfile.mkdtemp(prefix="pulsegrid-")
+        sc._pulsegrid_shared = root
+    return root
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the shared checkpoint folder: later reads don't recompute it, and survive lost executors."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint(eager=True)

@@ -47,3 +47,10 @@ def test_filters_reach_the_scan(spark):
 
 def test_transforms_of_series_need_no_shuffle(spark):
     assert "Exchange" not in plan(catalog.QUERIES["fft_power"](spark, FOLDER)) and "Exchange" not in plan(catalog.QUERIES["wavelet"](spark, FOLDER))
+
+
+@pytest.mark.parametrize("query", ["perm_two_sample", "perm_one_way", "perm_two_way", "perm_assoc", "boot_items", "boot_two_sample", "perm_items", "perm_groups_items", "raster", "stacked_lines", "draw_randperm"])
+def test_no_window_over_a_draw_or_a_whole_table(spark, query):
+    text = plan(catalog.QUERIES[query](spark, FOLDER))
+    windows = re.findall(r"Window .*", text)
+    assert not [w for w in windows if "row_number" in w and "s#" not in w], windows

@@ -1,5 +1,7 @@
 """Published values for small samples that numpy's generator makes from seed 1, and properties."""
 
+import hashlib
+from collections import Counter
 from statistics import NormalDist
 
 import numpy as np
@@ -7,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import exprs
-from pulsegrid.operators import info, resample, stats
+from pulsegrid.operators import info, order, resample, stats
 
 
 def draws(*groups, channels=4):
@@ -184,3 +186,84 @@ def test_ranges_of_floats(spark):
     one = spark.range(1)
     for args, want in (((0.0, 0.3, 0.1), [0.0, 0.1, 0.2, 0.3]), ((1.0, 0.0, -0.5), [1.0, 0.5, 0.0]), ((0.0, -1.0, 0.5), []), ((3, 11, 4), [3, 7, 11]), ((3, 10, 4), [3, 7])):
         assert one.select(exprs.iarange(*args)).first()[0] == pytest.approx(want)
+
+
+# --- long series ----------------------------------------------------------------------------------
+
+
+def _uniform(*parts):
+    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16) / 2**32
+
+
+def _plain_bootstrap(values, draw, block, fan, seed=0):
+    """What _resample draws, one pick after the other."""
+    n = len(values)
+    if n <= block:
+        return [values[int(_uniform(seed, draw, t) * n)] for t in range(n)]
+    group = max(1, -(-n // (block * fan))) * block
+    picks = Counter(int(_uniform(seed, draw, t) * n) // group for t in range(n))
+    if group > block:
+        blocks = Counter((g * group + int(_uniform(seed, draw, "g", g, t) * min(group, n - g * group))) // block for g, m in picks.items() for t in range(m))
+    else:
+        blocks = picks
+    return [values[b * block + int(_uniform(seed, draw, "b", b, t) * min(block, n - b * block))] for b, m in blocks.items() for t in range(m)]
+
+
+@pytest.mark.parametrize("small", [10, 32_768])
+@pytest.mark.parametrize("block,fan", [(16, 4096), (8, 3), (1024, 4096)])
+@pytest.mark.parametrize("by", [[], ["k"]])
+def test_bootstrap_by_blocks(spark, monkeypatch, small, block, fan, by):
+    monkeypatch.setattr(order, "SMALL", small)
+    monkeypatch.setattr(resample, "FAN", fan)
+    rng = np.random.default_rng(2)
+    rows = [(int(i % 7 == 0) if by else 0, int(i), float(v)) for i, v in enumerate(rng.integers(0, 10**6, 301))]
+    df = spark.createDataFrame(rows, "k int, obs int, v double").repartition(3)
+    got = resample._resample(df, by, "obs", ["v"], 4, 0, block=block).groupBy(*by, "draw").agg(F.sort_array(F.collect_list("v")).alias("v")).collect()
+    keys = sorted({r[0] for r in rows})
+    assert len(got) == 4 * len(keys)
+    for r in got:
+        values = [v for k, _, v in sorted(rows) if not by or k == r["k"]]
+        assert r["v"] == sorted(_plain_bootstrap(values, r["draw"], block, fan))
+
+
+@pytest.mark.parametrize("by", [[], ["series"]])
+def test_places_and_cuts_of_long_series(spark, monkeypatch, by):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(int(k), int(i), float(v)) for i, (k, v) in enumerate(zip(rng.random(900) < 0.1, rng.normal(size=900)))], "series int, obs int, v double").withColumn("g", F.col("obs") % 3).repartition(5)
+    run = lambda: [
+        sorted(resample.two_sample_permutation_test(df, "v", "g", (0, 1), "obs", by, n_resamples=12, return_stats=True).collect()),
+        sorted(resample.one_way_permutation_test(df, "v", "g", "obs", by, n_resamples=6, return_stats=True).collect()),
+        sorted(resample.paired_sample_association_permutation_test(df, "v", "g", "obs", by, n_resamples=6, return_stats=True).collect()),
+        sorted(resample.permutations(spark, 40, 3).collect()),
+    ]
+    want = run()
+    monkeypatch.setattr(order, "SMALL", 3)
+    monkeypatch.setattr(resample, "SMALL", 3)
+    for a, b in zip(run(), want):
+        assert len(a) == len(b)
+        for x, y in zip(a, b):
+            assert list(x) == pytest.approx(list(y))
+
+
+def test_groups_that_one_side_lacks(spark):
+    df = spark.createDataFrame([(i, "a", float(i)) for i in range(9)], "obs int, g string, v double")
+    for groups in (("a", "b"), ("b", "a")):
+        r = resample.two_sample_permutation_test(df, "v", "g", groups, "obs", [], stat="meandiff", n_resamples=5).first()
+        assert r.stat is None and r.p == 0.2
+    none = df.limit(0)
+    assert resample.two_sample_permutation_test(none, "v", "g", ("a", "b"), "obs", ["g"], n_resamples=5).collect() == []
+    assert resample.one_sample_confints(none, "v", "obs", ["g"], n_resamples=50).collect() == []
+
+
+@pytest.mark.parametrize("small", [2, 32_768])
+def test_numbering(spark, monkeypatch, small):
+    monkeypatch.setattr(order, "SMALL", small)
+    rows = [(None if i % 9 == 0 else f"s{i * 7 % 5}", i * 31 % 97) for i in range(90)]
+    df = spark.createDataFrame(rows, "k string, t int").repartition(6)
+    for by in ([], ["k"]):
+        df_ = df.where("k IS NOT NULL") if by else df
+        got = order.numbered(df_, by, ["t"], "at").collect()
+        want = {}
+        for k, t in sorted(((k if by else "", t) for k, t in rows if k is not None or not by), key=lambda r: (r[0], r[1])):
+            want.setdefault(k, []).append(t)
+        assert sorted((r.k if by else "", r.at, r.t) for r in got) == sorted((k, i, t) for k, ts in want.items() for i, t in enumerate(ts))
