@@ -124,16 +124,16 @@ def bandfilter_spectrogram(df: DataFrame, keys: list[str], fs: float, samples: s
 
 
 bandfilter = bandfilter_spectrogram
-_SPECTROGRAMS = {"wavelet": wavelet_spectrogram, "multitaper": multitaper_spectrogram, "bandfilter": bandfilter_spectrogram}
+SPECTROGRAMS = {"wavelet": wavelet_spectrogram, "multitaper": multitaper_spectrogram, "bandfilter": bandfilter_spectrogram}
 
 
 def spectrogram(df: DataFrame, keys: list[str], fs: float, method: str = "wavelet", spec_type: str = "complex", **options) -> DataFrame:
     """(keys..., freq, time, value), or re and im for complex, averaged over tapers."""
     if method == "burst":
         return burst_analysis(df, keys, fs, **options)
-    if method not in _SPECTROGRAMS:
-        raise ValueError(f"unknown method {method!r}: one of {sorted(_SPECTROGRAMS)} or burst")
-    s = _SPECTROGRAMS[method](df, keys, fs, **options)
+    if method not in SPECTROGRAMS:
+        raise ValueError(f"unknown method {method!r}: one of {sorted(SPECTROGRAMS)} or burst")
+    s = SPECTROGRAMS[method](df, keys, fs, **options)
     if method == "multitaper":
         return over_tapers(s, [*keys, "freq", "time"], spec_type)
     return s if spec_type == "complex" else s.select(*keys, "freq", "time", complex_to_spec_type(spec_type).alias("value"))

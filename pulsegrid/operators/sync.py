@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import div, plv_to_ppc, ztransform_coherence
 from . import spectral
-from .windows import interval_join
+from .windows import interval_join, nearest_join
 
 
 def pair(spectra1: DataFrame, spectra2: DataFrame, on: list[str]) -> DataFrame:
@@ -92,16 +92,27 @@ def synchrony(spectra1: DataFrame, spectra2: DataFrame, on: list[str], by: list[
     return METHODS[method](pair(spectra1, spectra2, on), by, **options)
 
 
-def spike_field_plv(events: DataFrame, spectra: DataFrame, on: list[str], windows: DataFrame, by: list[str] = ("freq",), t: str = "t", return_phase: bool = True) -> DataFrame:
+def _step(spectra: DataFrame, on: list[str]) -> float:
+    """The time between two samples of the field: the least mean step of its series."""
+    s = spectra.groupBy(*on).agg(F.min("time").alias("a"), F.max("time").alias("b"), F.count_distinct("time").alias("n")).where("n > 1")
+    step = s.agg(F.min((F.col("b") - F.col("a")) / (F.col("n") - 1))).first()[0]
+    if step is None:
+        raise ValueError("give fs: the samples' times don't tell their rate")
+    return step
+
+
+def spike_field_plv(events: DataFrame, spectra: DataFrame, on: list[str], windows: DataFrame, by: list[str] = ("freq",), t: str = "t", return_phase: bool = True, fs: float | None = None) -> DataFrame:
     """(by..., win, plv[, phase], n): phase of the field at events, within windows (win, start, end) that hold both ends.
 
-    Events meet the field's sample of the same millisecond and trial. Windows without events are left out."""
+    Each event meets its trial's nearest sample within half a step of the field, 1 / fs (worked out if None), so all
+    events count that lie in a window and no further from the field. Several tapers count as so many trials. Bounds of
+    windows and times of events are compared in whole milliseconds. Windows without events are left out."""
     ms = lambda c: F.rint(F.col(c) * 1000).cast("long")
-    at = events.withColumn("__ms", ms(t)).join(spectra.withColumn("__ms", ms("time")).drop("time"), [*on, "__ms"])
     w = windows.select("win", ms("start").alias("start"), ms("end").alias("end"))
-    inside = interval_join(at, "__ms", w, closed=True)
+    inside = interval_join(events.select(*on, F.col(t).alias("__at")).withColumn("__ms", ms("__at")), "__ms", w, closed=True)
+    met = nearest_join(inside, spectra, list(on), "__at", "time", 0.5 / fs if fs else _step(spectra, list(on)) / 2)
     size = F.hypot("re", "im")
-    s = inside.groupBy(*by, "win").agg(F.avg(div("re", size)).alias("re"), F.avg(div("im", size)).alias("im"), F.count("*").alias("n"))
+    s = met.groupBy(*by, "win").agg(F.avg(div("re", size)).alias("re"), F.avg(div("im", size)).alias("im"), F.count("*").alias("n"))
     return _finish(s, [*by, "win"], F.hypot("re", "im"), None, return_phase, "plv")
 
 
@@ -120,15 +131,15 @@ def spike_field_coherence(event_spectra: DataFrame, field_spectra: DataFrame, on
 def synchrony_of_signals(df1: DataFrame, df2: DataFrame, trial: str, fs: float, method: str = "ppc", spec_method: str = "wavelet", samples: str = "samples", return_phase: bool = True, **options) -> DataFrame:
     """(freq, time, value..., n) over the trials of two channels of samples; tapers, if any, count as trials do."""
     extra = ["taper"] if spec_method == "multitaper" else []
-    f = {"wavelet": spectral.wavelet_spectrogram, "multitaper": spectral.multitaper_spectrogram, "bandfilter": spectral.bandfilter_spectrogram}[spec_method]
-    s1, s2 = (f(d, [trial], fs, samples, **options) for d in (df1, df2))
+    s1, s2 = (spectral.SPECTROGRAMS[spec_method](d, [trial], fs, samples, **options) for d in (df1, df2))
     return synchrony(s1, s2, [trial, "freq", "time", *extra], ["freq", "time"], method, return_phase=return_phase)
 
 
 def spike_field_coupling(events: DataFrame, signals: DataFrame, trial: str, fs: float, windows: DataFrame, method: str = "ppc", spec_method: str = "wavelet", samples: str = "samples", **options) -> DataFrame:
-    """(freq, win, value..., n): phase of the field's spectrogram at events, by "ppc" or "plv"."""
+    """(freq, win, value..., n): phase of the field's spectrogram at events, by "ppc" or "plv"; tapers count as trials do."""
     if method not in ("ppc", "plv"):
         raise ValueError("method must be ppc or plv; for coherence see spike_field_coherence")
-    f = {"wavelet": spectral.wavelet_spectrogram, "bandfilter": spectral.bandfilter_spectrogram}[spec_method]
-    s = f(signals, [trial], fs, samples, **options)
+    if spec_method not in spectral.SPECTROGRAMS:
+        raise ValueError(f"unknown spec_method {spec_method!r}: one of {sorted(spectral.SPECTROGRAMS)}")
+    s = spectral.SPECTROGRAMS[spec_method](signals, [trial], fs, samples, **options)
     return (spike_field_ppc if method == "ppc" else spike_field_plv)(events, s, [trial], windows)

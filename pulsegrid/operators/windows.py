@@ -49,6 +49,31 @@ def interval_join(points: DataFrame, at: str | Column, intervals: DataFrame, sta
     return points.withColumn("__cell", F.floor(p / size)).join(right, "__cell").where(inside).drop("__cell")
 
 
+def nearest_join(left: DataFrame, right: DataFrame, on: list[str], at: str, time: str, within: float, bucket: float | None = None) -> DataFrame:
+    """Each row of left with the rows of right, of its keys `on`, whose time is the nearest to its `at` (of two equally
+    near ones the earlier), if that is at most `within` away. Columns of both; rows without a partner are left out.
+
+    Times of either side, each once, are sorted in buckets of time; right's times also lie in the bucket beside theirs
+    if they are within reach of it, so no bucket looks into another. Rows that share a time, however many, and the
+    other columns are joined afterwards. Null times or keys meet nothing."""
+    reach = within * (1 + 1e-9)
+    size = bucket or 256.0 * within
+    if not (within > 0 and size >= within):
+        raise ValueError("within must be positive, and bucket at least as long")
+    asked = left.where(F.col(at).isNotNull()).select(*on, F.col(at).cast("double").alias("__t")).distinct().withColumn("__b", F.floor(F.col("__t") / size))
+    known = right.where(F.col(time).isNotNull()).select(*on, F.col(time).cast("double").alias("__t")).distinct()
+    known = known.withColumn("__b", F.explode(F.sequence(F.floor((F.col("__t") - reach) / size), F.floor((F.col("__t") + reach) / size))))
+    both = known.select(*on, "__b", "__t", F.col("__t").alias("__s"), F.lit(0).alias("__q")).unionByName(asked.select(*on, "__b", "__t", F.lit(None).cast("double").alias("__s"), F.lit(1).alias("__q")))
+    w = Window.partitionBy(*on, "__b")
+    last = lambda *order: F.last("__s", ignorenulls=True).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("__before", last("__t", "__q")).withColumn("__after", last(F.desc("__t"), "__q")).where("__q = 1")
+    off = lambda c: F.coalesce(F.abs(F.col(c) - F.col("__t")), F.lit(float("inf")))
+    best = F.when(off("__before") <= off("__after"), F.col("__before")).otherwise(F.col("__after"))
+    pairs = found.where(F.least(off("__before"), off("__after")) <= reach).select(*on, "__t", best.alias("__s"))
+    placed = left.withColumn("__t", F.col(at).cast("double")).join(pairs, [*on, "__t"]).drop("__t")
+    return placed.join(right.withColumn("__s", F.col(time).cast("double")), [*on, "__s"]).drop("__s")
+
+
 def pool_intervals(df: DataFrame, value: str, at: str, intervals: DataFrame, by: list[str], name: str = "name", func: str = "mean") -> DataFrame:
     """Mean or sum of value over each closed interval [low, high] of intervals(name, low, high)."""
     if func not in ("mean", "sum"):

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import exprs
-from ..operators import info, plotdata, points, resample, spectral, stats, sync
+from ..operators import info, plotdata, points, resample, spectral, stats, sync, windows
 from ..sources.tables import table
 from .event_queries import _events
 from .event_queries import E as _E
@@ -219,8 +219,7 @@ def _coupled(spark, d):
     events = _events(spark, d).select(F.col("user_id").alias("vec_id"), (F.col("event_id") % 64 / FS).alias("t"))
     x = _signals(spark, d).select("vec_id", F.posexplode("samples").alias("i", "re"), "samples")
     field = x.select("vec_id", (F.col("i") / FS).alias("time"), "re", F.get("samples", (F.col("i") + 1) % 64).alias("im"), (F.col("i") % 2).cast("double").alias("freq"))
-    windows = spark.createDataFrame([(0, 0.0, 0.5), (1, 0.25, 0.984)], "win int, start double, end double")
-    return events, field, ["vec_id"], windows
+    return events, field, ["vec_id"], spark.createDataFrame([(0, 0.0, 0.5), (1, 0.25, 0.984)], "win int, start double, end double")
 
 
 def field_plv(spark, d):
@@ -231,6 +230,31 @@ def field_ppc(spark, d):
     return sync.spike_field_ppc(*_coupled(spark, d), return_phase=False).select("freq", "win", _r("ppc").alias("ppc"), "n")
 
 
+def _spectrogram_and_events(spark, d):
+    """A short-time spectrum of each signal, in windows of 16 samples, and events at any time of it."""
+    events = _events(spark, d).select(F.col("user_id").alias("vec_id"), (F.col("event_id") * 7 % 997 / 997.0).alias("t"))
+    cut = F.transform(F.sequence(F.lit(1), F.lit(49)), lambda i: F.slice("samples", i, 16))
+    parts = _signals(spark, d).select("vec_id", F.posexplode(cut).alias("i", "x"))
+    s = spectral.dft(parts, ["vec_id", "i"], "x", (1, 2, 4))
+    field = s.select("vec_id", ((F.col("i") + 8) / FS).alias("time"), (F.col("k") * 4.0).alias("freq"), "re", "im")
+    return events, field, ["vec_id"], spark.createDataFrame([(0, 0.0, 0.5), (1, 0.25, 0.984)], "win int, start double, end double")
+
+
+def field_spectrogram_plv(spark, d):
+    return sync.spike_field_plv(*_spectrogram_and_events(spark, d), fs=FS).select("freq", "win", _r("plv").alias("plv"), _r("phase", 4).alias("phase"), "n")
+
+
+def field_spectrogram_ppc(spark, d):
+    return sync.spike_field_ppc(*_spectrogram_and_events(spark, d), return_phase=False).select("freq", "win", _r("ppc").alias("ppc"), "n")
+
+
+def nearest_samples(spark, d):
+    """Each event with the sample of its user's signal that is nearest to it."""
+    events = _events(spark, d).select("event_id", F.col("user_id").alias("vec_id"), (F.col("event_id") * 7 % 997 / 997.0).alias("t"))
+    x = _signals(spark, d).select("vec_id", F.posexplode("samples").alias("i", "x")).withColumn("time", F.col("i") / FS)
+    return windows.nearest_join(events, x, ["vec_id"], "t", "time", 0.5 / FS).select("event_id", "i", _r("x").alias("x"))
+
+
 def field_coherence(spark, d):
     """Of a grid of events, where a signal is positive, and the signal after it."""
     s = _signals(spark, d)
@@ -250,6 +274,7 @@ QUERIES = {
     "realign_samples_on_event": realign_samples_on_event, "epoch_sums": epoch_sums, "synchrony_plv": synchrony_named,
     "plv_trials": _trials("plv", "pseudo"), "ppc_trials": _trials("ppc", "pseudo"), "plv_left_out": _trials("plv", "richter"),
     "field_plv": field_plv, "field_ppc": field_ppc, "field_coherence": field_coherence,
+    "field_spectrogram_plv": field_spectrogram_plv, "field_spectrogram_ppc": field_spectrogram_ppc, "nearest_samples": nearest_samples,
 }
 
 _D = f"d AS (SELECT unnest(range(1, {DRAWS}))::BIGINT AS draw)"
@@ -278,6 +303,10 @@ _SPREAD = "max(m) - min(m) AS s"
 _FIELD = f"""{_E}, ev AS (SELECT user_id AS vec_id, event_id % 64 AS i FROM e), f AS (SELECT vec_id, j AS i, (j % 2)::DOUBLE AS freq, embedding[j + 1]::DOUBLE AS re, embedding[(j + 1) % 64 + 1]::DOUBLE AS im FROM (SELECT vec_id, embedding, unnest(range(64)) AS j FROM embeddings)),
 h AS (SELECT freq, win, re, im, sqrt(re * re + im * im) AS z FROM ev JOIN f USING (vec_id, i) JOIN (VALUES (0, 0, 500), (1, 250, 984)) AS w(win, a, b) ON round_even(i / 64::DOUBLE * 1000, 0) BETWEEN a AND b),
 g AS (SELECT freq, win, avg(re / z) AS re, avg(im / z) AS im, count(*) AS n FROM h GROUP BY ALL)"""
+_STFT = f"""{_E}, ev AS (SELECT user_id AS vec_id, (event_id * 7 % 997)::DOUBLE / 997::DOUBLE AS t FROM e), j AS (SELECT unnest(range(16)) AS j), k AS (SELECT unnest([1, 2, 4]) AS k),
+f AS (SELECT vec_id, i + 8 AS at_, k * 4::DOUBLE AS freq, sum(embedding[i + j + 1]::DOUBLE * cos(2 * pi() * k * j / 16)) AS re, -sum(embedding[i + j + 1]::DOUBLE * sin(2 * pi() * k * j / 16)) AS im FROM (SELECT vec_id, embedding, unnest(range(49)) AS i FROM embeddings), j, k GROUP BY ALL),
+h AS (SELECT freq, win, re, im, sqrt(re * re + im * im) AS z FROM ev JOIN f ON ev.vec_id = f.vec_id AND round_even(t * 64, 0)::BIGINT = at_ JOIN (VALUES (0, 0, 500), (1, 250, 984)) AS w(win, a, b) ON round_even(t * 1000, 0) BETWEEN a AND b),
+g AS (SELECT freq, win, avg(re / z) AS re, avg(im / z) AS im, count(*) AS n FROM h GROUP BY ALL)"""
 _ONE_PLV = f"{_P}, u AS (SELECT k, trial, re / sqrt(re * re + im * im) AS re, im / sqrt(re * re + im * im) AS im FROM x), t AS (SELECT k, trial, count(*) OVER w AS n, sum(re) OVER w AS a, sum(im) OVER w AS b, re, im FROM u WINDOW w AS (PARTITION BY k))"
 _LEFT = "((a - re) * (a - re) + (b - im) * (b - im))"
 
@@ -336,6 +365,9 @@ SELECT term, round(t.ss / (t.ss + st - x.ss), 9) AS r2 FROM t, m, x""",
     "ppc_trials": f"WITH {_ONE_PLV} SELECT k, trial, round(n * ((a * a + b * b) / n - 1) / (n - 1) - (n - 1) * ({_LEFT} / (n - 1) - 1) / (n - 2), 4) AS value FROM t",
     "field_plv": f"WITH {_FIELD} SELECT freq, win, round(sqrt(re * re + im * im), 6) AS plv, round(atan2(im, re), 4) AS phase, n FROM g",
     "field_ppc": f"WITH {_FIELD} SELECT freq, win, round((n * (re * re + im * im) - 1) / (n - 1), 6) AS ppc, n FROM g",
+    "field_spectrogram_plv": f"WITH {_STFT} SELECT freq, win, round(sqrt(re * re + im * im), 6) AS plv, round(atan2(im, re), 4) AS phase, n FROM g",
+    "field_spectrogram_ppc": f"WITH {_STFT} SELECT freq, win, round((n * (re * re + im * im) - 1) / (n - 1), 6) AS ppc, n FROM g",
+    "nearest_samples": f"WITH {_E} SELECT event_id, i, round(embedding[i + 1]::DOUBLE, 6) AS x FROM (SELECT event_id, user_id AS vec_id, round_even((event_id * 7 % 997)::DOUBLE / 997::DOUBLE * 64, 0)::INTEGER AS i FROM e) JOIN embeddings USING (vec_id) WHERE i < 64",
     "field_coherence": f"""WITH {_L}, k AS (SELECT unnest([{_K}])::INTEGER AS k), s AS (SELECT vec_id, k, sum((x > 0)::INTEGER * cos(2 * pi() * k * i / n)) AS r1, -sum((x > 0)::INTEGER * sin(2 * pi() * k * i / n)) AS i1, sum(x * cos(2 * pi() * k * i / n)) AS r2, -sum(x * sin(2 * pi() * k * i / n)) AS i2 FROM l, k GROUP BY ALL),
 c AS (SELECT k, avg(r1 * r2 + i1 * i2) AS re, avg(i1 * r2 - r1 * i2) AS im, avg(r1 * r1 + i1 * i1) AS p1, avg(r2 * r2 + i2 * i2) AS p2, count(*) AS n FROM s GROUP BY k) SELECT k, round(sqrt(re * re + im * im) / sqrt(p1 * p2), 6) AS coherence, n FROM c""",
 }

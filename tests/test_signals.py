@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import exprs, kernels
-from pulsegrid.operators import spectral, sync
+from pulsegrid.operators import spectral, sync, windows
 
 
 @pytest.fixture(scope="module")
@@ -90,6 +90,47 @@ def test_spike_field(spark):
     assert all(x.ppc > 0.98 for x in sync.spike_field_ppc(events, spectra, ["trial"], w).collect())
 
 
+@pytest.mark.parametrize("fs", [64.0, 1000.0])
+def test_events_off_the_grid_all_count(spark, fs):
+    """Whatever the field's rate: each event within the windows and the field meets its nearest sample."""
+    rng = np.random.default_rng(4)
+    n = int(2 * fs)
+    spectra = spark.createDataFrame([(0, 10.0, k / fs, float(np.cos(20 * np.pi * k / fs)), float(np.sin(20 * np.pi * k / fs))) for k in range(n)], "trial int, freq double, time double, re double, im double")
+    times = [float(t) for t in rng.uniform(0, (n - 0.5) / fs, 200)]
+    events = spark.createDataFrame([(0, t) for t in times], "trial int, t double")
+    w = spark.createDataFrame([(0, 0.0, 0.5), (1, 0.25, 9.0)], "win int, start double, end double")
+    for given in (fs, None):
+        r = {x.win: x for x in sync.spike_field_plv(events, spectra, ["trial"], w, fs=given).collect()}
+        for win, (a, b) in enumerate(((0, 500), (250, 9000))):
+            inside = [t for t in times if a <= round(t * 1000) <= b]
+            z = np.mean([np.exp(20j * np.pi * min(round(t * fs), n - 1) / fs) for t in inside])
+            assert r[win].n == len(inside) and r[win].plv == pytest.approx(abs(z), abs=1e-9)
+
+
+@pytest.mark.parametrize("bucket", [None, 0.3, 2.0])
+def test_nearest_join(spark, bucket):
+    rng = np.random.default_rng(5)
+    left = [(int(k % 3), float(t), i) for i, (k, t) in enumerate(zip(rng.integers(0, 9, 150), np.round(rng.uniform(-3, 12, 150), 1)))] + [(0, None, 900), (None, 1.0, 901), (0, 4.0, 902), (0, 4.0, 903)]
+    right = [(int(k), float(t), f"r{i}") for i, (k, t) in enumerate(zip(rng.integers(0, 3, 60), np.round(rng.uniform(0, 10, 60), 1)))] + [(0, None, "x"), (None, 1.0, "y"), (1, 5.05, "twice"), (1, 5.05, "twice")]
+    got = windows.nearest_join(spark.createDataFrame(left, "k int, t double, id int"), spark.createDataFrame(right, "k int, time double, name string"), ["k"], "t", "time", 0.25, bucket).collect()
+    want = []
+    for k, t, i in left:
+        near = sorted({(abs(s - t), s) for j, s, _ in right if None not in (j, s, t, k) and j == k and abs(s - t) <= 0.25 * (1 + 1e-9)})
+        want += [(i, s, name) for j, s, name in right if near and j == k and s == near[0][1]]
+    assert sorted((r.id, r.time, r.name) for r in got) == sorted(want)
+    with pytest.raises(ValueError):
+        windows.nearest_join(spark.createDataFrame(left, "k int, t double, id int"), spark.createDataFrame(right, "k int, time double, name string"), ["k"], "t", "time", 0.0)
+
+
+def test_coupling_by_tapers_and_bands(spark, wave):
+    events = spark.createDataFrame([(k, 0.37 + 0.01 * j) for k in range(4) for j in range(40)], "trial int, t double")
+    w = spark.createDataFrame([(0, 0.0, 2.0)], "win int, start double, end double")
+    r = sync.spike_field_coupling(events, wave, "trial", 256.0, w, "plv", "multitaper", time_width=0.25, spacing=0.125)
+    assert r.count() > 1 and r.where("n % 160 <> 0").count() == 0  # an event counts once for each taper
+    with pytest.raises(ValueError):
+        sync.spike_field_coupling(events, wave, "trial", 256.0, w, "plv", "nonsense")
+
+
 def test_waveforms(spark):
     w = [0.0, -0.1, -0.6, -1.0, -0.7, -0.2, 0.3, 0.5, 0.4, 0.3, 0.1]
     r = spark.createDataFrame([(w,)], "w array<double>").select(*(exprs.waveform_stats("w", 10.0, s).alias(s) for s in exprs.WAVEFORM_STATS)).first()
