@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.exprs import div, entropy, eta_squared, omega_squared, omega_squared_partial, r_squared_partial
+from ..session import checkpointed, written
 from . import stats
 
 
@@ -165,6 +166,11 @@ def _same(keys: list[str]) -> Column:
     return ok
 
 
+def _fans(df: DataFrame) -> tuple[int, ...]:
+    """Into how many parts what tasks hand on is merged at first, and then; few tasks' parts are merged at once."""
+    return (64, 1) if int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) > 64 else (1,)
+
+
 def _lda_counts(f: DataFrame, by: list[str], k: int) -> DataFrame:
     """(by..., right, n) for f (by..., __y, __x, fold). Counts, means and cross-products of each fold and label are
     merged, the discriminant of each fold is solved from them, and rows are scored where they lie."""
@@ -191,7 +197,7 @@ def _lda_counts(f: DataFrame, by: list[str], k: int) -> DataFrame:
         return pd.DataFrame([(*key, n, mean, cross)], columns=cols)
 
     each = f.mapInPandas(gather, sums)
-    for fan in (64, 1):
+    for fan in _fans(f):
         each = each.groupBy(*keys, F.pmod("part", F.lit(fan)).alias("__fan")).applyInPandas(merge, sums)
 
     def solve(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -231,23 +237,210 @@ def _lda_counts(f: DataFrame, by: list[str], k: int) -> DataFrame:
     return joined.select(*f.columns, "labels", "weights", "offsets").mapInPandas(score, f"{head}right long, n long")
 
 
+#: Losses of a margin m: (loss, first derivative, second derivative) in a stage, the weight of the squared weights, and
+#: the number of stages. The hinge's corner is a parabola that gets narrower from stage to stage.
+def _logistic_loss(m: np.ndarray, stage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    p = 1 / (1 + np.exp(np.clip(m, -500, 500)))
+    return np.logaddexp(0.0, -m), -p, p * (1 - p)
+
+
+def _hinge_loss(m: np.ndarray, stage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    h = _CORNERS[stage]
+    near, under = np.abs(1 - m) < h, m <= 1 - h
+    off = 1 + h - m
+    return np.where(under, 1 - m, np.where(near, off * off / (4 * h), 0.0)), np.where(under, -1.0, np.where(near, -off / (2 * h), 0.0)), np.where(near, 1 / (2 * h), 0.0)
+
+
+_CORNERS = (0.5, 0.15, 0.05, 0.02)
+_LOSSES = {"logistic": (_logistic_loss, 1e-6, 1), "svm": (_hinge_loss, 1.0, len(_CORNERS))}
+
+
+class _Newton:
+    """Damped Newton steps to one minimum: of a weight times half the squared weights, plus the losses of all rows."""
+
+    def __init__(self, dims: int, state: list[float] | None = None):
+        self.d = dims
+        zero = [0.0] * dims
+        # The last point taken, the step tried from it, its objective, the stage, whether it is found, and steps tried.
+        self.state = np.array([*zero, *zero, np.inf, 0.0, 0.0, 0.0] if state is None else state, float)
+
+    @property
+    def w(self) -> np.ndarray:
+        return self.state[: self.d] + self.state[self.d : 2 * self.d]
+
+    @property
+    def stage(self) -> int:
+        return int(self.state[-3])
+
+    @property
+    def found(self) -> bool:
+        return bool(self.state[-2])
+
+    def tell(self, sums: np.ndarray, ridge: float, stages: int, most: int = 200) -> None:
+        """What the rows add up to at w: the loss, its gradient and its second derivatives."""
+        d, w = self.d, self.w
+        step = self.state[d : 2 * d].copy()
+        value = sums[0] + 0.5 * ridge * w @ w
+        least = 1e-7 if self.stage + 1 == stages else 1e-2
+        self.state[-1] += 1
+        if value <= self.state[2 * d] + 1e-12 * abs(value):
+            gradient, second = sums[1 : 1 + d] + ridge * w, sums[1 + d :].reshape(d, d) + ridge * np.eye(d)
+            new = -np.linalg.lstsq(second, gradient, rcond=None)[0]
+            small = np.abs(new).max() < least * (1 + np.abs(w).max())
+            self.state[:d], self.state[d : 2 * d], self.state[2 * d] = w, 0.0 if small else new, value
+        else:
+            self.state[d : 2 * d] = step / 2
+            small = np.abs(step).max() < least * (1 + np.abs(w).max())
+            if small:
+                self.state[d : 2 * d] = 0.0
+        if small or self.state[-1] >= most:
+            if self.stage + 1 < stages and self.state[-1] < most:
+                self.state[2 * d], self.state[-3] = np.inf, self.stage + 1
+            else:
+                self.state[-2] = 1.0
+
+
+def _newton_sums(x: np.ndarray, sign: np.ndarray, w: np.ndarray, stage: int, kind: str) -> np.ndarray:
+    loss, first, second = _LOSSES[kind][0](sign * (x @ w), stage)
+    return np.concatenate([[loss.sum()], (first * sign) @ x, ((x * second[:, None]).T @ x).ravel()])
+
+
+def _with_one(g: pd.DataFrame) -> np.ndarray:
+    x = np.stack(g["__x"].to_numpy()).astype(float)
+    return np.c_[np.ones(len(x)), x]
+
+
+def trained(f: DataFrame, by: list[str], k: int, kind: str, rounds: int = 250) -> DataFrame:
+    """(by..., labels, dims, used, states): the weights of each fold and label against the rest, for f (by..., __y, __x,
+    fold), by rows outside the fold. used and states have an entry for each fold and label; of two labels only the
+    greater has weights.
+
+    A round is one Spark job: tasks add up losses, gradients and second derivatives of all folds where rows lie, partial
+    sums are merged, and each series' minima take a step. Rows are read where they are and never gathered; what is
+    joined to them is a row of weights for each series."""
+    loss, ridge, stages = _LOSSES[kind]
+    y, heads = f.schema["__y"].dataType.simpleString(), [(c, f.schema[c].dataType.simpleString()) for c in by]
+    head = "".join(f"`{c}` {t}, " for c, t in heads)
+    models = f"{head}labels array<{y}>, dims int, used array<int>, states array<array<double>>"
+    names = [*by, "labels", "dims", "used", "states"]
+
+    def begin(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for r in frame.to_dict("records"):
+                labels = sorted({c["label"] for c in r["counts"]})
+                n = np.zeros((k, len(labels)), int)
+                for c in r["counts"]:
+                    n[c["fold"], labels.index(c["label"])] += c["n"]
+                used = (n.sum(0) - n > 0).astype(int)  # seen outside the fold
+                states = [_Newton(r["dims"]).state if u and (used[t].sum() > 2 or used[t].sum() == 2 and not used[t][g + 1 :].any()) else [] for t in range(k) for g, u in enumerate(used[t])]
+                rows.append((*(r[c] for c in by), labels, r["dims"], used.ravel(), states))
+            yield pd.DataFrame(rows, columns=names)
+
+    each = f.groupBy(*by, "fold", "__y").agg(F.count("*").alias("n"), F.max(F.size("__x") + 1).alias("d"))
+    state = written(each.groupBy(*by).agg(F.collect_list(F.struct("fold", F.col("__y").alias("label"), "n")).alias("counts"), F.max("d").alias("dims")).mapInPandas(begin, models))
+    sums = f"{head}problem int, part int, v array<double>"
+
+    def gather(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, held = TaskContext.get().partitionId(), {}
+
+        def give() -> pd.DataFrame:
+            rows = [(*key, problem, part, v) for (key, problem), v in held.items()]
+            held.clear()
+            return pd.DataFrame(rows, columns=[*by, "problem", "part", "v"])
+
+        for frame in frames:
+            for key, g in frame.groupby(by, dropna=False, sort=False) if by else (((), frame),):
+                r, x = g.iloc[0], _with_one(g)
+                labels, folds_of = np.asarray(r["labels"]), g["fold"].to_numpy()
+                code, key = np.searchsorted(labels, g["__y"].to_numpy()), tuple(None if pd.isna(v) else v for v in key)
+                for problem, s in enumerate(r["states"]):
+                    if len(s) and not (m := _Newton(int(r["dims"]), s)).found:
+                        train = folds_of != problem // len(labels)
+                        v = _newton_sums(x[train], np.where(code[train] == problem % len(labels), 1.0, -1.0), m.w, m.stage, kind)
+                        held[key, problem] = held.get((key, problem), 0.0) + v
+            if len(held) > 1000:
+                yield give()
+        yield give()
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        out = frame.sort_values("part").iloc[:1].copy()
+        out["v"] = [np.sum(np.stack(frame.sort_values("part")["v"].to_numpy()), axis=0)]
+        return out
+
+    def step(told: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        new, r = [list(s) for s in state["states"].iloc[0]], state.iloc[0]
+        for problem, v in zip(told["problem"], told["v"]):
+            m = _Newton(int(r["dims"]), new[problem])
+            m.tell(np.asarray(v), ridge, stages)
+            new[problem] = m.state.tolist()
+        return state.assign(states=[new])[names]
+
+    open_ = F.exists("states", lambda s: (F.size(s) > 0) & (F.element_at(s, -2) == 0))
+    for _ in range(rounds):
+        if state.where(open_).isEmpty():
+            break
+        told = _beside(f, state.where(open_), by, "inner").mapInPandas(gather, sums)
+        for fan in _fans(f):
+            told = told.groupBy(*by, "problem", F.pmod("part", F.lit(fan)).alias("__fan")).applyInPandas(merge, sums)
+        # A row for each fold and label meets its series' row.
+        a, b = (x.withColumn("__all", F.lit(0)).groupBy(*by, "__all") for x in (told, state))
+        state = written(a.cogroup(b).applyInPandas(step, models))
+    return state
+
+
+def _beside(f: DataFrame, state: DataFrame, by: list[str], how: str) -> DataFrame:
+    """f's rows with the labels and states of their series."""
+    s = state.select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(by)), "labels", "dims", "used", "states")
+    joined = f.join(s if by else F.broadcast(s), _same(by), how)  # without series: one row
+    return joined.drop(*(f"__k{i}" for i in range(len(by))))
+
+
+def _trained_counts(f: DataFrame, by: list[str], k: int, kind: str) -> DataFrame:
+    """(by..., right, n): rows scored where they lie."""
+    f = checkpointed(f.withColumn("__x", F.col("__x").cast("array<double>")))
+    head = "".join(f"`{c}` {f.schema[c].dataType.simpleString()}, " for c in by)
+
+    def score(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for key, g in frame.groupby([*by, "fold"], dropna=False, sort=False):
+                r, x = g.iloc[0], _with_one(g)
+                labels, fold, dims = np.asarray(r["labels"]), int(r["fold"]), int(r["dims"])
+                own = range(fold * len(labels), (fold + 1) * len(labels))
+                known, scores = [p for p in own if r["used"][p]], {p: x @ _Newton(dims, r["states"][p]).w for p in own if len(r["states"][p])}
+                if len(known) > 2:
+                    best = np.array(known)[np.argmax([scores[p] for p in known], axis=0)]
+                elif len(known) == 2:
+                    best = np.where(scores[known[1]] > 0, known[1], known[0])
+                else:
+                    best = np.full(len(x), known[0] if known else -1)
+                right = int((labels[best - own[0]] == g["__y"].to_numpy())[best >= own[0]].sum())
+                rows.append((*key[:-1], right, len(g)))
+            yield pd.DataFrame(rows, columns=[*by, "right", "n"])
+
+    return _beside(f, trained(f, by, k, kind), by, "left").mapInPandas(score, f"{head}right long, n long")
+
+
 def decode(df: DataFrame, features: str, label: str, obs: str, by: list[str], decoder: str | Callable = "lda", k: int = 5, seed: str = "0", as_pct: bool = False, fold: str | None = None) -> DataFrame:
     """(by..., accuracy, n): share of held-out observations whose label is predicted, over k stratified folds, or over
     those that a column `fold` gives, numbered from 0: a splitter of one's own, such as one that leaves a group out.
 
-    features is an array column. decoder: lda, which is solved from sums of any number of observations, or logistic,
-    svm or a function of (train x, train y, test x) to predictions; for these, fold and series are one task each,
-    which gets all observations of the series."""
+    features is an array column. decoder: lda, which is solved from sums of any number of observations; logistic or svm
+    (a linear one, whose hinge has a corner of 0.02), trained by rounds of such sums; or a function of (train x, train
+    y, test x) to predictions, for which fold and series are one task each, which gets all observations of the series."""
     known = df.where(F.col(label).isNotNull())
     if fold is None:
         f = folds(known, obs, label, by, k, seed)
     else:
         f, k = known.withColumn("fold", F.col(fold).cast("int")), (known.agg(F.max(fold)).first()[0] or 0) + 1
     f = f.select(*by, F.col(label).alias("__y"), F.col(features).alias("__x"), "fold")
-    if decoder == "lda":
-        s = _lda_counts(f, by, k).groupBy(*by).agg(F.sum("right").alias("right"), F.sum("n").alias("n"))
+    if decoder == "lda" or decoder in _LOSSES:
+        s = (_lda_counts(f, by, k) if decoder == "lda" else _trained_counts(f, by, k, decoder)).groupBy(*by).agg(F.sum("right").alias("right"), F.sum("n").alias("n"))
         return s.select(*by, (div("right", "n") * (100.0 if as_pct else 1.0)).alias("accuracy"), "n")
-    fit = decoder if callable(decoder) else kernels.DECODERS[decoder]
+    if not callable(decoder):
+        raise ValueError(f"unknown decoder {decoder!r}: lda, logistic, svm or a function")
+    fit = decoder
     each = f.withColumn("__test", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import posixpath
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -54,3 +56,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, read again: for rounds, whose size estimates would else multiply."""
+    path = posixpath.join(shared_dir(df.sparkSession), f"table-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

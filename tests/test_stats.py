@@ -129,6 +129,69 @@ def test_decode_lda_gathers_no_series(spark, monkeypatch):
     assert info.decode(df, "x", "label", "obs", []).first().n == 300
 
 
+def _noisy(n, labels, seed=3, by=()):
+    rng = np.random.default_rng(seed)
+    names = "abcd"
+    return [(s, i + j * n, names[i % labels], (rng.standard_normal(3) + np.eye(4, 3)[i % labels] * 0.9).tolist()) for j, s in enumerate(by or ("x",)) for i in range(n)]
+
+
+@pytest.mark.parametrize("labels", [2, 3])
+def test_rounds_give_the_local_trainers_weights(spark, labels):
+    """Logistic weights are those of Newton steps over the whole table; the hinge's loss is that of dual steps."""
+    rows = _noisy(160, labels)
+    df = spark.createDataFrame(rows, "s string, obs int, label string, x array<double>").repartition(5)
+    f = info.folds(df, "obs", "label", [], 4).select(F.col("label").alias("__y"), F.col("x").alias("__x"), "fold")
+    held = f.collect()
+    for kind in ("logistic", "svm"):
+        r = info.trained(f, [], 4, kind).first()
+        for problem, state in enumerate(r.states):
+            if not state:
+                continue
+            t, g = divmod(problem, labels)
+            x = np.array([[1.0, *v.asDict()["__x"]] for v in held if v.fold != t])
+            sign = np.array([1.0 if v["__y"] == r.labels[g] else -1.0 for v in held if v.fold != t])
+            got = info._Newton(r.dims, state)
+            assert got.found
+            if kind == "logistic":
+                w = np.zeros(4)
+                for _ in range(50):
+                    p = 1 / (1 + np.exp(-x @ w))
+                    w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(4), x.T @ ((sign > 0) - p) - 1e-6 * w)
+                assert got.w == pytest.approx(w, abs=1e-6)
+            else:
+                loss = lambda w: 0.5 * w @ w + np.maximum(0, 1 - sign * (x @ w)).sum()  # noqa: B023, E731
+                a, w, q = np.zeros(len(x)), np.zeros(4), (x * x).sum(1)
+                for e in range(100):
+                    for i in np.random.default_rng(e).permutation(len(x)):
+                        new = min(max(a[i] - (sign[i] * (x[i] @ w) - 1) / q[i], 0.0), 1.0)
+                        w, a[i] = w + (new - a[i]) * sign[i] * x[i], new
+                assert loss(got.w) <= loss(w) * 1.001
+
+
+def test_decoders_in_rounds_count_as_the_local_ones(spark):
+    rows = _noisy(90, 3, by=("x", None))
+    df = spark.createDataFrame(rows, "s string, obs int, label string, x array<double>").repartition(6)
+    for by in ([], ["s"]):
+        want = {tuple(r[:-2]): (r.accuracy, r.n) for r in info.decode(df, "x", "label", "obs", by, info.kernels.logistic).collect()}
+        assert {tuple(r[:-2]): (r.accuracy, r.n) for r in info.decode(df, "x", "label", "obs", by, "logistic").collect()} == want
+    svm, plain = (info.decode(df, "x", "label", "obs", [], d).first().accuracy for d in ("svm", info.kernels.linear_svm))
+    assert abs(svm - plain) < 0.04
+
+
+def test_decoders_with_labels_that_a_fold_lacks(spark):
+    rows = [(i, "abc"[i % 3], i // 30, [float(i % 3) + 0.01 * (i % 7), 1.0]) for i in range(60)] + [(60 + i, "c", 0, [2.0, 1.0]) for i in range(5)]
+    df = spark.createDataFrame(rows, "obs int, label string, block int, x array<double>")
+    for decoder in ("logistic",):
+        got = info.decode(df, "x", "label", "obs", [], decoder, fold="block").first()
+        assert got.n == 65 and 0.5 < got.accuracy <= 1
+        one = info.decode(df.where("label = 'a'"), "x", "label", "obs", [], decoder, fold="block").first()
+        assert (one.n, one.accuracy) == (20, 1.0)
+        assert info.decode(df.withColumn("own", F.expr("CASE label WHEN 'a' THEN 0 WHEN 'b' THEN 1 ELSE 2 END")), "x", "label", "obs", [], decoder, fold="own").first().accuracy == 0.0
+        assert info.decode(df.limit(0), "x", "label", "obs", ["label"], decoder).collect() == []
+    with pytest.raises(ValueError):
+        info.decode(df, "x", "label", "obs", [], "nonsense")
+
+
 def test_zscore_and_guards(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0), ("b", 5.0)], "k string, v double")
     z = {(r.k, r.v): r.z for r in stats.zscore(df, "v", ["k"]).collect()}
