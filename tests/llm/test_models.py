@@ -398,3 +398,50 @@ def test_one_page_hosts_and_ports(spark):
     assert got["http://bad.com/y"] == "allow" and got["http://good.com:99/y"] == "allow" and got["http://10.1.2.3:80/y"] == "allow"
     long = "http://h.com/" + "a" * 200_000
     assert url_reputation.judge(spark.createDataFrame([(long,)], "url string")).first().path == long[12:]
+
+
+def test_exchange_goes_on_until_no_move_gains(spark, corpus):
+    """More sweeps never lose, the last ones find nothing, and a serial exchange gets no further."""
+    docs = corpus.limit(80)
+    counts = class_lm.word_counts(docs.select("text"))
+    own = class_lm.frequent(counts, 40)
+    bigrams = class_lm.checkpointed(class_lm.bigram_counts(docs, {w: k for k, (w, _) in enumerate(own)}, 8))
+    classes, n = 5, 48
+    dense = np.zeros((n + 1, n + 1))
+    for r in bigrams.collect():
+        dense[r.a, r.b] = r.n
+
+    def worth(of):
+        table = np.zeros((classes + 1,) * 2)
+        np.add.at(table, (of[:, None].repeat(n + 1, 1), of[None, :].repeat(n + 1, 0)), dense)
+        return class_lm.likelihood(table)
+
+    found = [class_lm.exchange(bigrams, n, classes, sweeps) for sweeps in (0, 2, 5, 200)]
+    values = [worth(of) for of in found]
+    assert values == sorted(values) and values[0] < values[1] < values[3]
+
+    def best_move(of):
+        moves = []
+        for unit in range(n):
+            for to in range(classes):
+                new = of.copy()
+                new[unit] = to
+                moves.append((worth(new), unit, to))
+        return max(moves)
+
+    assert best_move(found[3])[0] <= values[3] + 1e-6 * abs(values[3])
+    of = found[0].copy()
+    while True:  # one move at a time, the best one
+        value, unit, to = best_move(of)
+        if value <= worth(of) + 1e-6:
+            break
+        of[unit] = to
+    start = values[0]
+    assert values[3] - start >= 0.8 * (worth(of) - start)
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_lm_takes_ids_of_any_type(spark, docs_of, kind):
+    docs = docs_of((1, "a b a b"), (2, "b a rare"), (3, None)).selectExpr(f"CAST(doc_id AS {kind}) AS doc_id", "text")
+    got = class_lm.score(docs, docs, clustered=2, groups=2, classes=2, sweeps=3)
+    assert dict(got.dtypes)["doc_id"] == kind and got.count() == 3
