@@ -3,10 +3,18 @@ hash aggregates with partial sums before the shuffle, unless the order within a
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import pickle
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
+from functools import reduce
+from typing import Any
+
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.exprs import col, div
 
@@ -74,9 +82,74 @@ def condition_mean(df: DataFrame, value: str, by: list[str], label: str) -> Data
     return df.groupBy(*by, label).agg(F.avg(value).alias("mean"))
 
 
-def condition_apply(df: DataFrame, value: str, by: list[str], label: str, function: Callable[[str], Column] | Callable, out: str = "stat", schema: str | None = None) -> DataFrame:
-    """function by series and label: one that makes an aggregate column of a column name, or, with a schema for its
-    result, a function of a pandas frame to a pandas frame (whose groups must fit in a task)."""
+@dataclass(frozen=True)
+class Mergeable:
+    """A statistic of one's own as states that merge: update takes a state and a pandas frame of some rows, merge two
+    states, finish makes the value. A state can be anything that pickles, of a size that doesn't grow with its rows."""
+
+    start: Callable[[], Any]
+    update: Callable[[Any, pd.DataFrame], Any]
+    merge: Callable[[Any, Any], Any]
+    finish: Callable[[Any], Any]
+
+
+#: States that a task holds before it hands them on, and parts in which a key's states are merged first.
+MOST_STATES, PARTS = 4096, 64
+
+
+def merge_apply(df: DataFrame, values: str | list[str], by: list[str], function: Mergeable, out: str = "stat", kind: str = "double") -> DataFrame:
+    """(by..., out) with function over the rows of each key. Nulls in by are a key of their own; values come as they are.
+
+    Tasks make a state for each key of the rows that they read, and only states are shuffled. A key's states, at most
+    some a task, are merged in PARTS groups and those into one, so no key's rows and no key's states are one task."""
+    names = [values] if isinstance(values, str) else list(values)
+    keys = df.select(*by).schema
+    arrow = [to_arrow_type(f.dataType) for f in keys]
+    result = to_arrow_type(df.sparkSession.createDataFrame([], f"v {kind}").schema[0].dataType)
+
+    def rows(held: dict, task: int) -> pa.RecordBatch:
+        cols = [pa.array([k[i] for k in held], t) for i, t in enumerate(arrow)]
+        return pa.RecordBatch.from_arrays([*cols, pa.array([task] * len(held), pa.int32()), pa.array([pickle.dumps(v) for v in held.values()], pa.binary())], [*by, "__part", "__state"])
+
+    def update(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        task = TaskContext.get().partitionId() % PARTS
+        for batch in batches:
+            each = zip(*(c.to_pylist() for c in batch.columns[: len(by)])) if by else [()] * batch.num_rows
+            found: dict = {}
+            for i, k in enumerate(each):
+                found.setdefault(k, []).append(i)
+            rest = pa.Table.from_batches([batch.select(names)])
+            for k, at in found.items():
+                held[k] = function.update(held[k] if k in held else function.start(), rest.take(pa.array(at)).to_pandas())
+            if len(held) > MOST_STATES:
+                yield rows(held, task)
+                held = {}
+        if held:
+            yield rows(held, task)
+
+    def merged(table: pa.Table) -> Any:
+        return reduce(function.merge, (pickle.loads(s.as_py()) for s in table["__state"]))
+
+    def some(table: pa.Table) -> pa.Table:
+        return table.slice(0, 1).select(by).append_column("__state", pa.array([pickle.dumps(merged(table))], pa.binary()))
+
+    def last(table: pa.Table) -> pa.Table:
+        return table.slice(0, 1).select(by).append_column(out, pa.array([function.finish(merged(table))], result))
+
+    named = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys)
+    lead = named + ", " if by else ""
+    states = df.select(*by, *(c for c in names if c not in by)).mapInArrow(update, lead + "`__part` int, `__state` binary")
+    parts = states.groupBy(*by, "__part").applyInArrow(some, lead + "`__state` binary")
+    return parts.groupBy(*by).applyInArrow(last, lead + f"`{out}` {kind}")
+
+
+def condition_apply(df: DataFrame, value: str, by: list[str], label: str, function: Callable[[str], Column] | Mergeable | Callable, out: str = "stat", schema: str | None = None) -> DataFrame:
+    """function by series and label: one that makes an aggregate column of a column name; a Mergeable, whose labels may
+    hold any number of rows; or, with a schema for its result, a function of a pandas frame to a pandas frame (whose
+    groups must fit in a task)."""
+    if isinstance(function, Mergeable):
+        return merge_apply(df, value, [*by, label], function, out)
     if schema is None:
         return df.groupBy(*by, label).agg(function(value).alias(out))
     return df.select(*by, label, value).groupBy(*by, label).applyInPandas(function, schema)

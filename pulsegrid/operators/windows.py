@@ -1,11 +1,14 @@
 """Windows, bins, epochs and bands: interval tables and the joins with them.
 
 Interval tables are arguments of an analysis. They are checked to be small before they are broadcast; beyond that, an
-interval is entered under each grid cell that it touches, and the join is an equi-join on cells.
+interval is entered under the one or two grid cells that it touches on a grid as coarse as its length, and the join is
+an equi-join on cells.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,6 +19,8 @@ from ..functions.exprs import col
 
 #: Broadcast intervals are compared with every point, so more than these are joined by cells.
 MOST_BROADCAST = 100
+#: Bounds from here on count as infinite; their intervals lie on one level, whose cells part the points by sign.
+_ENDLESS, _TOP = 1e290, 500
 
 
 def sliding_windows(spark: SparkSession, width: float, lims: tuple[float, float], step: float | None = None, reference: float | None = None, whole: bool = False) -> DataFrame:
@@ -34,19 +39,39 @@ def sliding_windows(spark: SparkSession, width: float, lims: tuple[float, float]
     return spark.range(n).select(F.col("id").cast("int").alias("win"), fix(lo + i * step).alias("start"), fix(lo + i * step + width).alias("end"))
 
 
-def interval_join(points: DataFrame, at: str | Column, intervals: DataFrame, start: str = "start", end: str = "end", closed: bool = False, cell: float | None = None) -> DataFrame:
+def interval_cells(start: Column, end: Column) -> Column:
+    """Array of (level, cell) structs, one or two, for an interval of any length: cells are 4 ** level long, at least as
+    long as the interval, so it touches no third one. Infinite bounds lie on the coarsest level; empty for intervals
+    that end before they start, or have null or not-a-number bounds."""
+    lo, hi = start.cast("double"), end.cast("double")
+    log4 = lambda x: F.log(F.greatest(x, F.lit(1e-290))) / math.log(4.0)
+    # Cells finer than 4 ** -20 of the bounds' magnitude would leave the range of whole numbers.
+    level = F.greatest(F.ceil(log4(hi - lo) + 1e-9), F.ceil(log4(F.greatest(F.abs(lo), F.abs(hi)))) - 20).cast("int")
+    endless = F.greatest(F.abs(lo), F.abs(hi)) >= _ENDLESS
+    cell = lambda x, k: F.struct(k.alias("level"), F.floor(x / F.pow(F.lit(4.0), k)).alias("cell"))
+    both = F.array(*(F.struct(F.lit(_TOP).alias("level"), F.lit(c).cast("long").alias("cell")) for c in (-1, 0)))
+    found = F.when(endless, both).otherwise(F.array_distinct(F.array(cell(lo, level), cell(hi, level))))
+    none = lo.isNull() | hi.isNull() | F.isnan(lo) | F.isnan(hi) | (hi < lo)
+    return F.when(none, F.slice(both, 1, 0)).otherwise(found)
+
+
+def interval_join(points: DataFrame, at: str | Column, intervals: DataFrame, start: str = "start", end: str = "end", closed: bool = False) -> DataFrame:
     """Each point with each interval that holds it: start <= at < end, or <= end if closed.
 
-    Up to MOST_BROADCAST intervals are broadcast. More are joined by grid cells of size `cell` (the mean length of an
-    interval if None), each interval under every cell that it touches."""
+    Up to MOST_BROADCAST intervals are broadcast. More are joined by interval_cells(): an interval is one or two rows
+    however long it is, and a point one row for each level in use, of which lengths from 1 to 4 ** k take k + 1 (and
+    all lengths there are a few hundred)."""
     p, upper = col(at), (F.col(end) >= col(at)) if closed else (F.col(end) > col(at))
     inside = (F.col(start) <= p) & upper
     if intervals.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         return points.join(F.broadcast(intervals), inside)
-    size = cell or intervals.agg(F.avg(F.col(end) - F.col(start))).first()[0] or 1.0
-    cells = F.sequence(F.floor(F.col(start) / size), F.floor(F.col(end) / size))
-    right = intervals.withColumn("__cell", F.explode(cells))
-    return points.withColumn("__cell", F.floor(p / size)).join(right, "__cell").where(inside).drop("__cell")
+    entered = intervals.withColumn("__in", F.explode(interval_cells(F.col(start), F.col(end))))
+    right = entered.withColumns({"__level": F.col("__in.level"), "__cell": F.col("__in.cell")}).drop("__in")
+    levels = sorted(r[0] for r in right.select("__level").distinct().collect())  # at most a few hundred
+    left = points.withColumn("__level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    x = p.cast("double")
+    left = left.withColumn("__cell", F.when(F.col("__level") == _TOP, F.when(x < 0, F.lit(-1)).otherwise(F.lit(0)).cast("long")).otherwise(F.floor(x / F.pow(F.lit(4.0), F.col("__level")))))
+    return left.join(right, ["__level", "__cell"]).where(inside).drop("__level", "__cell")
 
 
 def nearest_join(left: DataFrame, right: DataFrame, on: list[str], at: str, time: str, within: float, bucket: float | None = None) -> DataFrame:

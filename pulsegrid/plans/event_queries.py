@@ -129,6 +129,14 @@ def epochs(spark, d):
     return windows.pool_time_epochs(_events(spark, d), "value", "t", table_, ["event_type"]).select("event_type", "name", _r("value", 4).alias("mean"))
 
 
+def events_in_spans(spark, d):
+    """Spans of a second to three days, one a customer."""
+    key = F.col("c_custkey").cast("long")
+    spans = table(spark, d, "customer").select("c_custkey", (key * 7919 % 2592000).cast("double").alias("start"), F.pow(F.lit(4.0), key % 10).alias("length"))
+    held = windows.interval_join(_events(spark, d), "t", spans.withColumn("end", F.col("start") + F.col("length")))
+    return held.groupBy("c_custkey").agg(F.count("*").alias("n"))
+
+
 def bells(spark, d):
     e = _events(spark, d)
     return e.select("event_id", _r(exprs.gaussian(F.col("value"), 100.0, 50.0, 2.0, 0.5)).alias("one"), _r(exprs.gaussian_2d(F.col("value") / 100.0, F.col("t") / DAY / 10.0, (1.0, 1.5), (0.5, 1.0), 1.0, 0.0, 0.3)).alias("two"))
@@ -143,7 +151,7 @@ QUERIES = {
     "rate_fano": rate_fano, "rate_cv": rate_cv, "binned_rate": binned_rate, "sliding_rate": sliding_rate, "custom_bins": custom_bins, "isi": isi, "isi_bucketed": isi_bucketed,
     "isi_fano": _isi_stat("fano"), "isi_fano_pooled": _isi_stat("fano", ["user_id"]), "isi_cv": _isi_stat("cv"), "isi_cv2": _isi_stat("cv2"), "isi_lv": _isi_stat("lv"), "isi_burst_fract": _isi_stat("burst_fract"),
     "select_time_range": select_range, "realign": realign, "cut_trials": cut_trials, "pool_units": pool_units, "bool_grid": bool_grid, "zscore": zscore, "zscore_baseline": zscore_baseline,
-    "interpolate": interpolate, "bursts": bursts, "time_epochs": epochs, "gaussians": bells, "density": density,
+    "interpolate": interpolate, "bursts": bursts, "time_epochs": epochs, "events_in_spans": events_in_spans, "gaussians": bells, "density": density,
 }
 
 _ADJ = f"{GAPS}, a AS (SELECT user_id, (isi - before) / (isi + before) AS r FROM (SELECT user_id, isi, lag(isi) OVER (PARTITION BY user_id ORDER BY t) AS before FROM i) WHERE before IS NOT NULL)"
@@ -174,6 +182,7 @@ SELECT user_id, at, round(CASE WHEN x1 > x0 THEN y0 + (y1 - y0) * (at - x0) / (x
     "bursts": f"""WITH {_hourly_sql(3600)}, z AS (SELECT user_id, win, (n - avg(n) OVER w) / stddev_pop(n) OVER w AS z, max(win) OVER w AS top FROM b WINDOW w AS (PARTITION BY user_id)),
 r AS (SELECT user_id, win, top, win - row_number() OVER (PARTITION BY user_id ORDER BY win) AS run FROM z WHERE z > 1) SELECT user_id, min(win)::INTEGER AS from_win, max(win)::INTEGER AS to_win, count(*) AS n, max(win) = max(top) AS touches_end FROM r GROUP BY user_id, run""",
     "time_epochs": f"WITH {E}, w AS (SELECT * FROM (VALUES ('early', 0, 7), ('late', 20, 30)) AS v(name, a, b)) SELECT event_type, name, round(avg(value), 4) AS mean FROM e JOIN w ON t BETWEEN a * {DAY}::DOUBLE AND b * {DAY}::DOUBLE GROUP BY ALL",
+    "events_in_spans": f"WITH {E}, w AS (SELECT c_custkey, (c_custkey::BIGINT * 7919 % 2592000)::DOUBLE AS a, power(4::DOUBLE, c_custkey % 10) AS len FROM customer) SELECT c_custkey, count(*) AS n FROM e JOIN w ON t >= a AND t < a + len GROUP BY ALL",
     "gaussians": f"""WITH {E}, p AS (SELECT event_id, value, value / 100 - 1 AS dx, t / {DAY}::DOUBLE / 10 - 1.5::DOUBLE AS dy FROM e) SELECT event_id, round(2 * exp(-0.5::DOUBLE * power((value - 100) / 50, 2)) + 0.5::DOUBLE, 6) AS one,
 round(exp(-0.5::DOUBLE * (power((dx * cos(0.3::DOUBLE) + dy * sin(0.3::DOUBLE)) / 0.5::DOUBLE, 2) + power(dy * cos(0.3::DOUBLE) - dx * sin(0.3::DOUBLE), 2))), 6) AS two FROM p""",
     "density": f"""WITH {E}, c AS (SELECT user_id, round_even(t / 3600, 0) AS cell, count(*) AS n FROM e GROUP BY ALL), w AS (SELECT sum(exp(-0.5::DOUBLE * power(i / 24, 2))) AS w FROM (SELECT unnest(range(-72, 73)) AS i)), g AS (SELECT unnest(range(0, 721, 6)) AS g),

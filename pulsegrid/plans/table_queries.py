@@ -68,6 +68,32 @@ def condition_mean(spark, d):
     return stats.condition_mean(_customers(spark, d), "c_acctbal", ["c_nationkey"], "c_mktsegment").select("c_nationkey", "c_mktsegment", _r("mean", 4).alias("mean"))
 
 
+def _central(frame):
+    x = frame.to_numpy(float).ravel()
+    x = x[x == x]
+    m = x.mean() if len(x) else 0.0
+    return len(x), m, ((x - m) ** 2).sum(), ((x - m) ** 3).sum()
+
+
+def _central_merged(a, b):
+    """Count, mean and central sums of squares and cubes of two parts together."""
+    (n, m, s, c), (n2, m2, s2, c2) = a, b
+    k, d = n + n2, m2 - m
+    if not n or not n2:
+        return a if n else b
+    return k, m + d * n2 / k, s + s2 + d * d * n * n2 / k, c + c2 + d**3 * n * n2 * (n - n2) / k**2 + 3 * d * (n * s2 - n2 * s) / k
+
+
+SKEWNESS = stats.Mergeable(
+    start=lambda: (0, 0.0, 0.0, 0.0), update=lambda state, frame: _central_merged(state, _central(frame)), merge=_central_merged,
+    finish=lambda s: s[3] / s[0] / (s[2] / s[0]) ** 1.5 if s[2] > 0 else None,
+)
+
+
+def condition_skewness(spark, d):
+    return stats.condition_apply(_items(spark, d), "l_extendedprice", ["l_returnflag"], "l_linestatus", SKEWNESS).select("l_returnflag", "l_linestatus", _r("stat", 5).alias("skewness"))
+
+
 def condition_median(spark, d):
     return stats.condition_apply(_customers(spark, d), "c_acctbal", [], "c_mktsegment", F.median).select("c_mktsegment", _r("stat", 4).alias("median"))
 
@@ -205,7 +231,7 @@ def nation_subsets(spark, d):
 
 QUERIES = {
     "t_one": t_one, "t_paired": t_paired, "t_two": _t_two(True), "t_welch": _t_two(False), "f_one_way": _f_one(False), "f_one_way_compat": _f_one(True), "f_two_way": f_two_way,
-    "pearson": pearson, "spearman": spearman, "condition_mean": condition_mean, "condition_median": condition_median, "dprime": dprime, "auroc": auroc, "mutual_info": mutual_info, "mutual_info_binned": mutual_info_binned,
+    "pearson": pearson, "spearman": spearman, "condition_mean": condition_mean, "condition_median": condition_median, "condition_skewness": condition_skewness, "dprime": dprime, "auroc": auroc, "mutual_info": mutual_info, "mutual_info_binned": mutual_info_binned,
     "pev_anova1": _anova1(True), "pev_anova1_eta": _anova1(False), "pev_anova1_p": anova1_p, "pev_anova2": _anova2(), "pev_anova2_additive": _anova2(interact=False), "pev_anova2_partial": _anova2(partial=True), "pev_regress": regress, "pev_regress_terms": regress_terms,
     "rand_sign": rand_sign, "boot_one_sample": boot_one_sample, "perm_two_sample": perm_two_sample, "perm_one_way": perm_one_way, "perm_two_way": perm_two_way, "perm_assoc": perm_assoc, "boot_ci": boot_ci, "boot_two_sample": boot_two_sample,
     "boot_items": boot_items, "boot_two_items": boot_two_items, "perm_items": perm_items, "perm_groups_items": perm_groups_items, "perm_assoc_items": perm_assoc_items,
@@ -266,6 +292,8 @@ ORACLES = {
     "pearson": "SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS r, round(atanh(corr(l_quantity, l_extendedprice)), 4) AS z FROM lineitem GROUP BY ALL",
     "spearman": "WITH r AS (SELECT l_returnflag, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2 AS a, rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_returnflag, l_extendedprice) - 1) / 2 AS b FROM lineitem) SELECT l_returnflag, round(corr(a, b), 6) AS rho FROM r GROUP BY ALL",
     "condition_mean": "SELECT c_nationkey, c_mktsegment, round(avg(c_acctbal), 4) AS mean FROM customer GROUP BY ALL",
+    "condition_skewness": """WITH m AS (SELECT l_returnflag, l_linestatus, l_extendedprice::DOUBLE AS x, avg(l_extendedprice::DOUBLE) OVER (PARTITION BY l_returnflag, l_linestatus) AS m FROM lineitem)
+SELECT l_returnflag, l_linestatus, round(avg(power(x - m, 3)) / power(avg(power(x - m, 2)), 1.5::DOUBLE), 5) AS skewness FROM m GROUP BY ALL""",
     "condition_median": "SELECT c_mktsegment, round(median(c_acctbal), 4) AS median FROM customer GROUP BY ALL",
     "dprime": f"WITH {_TWO} SELECT l_returnflag, round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)), 6) AS dprime FROM s",
     "auroc": "WITH r AS (SELECT l_returnflag, l_linestatus, rank() OVER w + (count(*) OVER (PARTITION BY l_returnflag, l_extendedprice) - 1) / 2 AS r FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_extendedprice)), s AS (SELECT l_returnflag, sum(r) FILTER (WHERE l_linestatus = 'F') AS r, count(*) FILTER (WHERE l_linestatus = 'F')::DOUBLE AS n1, count(*) FILTER (WHERE l_linestatus = 'O')::DOUBLE AS n2 FROM r GROUP BY ALL) SELECT l_returnflag, round((r - n1 * (n1 + 1) / 2) / (n1 * n2), 6) AS auroc FROM s",

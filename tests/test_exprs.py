@@ -76,6 +76,20 @@ def test_labels(spark):
     assert sorted((r.label, r.top) for r in m.collect()) == [(0, 3.0), (1, 6.0)]
 
 
+def test_own_statistics_merge(spark, monkeypatch):
+    """A hot key in several parts, null keys and large whole numbers as keys; every merge order gives the same."""
+    monkeypatch.setattr(stats, "MOST_STATES", 1)
+    spread = stats.Mergeable(start=lambda: None, update=lambda s, f: (min([f["v"].min(), *(s or ())]), max([f["v"].max(), *(s or ())])), merge=lambda a, b: (min(a[0], b[0]), max(a[1], b[1])), finish=lambda s: s[1] - s[0])
+    big = 2**60 + 1
+    rows = [(big if k % 3 else None, k % 2 == 0, float(k * k % 101)) for k in range(600)]
+    df = spark.createDataFrame(rows, "k long, odd boolean, v double").repartition(7)
+    got = {(r.k, r.odd): r.stat for r in stats.condition_apply(df, "v", ["k"], "odd", spread).collect()}
+    want = {key: max(x) - min(x) for key in {r[:2] for r in rows} for x in [[r[2] for r in rows if r[:2] == key]]}
+    assert got == want
+    assert stats.merge_apply(df, "v", [], spread).first().stat == max(r[2] for r in rows) - min(r[2] for r in rows)
+    assert stats.merge_apply(df.limit(0), "v", ["k"], spread).count() == 0
+
+
 def test_rate_by_name(spark):
     e = spark.createDataFrame([(0, 0.1), (0, 0.2)], "unit int, t double")
     assert points.rate(e, ["unit"], "sdf", lims=(0.0, 1.0)).count() == 1001

@@ -31,6 +31,25 @@ def test_interval_join_paths_agree(spark, events, monkeypatch):
     assert sorted(windows.interval_join(events, "t", t).select("unit", "t", "win").collect()) == small
 
 
+def test_intervals_of_many_scales(spark, monkeypatch):
+    """Lengths from 1 to 1e7, empty and infinite ones: an interval is at most two rows, and meets what it holds."""
+    monkeypatch.setattr(windows, "MOST_BROADCAST", 3)
+    rng = np.random.default_rng(5)
+    length = 10 ** rng.uniform(0, 7, 300)
+    start = rng.uniform(-1e7, 1e7, 300)
+    spans = [(k, float(a), float(a + n)) for k, (a, n) in enumerate(zip(start, length))]
+    spans += [(300, 64.0, 64.0), (301, float("-inf"), 0.0), (302, -3.0, float("inf")), (303, 5.0, 4.0), (304, None, 4.0), (305, 0.0, 4.0**8), (306, -(4.0**8), float("inf")), (307, float("-inf"), float("inf"))]
+    at = [float(x) for x in rng.uniform(-1e7, 1e7, 400)] + [64.0, 0.0, -0.0, 4.0**8, -3.0, -5.0, *(float(x) for x in start[:50]), *(x[2] for x in spans[:50])]
+    t = spark.createDataFrame(spans, "win int, start double, end double")
+    p = spark.createDataFrame(list(enumerate(at)), "i int, t double")
+    rows = t.select("win", F.size(windows.interval_cells(F.col("start"), F.col("end"))).alias("n")).collect()
+    assert {r.n for r in rows} == {0, 1, 2} and {r.win for r in rows if r.n == 0} == {303, 304}
+    for closed in (False, True):
+        got = sorted((r.i, r.win) for r in windows.interval_join(p, "t", t, closed=closed).collect())
+        want = [(i, k) for i, x in enumerate(at) for k, a, b in spans if a is not None and a <= x and (x <= b if closed else x < b)]
+        assert got == sorted(want) and len(got) == len(set(got))
+
+
 def test_round_trip_and_isi(events):
     g = points.times_to_bool(events, ["unit"], (0.0, 1.0), 0.01)
     back = sorted((r.unit, round(r.t, 9)) for r in points.bool_to_times(g, ["unit"]).collect())
