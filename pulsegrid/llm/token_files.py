@@ -15,19 +15,23 @@ from __future__ import annotations
 
 import posixpath
 import struct
+import urllib.parse
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import json_encoder, shared_dir
 
 MAGIC, HEADER, LAST, NULL_ID = b"PGTOK002", struct.Struct("<8sII"), struct.Struct("<QQQ"), -(2**63)
+#: So many first characters of a text part rows of one doc_id among files; whole texts order them inside.
+LEAD = 256
 
 
 def width(vocabulary: int) -> int:
@@ -52,10 +56,30 @@ def unpack(data: bytes, bits: int, n: int) -> np.ndarray:
 
 
 def _store(folder: str):
-    """(file system, path) of a folder's URI or plain path."""
-    from pyarrow import fs
+    """(file system, path) of a folder's URI."""
+    return fs.FileSystem.from_uri(folder)
 
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """folder as a whole URI: one without a scheme means what Spark takes it for, the cluster's default file system.
+    Raises if pyarrow, which writes and reads the files in the tasks, can't open that scheme."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    scheme, host = uri.getScheme(), uri.getAuthority() or ""
+    whole = f"{scheme}://{host}{urllib.parse.quote(uri.getPath())}"
+    try:
+        _store(whole)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError) as e:
+        raise ValueError(f"token files can't be written to {whole}: pyarrow doesn't open {scheme}") from e
+    return whole
+
+
+def file_number(df: DataFrame, file_bytes: int) -> list[int]:
+    """The partitions to ask for: none while the session's own number holds at most file_bytes of input each, as the
+    scan's size estimate has it, else as many as that takes."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = -(-size // file_bytes)
+    return [n] if int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) < n < 1_000_000 else []
 
 
 class Writer:
@@ -138,19 +162,22 @@ class Reader:
 
 def write(
     df: DataFrame, folder: str, tokenizer: str, vocabulary: int, end_id: int,
-    doc_id: str = "doc_id", text: str = "text", block: int = 4096, partitions: int | None = None,
+    doc_id: str = "doc_id", text: str = "text", block: int = 4096, partitions: int | None = None, file_bytes: int = 1 << 29,
 ) -> DataFrame:
     """Encodes every text, appends end_id, and writes token files to folder; returns the list of files.
 
-    Rows are range-partitioned by doc_id (rows of one doc_id are taken in the order of their texts; nulls first),
-    one file for a partition, and encoded behind that shuffle, so each text is encoded once. A null text counts as
-    empty. The list has file, path, first_token (ids in the files before it), n_tokens, n_docs. A task writes
-    under a name of its own and renames when done, so repeated tasks leave one whole file. An empty table gives no
-    file. A long text is encoded whole, in memory. All rows of one doc_id, or without one, fall into one partition,
-    as the order of the output asks, and so into one file. Columns other than these two are ignored.
+    Rows are range-partitioned by doc_id and the first LEAD characters of the text (rows of one doc_id are taken in the
+    order of their texts; nulls first), one file for a partition, and encoded behind that shuffle, so each text is
+    encoded once. There are `partitions` of them; if that is None, the session's number, or one for each file_bytes of
+    input where that is more. A null text counts as empty. The list has file, path, first_token (ids in the files
+    before it), n_tokens, n_docs. A task writes under a name of its own and renames when done, so repeated tasks leave
+    one whole file. An empty table gives no file. A long text is encoded whole, in memory. Rows of one doc_id, or
+    without one, are split among files where their first characters differ. folder may lack a scheme: see qualified().
+    Columns other than these two are ignored.
     """
     spark = df.sparkSession
     bits = width(vocabulary)
+    folder = qualified(spark, folder)
 
     def put(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = json_encoder(tokenizer)
@@ -176,8 +203,10 @@ def write(
         yield pa.RecordBatch.from_pydict(written, schema=schema)
 
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    n = [partitions] if partitions else []
-    sorted_docs = docs.repartitionByRange(*n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    n = [partitions] if partitions else file_number(docs, file_bytes)
+    first = F.col("doc_id").asc_nulls_first()
+    ranges = docs.repartitionByRange(*n, first, F.substring("text", 1, LEAD).asc_nulls_first())
+    sorted_docs = ranges.sortWithinPartitions(first, F.col("text").asc_nulls_first())
     # The list has a row per file, so the driver sees as many rows as there are partitions.
     files = sorted(sorted_docs.mapInArrow(put, "file int, path string, n_tokens long, n_docs long").collect())
     before, rows = 0, []

@@ -107,6 +107,32 @@ def test_token_files_round_trip(spark, docs_of, tmp_path, plain):
     assert token_files.read(empty).count() == 0
 
 
+def test_rows_without_id_are_split_among_files(spark, docs_of, tmp_path, plain):
+    """Ten thousand rows without doc_id lie in several files, in the order of their texts."""
+    texts = [f"{k * 7919 % 10_000:05d} words of no document" for k in range(10_000)]
+    docs = docs_of(*[(None, t) for t in texts], (4, "four")).repartition(6)
+    files = token_files.write(docs, str(tmp_path / "f"), P.path("byte_bpe_50k.json"), 50_257, 2, partitions=8)
+    listed = files.orderBy("file").collect()
+    assert len(listed) >= 6 and max(f.n_docs for f in listed) < 4000 and sum(f.n_docs for f in listed) == 10_001
+    assert all(f.path.startswith("file:///") for f in listed)
+    got = token_files.read(files).orderBy("start").collect()
+    start = 0
+    for r, t in zip(got, [*sorted(texts), "four"], strict=True):
+        ids = np.array(plain.encode(t, add_special_tokens=False).ids + [2], "<u4")
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (4 if t == "four" else None, start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
+def test_paths_are_qualified_and_sizes_make_files(spark, tmp_path):
+    assert token_files.qualified(spark, str(tmp_path / "a b")) == "file://" + str(tmp_path) + "/a%20b"
+    assert token_files.qualified(spark, "file:" + str(tmp_path)) == "file://" + str(tmp_path)
+    with pytest.raises(ValueError, match="viewfs"):
+        spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.t.link./x", "file:///tmp")
+        token_files.qualified(spark, "viewfs://t/x")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert token_files.file_number(docs, 1 << 40) == [] and token_files.file_number(docs, 1 << 10)[0] > 100
+
+
 def test_token_file_query(spark, plain):
     from pulsegrid.llm.queries import QUERIES
 
