@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.exprs import col
+from . import long_series, order
 
 #: Broadcast intervals are compared with every point, so more than these are joined by cells.
 MOST_BROADCAST = 100
@@ -114,8 +115,10 @@ def interp1(df: DataFrame, x: str, y: str, queries: DataFrame, by: list[str], at
     """queries (by..., at) with y interpolated between the points of df; null outside them.
 
     linear: points and queries are one sorted sequence for a series; each query looks back and ahead in it. cubic: a
-    spline needs a series' points together, so a series, with its queries, has to fit in a task; with fewer than
-    four points all are null."""
+    spline through a series' points, of several with one x that of the least y; with fewer than four points all are
+    null. Series of more rows than order.SMALL are taken by blocks (long_series.interp1), with the same results."""
+    if kind in ("linear", "cubic") and max(order.largest(df, by), order.largest(queries, by)) > order.SMALL:
+        return long_series.interp1(df, x, y, queries, by, at, kind)
     if kind == "cubic":
         return _interp_cubic(df, x, y, queries, by, at)
     if kind != "linear":
@@ -131,7 +134,7 @@ def interp1(df: DataFrame, x: str, y: str, queries: DataFrame, by: list[str], at
 
 def _interp_cubic(df: DataFrame, x: str, y: str, queries: DataFrame, by: list[str], at: str) -> DataFrame:
     def spline(points: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        p = points.dropna(subset=[x, y]).drop_duplicates(x).sort_values(x)
+        p = points.dropna(subset=[x, y]).sort_values([x, y]).drop_duplicates(x)
         got = kernels.cubic_spline(p[x].to_numpy(float), p[y].to_numpy(float), wanted[at].to_numpy(float)) if len(p) > 3 else np.full(len(wanted), np.nan)
         return wanted.assign(**{y: pd.Series(got, index=wanted.index).astype(object).where(~np.isnan(got), None)})
 

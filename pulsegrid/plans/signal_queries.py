@@ -144,7 +144,29 @@ _COH = "c AS (SELECT k, avg(re) AS re, avg(im) AS im, avg(r1 * r1 + i1 * i1) AS
 _PLV = "c AS (SELECT k, avg(re / sqrt(re * re + im * im)) AS re, avg(im / sqrt(re * re + im * im)) AS im, count(*) AS n FROM x GROUP BY k)"
 _ITPC = f"WITH {_S}, c AS (SELECT label, k, avg(cos(atan2(im, re))) AS c, avg(sin(atan2(im, re))) AS s, count(*)::DOUBLE AS n FROM s GROUP BY ALL)"
 _W = "w AS (SELECT vec_id, embedding::DOUBLE[] AS e, list_position(embedding, list_min(embedding)) AS t FROM embeddings), v AS (SELECT *, e[t:] AS tail FROM w), z AS (SELECT *, list_max(tail) AS peak, list_position(tail, list_max(tail)) AS p FROM v)"
+# Spectra of the demeaned samples at frequencies 1 to 31, times a wavelet's bell, and back at every sample.
+_SCALE = f"({6 + math.sqrt(38)!r}::DOUBLE / (4 * pi() * freq))"
+_MORLET = f"""{_L}, m AS (SELECT vec_id, k, sum(x * cos(2 * pi() * k * i / n)) AS re, -sum(x * sin(2 * pi() * k * i / n)) AS im FROM l, (SELECT unnest(range(1, 32)) AS k) GROUP BY ALL),
+    g AS (SELECT freq, k, pow(pi(), -0.25::DOUBLE) * sqrt({_SCALE} * 2 * pi() * 64) * exp(-0.5::DOUBLE * pow({_SCALE} * 2 * pi() * k - 6, 2)) AS g FROM (SELECT unnest([4.0, 8.0, 16.0])::DOUBLE AS freq), (SELECT unnest(range(1, 32)) AS k)),
+    z AS (SELECT vec_id, freq, i, sum(g * (re * cos(2 * pi() * k * i / 64) - im * sin(2 * pi() * k * i / 64))) / 64 AS re, sum(g * (re * sin(2 * pi() * k * i / 64) + im * cos(2 * pi() * k * i / 64))) / 64 AS im FROM m JOIN g USING (k), (SELECT unnest(range(0, 64)) AS i) GROUP BY ALL),
+    power AS (SELECT vec_id, freq, i, re * re + im * im AS power FROM z)"""
+# Demeaned samples with their odd reflection (63 on either side, sample 0 at place 63), transformed at 512 points, times
+# the squared response of a Butterworth band of order 4 after the bilinear transform, and back; then the analytic signal.
+_WARP = lambda f: f"(128 * tan(pi() * {f} / 64))"
+_BANDS = f"""{_L}, c AS (SELECT vec_id, i, x - avg(x) OVER (PARTITION BY vec_id) AS x FROM l),
+    e AS (SELECT vec_id, max(x) FILTER (i = 0) AS a, max(x) FILTER (i = 63) AS b FROM c GROUP BY vec_id),
+    y AS (SELECT vec_id, i + 63 AS p, x FROM c UNION ALL SELECT vec_id, 63 - i, 2 * a - x FROM c JOIN e USING (vec_id) WHERE i > 0 UNION ALL SELECT vec_id, 189 - i, 2 * b - x FROM c JOIN e USING (vec_id) WHERE i < 63),
+    s AS (SELECT vec_id, k, sum(x * cos(2 * pi() * k * p / 512)) AS re, -sum(x * sin(2 * pi() * k * p / 512)) AS im FROM y, (SELECT unnest(range(1, 256)) AS k) GROUP BY ALL),
+    h AS (SELECT (lo + hi) / 2.0::DOUBLE AS freq, k, 1 / (1 + pow((pow({_WARP("k / 8")}, 2) - {_WARP("lo")} * {_WARP("hi")}) / ({_WARP("k / 8")} * ({_WARP("hi")} - {_WARP("lo")})), 8)) AS h FROM (VALUES (4.0::DOUBLE, 8.0::DOUBLE), (10.0::DOUBLE, 20.0::DOUBLE)) AS b(lo, hi), (SELECT unnest(range(1, 256)) AS k)),
+    f AS (SELECT vec_id, freq, i, sum(h * (re * cos(2 * pi() * k * (i + 63) / 512) - im * sin(2 * pi() * k * (i + 63) / 512))) / 256 AS x FROM s JOIN h USING (k), (SELECT unnest(range(0, 64)) AS i) GROUP BY ALL),
+    t AS (SELECT vec_id, freq, k, sum(g * x * cos(2 * pi() * k * i / 64)) AS re, -sum(g * x * sin(2 * pi() * k * i / 64)) AS im FROM f, (SELECT k, CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END AS g FROM (SELECT unnest(range(0, 33)) AS k)) GROUP BY ALL),
+    z AS (SELECT vec_id, freq, i, sum(re * cos(2 * pi() * k * i / 64) - im * sin(2 * pi() * k * i / 64)) / 64 AS re, sum(re * sin(2 * pi() * k * i / 64) + im * cos(2 * pi() * k * i / 64)) / 64 AS im FROM t, (SELECT unnest(range(0, 64, 4)) AS i) GROUP BY ALL)"""
 ORACLES = {
+    "wavelet": f"WITH {_MORLET} SELECT vec_id, freq, i / 64.0::DOUBLE AS time, round(power, 6) AS power FROM power WHERE i % 4 = 0",
+    "bandfilter": f"WITH {_BANDS} SELECT vec_id, freq, i / 64.0::DOUBLE AS time, round(re * re + im * im, 6) AS power FROM z",
+    "signal_bursts": f"""WITH {_MORLET}, d AS (SELECT freq, avg(power) AS m, stddev_pop(power) AS d FROM power GROUP BY freq), o AS (SELECT vec_id, freq, i, i - row_number() OVER (PARTITION BY vec_id, freq ORDER BY i) AS run FROM power JOIN d USING (freq) WHERE (power - m) / d > 1),
+        r AS (SELECT vec_id, freq, min(i) AS first, max(i) AS last, count(*) AS n FROM o GROUP BY vec_id, freq, run)
+        SELECT vec_id, freq, first, last, n FROM r WHERE n >= 64 / freq OR last = 63 AND n >= 64 / freq - 1""",
     "dft_power": f"WITH {_S} SELECT vec_id, k, round(re * re + im * im, 6) AS power FROM s",
     "fft_power": f"WITH {_S} SELECT vec_id, k, round(re * re + im * im, 6) AS power FROM s",
     "spec_types": f"WITH {_S} SELECT vec_id, k, round(sqrt(re * re + im * im), 5) AS magnitude, round(re, 5) AS real, round(im, 5) AS imag FROM s",
