@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs, kernels
 from ..operators import plotdata, points, resample, spectral, stats, windows
-from ..sources.tables import columns_to_rows, table, variables
+from ..sources.tables import columns_to_rows, described, table
 from .event_queries import DAY, MONTH, E, _events
 from .signal_queries import _L, FS, KS, _signals
 
@@ -118,21 +118,29 @@ def type_entropy(spark, d):
 
 
 def window_grid(spark, d):
-    return windows.sliding_windows(spark, 0.5, (0.0, 3.0), 0.25, reference=1.1).select("win", _r("start").alias("from_s"), _r("end").alias("to_s"))
+    """Events in each window of a grid laid to a reference."""
+    grid = windows.sliding_windows(spark, 2 * DAY, (0.0, MONTH[1]), DAY, reference=3.25 * DAY)
+    n = windows.interval_join(_events(spark, d), "t", grid).groupBy("win").agg(F.count("*").alias("n"))
+    return grid.join(n, "win", "left").select("win", _r("start").alias("from_s"), _r("end").alias("to_s"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def frequency_grid(spark, d):
+    """Mean power over all vectors at the frequencies of a range."""
     f, at = kernels.frequencies(FS, 64, (2.0, 20.0))
-    return spark.createDataFrame([(int(k), float(x)) for k, x in zip(at, f)], "k int, freq double")
+    grid = spark.createDataFrame([(int(k), float(x)) for k, x in zip(at, f)], "k int, freq double")
+    s = spectral.fft(_signals(spark, d), ["vec_id"]).join(F.broadcast(grid), "k")  # grid: 19 rows
+    return s.groupBy("k", "freq").agg(_r(F.avg(exprs.power())).alias("power"))
 
 
 def wavelet_widths(spark, d):
-    f = spark.createDataFrame([(float(k),) for k in KS], "freq double")
-    return f.select("freq", _r(exprs.wavelet_frequency_width("freq")).alias("hz"), _r(exprs.wavelet_time_width("freq")).alias("seconds"), _r(exprs.wavelet_edge_extent("freq")).alias("edge"))
+    f = table(spark, d, "lineitem").groupBy(F.col("l_quantity").alias("freq")).agg(F.count("*").alias("n"))
+    return f.select("freq", "n", _r(exprs.wavelet_frequency_width("freq")).alias("hz"), _r(exprs.wavelet_time_width("freq")).alias("seconds"), _r(exprs.wavelet_edge_extent("freq")).alias("edge"))
 
 
 def whole_range(spark, d):
-    return spark.range(1).select(F.explode(exprs.iarange(3, 20, 4)).alias("x"))
+    """Lines whose quantity lies in a range of whole numbers."""
+    x = table(spark, d, "lineitem").where(F.array_contains(exprs.iarange(3, 20, 4), F.col("l_quantity").cast("int")))
+    return x.groupBy(F.col("l_quantity").cast("int").alias("x")).agg(F.count("*").alias("n"))
 
 
 def wide_strings(spark, d):
@@ -170,7 +178,7 @@ def wide_to_rows(spark, d):
 
 
 def table_names(spark, d):
-    return variables(spark, d)
+    return described(spark, d)
 
 
 QUERIES = {
@@ -182,6 +190,7 @@ QUERIES = {
 }
 
 _PI = "3.141592653589793::DOUBLE"
+_TABLES = ["benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier"]
 ORACLES = {
     "cut_windows": f"WITH {_L}, w AS (SELECT *, (vec_id % 7) / 8.0::DOUBLE AS onset, i - ((vec_id % 7) * 8 - 8) AS at_ FROM l) SELECT vec_id, onset, at_::INTEGER AS i, round(x, 6) AS x FROM w WHERE at_ BETWEEN 0 AND 24 AND (vec_id % 7) * 8 - 8 >= 0 AND (vec_id % 7) * 8 + 16 < n",
     "realign_samples": f"WITH {_L} SELECT vec_id, (i - (vec_id % 5) * 4 - 8)::INTEGER AS i, round(x, 6) AS x FROM l WHERE i - (vec_id % 5) * 4 - 8 BETWEEN 0 AND 24",
@@ -200,15 +209,15 @@ ORACLES = {
     "pool_grids": f"WITH {E}, h AS (SELECT DISTINCT user_id % 10 AS el, round_even(t / 3600, 0) AS cell FROM e), u AS (SELECT DISTINCT user_id % 10 AS el FROM e) SELECT u.el::INTEGER AS electrode, count(h.cell) FILTER (WHERE h.cell BETWEEN 0 AND 720) AS n_true, 721::BIGINT AS n_cells FROM u LEFT JOIN h ON u.el = h.el GROUP BY u.el",
     "first_seen_order": f"WITH {E}, f AS (SELECT user_id, event_type, min(t) AS t FROM e GROUP BY ALL) SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY t, event_type) - 1)::INTEGER AS place, event_type FROM f",
     "type_entropy": f"WITH {E}, n AS (SELECT user_id, event_type, count(*)::DOUBLE AS n FROM e GROUP BY ALL), p AS (SELECT user_id, n / sum(n) OVER (PARTITION BY user_id) AS p FROM n) SELECT user_id, round(-sum(p * log2(p)), 6) AS bits FROM p GROUP BY user_id",
-    "window_grid": "SELECT i::INTEGER AS win, round(0.1::DOUBLE + i * 0.25::DOUBLE, 6) AS from_s, round(0.6::DOUBLE + i * 0.25::DOUBLE, 6) AS to_s FROM range(10) AS r(i)",
-    "frequency_grid": "SELECT i::INTEGER AS k, i::DOUBLE AS freq FROM range(2, 21) AS r(i)",
-    "wavelet_widths": f"SELECT k::DOUBLE AS freq, round(2 * k / 6.0::DOUBLE, 6) AS hz, round(6 / ({_PI} * k), 6) AS seconds, round(sqrt(2::DOUBLE) * (6 + sqrt(38::DOUBLE)) / (4 * {_PI}) / k, 6) AS edge FROM (SELECT unnest({list(KS)}) AS k)",
-    "whole_range": "SELECT i::INTEGER AS x FROM range(3, 20, 4) AS r(i)",
+    "window_grid": f"WITH {E}, g AS (SELECT i::INTEGER AS win, (0.25::DOUBLE + i) * {DAY}::DOUBLE AS a, (2.25::DOUBLE + i) * {DAY}::DOUBLE AS b FROM range({int(MONTH[1] / DAY - 2.25) + 1}) AS r(i)) SELECT win, round(a, 6) AS from_s, round(b, 6) AS to_s, count(t) AS n FROM g LEFT JOIN e ON t >= a AND t < b GROUP BY ALL",
+    "frequency_grid": f"WITH {_L}, s AS (SELECT vec_id, k, sum(x * cos(2 * pi() * k * i / n)) AS re, sum(x * sin(2 * pi() * k * i / n)) AS im FROM l, (SELECT unnest(range(2, 21))::INTEGER AS k) GROUP BY ALL) SELECT k, k::DOUBLE AS freq, round(avg(re * re + im * im), 6) AS power FROM s GROUP BY ALL",
+    "wavelet_widths": f"SELECT l_quantity AS freq, count(*) AS n, round(2 * l_quantity / 6.0::DOUBLE, 6) AS hz, round(6 / ({_PI} * l_quantity), 6) AS seconds, round(sqrt(2::DOUBLE) * (6 + sqrt(38::DOUBLE)) / (4 * {_PI}) / l_quantity, 6) AS edge FROM lineitem GROUP BY ALL",
+    "whole_range": "SELECT l_quantity::INTEGER AS x, count(*) AS n FROM lineitem WHERE l_quantity::INTEGER IN (3, 7, 11, 15, 19) GROUP BY ALL",
     "wide_strings": "SELECT n_nationkey, n_name AS name FROM nation",
     "groups_labelled": "SELECT CASE o_orderstatus WHEN 'O' THEN 0 ELSE 1 END AS label, count(*) AS n, round(avg(o_totalprice), 3) AS mean FROM orders WHERE o_orderstatus IN ('O', 'F') GROUP BY ALL",
     "condition_spread": "SELECT c_mktsegment, round(stddev_samp(c_acctbal), 4) AS sd FROM customer GROUP BY ALL",
     "pseudovalues": "SELECT c_custkey, round(c_acctbal, 2) AS value FROM customer",
     "wide_to_rows": f"WITH {_L} SELECT a.vec_id, round(a.x, 6) AS a, round(b.x, 6) AS b FROM l AS a LEFT JOIN l AS b ON a.vec_id = b.vec_id AND b.i = a.i + 40 AND a.i < 24 WHERE a.i < 40",
-    "table_names": "SELECT unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier']) AS variable",
+    "table_names": " UNION ALL ".join(f"SELECT '{t}' AS variable, (SELECT count(*) FROM {t}) AS n_rows, (SELECT count(*) FROM (DESCRIBE {t}))::INTEGER AS n_columns" for t in _TABLES),
     "fisher_round_trip": "SELECT l_returnflag, round(corr(l_quantity, l_discount), 6) AS r FROM lineitem GROUP BY ALL",
 }

@@ -117,6 +117,26 @@ def wavelet(spark, d):
     return spectral.power_spectrogram(_signals(spark, d), ["vec_id"], FS, freqs=[4.0, 8.0, 16.0], every=4).select("vec_id", "freq", "time", _r("value").alias("power"))
 
 
+def _wavelets(spark, d, spec_type):
+    return spectral.spectrogram(_signals(spark, d), ["vec_id"], FS, "wavelet", spec_type, freqs=[4.0, 8.0, 16.0], every=4)
+
+
+def wavelet_complex(spark, d):
+    return _wavelets(spark, d, "complex").select("vec_id", "freq", "time", _r("re").alias("re"), _r("im").alias("im"))
+
+
+def wavelet_phase(spark, d):
+    return spectral.phase_spectrogram(_signals(spark, d), ["vec_id"], FS, freqs=[4.0, 8.0, 16.0], every=4).select("vec_id", "freq", "time", _r("value", 5).alias("phase"))
+
+
+def wavelet_spectrum(spark, d):
+    return spectral.power_spectrum(_signals(spark, d), ["vec_id"], FS, "wavelet", freqs=[4.0, 8.0, 16.0]).select("vec_id", "freq", _r("value").alias("power"))
+
+
+def bandfilter_spectrum(spark, d):
+    return spectral.spectrum(_signals(spark, d), ["vec_id"], FS, "bandfilter", "magnitude", bands=((4, 8), (10, 20)), every=4).select("vec_id", "freq", _r("value").alias("magnitude"))
+
+
 def bandfilter(spark, d):
     return spectral.power_spectrogram(_signals(spark, d), ["vec_id"], FS, "bandfilter", bands=((4, 8), (10, 20)), every=4).select("vec_id", "freq", "time", _r("value").alias("power"))
 
@@ -134,7 +154,7 @@ QUERIES = {
     "dft_power": dft_power, "fft_power": fft_power, "spec_types": spec_types, "band_power": band_power, "one_over_f": one_over_f, "remove_dc": remove_dc, "remove_evoked": remove_evoked,
     "coherence": _sync(sync.coherence, "coherence"), "plv": _sync(sync.plv, "plv"), "ppc": _sync(sync.ppc, "ppc"), "coherence_z": coherence_z, "coherence_trials": coherence_trials,
     "itpc_plv": _itpc("plv"), "itpc_ppc": _itpc("ppc"), "itpc_z": _itpc("z"), "waveform_width": _wave("width"), "waveform_amp_ratio": _wave("amp_ratio"), "waveform_trough_width": _wave("trough_width"), "waveform_repolarization": _wave("repolarization"),
-    "mean_waveform": mean_waveform, "waveform_histogram": waveform_histogram, "multitaper": multitaper, "multitaper_spectrogram": multitaper_spectrogram, "wavelet": wavelet, "bandfilter": bandfilter, "signal_bursts": signal_bursts, "decode_lda": decode_lda,
+    "mean_waveform": mean_waveform, "waveform_histogram": waveform_histogram, "multitaper": multitaper, "multitaper_spectrogram": multitaper_spectrogram, "wavelet": wavelet, "bandfilter": bandfilter, "wavelet_complex": wavelet_complex, "wavelet_phase": wavelet_phase, "wavelet_spectrum": wavelet_spectrum, "bandfilter_spectrum": bandfilter_spectrum, "signal_bursts": signal_bursts, "decode_lda": decode_lda,
 }
 
 _L = "l AS (SELECT vec_id, label, (unnest(embedding))::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i, len(embedding) AS n FROM embeddings)"
@@ -163,6 +183,10 @@ _BANDS = f"""{_L}, c AS (SELECT vec_id, i, x - avg(x) OVER (PARTITION BY vec_id)
     z AS (SELECT vec_id, freq, i, sum(re * cos(2 * pi() * k * i / 64) - im * sin(2 * pi() * k * i / 64)) / 64 AS re, sum(re * sin(2 * pi() * k * i / 64) + im * cos(2 * pi() * k * i / 64)) / 64 AS im FROM t, (SELECT unnest(range(0, 64, 4)) AS i) GROUP BY ALL)"""
 ORACLES = {
     "wavelet": f"WITH {_MORLET} SELECT vec_id, freq, i / 64.0::DOUBLE AS time, round(power, 6) AS power FROM power WHERE i % 4 = 0",
+    "wavelet_complex": f"WITH {_MORLET} SELECT vec_id, freq, i / 64.0::DOUBLE AS time, round(re, 6) AS re, round(im, 6) AS im FROM z WHERE i % 4 = 0",
+    "wavelet_phase": f"WITH {_MORLET} SELECT vec_id, freq, i / 64.0::DOUBLE AS time, round(atan2(im, re), 5) AS phase FROM z WHERE i % 4 = 0",
+    "wavelet_spectrum": f"WITH {_MORLET} SELECT vec_id, freq, round(avg(power), 6) AS power FROM power GROUP BY ALL",
+    "bandfilter_spectrum": f"WITH {_BANDS} SELECT vec_id, freq, round(avg(sqrt(re * re + im * im)), 6) AS magnitude FROM z GROUP BY ALL",
     "bandfilter": f"WITH {_BANDS} SELECT vec_id, freq, i / 64.0::DOUBLE AS time, round(re * re + im * im, 6) AS power FROM z",
     "signal_bursts": f"""WITH {_MORLET}, d AS (SELECT freq, avg(power) AS m, stddev_pop(power) AS d FROM power GROUP BY freq), o AS (SELECT vec_id, freq, i, i - row_number() OVER (PARTITION BY vec_id, freq ORDER BY i) AS run FROM power JOIN d USING (freq) WHERE (power - m) / d > 1),
         r AS (SELECT vec_id, freq, min(i) AS first, max(i) AS last, count(*) AS n FROM o GROUP BY vec_id, freq, run)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,13 @@ def variables(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([(n.removesuffix(".parquet"),) for n in sorted(names)], "variable string")
 
 
+def described(spark: SparkSession, folder: str) -> DataFrame:
+    """(variable, n_rows, n_columns) of a folder's tables; without columns to read, a count takes the files' footers."""
+    each = [(r[0], table(spark, folder, r[0])) for r in variables(spark, folder).collect()]  # a row for each table
+    counts = [t.agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("variable"), "n_rows", F.lit(len(t.columns)).alias("n_columns")) for n, t in each]
+    return reduce(DataFrame.unionByName, counts, spark.createDataFrame([], "variable string, n_rows long, n_columns int"))
+
+
 def event_times(events: DataFrame) -> DataFrame:
     """events with t, seconds since the first of January 2024."""
     return events.withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - 1704067200.0)

@@ -59,6 +59,8 @@ def test_windows_at_events(spark):
 
 def test_tables(spark, tmp_path):
     assert {"events", "lineitem"} <= {r.variable for r in tables.variables(spark, "/root/testdata/sf0.001").collect()}
+    listed = {r.variable: (r.n_rows, r.n_columns) for r in tables.described(spark, "/root/testdata/sf0.001").collect()}
+    assert listed["lineitem"][0] == 6000 and listed["orders"] == (1500, 6)
     d = spark.createDataFrame([(1, [1, 2], ["a"])], "k int, x array<int>, y array<string>")
     rows = tables.columns_to_rows(d, ["x", "y"], ["k"])
     assert sorted((r.k, r.x, r.y) for r in rows.collect() if r.y) == [(1, 1, "a")] and rows.count() == 2
