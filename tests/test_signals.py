@@ -33,6 +33,14 @@ def test_fft_round_trip(wave):
         assert (r.re, r.im) == pytest.approx(some[r.trial, 7], abs=1e-6)
 
 
+def test_dft_stays_in_its_row(spark):
+    d = spark.createDataFrame([(1, [1.0, None, 3.0]), (1, [2.0]), (2, []), (3, None)], "k0 int, samples array<double>")
+    s = spectral.dft(d, ["k0"], "samples", [0, 1])
+    assert "Exchange" not in s._jdf.queryExecution().executedPlan().toString()
+    want = [np.fft.fft([1.0, 0.0, 3.0])[:2], [2.0, 2.0]]
+    assert np.allclose(sorted(abs(complex(r.re, r.im)) for r in s.collect()), sorted(np.abs(np.concatenate(want))))
+
+
 def test_kernels():
     assert kernels.f_sf(1.0, 1, 1) == pytest.approx(0.5)
     assert kernels.f_sf(4.9646, 1, 10) == pytest.approx(0.05, abs=1e-4)
