@@ -8,6 +8,7 @@ an equi-join on cells.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.exprs import col
+from ..session import written
 from . import long_series, order
 
 #: Broadcast intervals are compared with every point, so more than these are joined by cells.
@@ -75,6 +77,30 @@ def interval_join(points: DataFrame, at: str | Column, intervals: DataFrame, sta
     return left.join(right, ["__level", "__cell"]).where(inside).drop("__level", "__cell")
 
 
+def interval_counts(points: DataFrame, at: str, intervals: DataFrame, start: str = "start", end: str = "end", closed: bool = False, out: str = "n") -> DataFrame:
+    """intervals with the number of points that each holds, as interval_join() would pair them, without the pairs.
+
+    Points and the intervals' distinct bounds are numbered in one order, and the bounds alone in the same order: a
+    bound's places differ by the points before it. Null or not-a-number points and bounds hold nothing."""
+    valid = lambda c: c.isNotNull() & ~F.isnan(c)
+    number = lambda c: F.col(c).cast("double") + F.lit(0.0)
+    # At one place an end that counts as inside comes behind the points, any other bound before them.
+    kinds = {start: 0, end: 2 if closed else 0}
+    bounds = reduce(DataFrame.unionByName, (intervals.select(number(c).alias("__t"), F.lit(k).alias("__kind")) for c, k in kinds.items()))
+    bounds = written(bounds.where(valid(F.col("__t"))).distinct())
+    seen = points.select(number(at).alias("__t"), F.lit(1).alias("__kind")).where(valid(F.col("__t")))
+    place = lambda df, name: order.numbered(df, [], ["__t", "__kind"], name)
+    among = place(bounds.unionByName(seen), "__all").where("__kind <> 1")
+    before = among.join(place(bounds, "__own"), ["__t", "__kind"]).withColumn("__before", F.col("__all") - F.col("__own"))
+    found = intervals
+    for c, k in kinds.items():
+        told = before.where(F.col("__kind") == k).select(F.col("__t").alias(f"__at_{c}"), F.col("__before").alias(f"__before_{c}"))
+        found = found.withColumn(f"__at_{c}", number(c)).join(told, f"__at_{c}", "left").drop(f"__at_{c}")
+    held = F.greatest(F.col(f"__before_{end}") - F.col(f"__before_{start}"), F.lit(0))
+    known = F.col(f"__before_{end}").isNotNull() & F.col(f"__before_{start}").isNotNull()
+    return found.withColumn(out, F.when(known, held).otherwise(F.lit(0)).cast("long")).drop(*(f"__before_{c}" for c in kinds))
+
+
 def nearest_join(left: DataFrame, right: DataFrame, on: list[str], at: str, time: str, within: float, bucket: float | None = None) -> DataFrame:
     """Each row of left with the rows of right, of its keys `on`, whose time is the nearest to its `at` (of two equally
     near ones the earlier), if that is at most `within` away. Columns of both; rows without a partner are left out.

@@ -1,8 +1,10 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import points, windows
+from pulsegrid.operators import order, points, windows
 
 
 @pytest.fixture(scope="module")
@@ -102,3 +104,20 @@ def test_other_kernels(spark, events):
         assert d.where("unit = 0").agg(F.sum("rate")).first()[0] * 0.001 == pytest.approx(4, abs=0.01)
     with pytest.raises(ValueError):
         points.density(inner, ["unit"], (0.0, 3.0), 0.05, kernel="nonsense")
+
+
+@pytest.mark.parametrize("closed", [False, True])
+@pytest.mark.parametrize("small", [32_768, 5])
+def test_interval_counts(spark, monkeypatch, closed, small):
+    """As many as the pairs, ends, ties, empty and odd intervals included; and no pairs are made."""
+    monkeypatch.setattr(order, "SMALL", small)
+    inf = float("inf")
+    points = [0.0, -0.0, 1.0, 1.0, 1.0, 2.5, 7.0, -3.0, None, float("nan")] + [x / 8 for x in range(-40, 40)]
+    spans = [(0.0, 1.0), (0.0, 1.0), (-0.0, 0.0), (1.0, 1.0), (1.0, 2.5), (5.0, 2.0), (-inf, inf), (None, 1.0), (float("nan"), 1.0), (-4.1, 7.0), (8.0, 9.0)]
+    p = spark.createDataFrame([(x,) for x in points], "t double")
+    s = spark.createDataFrame([(k, *x) for k, x in enumerate(spans)], "k int, start double, end double")
+    got = windows.interval_counts(p, "t", s, closed=closed)
+    assert not re.search("NestedLoop|Cartesian", got._jdf.queryExecution().executedPlan().toString())
+    real = [x for x in points if x is not None and x == x]
+    want = {k: sum(a <= x and (x <= b if closed else x < b) for x in real) if a is not None else 0 for k, (a, b) in enumerate(spans)}
+    assert {r.k: r.n for r in got.collect()} == want
