@@ -330,3 +330,15 @@ def test_numbering(spark, monkeypatch, small):
         for k, t in sorted(((k if by else "", t) for k, t in rows if k is not None or not by), key=lambda r: (r[0], r[1])):
             want.setdefault(k, []).append(t)
         assert sorted((r.k if by else "", r.at, r.t) for r in got) == sorted((k, i, t) for k, ts in want.items() for i, t in enumerate(ts))
+
+
+def test_reordered_rows_hold_no_names(spark, monkeypatch):
+    """What is shuffled for each draw is the digest's bytes, not the observation's name."""
+    monkeypatch.setattr(order, "SMALL", 3)
+    monkeypatch.setattr(resample, "SMALL", 3)
+    df = spark.range(20).select(F.lpad(F.col("id").cast("string"), 9, "0").alias("obs"), F.col("id").alias("x"), F.col("id").alias("y"))
+    got = resample._reordered(df, [], "obs", ["y"], 2, 1)
+    assert sorted(got.columns) == ["draw", "x", "y"]
+    for d in (1, 2):
+        places = sorted(range(20), key=lambda i: hashlib.md5(f"1|{d}|{i:09d}".encode()).hexdigest())
+        assert {r.x: r.y for r in got.where(F.col("draw") == d).collect()} == {x: k for k, x in enumerate(places)}
