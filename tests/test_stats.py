@@ -342,3 +342,16 @@ def test_reordered_rows_hold_no_names(spark, monkeypatch):
     for d in (1, 2):
         places = sorted(range(20), key=lambda i: hashlib.md5(f"1|{d}|{i:09d}".encode()).hexdigest())
         assert {r.x: r.y for r in got.where(F.col("draw") == d).collect()} == {x: k for k, x in enumerate(places)}
+
+
+def test_picks_of_many_blocks_are_those_of_sql(spark):
+    """A pick's block is told by one number however many blocks there are."""
+    n, block, draws = 9000, 2, 3
+    md5 = lambda *p: int(hashlib.md5("|".join(map(str, (5, *p))).encode()).hexdigest()[:8], 16) / 2**32
+    want = []
+    for d in range(1, draws + 1):
+        held = Counter(int(md5(d, i) * n) // block for i in range(n))
+        want += [(d, b * block + int(md5(d, "b", b, t) * min(block, n - b * block))) for b, m in held.items() for t in range(m)]
+    df = spark.range(n).select(F.col("id").alias("obs"), F.col("id").alias("v"))
+    got = resample._resample(df, [], "obs", ["v"], draws, 5, block=block).select("draw", "v").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
