@@ -355,3 +355,9 @@ def test_picks_of_many_blocks_are_those_of_sql(spark):
     df = spark.range(n).select(F.col("id").alias("obs"), F.col("id").alias("v"))
     got = resample._resample(df, [], "obs", ["v"], draws, 5, block=block).select("draw", "v").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_poisson_weights_are_those_of_the_uniform_number(spark):
+    df = spark.range(3000).select("id", resample.poisson_weight(3, "id").alias("w"), resample.uniform(3, "id").alias("u"))
+    ends = np.cumsum([np.exp(-1) / float(np.prod(np.arange(1, k + 1))) for k in range(13)])
+    assert all(r.w == int((ends <= r.u).sum()) for r in df.collect())
