@@ -308,6 +308,23 @@ def test_places_and_cuts_of_long_series(spark, monkeypatch, by):
             assert list(x) == pytest.approx(list(y))
 
 
+@pytest.mark.parametrize("stat,reach,repeated", [("meandiff", 6.0, 1), ("t", 6.0, 1), ("meandiff", 0.0, 1), ("meandiff", 0.5, 40)])
+def test_sides_of_long_series_by_one_digest(spark, monkeypatch, stat, reach, repeated):
+    """Sides are told by digests made once, and by places near the border; where a place is out of reach, by selection.
+    One row of repeated observations more or less is the order's choice, so these are all of one value."""
+    rng = np.random.default_rng(4)
+    rows = [(i // repeated, "ab"[int(u < 0.3)], float(v)) for i, (u, v) in enumerate(zip(rng.random(800), rng.normal(size=800)))]
+    df = spark.createDataFrame([(o, g, v if repeated == 1 else float(o % 2)) for o, g, v in rows], "obs int, g string, v double").repartition(3)
+    test = lambda: resample.two_sample_permutation_test(df, "v", "g", ("a", "b"), "obs", [], stat=stat, n_resamples=9, return_stats=True)
+    want = sorted(test().collect())
+    monkeypatch.setattr(resample, "SMALL", 3)
+    monkeypatch.setattr(order, "SMALL", 3)
+    monkeypatch.setattr(resample, "REACH", reach, raising=False)
+    for x, y in zip(sorted(test().collect()), want, strict=True):
+        assert list(x) == pytest.approx(list(y))
+    assert ("md5" in test()._jdf.queryExecution().optimizedPlan().toString()) == (reach < 6)
+
+
 def test_groups_that_one_side_lacks(spark):
     df = spark.createDataFrame([(i, "a", float(i)) for i in range(9)], "obs int, g string, v double")
     for groups in (("a", "b"), ("b", "a")):
