@@ -53,6 +53,33 @@ def test_units_on_any_text(texts):
         assert ended == [[2], *(w + [2] for w in want)]
 
 
+@pytest.mark.parametrize("name,folds", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_plain_words_share_calls(name, folds):
+    """Thousands of new words take few texts of the library's, and each gets its own ids."""
+    letters, rng = list("abcdefghijklmnopqrstuvwxyz" + "éßÀÿ" * (not folds)), np.random.default_rng(5)
+    words = ["".join(rng.choice(letters, 1 + k % 9)) for k in range(3000)]
+    text, sent = " " + " ".join([*words, "×", " 1÷2 ", "don't"]), []
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def __getattr__(self, key):
+            return getattr(self.tokenizer, key)
+
+        def encode_batch_fast(self, texts, **options):
+            sent.extend(texts)
+            return self.tokenizer.encode_batch_fast(texts, **options)
+
+    common._ENCODERS.clear()
+    e = common.json_encoder(P.path(name), folds)
+    library, e.tokenizer = e.tokenizer, Counted(e.tokenizer)
+    e.bare = e.bare and Counted(e.bare)
+    assert np.frombuffer(e.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    common._ENCODERS.clear()
+    assert len(sent) < len(set(words)) / 10
+
+
 def test_special_spellings():
     """The plain call takes an added token's spelling for that token."""
     e = common.json_encoder(P.path("byte_bpe_50k.json"))
