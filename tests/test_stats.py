@@ -1,6 +1,7 @@
 """Published values for small samples that numpy's generator makes from seed 1, and properties."""
 
 import hashlib
+import os
 from collections import Counter
 from statistics import NormalDist
 
@@ -378,3 +379,44 @@ def test_poisson_weights_are_those_of_the_uniform_number(spark):
     df = spark.range(3000).select("id", resample.poisson_weight(3, "id").alias("w"), resample.uniform(3, "id").alias("u"))
     ends = np.cumsum([np.exp(-1) / float(np.prod(np.arange(1, k + 1))) for k in range(13)])
     assert all(r.w == int((ends <= r.u).sum()) for r in df.collect())
+
+
+@pytest.mark.parametrize("by,portion,share", [([], 1, 7), (["unit", "j"], 300, 1 << 16)])
+def test_draws_in_portions(spark, monkeypatch, by, portion, share):
+    """Statistics of long series' draws are those of series gathered in a row each, and portions leave no rows behind."""
+    df = spark.range(120).select(
+        (F.col("id") % 3).alias("j"), F.concat(F.lit("s"), (F.col("id") % 2).cast("string")).alias("unit"), F.concat(F.lit("o"), F.col("id").cast("string")).alias("obs"),
+        F.sin(F.col("id").cast("double")).alias("x"), F.cos(F.col("id") * 2.0).alias("y"), (F.col("id") % 4).alias("g"), (F.col("id") % 5).cast("string").alias("h"),
+    )
+    tests = [
+        lambda: resample.paired_sample_association_permutation_test(df, "x", "y", "obs", by, n_resamples=4, seed=2, return_stats=True),
+        lambda: resample.one_way_permutation_test(df, "x", "g", "obs", by, n_resamples=4, seed=2, return_stats=True),
+    ]
+    rows = lambda t: sorted((tuple(str(r[c]) for c in r.asDict() if c not in ("s", "stat", "p")), round(r.s, 9), round(r.stat, 9), r.p) for r in t.collect())
+    want = [rows(t()) for t in tests]
+    for m in (resample, order):
+        monkeypatch.setattr(m, "SMALL", 3)
+    monkeypatch.setattr(resample, "PORTION", portion)
+    monkeypatch.setattr(resample, "SHARE", share)
+    monkeypatch.setattr(resample, "BLOCK", 16)
+    monkeypatch.setattr(order, "ROWS", 50)
+    kept, pieces = [], resample._in_pieces
+    monkeypatch.setattr(resample, "_in_pieces", lambda *a: kept.append(pieces(*a)) or kept[-1])
+    for t, w in zip(tests, want):
+        kept.clear()
+        assert rows(t()) == w
+        assert len(kept) == (3 if portion == 1 else 2)
+        for p in kept:
+            assert not any(os.path.exists(f.removeprefix("file://")) for f in p.inputFiles())
+
+
+def test_reordered_observations_with_many_rows(spark, monkeypatch):
+    """Rows of one observation, and those without one, lie beside each other in any order; none is lost."""
+    for m in (resample, order):
+        monkeypatch.setattr(m, "SMALL", 3)
+    monkeypatch.setattr(resample, "BLOCK", 16)
+    df = spark.range(90).select(F.when(F.col("id") % 3 > 0, F.lit("same")).otherwise(F.lit(None)).alias("obs"), "id", (F.col("id") * 2).alias("y"))
+    got = resample._reordered(df, [], "obs", ["y"], 2, 1)
+    for d in (1, 2):
+        r = got.where(F.col("draw") == d).collect()
+        assert sorted(x.id for x in r) == list(range(90)) and sorted(x.y for x in r) == list(range(0, 180, 2))
