@@ -420,3 +420,16 @@ def test_reordered_observations_with_many_rows(spark, monkeypatch):
     for d in (1, 2):
         r = got.where(F.col("draw") == d).collect()
         assert sorted(x.id for x in r) == list(range(90)) and sorted(x.y for x in r) == list(range(0, 180, 2))
+
+
+def test_labels_permuted_over_many_series_and_missing_values(spark, monkeypatch):
+    """Rows without value or label take no part, and text labels keep their counts in each draw."""
+    df = spark.range(150).select("id", (F.col("id") % 2).alias("unit"), F.when(F.col("id") % 7 > 0, F.col("id") * 1.0).alias("x"), F.when(F.col("id") % 11 > 0, F.concat(F.lit("g"), (F.col("id") % 3).cast("string"))).alias("g"))
+    counts = lambda d, v, g, b: d.groupBy(*b).agg(F.sum(F.when(F.col(g) == "g1", 1.0)).alias("s"))
+    for m in (resample, order):
+        monkeypatch.setattr(m, "SMALL", 3)
+    monkeypatch.setattr(resample, "PORTION", 1)
+    monkeypatch.setattr(resample, "BLOCK", 16)
+    got = resample.one_way_permutation_test(df, "x", "g", "id", ["unit"], stat=counts, n_resamples=3, seed=4).collect()
+    want = {r.unit: r.n for r in df.where("x IS NOT NULL AND g = 'g1'").groupBy("unit").agg(F.count("*").alias("n")).collect()}
+    assert {r.unit: (r.stat, r.p) for r in got} == {k: (float(n), 1.0) for k, n in want.items()}
